@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars",)
+MODULES = ("bars", "rolling", "indicator")
 
 
 def load_all() -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators.bars import ohlcv
 from quotemill.operators.ordered import Panel, Series
+from quotemill.session import materialize
 
 TICKS = """ticks AS (
   SELECT event_id AS tie, ts, event_type AS symbol, 'v' || CAST(user_id % 4 AS VARCHAR) AS exchange,
@@ -61,8 +62,8 @@ def quotes(t: DataFrame) -> DataFrame:
 
 
 def symbol_bars(t: DataFrame) -> DataFrame:
-    """Hourly bars per symbol over all venues."""
-    return ohlcv(t, "1h", keys=("symbol",)).withColumnRenamed("bucket", "ts")
+    """Hourly bars per symbol over all venues, stored once so that later passes do not aggregate ticks again."""
+    return materialize(ohlcv(t, "1h", keys=("symbol",)).withColumnRenamed("bucket", "ts"), "bars-1h")
 
 
 def daily_returns(orders: DataFrame) -> DataFrame:
@@ -70,8 +71,8 @@ def daily_returns(orders: DataFrame) -> DataFrame:
     panel = orders.groupBy(F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("asset")).agg(
         F.avg("o_totalprice").alias("level")
     )
-    p = Panel(panel, RETURN_SERIES)
+    p = Panel(materialize(panel, "levels"), RETURN_SERIES)
     p.lag("_prev", "level")
     p.hide("_prev")
     p.add("ret", F.col("level") / F.col("_prev") - 1, ["_prev"])
-    return p.done().filter("ret IS NOT NULL")
+    return materialize(p.done().filter("ret IS NOT NULL"), "returns")
