@@ -265,10 +265,10 @@ MFM = "coalesce((2 * close - low - high) / nullif(high - low, 0), 0)"
     {"o": "coalesce(sign(close - pc) * volume, 0)", "a": f"{MFM} * volume", "v": "coalesce((close / pc - 1) * volume, 0)",
      "n": "coalesce(CASE WHEN volume < pvol THEN ln(close / pc) END, 0)"}).format(
     out=f"""symbol, ts, {R(f'sum(o) OVER ({BW})', 4)} AS obv, {R(f'sum(a) OVER ({BW})', 4)} AS ad,
-  {R(f'sum(v) OVER ({BW})', 4)} AS pvt, {R(f'1000 * exp(sum(n) OVER ({BW}))', 4)} AS nvi"""))
+  {R(f'sum(v) OVER ({BW})', 4)} AS pvt, {R(f'sum(n) OVER ({BW})', 4)} AS log_nvi"""))
 def _totals(t):
     out = I.running_totals_of_volume(t.bars, BAR_SERIES)
-    return rounded(out.select("symbol", "ts", "obv", "ad", "pvt", "nvi"), 4)
+    return rounded(out.select("symbol", "ts", "obv", "ad", "pvt", F.log(F.col("nvi") / 1000).alias("log_nvi")), 4)
 
 
 @query("ad_oscillator", steps({"a": f"{MFM} * volume"}, {"ad": f"sum(a) OVER ({BW})"},
@@ -410,3 +410,99 @@ def _tickset(t):
     p = Panel(t.ticks, TICK_SERIES)
     cols = I.tick_panel(p)
     return rounded(p.done().select("symbol", "tie", *cols))
+
+
+@query("parabolic_sar", f"""WITH RECURSIVE {BASE}, w AS MATERIALIZED (SELECT symbol, ts, rn, high, low,
+    coalesce(lag(high, 2) OVER ({BW}), ph) AS ph2, coalesce(lag(low, 2) OVER ({BW}), pl) AS pl2, ph, pl FROM d),
+k AS (SELECT symbol, ts, rn, 1 AS trend, low AS sar, high AS ep, 0.02::DOUBLE AS af FROM w WHERE rn = 1
+  UNION ALL
+  SELECT symbol, ts, rn, CASE WHEN trend = 1 THEN CASE WHEN low < s THEN -1 ELSE 1 END ELSE CASE WHEN high > s THEN 1 ELSE -1 END END,
+    CASE WHEN (trend = 1 AND low < s) OR (trend = -1 AND high > s) THEN ep ELSE s END,
+    CASE WHEN trend = 1 THEN CASE WHEN low < s THEN low ELSE greatest(ep, high) END
+         ELSE CASE WHEN high > s THEN high ELSE least(ep, low) END END,
+    CASE WHEN (trend = 1 AND low < s) OR (trend = -1 AND high > s) THEN 0.02::DOUBLE
+         WHEN (trend = 1 AND high > ep) OR (trend = -1 AND low < ep) THEN least(af + 0.02, 0.2)::DOUBLE ELSE af END
+  FROM (SELECT w.*, k.trend, k.ep, k.af, CASE WHEN k.trend = 1 THEN least(k.sar + k.af * (k.ep - k.sar), w.pl, w.pl2)
+          ELSE greatest(k.sar + k.af * (k.ep - k.sar), w.ph, w.ph2) END AS s
+        FROM k JOIN w ON w.symbol = k.symbol AND w.rn = k.rn + 1))
+SELECT symbol, ts, CASE WHEN rn > 1 THEN {R('sar')} END AS psar FROM k""")
+def _psar(t):
+    from quotemill.operators.scans import parabolic_sar
+
+    return rounded(parabolic_sar(t.bars, BAR_SERIES).select("symbol", "ts", "psar"))
+
+
+@query("supertrend", f"""WITH RECURSIVE {BASE}, s AS (SELECT *, {seeded('tr', 7, 6)} AS x FROM d),
+a AS (SELECT *, {fold('x', 1 / 7, 6)} AS atr FROM s),
+w AS MATERIALIZED (SELECT symbol, ts, rn, close, pc, (high + low) / 2 + 3 * atr AS up, (high + low) / 2 - 3 * atr AS lo FROM a),
+k AS (SELECT symbol, ts, rn, 1 AS trend, up AS fu, lo AS fl FROM w WHERE rn = 7
+  UNION ALL
+  SELECT w.symbol, w.ts, w.rn, CASE WHEN w.close > k.fu THEN 1 WHEN w.close < k.fl THEN -1 ELSE k.trend END,
+    CASE WHEN w.up < k.fu OR w.pc > k.fu THEN w.up ELSE k.fu END,
+    CASE WHEN w.lo > k.fl OR w.pc < k.fl THEN w.lo ELSE k.fl END
+  FROM k JOIN w ON w.symbol = k.symbol AND w.rn = k.rn + 1)
+SELECT b.symbol, b.ts, {R('CASE WHEN trend = 1 THEN fl ELSE fu END')} AS supertrend, CAST(trend AS DOUBLE) AS supertrend_direction
+FROM bars b LEFT JOIN k USING (symbol, ts)""")
+def _supertrend(t):
+    from quotemill.operators.scans import supertrend
+
+    out = supertrend(t.bars, BAR_SERIES).select("symbol", "ts", "supertrend", "supertrend_direction")
+    return rounded(out, 6, "supertrend")
+
+
+def _bar_names_sql() -> str:
+    shape = {"o": "open", "h": "high", "l": "low", "c": "close", "b": "close - open", "ab": "abs(close - open)",
+             "r": "high - low", "us": "high - greatest(open, close)", "ls": "least(open, close) - low",
+             "top": "greatest(open, close)", "bot": "least(open, close)"}
+    zero = ", ".join(f"{e} AS {x}0" for x, e in shape.items())
+    past = ", ".join(f"lag({x}0, {k}) OVER ({BW}) AS {x}{k}" for x in [*shape, "ma"] for k in range(1, 5))
+    return f""", n0 AS (SELECT *, {zero} FROM bars), n1 AS (SELECT *, avg(ab0) OVER ({BW} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS ma0 FROM n0),
+n2 AS (SELECT *, {past} FROM n1)"""
+
+
+def _register_patterns():
+    from quotemill.operators.patterns import PATTERNS, pattern, value_sql
+
+    cols = [f"cdl_{n}" for n in PATTERNS]
+
+    @query("candlestick_patterns", f"WITH {BARS}{_bar_names_sql()} SELECT symbol, ts, "
+           + ", ".join(f"{value_sql(n)} AS cdl_{n}" for n in PATTERNS) + " FROM n2")
+    def _patterns(t):
+        p = Panel(t.bars, BAR_SERIES)
+        for n in PATTERNS:
+            pattern(p, n)
+        return p.done().select("symbol", "ts", *cols)
+
+
+_register_patterns()
+
+
+@query("reduced_indicator_set", steps(
+    {"returns": "close / pc - 1", "ef": ema("close", 12), "es": ema("close", 26), "bb_middle": r("avg", "close", 20),
+     "sd": r("stddev_samp", "close", 20), "po": f"lag(open) OVER ({BW})"}
+    | {f"sma_{n}": r("avg", "close", n) for n in (5, 10, 20, 50, 100, 200)}
+    | {f"ema_{n}": ema("close", n) for n in (5, 10, 20, 50, 100, 200)}
+    | {"rsi_14": f"100 - 100 / (1 + {r('avg', 'gain', 14)} / ({r('avg', 'loss', 14)} + 1e-10))",
+       "volume_ma_20": r("avg", "volume", 20), "atr_14": r("avg", "tr", 14)},
+    {"macd": "ef - es"}, {"macd_signal": ema("macd", 9), "bb_width": "4 * sd / nullif(bb_middle, 0)"}).format(
+    out="symbol, ts, " + ", ".join(f"{R(x)} AS {x}" for x in (
+        "returns", *[f"{k}_{n}" for n in (5, 10, 20, 50, 100, 200) for k in ("sma", "ema")], "rsi_14", "macd", "macd_signal",
+        "bb_width", "volume_ma_20", "atr_14")) + ", coalesce(abs(open - close) / nullif(high - low, 0) < 0.1, false) AS doji, "
+    "CASE WHEN pc < po AND close > open AND close >= po AND open <= pc AND abs(close - open) > abs(pc - po) THEN 100 "
+    "WHEN pc > po AND close < open AND close <= po AND open >= pc AND abs(close - open) > abs(pc - po) THEN -100 ELSE 0 END AS cdl_engulfing"))
+def _fallback(t):
+    p = Panel(t.bars, BAR_SERIES)
+    I.fallback_panel(p)
+    nums = [f"{k}_{n}" for n in (5, 10, 20, 50, 100, 200) for k in ("sma", "ema")]
+    nums = ["returns", *nums, "rsi_14", "macd", "macd_signal", "bb_width", "volume_ma_20", "atr_14"]
+    return rounded(p.done().select("symbol", "ts", *nums, "doji", "cdl_engulfing"), 6, *nums)
+
+
+@query("baseline_feature_set")
+def _baseline(t):
+    return rounded(I.baseline_features(t.bars, BAR_SERIES))
+
+
+@query("all_indicators")
+def _all(t):
+    return rounded(I.all_indicators(t.bars, BAR_SERIES))
