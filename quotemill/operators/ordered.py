@@ -47,6 +47,12 @@ class Series:
         return replace(self, **kw)
 
 
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row aggregate on every row."""
+    one = F.broadcast(one_row.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+
+
 def slice_count(df: DataFrame, wanted: int | None = None) -> int:
     if wanted:
         return wanted
@@ -333,7 +339,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
     ranked = running_totals(counted.agg(F.count(F.lit(1)).alias("n")), "_v", ["n"], keys)
     sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = ranked.join(sizes, keys) if keys else ranked.crossJoin(F.broadcast(sizes))
+    ranked = ranked.join(sizes, keys) if keys else attach(ranked, sizes)
     aggs = []
     for p, name in zip(probs, names):
         h = (F.col("_size") - 1) * F.lit(float(p))

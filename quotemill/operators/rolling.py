@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.operators.ordered import Panel, Series, cumulative, index_rows, islands, quantiles, running_totals
+from quotemill.operators.ordered import Panel, Series, attach, cumulative, index_rows, islands, quantiles
 
 ANNUAL = 252
 
@@ -269,10 +269,7 @@ def volume_by_price_quantile(df: DataFrame, n: int = 20, price: str = "close", v
     probs = [k / n for k in range(1, n)]
     names = [f"_q{k}" for k in range(1, n)]
     edges = quantiles(df, price, probs, keys, names)
-    if keys:
-        tagged = df.join(edges, keys)
-    else:
-        tagged = df.crossJoin(F.broadcast(edges))
+    tagged = df.join(edges, keys) if keys else attach(df, edges)
     bucket = sum((F.when(c(price) > c(q) + 1e-9, 1).otherwise(0) for q in names), F.lit(0))
     tagged = tagged.withColumn("_bucket", bucket).drop(*names)
     sums = tagged.groupBy(*keys, "_bucket").agg(F.sum(volume).alias("poc"))

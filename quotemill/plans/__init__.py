@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "rolling", "indicator")
+MODULES = ("bars", "rolling", "indicator", "table")
 
 
 def load_all() -> None:

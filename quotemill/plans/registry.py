@@ -54,7 +54,9 @@ def query(name: str, sql: str | None = None):
     def register(fn: Plan) -> Plan:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, path: fn(Tables(spark, path))
+        run = lambda spark, path: fn(Tables(spark, path))
+        run.module = fn.__module__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
