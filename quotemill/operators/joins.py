@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.ordered import Series, cumulative, index_rows
-from quotemill.session import materialize
+from quotemill.session import materialize, plain
 
 
 def _both(left: DataFrame, right: DataFrame, s: Series, right_first: bool, payload: Column) -> DataFrame:
@@ -76,7 +76,7 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
                 at -= 1
             k = bisect_right(stack_v, limit) - 1
             hits.append(stack_i[k] if k >= 0 else None)
-        return right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64"))
+        return plain(right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64")))
 
     def ask(p: DataFrame) -> DataFrame:
         return rows.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(search, out_schema)
@@ -116,24 +116,43 @@ def first_trigger(orders: DataFrame, quotes: DataFrame, s: Series, order_id: str
             .select(*keys, F.col("_id").alias(order_id), F.col(s.ts).alias("trigger_ts"), (F.col("_v") * sign).alias("trigger_value")))
 
 
+# Which quote each order kind watches, and the sign that turns its test into "value <= level".
+TRIGGER_LINES = {
+    ("limit", "buy"): ("ask", 1.0),
+    ("limit", "sell"): ("bid", -1.0),
+    ("stop", "buy"): ("ask", -1.0),
+    ("stop", "sell"): ("bid", 1.0),
+}
+
+
 def order_triggers(orders: DataFrame, quotes: DataFrame, s: Series) -> DataFrame:
     """Limit, stop and stop-limit orders against quotes (bid, ask): the first quote that executes each.
 
     Orders carry order_id, type, side, price and stop_price.  A buy executes on the ask, a sell on the bid; a
-    stop-limit order becomes a limit order at the time its stop triggers.
+    stop-limit order becomes a limit order at the time its stop triggers.  Every quote becomes one row per line
+    (ask or bid, rising or falling), so all orders are answered by two searches.
     """
-    def part(kind: str, side: str) -> DataFrame:
-        return orders.filter((F.col("type") == kind) & (F.col("side") == side))
-
-    done = []
-    for side, value, below in (("buy", F.col("ask"), True), ("sell", F.col("bid"), False)):
-        done.append(first_trigger(part("limit", side), quotes, s, "order_id", "price", value, below))
-        done.append(first_trigger(part("stop", side), quotes, s, "order_id", "stop_price", value, not below))
-        held = part("stop_limit", side)
-        armed = first_trigger(held, quotes, s, "order_id", "stop_price", value, not below)
-        live = held.drop(s.ts).join(armed.select("order_id", F.col("trigger_ts").alias(s.ts)), "order_id")
-        done.append(first_trigger(live, quotes, s, "order_id", "price", value, below))
-    return reduce(DataFrame.unionByName, done)
+    lines = {key: k for k, key in enumerate(TRIGGER_LINES)}
+    q = quotes.select(*s.keys, s.ts, *s.tie, F.explode(F.array(*[
+        F.struct(F.lit(lines[key]).alias("_line"), (F.col(col) * sign).alias("_value"))
+        for key, (col, sign) in TRIGGER_LINES.items()])).alias("_x")).select(*s.keys, s.ts, *s.tie, "_x.*")
+    q = materialize(q, "trigger-lines")
+    by = s.with_(keys=(*s.keys, "_line"))
+    orders = materialize(orders, "trigger-orders")
+
+    def watch(df: DataFrame, kind: str, level: str) -> DataFrame:
+        buy = F.col("side") == "buy"
+        line = F.when(buy, lines[(kind, "buy")]).otherwise(lines[(kind, "sell")])
+        sign = F.when(buy, TRIGGER_LINES[(kind, "buy")][1]).otherwise(TRIGGER_LINES[(kind, "sell")][1])
+        return df.withColumns({"_line": line, "_level": F.col(level) * sign})
+
+    held = orders.filter("type = 'stop_limit'")
+    first = watch(orders.filter("type = 'limit'"), "limit", "price").unionByName(
+        watch(orders.filter("type != 'limit'"), "stop", "stop_price"))
+    hits = materialize(first_trigger(first, q, by, "order_id", "_level", F.col("_value")).drop("_line", "trigger_value"), "trigger-hits")
+    live = held.drop(s.ts).join(hits.select("order_id", F.col("trigger_ts").alias(s.ts)), "order_id")
+    armed = first_trigger(watch(live, "limit", "price"), q, by, "order_id", "_level", F.col("_value")).drop("_line", "trigger_value")
+    return hits.join(held.select("order_id"), "order_id", "left_anti").unionByName(armed)
 
 
 def venue_match(quotes: DataFrame, span: str, max_gap_ms: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.ordered import Panel, Series, index_rows
-from quotemill.session import materialize
+from quotemill.session import materialize, plain
 
 # step(columns, state or None) -> (output columns, end state)
 Step = Callable[[dict[str, np.ndarray], "list[float] | None"], "tuple[dict[str, np.ndarray], list[float]]"]
@@ -35,7 +35,7 @@ def state_scan(df: DataFrame, s: Series, cols: Sequence[str], step: Step, outs:
         return {c: pdf[c].to_numpy() for c in cols}
 
     def bound(pdf: pd.DataFrame, start, end) -> pd.DataFrame:
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_start": [start], "_end": [end]})
+        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_start": [start], "_end": [end]}))
 
     def guess(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
@@ -73,7 +73,7 @@ def state_scan(df: DataFrame, s: Series, cols: Sequence[str], step: Step, outs:
         left = left.sort_values("_i")
         start = right["_start"].iloc[0]
         got, _ = step(arrays(left), None if start is None else list(start))
-        return left[[*ids, *cols]].assign(**{o: got[o] for o in outs})
+        return plain(left[[*ids, *cols]].assign(**{o: got[o] for o in outs}))
 
     return rows.groupBy(*by).cogroup(bounds.groupBy(*by)).applyInPandas(run, out_schema)
 
@@ -146,3 +146,55 @@ def supertrend(df: DataFrame, s: Series, n: int = 7, k: float = 3.0) -> DataFram
     out = state_scan(p.done(keep_index=True), s, ["close", "_upper", "_lower"], _supertrend_step,
                      ["supertrend", "supertrend_direction"], indexed=True).drop("_upper", "_lower")
     return out.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("supertrend", "supertrend_direction")})
+
+
+def affine_scan(df: DataFrame, s: Series, a: str, u: str, out: str, indexed: bool = False) -> DataFrame:
+    """y = a y' + u with coefficients per row, y = 0 before the first row.
+
+    A block folds to one pair (product of a, value from zero); the pairs form a shorter series of the same
+    kind, scanned by the same function, and each block then replays from the value its predecessor ends with.
+    """
+    keys, b = list(s.keys), s.block_rows
+    df = df if indexed else index_rows(df, s)
+    rows = materialize(df.withColumn("_block", F.floor(F.col("_i") / b)), "affine-rows")
+    by = [*keys, "_block"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ids = ", ".join(f"`{k}` {types[k]}" for k in by)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        decay, value = 1.0, 0.0
+        for x, y in zip(pdf[a].tolist(), pdf[u].tolist()):
+            decay, value = decay * x, value * x + y
+        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_a": [decay], "_u": [value]}))
+
+    folded = rows.select(*by, "_i", a, u).groupBy(*by).applyInPandas(fold, f"{ids}, _a double, _u double")
+    folded = materialize(folded, "affine-blocks").withColumnRenamed("_block", "_i")
+    blocks = folded.agg(F.max("_i")).first()[0] or 0
+    if blocks >= b:
+        ends = affine_scan(folded, s, "_a", "_u", "_y", indexed=True)
+    else:
+        def ends_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_i")
+            y, ys = 0.0, []
+            for x, v in zip(pdf["_a"].tolist(), pdf["_u"].tolist()):
+                y = x * y + v
+                ys.append(y)
+            return plain(pdf[[*keys, "_i"]].assign(_y=ys))
+
+        ends = folded.groupBy(*keys).applyInPandas(ends_of, ids.replace("_block", "_i") + ", _y double")
+    carry = ends.select(*keys, (F.col("_i") + 1).alias("_block"), F.col("_y").alias("_carry"))
+    joined = rows.join(carry, by, "left")
+    names = [f.name for f in rows.schema.fields if f.name != "_block"]
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names) + f", {out} double"
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        y = pdf["_carry"].iloc[0]
+        y, ys = (0.0 if pd.isna(y) else float(y)), []
+        for x, v in zip(pdf[a].tolist(), pdf[u].tolist()):
+            y = x * y + v
+            ys.append(y)
+        return plain(pdf[names].assign(**{out: ys}))
+
+    return joined.groupBy(*by).applyInPandas(replay, schema)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "rolling", "indicator", "table")
+MODULES = ("bars", "rolling", "indicator", "table", "aggregate", "micro", "risk")
 
 
 def load_all() -> None:
