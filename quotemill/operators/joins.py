@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.ordered import Series, cumulative, index_rows
-from quotemill.session import materialize, plain
+from quotemill.session import materialize
 
 
 def _both(left: DataFrame, right: DataFrame, s: Series, right_first: bool, payload: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Running minima seen from a position form a sorted stack; each probe is one binary search in it."""
         if right.empty:
-            return pd.DataFrame({c: [] for c in [*by, "_id", "_limit", "_hit"]})
+            return pd.DataFrame()
         left = left.sort_values("_i")
         pos, val = left["_i"].tolist(), left["_v"].tolist()
         right = right.sort_values("_from", ascending=False)
@@ -76,7 +76,7 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
                 at -= 1
             k = bisect_right(stack_v, limit) - 1
             hits.append(stack_i[k] if k >= 0 else None)
-        return plain(right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64")))
+        return right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64"))
 
     def ask(p: DataFrame) -> DataFrame:
         return rows.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(search, out_schema)

@@ -256,9 +256,11 @@ def cumulative(df: DataFrame, s: Series, cols: dict[str, tuple[str, str]], index
     keys, b = list(s.keys), s.block_rows
     df = (df if indexed else index_rows(df, s)).withColumn("_block", F.floor(F.col("_i") / b))
     here = Window.partitionBy(*keys, "_block").orderBy("_i")
-    upto, onward = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(0, Window.unboundedFollowing)
-    blocks = Window.partitionBy(*keys).orderBy("_block")
-    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Frames open towards the end cost a pass per row, so looking ahead is looking back in reverse order.
+    onward = Window.partitionBy(*keys, "_block").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     local, totals, carries, final = {}, [], [], {}
     for out, (kind, c) in cols.items():
         col, tot, inn, car = F.col(c), f"_t_{out}", f"_l_{out}", f"_c_{out}"
@@ -278,9 +280,9 @@ def cumulative(df: DataFrame, s: Series, cols: dict[str, tuple[str, str]], index
             carries.append(F.last(tot, ignorenulls=True).over(earlier).alias(car))
             final[out] = F.coalesce(F.col(inn), F.col(car))
         elif kind == "next":
-            local[inn] = F.first(col, ignorenulls=True).over(onward)
+            local[inn] = F.last(col, ignorenulls=True).over(onward)
             totals.append(F.min_by(col, F.when(col.isNotNull(), F.col("_i"))).alias(tot))
-            carries.append(F.first(tot, ignorenulls=True).over(later).alias(car))
+            carries.append(F.last(tot, ignorenulls=True).over(later).alias(car))
             final[out] = F.coalesce(F.col(inn), F.col(car))
         else:
             raise ValueError(f"unknown running value {kind!r}")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.ordered import Panel, Series, index_rows
-from quotemill.session import materialize, plain
+from quotemill.session import materialize
 
 # step(columns, state or None) -> (output columns, end state)
 Step = Callable[[dict[str, np.ndarray], "list[float] | None"], "tuple[dict[str, np.ndarray], list[float]]"]
@@ -35,13 +35,13 @@ def state_scan(df: DataFrame, s: Series, cols: Sequence[str], step: Step, outs:
         return {c: pdf[c].to_numpy() for c in cols}
 
     def bound(pdf: pd.DataFrame, start, end) -> pd.DataFrame:
-        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_start": [start], "_end": [end]}))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_start": [start], "_end": [end]})
 
     def guess(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         own = pdf["_own"].to_numpy()
         if not own.any():
-            return pd.DataFrame({c: [] for c in [*by, "_start", "_end"]})
+            return pd.DataFrame()
         start = step(arrays(pdf[~own]), None)[1] if (~own).any() else None
         return bound(pdf, start, step(arrays(pdf[own]), start)[1])
 
@@ -59,7 +59,7 @@ def state_scan(df: DataFrame, s: Series, cols: Sequence[str], step: Step, outs:
 
         def redo(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if right.empty:
-                return pd.DataFrame({c: [] for c in [*by, "_start", "_end"]})
+                return pd.DataFrame()
             start = list(right["_given"].iloc[0])
             return bound(right, start, step(arrays(left.sort_values("_i")), start)[1])
 
@@ -73,7 +73,7 @@ def state_scan(df: DataFrame, s: Series, cols: Sequence[str], step: Step, outs:
         left = left.sort_values("_i")
         start = right["_start"].iloc[0]
         got, _ = step(arrays(left), None if start is None else list(start))
-        return plain(left[[*ids, *cols]].assign(**{o: got[o] for o in outs}))
+        return left[[*ids, *cols]].assign(**{o: got[o] for o in outs})
 
     return rows.groupBy(*by).cogroup(bounds.groupBy(*by)).applyInPandas(run, out_schema)
 
@@ -166,7 +166,7 @@ def affine_scan(df: DataFrame, s: Series, a: str, u: str, out: str, indexed: boo
         decay, value = 1.0, 0.0
         for x, y in zip(pdf[a].tolist(), pdf[u].tolist()):
             decay, value = decay * x, value * x + y
-        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_a": [decay], "_u": [value]}))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "_a": [decay], "_u": [value]})
 
     folded = rows.select(*by, "_i", a, u).groupBy(*by).applyInPandas(fold, f"{ids}, _a double, _u double")
     folded = materialize(folded, "affine-blocks").withColumnRenamed("_block", "_i")
@@ -180,7 +180,7 @@ def affine_scan(df: DataFrame, s: Series, a: str, u: str, out: str, indexed: boo
             for x, v in zip(pdf["_a"].tolist(), pdf["_u"].tolist()):
                 y = x * y + v
                 ys.append(y)
-            return plain(pdf[[*keys, "_i"]].assign(_y=ys))
+            return pdf[[*keys, "_i"]].assign(_y=ys)
 
         ends = folded.groupBy(*keys).applyInPandas(ends_of, ids.replace("_block", "_i") + ", _y double")
     carry = ends.select(*keys, (F.col("_i") + 1).alias("_block"), F.col("_y").alias("_carry"))
@@ -195,6 +195,6 @@ def affine_scan(df: DataFrame, s: Series, a: str, u: str, out: str, indexed: boo
         for x, v in zip(pdf[a].tolist(), pdf[u].tolist()):
             y = x * y + v
             ys.append(y)
-        return plain(pdf[names].assign(**{out: ys}))
+        return pdf[names].assign(**{out: ys})
 
     return joined.groupBy(*by).applyInPandas(replay, schema)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,8 +46,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def plain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Text columns as Python objects: a group of several Arrow batches has chunked text, which cannot go back."""
-    text = {c: object for c in pdf.columns if isinstance(pdf[c].dtype, pd.StringDtype)}
-    return pdf.astype(text) if text else pdf
