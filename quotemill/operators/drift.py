@@ -1 +1,401 @@
-"""placeholder"""
+"""Distribution drift between a reference and a current sample, one result row per feature.
+
+Order statistics (KS, Wasserstein, Mann-Whitney, energy, Anderson-Darling) come from one table of distinct
+values with running counts of both samples; binned measures from one shared histogram; tests of means from
+plain aggregates.  p-values are closed forms on the result rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quotemill.functions.special import binomial_upper, chi2_sf, ks_p, normal_two_sided, on_rows, t_two_sided
+from quotemill.operators.joins import category_counts
+from quotemill.operators.ordered import Series, attach, quantiles, running_totals
+from quotemill.operators.rolling import newest_per_key
+from quotemill.operators.stats import bin_index
+
+EPS = 1e-10
+c = F.col
+
+# P-value bounds and their severities, index bounds of the stability index.
+SEVERITY_BANDS = ((0.001, "critical"), (0.01, "high"), (0.05, "medium"), (0.1, "low"))
+STABILITY_BANDS = ((0.2, "significant"), (0.1, "moderate"))
+
+
+def long_form(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, r, c): one row per feature and record; nulls are left out."""
+    def side(df: DataFrame, r: int) -> DataFrame:
+        cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
+        return df.select(cells.alias("x")).select("x.*", F.lit(r).alias("r"), F.lit(1 - r).alias("c")).filter("value IS NOT NULL")
+
+    return side(ref, 1).unionByName(side(cur, 0))
+
+
+def merged_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Distinct values with counts and running counts of both samples, plus the sample sizes N and M."""
+    counts = long_form(ref, cur, features).groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"))
+    return running_totals(counts, "value", ["n_ref", "n_cur"], ["feature"]).join(F.broadcast(totals), "feature")
+
+
+def order_statistics(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """KS, Wasserstein-1, Mann-Whitney U with tie-corrected z, energy and Anderson-Darling statistics per feature."""
+    m = merged_counts(ref, cur, features)
+    f1, f2, step = c("cum_n_ref") / c("N"), c("cum_n_cur") / c("M"), F.coalesce(c("next_value") - c("value"), F.lit(0.0))
+    t = (c("n_ref") + c("n_cur")).cast("double")
+    seen, total = (c("cum_n_ref") + c("cum_n_cur")).cast("double"), (c("N") + c("M")).cast("double")
+    def ad(cum: str, n: str) -> Column:
+        return F.when(seen < total, t * F.pow(total * c(cum) - c(n) * seen, F.lit(2.0)) / (seen * (total - seen))).otherwise(0.0) / c(n)
+
+    out = m.groupBy("feature").agg(
+        F.max(F.abs(f1 - f2)).alias("ks"), F.sum(F.abs(f1 - f2) * step).alias("wasserstein"),
+        F.sqrt(2 * F.sum((f1 - f2) * (f1 - f2) * step)).alias("energy"),
+        (F.sum(ad("cum_n_ref", "N") + ad("cum_n_cur", "M")) / F.max(total)).alias("anderson"),
+        F.sum(c("n_ref") * (c("cum_n_cur") - c("n_cur") / 2)).alias("u"), F.sum(t * t * t - t).alias("_ties"),
+        F.max(c("N").cast("double")).alias("n"), F.max(c("M").cast("double")).alias("m"))
+    size = c("n") + c("m")
+    sd = F.sqrt(c("n") * c("m") / 12 * ((size + 1) - c("_ties") / (size * (size - 1))))
+    return out.withColumn("u_z", F.try_divide(c("u") - c("n") * c("m") / 2, sd)).drop("_ties")
+
+
+def ks_test(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    s = order_statistics(ref, cur, features).select("feature", c("ks").alias("statistic"), "n", "m")
+    s = s.withColumn("p_value", on_rows(ks_p, "statistic", "n", "m"))
+    return s.withColumn("drift", c("p_value") < alpha)
+
+
+def mann_whitney(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    s = order_statistics(ref, cur, features).select("feature", c("u").alias("statistic"), "u_z")
+    s = s.withColumn("p_value", on_rows(normal_two_sided, "u_z"))
+    return s.withColumn("drift", c("p_value") < alpha)
+
+
+# -- binned ----------------------------------------------------------------------------------------------
+
+
+def shared_histogram(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+    """Equal-width bins over the joint range; every bin of every feature is present."""
+    cells = long_form(ref, cur, features)
+    limits = cells.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    counts = cells.join(F.broadcast(limits), "feature").groupBy("feature", bin_index("value", bins).alias("bin")).agg(
+        F.sum("r").alias("_r"), F.sum("c").alias("_c"))
+    grid = limits.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", F.coalesce("_r", F.lit(0)).alias("n_ref"), F.coalesce("_c", F.lit(0)).alias("n_cur"))
+
+
+def binned_measures(hist: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
+    """Jensen-Shannon divergence and distance, KL divergence, population stability index, chi-squared and its dof."""
+    keys = list(keys)
+    totals = hist.groupBy(*keys).agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"))
+    h = hist.join(totals, keys)
+    p, q = c("n_ref") / c("N") + EPS, c("n_cur") / c("M") + EPS
+    h = h.withColumns({"_p": p, "_q": q}).withColumn("_m", (c("_p") + c("_q")) / 2)
+    both, size = (c("n_ref") + c("n_cur")).cast("double"), (c("N") + c("M")).cast("double")
+    er, ec = both * c("N") / size, both * c("M") / size
+    chi = F.when(both > 0, F.pow(c("n_ref") - er, F.lit(2.0)) / er + F.pow(c("n_cur") - ec, F.lit(2.0)) / ec).otherwise(0.0)
+    js = (F.sum(c("_p") * F.log(c("_p") / c("_m"))) + F.sum(c("_q") * F.log(c("_q") / c("_m")))) / 2
+    return h.groupBy(*keys).agg(
+        js.alias("js_divergence"), F.sqrt(F.greatest(js, F.lit(0.0))).alias("js_distance"),
+        F.sum(c("_p") * F.log(c("_p") / c("_q"))).alias("kl"), F.sum((c("_p") - c("_q")) * F.log(c("_p") / c("_q"))).alias("psi"),
+        F.sum(chi).alias("chi2"), (F.count_if(both > 0) - 1).alias("dof"))
+
+
+def stability_band(psi: str = "psi") -> Column:
+    out = F.lit("stable")
+    for bound, name in reversed(STABILITY_BANDS):
+        out = F.when(c(psi) >= bound, name).otherwise(out)
+    return out
+
+
+def chi_squared(measures: DataFrame, alpha: float = 0.05) -> DataFrame:
+    s = measures.withColumn("p_value", on_rows(chi2_sf, "chi2", c("dof").cast("double")))
+    return s.withColumn("drift", c("p_value") < alpha)
+
+
+def category_measures(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The binned measures with categories as bins."""
+    parts = None
+    for f in features:
+        h = category_counts(ref, cur, f).withColumn("feature", F.lit(f))
+        parts = h if parts is None else parts.unionByName(h)
+    return binned_measures(parts)
+
+
+def goodness_of_fit(ref: DataFrame, cur: DataFrame, col: str, alpha: float = 0.05) -> DataFrame:
+    """Chi-squared of current counts against reference shares, over cells whose expected count is at least 5."""
+    h = category_counts(ref, cur, col)
+    h = attach(h, h.agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M")))
+    e = c("n_ref") / c("N") * c("M")
+    out = h.withColumn("_e", e).filter("_e >= 5").agg(
+        F.sum(F.pow(c("n_cur") - c("_e"), F.lit(2.0)) / c("_e")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
+    return chi_squared(out.withColumn("feature", F.lit(col)), alpha)
+
+
+# -- means -----------------------------------------------------------------------------------------------
+
+
+def mean_tests(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """z-test against the reference, Welch t, mean shift in reference deviations, deviation ratio."""
+    cells = long_form(ref, cur, features)
+    rv, cv = F.when(c("r") == 1, c("value")), F.when(c("c") == 1, c("value"))
+    s = cells.groupBy("feature").agg(
+        F.avg(rv).alias("mean_ref"), F.avg(cv).alias("mean_cur"), F.stddev_samp(rv).alias("std_ref"), F.stddev_samp(cv).alias("std_cur"),
+        F.count(rv).alias("n"), F.count(cv).alias("m"))
+    d = c("mean_cur") - c("mean_ref")
+    vr, vc = c("std_ref") * c("std_ref") / c("n"), c("std_cur") * c("std_cur") / c("m")
+    s = s.withColumns(
+        {
+            "z": F.try_divide(d, c("std_ref") / F.sqrt(c("m"))),
+            "t": F.try_divide(d, F.sqrt(vr + vc)),
+            "t_dof": F.try_divide((vr + vc) * (vr + vc), vr * vr / (c("n") - 1) + vc * vc / (c("m") - 1)),
+            "mean_shift": F.try_divide(F.abs(d), c("std_ref")),
+            "std_ratio": F.try_divide(c("std_cur"), c("std_ref")),
+        }
+    )
+    return s
+
+
+def mean_test_p(tests: DataFrame) -> DataFrame:
+    return tests.withColumns({"z_p": on_rows(normal_two_sided, "z"), "t_p": on_rows(t_two_sided, "t", "t_dof")})
+
+
+def severity(p: str | Column) -> Column:
+    col = c(p) if isinstance(p, str) else p
+    out = F.lit("none")
+    for bound, name in reversed(SEVERITY_BANDS):
+        out = F.when(col < bound, name).otherwise(out)
+    return out
+
+
+def overall(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
+    """Smallest p-value times the number of features, and its severity."""
+    a = tests.agg(F.least(F.min(p) * F.count(p), F.lit(1.0)).alias("p_value"), F.min_by("feature", p).alias("feature"))
+    return a.withColumns({"severity": severity("p_value"), "drift": c("p_value") < alpha})
+
+
+# -- multivariate ----------------------------------------------------------------------------------------
+
+
+def _moments(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector and covariance matrix from one aggregate of bounded width."""
+    aggs = [F.avg(x) for x in cols] + [F.covar_samp(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    row = [float(v) for v in df.dropna(subset=list(cols)).agg(*aggs).first()]
+    k, cov, values = len(cols), np.zeros((len(cols), len(cols))), iter(row[len(cols):])
+    for i in range(k):
+        for j in range(i, k):
+            cov[i, j] = cov[j, i] = next(values)
+    return np.array(row[:k]), cov
+
+
+def _squared_distance(cols: Sequence[str], mean: np.ndarray, inverse: np.ndarray) -> Column:
+    d = [c(x) - float(m) for x, m in zip(cols, mean)]
+    return sum((d[i] * d[j] * float(inverse[i, j]) for i in range(len(cols)) for j in range(len(cols))), F.lit(0.0))
+
+
+def mean_distance(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Mahalanobis distance between the two mean vectors under the reference covariance."""
+    mean, cov = _moments(ref, cols)
+    means = cur.agg(*[F.avg(x).alias(x) for x in cols])
+    return means.select(F.sqrt(_squared_distance(cols, mean, np.linalg.inv(cov))).alias("distance"))
+
+
+def outlier_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], percentile: float = 0.95) -> DataFrame:
+    """Share of current rows farther from the reference mean than the reference's own 95th percentile."""
+    mean, cov = _moments(ref, cols)
+    dist = F.sqrt(_squared_distance(cols, mean, np.linalg.inv(cov)))
+    limit = quantiles(ref.select(dist.alias("d")), "d", [percentile], names=["threshold"])
+    far = attach(cur.select(dist.alias("d")), limit)
+    return far.agg(F.max("threshold").alias("threshold"), F.avg((c("d") > c("threshold")).cast("double")).alias("ratio"),
+                   F.count_if(c("d") > c("threshold")).alias("outliers"), F.count("d").alias("rows"))
+
+
+def outlier_excess(ratios: DataFrame, expected: float = 0.05) -> DataFrame:
+    """Binomial tail of the number of outliers."""
+    return ratios.withColumn("p_value", on_rows(lambda k, n: binomial_upper(k, n, expected), c("outliers").cast("double"), c("rows").cast("double")))
+
+
+def _grow(x: np.ndarray, rng: np.random.Generator, depth: int):
+    """An isolation tree as nested tuples: (feature, cut, left, right) or the leaf's path-length correction."""
+    n = len(x)
+    spread = x.max(axis=0) > x.min(axis=0) if n else np.array([False])
+    if depth == 0 or n <= 1 or not spread.any():
+        return _average_path(n)
+    f = int(rng.choice(np.flatnonzero(spread)))
+    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
+    left = x[:, f] < cut
+    return f, cut, _grow(x[left], rng, depth - 1), _grow(x[~left], rng, depth - 1)
+
+
+def _average_path(n: int) -> float:
+    if n <= 1:
+        return 0.0
+    return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+
+def _path_lengths(tree, x: np.ndarray, rows: np.ndarray, depth: int, out: np.ndarray) -> None:
+    if not isinstance(tree, tuple):
+        out[rows] += depth + tree
+        return
+    f, cut, left, right = tree
+    go = x[rows, f] < cut
+    _path_lengths(left, x, rows[go], depth + 1, out)
+    _path_lengths(right, x, rows[~go], depth + 1, out)
+
+
+def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation-forest score in (0, 1) per row of ``df``.
+
+    Trees grow on small samples of the reference (a bounded number of rows, picked by hash order); scoring is a
+    pass over Arrow batches with the trees shipped to the tasks.
+    """
+    cols = list(cols)
+    picked = ref.select(*[c(x).cast("double") for x in cols]).dropna()
+    picked = picked.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(trees * sample // 4).toPandas().to_numpy()
+    rng = np.random.default_rng(seed)
+    take = min(sample, len(picked))
+    depth = max(1, math.ceil(math.log2(max(take, 2))))
+    forest = [_grow(picked[rng.choice(len(picked), take, replace=False)], rng, depth) for _ in range(trees)]
+    norm = _average_path(take) or 1.0
+    shipped = df.sparkSession.sparkContext.broadcast(forest)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", anomaly_score double"
+
+    def score(batches):
+        for b in batches:
+            x = b[cols].to_numpy(dtype="float64")
+            total = np.zeros(len(x))
+            for tree in shipped.value:
+                _path_lengths(tree, x, np.arange(len(x)), 0, total)
+            yield b.assign(anomaly_score=np.power(2.0, -total / len(shipped.value) / norm))
+
+    return df.mapInPandas(score, schema)
+
+
+def anomaly_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], contamination: float = 0.05, **kw) -> DataFrame:
+    """Share of current rows scoring above the reference's own (1 - contamination) quantile."""
+    both = ref.select(*cols, F.lit(0).alias("is_current")).unionByName(cur.select(*cols, F.lit(1).alias("is_current")))
+    scored = isolation_scores(ref, both, cols, **kw)
+    limit = quantiles(scored.filter("is_current = 0"), "anomaly_score", [1 - contamination], names=["threshold"])
+    return attach(scored.filter("is_current = 1"), limit).agg(
+        F.avg((c("anomaly_score") > c("threshold")).cast("double")).alias("ratio"),
+        F.count_if(c("anomaly_score") > c("threshold")).alias("outliers"), F.count(F.lit(1)).alias("rows"))
+
+
+def domain_classifier(ref: DataFrame, cur: DataFrame, cols: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
+    """Cross-validated accuracy of telling current from reference rows; 0.5 means no difference."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    data = ref.select(*cols, F.lit(0.0).alias("label")).unionByName(cur.select(*cols, F.lit(1.0).alias("label"))).dropna()
+    rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), rf])
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=seed,
+                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
+    accuracy = float(cv.fit(data).avgMetrics[0])
+    return ref.sparkSession.createDataFrame([(accuracy, accuracy > 0.6)], "accuracy double, drift boolean")
+
+
+def accuracy_drop(ref: DataFrame, cur: DataFrame, cols: Sequence[str], label: str, limit: float = 0.1, seed: int = 42) -> DataFrame:
+    """Fit on the reference, score both samples; drift when accuracy falls by more than the limit."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    pipe = Pipeline(stages=[
+        StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"),
+        VectorAssembler(inputCols=list(cols), outputCol="features"),
+        RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed)])
+    model = pipe.fit(ref.dropna(subset=list(cols)))
+    ev = MulticlassClassificationEvaluator(metricName="accuracy")
+    a, b = (float(ev.evaluate(model.transform(d.dropna(subset=list(cols))))) for d in (ref, cur))
+    return ref.sparkSession.createDataFrame([(a, b, a - b, a - b > limit)], "ref_accuracy double, cur_accuracy double, drop double, drift boolean")
+
+
+# -- reports ---------------------------------------------------------------------------------------------
+
+
+def infer_roles(df: DataFrame, unique_ratio: float = 0.05) -> DataFrame:
+    """numeric or categorical per column: text is categorical, and so is a number with few distinct values."""
+    numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wide = df.agg(*[F.struct(F.lit(n).alias("column"), (F.approx_count_distinct(n) / F.count(n)).alias("unique_ratio"),
+                             F.lit(t in numeric).alias("_num")).alias(f"_{k}") for k, (n, t) in enumerate(kinds.items())])
+    rows = wide.select(F.explode(F.array(*[f"_{k}" for k in range(len(kinds))])).alias("x")).select("x.*")
+    role = F.when(~c("_num") | (c("unique_ratio") < unique_ratio), "categorical").otherwise("numeric")
+    return rows.select("column", role.alias("role"))
+
+
+def choose_method(role: str, n: int) -> str:
+    """KS for numeric features (Wasserstein on very small samples), chi-squared for categories."""
+    if role == "categorical":
+        return "chi2"
+    return "ks" if n >= 30 else "wasserstein"
+
+
+def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Long table (feature, method, statistic, drift) over every applicable method."""
+    o = order_statistics(ref, cur, numeric)
+    o = o.withColumns({"ks_p": on_rows(ks_p, "ks", "n", "m"), "u_p": on_rows(normal_two_sided, "u_z")})
+    b = binned_measures(shared_histogram(ref, cur, numeric))
+    m = mean_test_p(mean_tests(ref, cur, numeric))
+
+    def rows(df: DataFrame, spec: dict[str, tuple[str, Column]]) -> DataFrame:
+        return df.select("feature", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("method"), c(s).cast("double").alias("statistic"), d.alias("drift")) for k, (s, d) in spec.items()])).alias("x")
+        ).select("feature", "x.*")
+
+    out = rows(o, {"ks": ("ks", c("ks_p") < alpha), "wasserstein": ("wasserstein", c("wasserstein") > 0.1), "mann_whitney": ("u", c("u_p") < alpha)})
+    out = out.unionByName(rows(b, {"js": ("js_distance", c("js_distance") > 0.1), "psi": ("psi", c("psi") >= 0.2), "kl": ("kl", c("kl") > 0.1)}))
+    out = out.unionByName(rows(m, {"welch": ("t", c("t_p") < alpha)}))
+    if categorical:
+        k = chi_squared(category_measures(ref, cur, categorical), alpha)
+        out = out.unionByName(rows(k, {"chi2": ("chi2", c("drift"))}))
+    return out
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """Methods run, methods that flag drift, and their share per feature."""
+    return report.groupBy("feature").agg(F.count(F.lit(1)).alias("methods"), F.count_if(c("drift")).alias("flags"),
+                                         F.avg(c("drift").cast("double")).alias("ratio"))
+
+
+def reference_window(history: DataFrame, s: Series, n: int) -> DataFrame:
+    """The newest n rows per feature, as the next reference."""
+    return newest_per_key(history, s, n)
+
+
+def sample_mmd(ref: DataFrame, cur: DataFrame, cols: Sequence[str], gamma: float = 1.0, points: int = 512, seed: int = 3) -> DataFrame:
+    """Kernel mean discrepancy with random Fourier features: distance of two mean feature vectors.
+
+    The kernel is approximated by ``points`` cosine features, so each sample is one pass and one aggregate.
+    """
+    cols = list(cols)
+    rng = np.random.default_rng(seed)
+    w = rng.normal(scale=math.sqrt(2 * gamma), size=(len(cols), points))
+    shift = rng.uniform(0, 2 * math.pi, points)
+    stats = ref.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).alias(x) for x in cols]).first()
+    mean, dev = np.array([float(stats[x]["m"]) for x in cols]), np.array([float(stats[x]["s"]) or 1.0 for x in cols])
+
+    def sums(batches):
+        for b in batches:
+            x = (b[cols].to_numpy(dtype="float64") - mean) / dev
+            z = math.sqrt(2.0 / points) * np.cos(x @ w + shift)
+            for side in (0, 1):
+                part = z[b["_side"].to_numpy() == side]
+                yield pd.DataFrame({"side": side, "k": np.arange(points), "total": part.sum(axis=0), "n": len(part)})
+
+    both = ref.select(*cols, F.lit(0).alias("_side")).unionByName(cur.select(*cols, F.lit(1).alias("_side"))).dropna()
+    parts = both.mapInPandas(sums, "side int, k int, total double, n long")
+    means = parts.groupBy("k").agg(*[(F.sum(F.when(c("side") == s, c("total"))) / F.sum(F.when(c("side") == s, c("n")))).alias(f"m{s}") for s in (0, 1)])
+    return means.agg(F.sqrt(F.sum(F.pow(c("m0") - c("m1"), F.lit(2.0)))).alias("mmd"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "rolling", "indicator", "table", "aggregate", "micro", "risk")
+MODULES = ("bars", "rolling", "indicator", "table", "aggregate", "micro", "risk", "drift", "quality")
 
 
 def load_all() -> None:
