@@ -289,7 +289,8 @@ def anomaly_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], contamina
 
 
 def domain_classifier(ref: DataFrame, cur: DataFrame, cols: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cross-validated accuracy of telling current from reference rows; 0.5 means no difference."""
+    """Cross-validated accuracy of telling current from reference rows; both sides weigh the same, so 0.5 means
+    no difference."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -297,10 +298,12 @@ def domain_classifier(ref: DataFrame, cur: DataFrame, cols: Sequence[str], folds
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     data = ref.select(*cols, F.lit(0.0).alias("label")).unionByName(cur.select(*cols, F.lit(1.0).alias("label"))).dropna()
-    rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed)
+    sizes = data.agg(F.count_if(c("label") == 0).alias("_a"), F.count_if(c("label") == 1).alias("_b"))
+    data = attach(data, sizes).withColumn("weight", 1.0 / F.when(c("label") == 0, c("_a")).otherwise(c("_b"))).drop("_a", "_b")
+    rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed, weightCol="weight")
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), rf])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=seed,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"))
+                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight"))
     accuracy = float(cv.fit(data).avgMetrics[0])
     return ref.sparkSession.createDataFrame([(accuracy, accuracy > 0.6)], "accuracy double, drift boolean")
 

@@ -110,11 +110,11 @@ def _kinds(t):
                            Q.status(F.col("o_orderstatus"), "categorical", ["O"], ["O", "F", "X"]).alias("category_status"))
 
 
-@query("default_metrics", "SELECT * FROM (VALUES ('completeness', 6), ('consistency', 2), ('timeliness', 1)) v(metric, columns)")
+@query("default_metrics", "SELECT metric, columns, (SELECT count(*) FROM orders) AS rows FROM (VALUES ('completeness', 6), ('consistency', 2), ('timeliness', 1)) v(metric, columns)")
 def _defaults(t):
     d = Q.default_metrics(t.orders)
-    rows = t.orders.select(F.lit(1)).limit(1)
-    return rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(len(v)).alias("columns")) for k, v in d.items()])).alias("x")).select("x.*")
+    size = t.orders.agg(F.count(F.lit(1)).alias("rows"))
+    return size.select("rows", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(len(v)).alias("columns")) for k, v in d.items()])).alias("x")).select("x.*", "rows")
 
 
 @query("missing_and_repeated", """WITH m AS (SELECT 'missing' AS metric, 'x' AS "column", count(*) FILTER (l_discount > 0.08) * 1.0 / count(*) AS value FROM lineitem
