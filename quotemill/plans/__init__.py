@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bars", "rolling", "indicator", "table", "aggregate", "micro", "risk", "drift", "quality", "stream")
+MODULES = ("bars", "rolling", "indicator", "table", "aggregate", "micro", "risk", "drift", "quality", "stream", "store")
 
 
 def load_all() -> None:
