@@ -38,8 +38,11 @@ class FeatureStore:
     def register(self, feature: str, version: int, description: str = "", value_type: str = "double",
                  tags: Sequence[str] = (), status: str = "draft", seq: int = 0) -> None:
         """Append one metadata record; the record with the highest seq of a (feature, version) counts."""
-        row = [(feature, version, status, description, value_type, list(tags), seq)]
-        self.spark.createDataFrame(row, METADATA).coalesce(1).write.mode("append").parquet(f"{self.root}/metadata")
+        self.register_all([(feature, version, status, description, value_type, list(tags), seq)])
+
+    def register_all(self, records: Sequence[tuple]) -> None:
+        """Append many records in one write; fields as in ``METADATA``."""
+        self.spark.createDataFrame(list(records), METADATA).coalesce(1).write.mode("append").parquet(f"{self.root}/metadata")
 
     def metadata(self) -> DataFrame:
         log = self.spark.read.schema(METADATA).parquet(f"{self.root}/metadata")
@@ -118,8 +121,8 @@ class FeatureStore:
         cond = c("feature") == feature
         if version is not None:
             cond = cond & (c("version") == version)
-        gone = self.metadata().filter(cond).select("version").toLocalIterator()
-        for row in list(gone):
-            self.register(feature, row["version"], status="deleted", seq=seq)
+        gone = [(feature, r["version"], "deleted", "", "double", [], seq) for r in self.metadata().filter(cond).select("version").toLocalIterator()]
+        if gone:
+            self.register_all(gone)
         folder = f"{self.root}/values/feature={feature}"
         return delete_where(self.spark, folder, F.lit(True) if version is None else c("version") == version, "version")

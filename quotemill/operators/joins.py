@@ -79,7 +79,12 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
         return right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64"))
 
     def ask(p: DataFrame) -> DataFrame:
-        return rows.groupBy(*by).cogroup(p.groupBy(*by)).applyInPandas(search, out_schema)
+        """Probes of one block are dealt out in chunks of about a block; only blocks with probes are read."""
+        chunks = p.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).alias("_chunks"))
+        dealt = p.join(chunks, by).withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.col("_chunks"))).drop("_chunks")
+        copies = rows.join(chunks, by).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)))
+        at = [*by, "_chunk"]
+        return copies.drop("_chunks").groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(search, out_schema)
 
     first = materialize(ask(probes.withColumn("_block", F.floor(F.col("_from") / block))), "probe-first")
     found = first.filter("_hit IS NOT NULL").select(*keys, "_id", "_hit")

@@ -134,6 +134,8 @@ class Panel:
         self.hidden: list[str] = []
         self.minis: set[int] = set()
         self.w = Window.partitionBy(*self.series.keys, "_block").orderBy("_i")
+        self.keys_sql = ", ".join(f"`{k}`" for k in self.series.keys)
+        self.order_sql = f"PARTITION BY {self.keys_sql}, _block ORDER BY _i"
 
     # -- bookkeeping ---------------------------------------------------------------------------------
     def add(self, out: str, col: Column, uses: Sequence[str] = (), back: int = 0, fwd: int = 0) -> str:
@@ -156,35 +158,40 @@ class Panel:
     def rows(self, n: int):
         return self.w.rowsBetween(-(n - 1), 0)
 
-    def full(self, c: str, n: int, value: Column, min_periods: int | None = None) -> Column:
-        need = n if min_periods is None else min_periods
-        return F.when(F.count(c).over(self.rows(n)) >= need, value)
+    def over(self, agg: str, n: int) -> str:
+        """SQL text of an aggregate over the last n rows."""
+        return f"{agg} OVER ({self.order_sql} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
     # -- window functions ----------------------------------------------------------------------------
+    # Written as SQL text: one parse is cheaper to build than a chain of column calls, and bundles have hundreds.
     def lag(self, out: str, c: str, k: int = 1) -> str:
-        return self.add(out, F.lag(c, k).over(self.w), [c], back=k)
+        return self.add(out, F.expr(f"lag(`{c}`, {k}) OVER ({self.order_sql})"), [c], back=k)
 
     def lead(self, out: str, c: str, k: int = 1) -> str:
-        return self.add(out, F.lead(c, k).over(self.w), [c], fwd=k)
+        return self.add(out, F.expr(f"lead(`{c}`, {k}) OVER ({self.order_sql})"), [c], fwd=k)
 
-    def roll(self, out: str, fn, c: str, n: int, min_periods: int | None = None) -> str:
-        """Any aggregate over the last n rows, null until the window holds enough non-null values."""
-        return self.add(out, self.full(c, n, fn(F.col(c)).over(self.rows(n)), min_periods), [c], back=n - 1)
+    def roll(self, out: str, agg: str, c: str, n: int, min_periods: int | None = None) -> str:
+        """Any SQL aggregate of ``{}`` over the last n rows, null until the window holds enough non-null values."""
+        if out in self.depth:
+            return out
+        need = n if min_periods is None else min_periods
+        value = self.over(agg.format(f"`{c}`"), n)
+        return self.add(out, F.expr(f"CASE WHEN {self.over(f'count(`{c}`)', n)} >= {need} THEN {value} END"), [c], back=n - 1)
 
     def mean(self, out: str, c: str, n: int, min_periods: int | None = None) -> str:
-        return self.roll(out, F.avg, c, n, min_periods)
+        return self.roll(out, "avg({})", c, n, min_periods)
 
     def total(self, out: str, c: str, n: int, min_periods: int | None = None) -> str:
-        return self.roll(out, F.sum, c, n, min_periods)
+        return self.roll(out, "sum({})", c, n, min_periods)
 
     def std(self, out: str, c: str, n: int, ddof: int = 1, min_periods: int | None = None) -> str:
-        return self.roll(out, F.stddev_samp if ddof else F.stddev_pop, c, n, min_periods)
+        return self.roll(out, "stddev_samp({})" if ddof else "stddev_pop({})", c, n, min_periods)
 
     def low(self, out: str, c: str, n: int, min_periods: int | None = None) -> str:
-        return self.roll(out, F.min, c, n, min_periods)
+        return self.roll(out, "min({})", c, n, min_periods)
 
     def high(self, out: str, c: str, n: int, min_periods: int | None = None) -> str:
-        return self.roll(out, F.max, c, n, min_periods)
+        return self.roll(out, "max({})", c, n, min_periods)
 
     # -- linear recurrences --------------------------------------------------------------------------
     def recur(self, out: str, u: str, decay: float, start: int = 0) -> str:
@@ -193,27 +200,26 @@ class Panel:
         Rows are cut into stretches long enough for a stretch to forget what came before the previous one.
         Inside a stretch y is a running sum of u / decay^j scaled back; the previous stretch adds one term.
         """
+        if out in self.depth:
+            return out
         m = memory_rows(decay)
         self.minis.add(m)
-        j, mini = F.col(f"_j{m}"), f"_m{m}"
-        inner = Window.partitionBy(*self.series.keys, "_block", mini).orderBy("_i")
-        inner = inner.rowsBetween(Window.unboundedPreceding, 0)
-        part = self.temp(
-            f"_z_{out}", F.pow(F.lit(decay), j) * F.sum(F.col(u) * F.pow(F.lit(decay), -j)).over(inner), [u], back=m
-        )
-        before = self.w.rowsBetween(Window.unboundedPreceding, -1)
-        tail = F.last(F.when(j == m - 1, F.col(part)), ignorenulls=True).over(before)
-        y = F.col(part) + F.coalesce(tail * F.pow(F.lit(decay), j + 1), F.lit(0.0))
-        return self.add(out, F.when(F.col("_i") >= start, y), [part], back=m)
+        j, d, part = f"_j{m}", f"{decay!r}D", f"_z_{out}"
+        inner = f"PARTITION BY {self.keys_sql}, _block, _m{m} ORDER BY _i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        self.temp(part, F.expr(f"pow({d}, {j}) * sum(`{u}` * pow({d}, -{j})) OVER ({inner})"), [u], back=m)
+        before = f"{self.order_sql} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        tail = f"last(CASE WHEN {j} = {m - 1} THEN `{part}` END, true) OVER ({before})"
+        y = f"CASE WHEN _i >= {start} THEN `{part}` + coalesce({tail} * pow({d}, {j} + 1), 0D) END"
+        return self.add(out, F.expr(y), [part], back=m)
 
     def ema(self, out: str, c: str, span: float | None = None, alpha: float | None = None, start: int = 0,
             seed: str | None = None) -> str:
         """Recursive moving average, seeded with the first value (or ``seed``) at row ``start``."""
+        if out in self.depth:
+            return out
         a = alpha if alpha is not None else 2.0 / (span + 1.0)
-        i = F.col("_i")
-        first = F.col(seed) if seed else F.col(c)
-        u = F.when(i < start, 0.0).when(i == start, first).otherwise(F.lit(a) * F.col(c))
-        self.temp(f"_u_{out}", u, [c] + ([seed] if seed else []))
+        u = f"CASE WHEN _i < {start} THEN 0D WHEN _i = {start} THEN `{seed or c}` ELSE {a!r}D * `{c}` END"
+        self.temp(f"_u_{out}", F.expr(u), [c] + ([seed] if seed else []))
         return self.recur(out, f"_u_{out}", 1.0 - a, start)
 
     def wilder(self, out: str, c: str, n: int, start: int) -> str:

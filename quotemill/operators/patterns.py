@@ -118,18 +118,18 @@ def value_sql(name: str) -> str:
 
 def bar_names(p: Panel) -> list[str]:
     """Hidden columns o0..ma4 on the panel."""
-    shape = {"o": "open", "h": "high", "l": "low", "c": "close"}
-    exprs = {"b": "close - open", "ab": "abs(close - open)", "r": "high - low",
+    shape = {"o": "open", "h": "high", "l": "low", "c": "close", "b": "close - open", "ab": "abs(close - open)", "r": "high - low",
              "us": "high - greatest(open, close)", "ls": "least(open, close) - low",
              "top": "greatest(open, close)", "bot": "least(open, close)"}
-    now = [p.temp(f"{x}0", F.expr(e)) for x, e in (shape | exprs).items()]
-    past = p.w.rowsBetween(-MEAN_BODY, -1)
-    now.append(p.temp("ma0", F.avg("ab0").over(past), ["ab0"], back=MEAN_BODY))
-    out = list(now)
-    for x in now:
-        for k in range(1, DEPTH):
-            out.append(p.temp(f"{x[:-1]}{k}", F.lag(x, k).over(p.w), [x], back=k))
-    return out
+    names = [*shape, "ma"]
+    if "ma0" not in p.depth:
+        for x, e in shape.items():
+            p.temp(f"{x}0", F.expr(e))
+        p.temp("ma0", F.expr(f"avg(ab0) OVER ({p.order_sql} ROWS BETWEEN {MEAN_BODY} PRECEDING AND 1 PRECEDING)"), ["ab0"], back=MEAN_BODY)
+        for x in names:
+            for k in range(1, DEPTH):
+                p.temp(f"{x}{k}", F.expr(f"lag({x}0, {k}) OVER ({p.order_sql})"), [f"{x}0"], back=k)
+    return [f"{x}{k}" for x in names for k in range(DEPTH)]
 
 
 def pattern(p: Panel, name: str, out: str | None = None) -> str:

@@ -51,7 +51,7 @@ def zscore(p: Panel, col: str, n: int, out: str, ddof: int = 1) -> str:
 
 def rolling_quantiles(p: Panel, col: str, n: int, probs: Sequence[float]) -> list[str]:
     return [
-        p.roll(f"{col}_q{round(q * 100)}", lambda x, q=q: F.percentile(x, q), col, n) for q in probs
+        p.roll(f"{col}_q{round(q * 100)}", f"percentile({{}}, {q})", col, n) for q in probs
     ]
 
 
@@ -235,7 +235,14 @@ def complete_windows(members: DataFrame, s: Series, size: int, *aggs: Column) ->
 
 
 def newest_per_key(df: DataFrame, s: Series, n: int) -> DataFrame:
-    """The latest n rows of each key, ranked 1..n (newest first)."""
+    """The latest n rows of each key, ranked 1..n (newest first).
+
+    A small n becomes a per-task group limit before the shuffle, so a hot key sends n rows per task; beyond
+    that limit rows are numbered block-wise.
+    """
+    if n <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        newest_first = Window.partitionBy(*s.keys).orderBy(*[F.desc(x) for x in (s.ts, *s.tie)])
+        return df.withColumn("rank", F.row_number().over(newest_first).cast("bigint")).filter(c("rank") <= n)
     idx = index_rows(df, s)
     size = idx.groupBy(*s.keys).agg(F.max("_i").alias("_last"))
     return (idx.join(size, list(s.keys)).filter(c("_last") - c("_i") < n)

@@ -64,9 +64,12 @@ def _sliding(t):
                    "price_stddev")
 
 
-@query("vwap_of_arrays", f"""WITH {TICKS} SELECT user_id, {R('sum(price * volume) / nullif(sum(volume), 0)')} AS vwap
-FROM ticks GROUP BY user_id, time_bucket(INTERVAL 1 DAY, ts)""")
+@query("vwap_of_arrays", f"""WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: 50 + CAST(x AS DOUBLE)) AS p,
+  list_transform(embedding, lambda x: CASE WHEN label = 0 THEN 0.0::DOUBLE ELSE abs(CAST(x AS DOUBLE)) END) AS v FROM embeddings)
+SELECT vec_id, {R('list_sum(list_transform(list_zip(p, v), lambda x: x[1] * x[2])) / nullif(list_sum(v), 0)')} AS vwap FROM a""")
 def _vwap_arrays(t):
-    day = t.ticks.groupBy("user_id", B.bucket("ts", "1d").alias("d")).agg(
-        F.collect_list(F.struct("price", "volume")).alias("x"))
-    return rounded(day.select("user_id", B.vwap_arrays(F.col("x.price"), F.col("x.volume")).alias("vwap")))
+    """Null where an array pair has no volume."""
+    p = F.transform("embedding", lambda x: 50 + x.cast("double"))
+    v = F.transform("embedding", lambda x: F.when(F.col("label") == 0, 0.0).otherwise(F.abs(x.cast("double"))))
+    return rounded(t.embeddings.select("vec_id", p.alias("p"), v.alias("v")).select(
+        "vec_id", B.vwap_arrays(F.col("p"), F.col("v")).alias("vwap")))

@@ -29,15 +29,13 @@ def values(t):
 def feature_store(t) -> FeatureStore:
     """Three features with two versions each; version 1 of every feature is in production."""
     fs = FeatureStore(t.spark, scratch(t.spark, "feature-store"))
-    for f in FEATURES:
-        for v in (1, 2):
-            fs.register(f, v, f"value of {f} events", tags=["event", "slow" if f == "error" else "fast"])
-        fs.promote(f, 1)
+    fs.register_all([(f, v, status, f"value of {f} events", "double", ["event", "slow" if f == "error" else "fast"], seq)
+                     for f in FEATURES for v, status, seq in ((1, "draft", 0), (2, "draft", 0), (1, "production", 1))])
     fs.write(values(t))
     return fs
 
 
-@query("feature_catalogue", f"WITH {VALUES} SELECT feature, CAST(version AS INT) AS version, CASE WHEN version = 1 THEN 'production' ELSE 'draft' END AS status, count(*) AS n FROM fv GROUP BY 1, 2")
+@query("feature_catalogue", f"WITH {VALUES} SELECT feature, CAST(version AS INT) AS version, CASE WHEN version = 1 THEN 'production' ELSE 'draft' END AS status, count(*) AS n FROM fv GROUP BY feature, fv.version")
 def _catalogue(t):
     fs = feature_store(t)
     n = fs.read(FEATURES).groupBy("feature", "version").agg(F.count(F.lit(1)).alias("n"))
@@ -281,10 +279,14 @@ def _scalar(t):
     return rounded(out, 4)
 
 
-@query("array_function", f"WITH {TICKS} SELECT user_id, {R('sum(price * volume) / nullif(sum(volume), 0)')} AS vwap FROM ticks GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)")
+ARRAYS = "(SELECT vec_id, list_transform(embedding[1:16], lambda x: 100 + CAST(x AS DOUBLE)) AS p, list_transform(embedding[17:32], lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings)"
+
+
+@query("array_function", f"SELECT vec_id, {R('list_sum(list_transform(list_zip(p, v), lambda x: x[1] * x[2])) / list_sum(v)')} AS vwap FROM {ARRAYS}")
 def _array(t):
-    g = t.ticks.groupBy("user_id", F.window("ts", "1 hour")["start"].alias("h")).agg(F.collect_list("price").alias("p"), F.collect_list("volume").alias("v"))
-    return rounded(g.select("user_id", U.array_vwap("p", "v").alias("vwap")))
+    p = F.transform(F.slice("embedding", 1, 16), lambda x: 100 + x.cast("double"))
+    v = F.transform(F.slice("embedding", 17, 16), lambda x: F.abs(x.cast("double")))
+    return rounded(t.embeddings.select("vec_id", p.alias("p"), v.alias("v")).select("vec_id", U.array_vwap("p", "v").alias("vwap")))
 
 
 @query("user_fold", "SELECT event_type, max(value) AS folded FROM events GROUP BY 1")

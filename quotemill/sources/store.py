@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,9 +141,13 @@ def delete_where(spark: SparkSession, path: str, condition: Column, part: str =
 def drop_partitions(spark: SparkSession, path: str, part: str, values: Sequence) -> None:
     """Leave the named partition folders without rows."""
     schema = spark.read.parquet(path).drop(part).schema
-    for value in values:
+
+    def clear(value) -> None:
         spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}={value}")
 
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(clear, values))
+
 
 def range_predicate(ts: str, start, stop, extra: Column | None = None) -> Column:
     """[start, stop) with an optional further condition."""
