@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.operators.ordered import epoch_us
 from quotemill.schemas import INTERVALS
 
 
@@ -20,10 +21,21 @@ def bucket(ts: str, interval: str) -> Column:
     return F.window(ts, span)["start"]
 
 
+def order_key(t: DataFrame, ts: str, tie: str) -> Column:
+    """One comparable value for (ts, tie).
+
+    A whole-number tie packs into a decimal, which hash aggregation can keep in its buffer; with a struct the
+    aggregate would sort the raw ticks first.
+    """
+    if t.schema[tie].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return epoch_us(ts).cast("decimal(18,0)") * F.expr("10000000000000000000BD") + F.col(tie).cast("decimal(19,0)")
+    return F.struct(ts, tie)
+
+
 def ohlcv(t: DataFrame, interval: str, keys: Sequence[str] = ("symbol", "exchange"), ts: str = "ts",
           tie: str = "tie") -> DataFrame:
     """Open, high, low, close, volume, vwap and trade count per (keys, bucket)."""
-    at = F.struct(ts, tie)
+    at = order_key(t, ts, tie)
     return t.withColumn("bucket", bucket(ts, interval)).groupBy(*keys, "bucket").agg(
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),

@@ -93,6 +93,9 @@ def index_rows(df: DataFrame, s: Series, out: str = "_i") -> DataFrame:
     )
 
 
+# Rows of a panel block when nothing looks back far.
+PANEL_ROWS = 4096
+
 # Weight of history below which it cannot change a double any more.
 FORGET = 1e-17
 
@@ -229,10 +232,15 @@ class Panel:
         return self.ema(out, c, alpha=1.0 / n, start=start, seed=seed)
 
     # -- evaluation ----------------------------------------------------------------------------------
+    def block_size(self) -> int:
+        """Small blocks for parallelism, but at least four times what a block copies from its neighbours."""
+        copied = max(self.reach.values(), default=0) + max(self.ahead.values(), default=0)
+        return max(min(self.series.block_rows, PANEL_ROWS), 4 * copied)
+
     def blocks(self) -> DataFrame:
         back = max(self.reach.values(), default=0)
         fwd = max(self.ahead.values(), default=0)
-        b = self.series.block_rows
+        b = self.block_size()
         df = self.df if self.indexed else index_rows(self.df, self.series)
         i = F.col("_i")
         first = F.floor(F.greatest(i - fwd, F.lit(0)) / b)
@@ -245,7 +253,7 @@ class Panel:
         df = self.blocks()
         for level in sorted({s.depth for s in self.steps}):
             df = df.withColumns({s.out: s.col for s in self.steps if s.depth == level})
-        df = df.filter(F.col("_block") == F.floor(F.col("_i") / self.series.block_rows))
+        df = df.filter(F.col("_block") == F.floor(F.col("_i") / self.block_size()))
         extra = [f"_{k}{m}" for m in self.minis for k in "mj"]
         drop = self.hidden + extra + ["_block"] + ([] if keep_index else ["_i"])
         return df.drop(*drop)

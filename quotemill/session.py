@@ -17,6 +17,8 @@ def tune(spark: SparkSession) -> SparkSession:
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # Window work is heavy per byte: merge small shuffle partitions later than the default does.
+    conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
 
 

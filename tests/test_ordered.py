@@ -104,4 +104,5 @@ def test_hot_key_is_split_over_tasks(spark):
     assert d.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 4000 / 16 * 2
     p = O.Panel(df.withColumn("x", F.lit(1.0)), s)
     p.mean("m", "x", 20)
+    assert p.block_size() == 256
     assert p.blocks().groupBy("_block").count().agg(F.max("count")).first()[0] <= 256 + 19
