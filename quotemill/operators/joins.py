@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quotemill.operators import indicators as I
-from quotemill.operators import rolling as X
 from quotemill.operators.ordered import Panel
 from quotemill.plans.market import BAR_SERIES, BARS, TICK_SERIES, TICKS
 from quotemill.plans.registry import R, query, rounded

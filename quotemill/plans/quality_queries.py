@@ -7,7 +7,6 @@ from quotemill.operators.ordered import Series
 from quotemill.operators.rolling import newest_per_key
 from quotemill.plans.market import TICK_SERIES, TICKS
 from quotemill.plans.registry import R, query, rounded
-from quotemill.plans.rolling_queries import TW
 
 CHECKS = [
     Q.required("price"),
@@ -162,6 +161,3 @@ def _composite(t):
     li = t.lineitem
     cols = ["l_quantity", "l_extendedprice"]
     return Q.composite_check(li.filter("l_shipdate >= DATE'1996-01-01'"), li.filter("l_shipdate < DATE'1996-01-01'"), cols, ["l_orderkey", "l_linenumber"])
-
-
-TICK_WINDOW = TW

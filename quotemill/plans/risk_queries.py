@@ -8,8 +8,8 @@ from quotemill.operators import portfolio as P
 from quotemill.operators import risk as K
 from quotemill.operators import rolling as X
 from quotemill.operators import stats as A
-from quotemill.operators.ordered import Panel, Series
-from quotemill.plans.aggregate_queries import ASSETS, POSITIONS, WIDE, positions_view, trigger_orders, wide_returns
+from quotemill.operators.ordered import Panel
+from quotemill.plans.aggregate_queries import ASSETS, POSITIONS, WIDE, positions_view, wide_returns
 from quotemill.plans.market import BAR_SERIES, BARS, QUOTES, RETURN_SERIES, RETURNS, TICK_SERIES, TICKS
 from quotemill.plans.registry import R, query, rnd, rounded
 from quotemill.plans.rolling_queries import AW, BW, TW, roll
@@ -239,7 +239,3 @@ def _size(t):
     p = Panel(t.daily_returns, RETURN_SERIES)
     X.regime(p, "ret")
     return p.done().select("asset", "ts", rnd(K.regime_size()).alias("size"))
-
-
-USER_SERIES = Series(keys=("user_id",), ts="ts", tie=("tie",))
-TRIGGER_ORDERS = trigger_orders

@@ -1,6 +1,5 @@
 """Rolling features over ticks, hourly bars and the return panel."""
 
-import math
 
 from pyspark.sql import functions as F
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import quality as Q
 from quotemill.operators.ordered import Series
-from quotemill.plans.market import TICK_SERIES, TICKS, ticks
+from quotemill.plans.market import TICKS, ticks
 from quotemill.plans.bars_queries import OHLCV_COLS, SUMMARY
 from quotemill.plans.micro_queries import DELTAS, deltas
 from quotemill.plans.registry import R, query, rnd, rounded
@@ -231,6 +231,3 @@ def _config(t):
     a, r = (t.spark.read.parquet(f"{path}/sink/{p}") for p in ("accepted", "rejected"))
     return a.agg(F.lit("accepted").alias("part"), F.count(F.lit(1)).alias("n"), rnd(F.sum("notional"), 2).alias("notional")).unionByName(
         r.agg(F.lit("rejected").alias("part"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("notional")))
-
-
-ORDER = TICK_SERIES

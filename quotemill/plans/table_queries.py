@@ -7,12 +7,11 @@ from quotemill.functions import scalars as S
 from quotemill.operators import lookup as L
 from quotemill.operators import project as P
 from quotemill.operators.ordered import Panel
-from quotemill.plans.market import BAR_SERIES, BARS, QUOTES, TICK_SERIES, TICKS, symbol_bars
+from quotemill.plans.market import BAR_SERIES, BARS, QUOTES, TICKS, symbol_bars
 from quotemill.plans.registry import R, query, rnd, rounded
-from quotemill.schemas import QUOTE, STREAM_TICK
+from quotemill.schemas import STREAM_TICK
 from quotemill.session import scratch
 from quotemill.sources import decode, points, store
-from quotemill.sources.kafka import source_options
 
 ORDER_COLS = "o_orderkey, o_custkey, o_totalprice, o_orderpriority"
 
@@ -448,10 +447,3 @@ def _names(t):
 def _messages(t):
     hot = t.ticks.filter("price > 95").withColumn("whole", F.floor("price"))
     return hot.select("tie", S.message("High price for {symbol} on {exchange}: {whole}").alias("text"))
-
-
-def kafka_example() -> dict[str, str]:
-    return source_options("broker:9092", ["ticks", "quotes"], "earliest", True)
-
-
-QUOTE_FIELDS = [f.name for f in QUOTE.fields]
