@@ -8,14 +8,15 @@ from quotemill.operators.rolling import newest_per_key
 from quotemill.plans.market import TICK_SERIES, TICKS
 from quotemill.plans.registry import R, query, rounded
 
-CHECKS = [
-    Q.required("price"),
-    Q.typed("symbol", "double"),
-    *Q.limits("price", 5, 150, 10, 100),
-    Q.outlier("volume", 50, 15),
-    Q.one_of("exchange", ["v0", "v1", "v2"]),
-    Q.pattern("symbol", "^[a-z]+$"),
-]
+def checks():
+    return [
+        Q.required("price"),
+        Q.typed("symbol", "double"),
+        *Q.limits("price", 5, 150, 10, 100),
+        Q.outlier("volume", 50, 15),
+        Q.one_of("exchange", ["v0", "v1", "v2"]),
+        Q.pattern("symbol", "^[a-z]+$"),
+    ]
 
 
 @query("validation_issues", f"""WITH {TICKS} SELECT tie, 'symbol' AS field, 'type' AS issue, 'error' AS severity FROM ticks
@@ -24,7 +25,7 @@ UNION ALL SELECT tie, 'price', 'range', 'warning' FROM ticks WHERE price BETWEEN
 UNION ALL SELECT tie, 'volume', 'outlier', 'warning' FROM ticks WHERE abs(volume - 50) / 15 > 3
 UNION ALL SELECT tie, 'exchange', 'enum', 'error' FROM ticks WHERE exchange = 'v3'""")
 def _issues(t):
-    return Q.issue_rows(Q.validate(t.ticks, CHECKS), ["tie"]).select("tie", "field", "issue", "severity")
+    return Q.issue_rows(Q.validate(t.ticks, checks()), ["tie"]).select("tie", "field", "issue", "severity")
 
 
 @query("validation_split", f"""WITH {TICKS} SELECT CASE WHEN price BETWEEN 10 AND 100 AND volume > 0 THEN 'valid' ELSE 'invalid' END AS part, count(*) AS n FROM ticks GROUP BY 1""")

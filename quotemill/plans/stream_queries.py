@@ -170,16 +170,17 @@ def _alerts(t):
     return stateful.alerts_with_cooldown(scores, s, rnd("score", 4) > 60, 6 * 3600).select("symbol", "ts")
 
 
-CHECKS = [Q.in_range("price", 10, 90), Q.in_range("volume", 1, None)]
+def checks():
+    return [Q.in_range("price", 10, 90), Q.in_range("volume", 1, None)]
 
 
 @query("stream_dead_letters", f"""WITH {TICKS} SELECT 'good' AS part, count(*) AS n FROM ticks WHERE price BETWEEN 10 AND 90 AND volume >= 1
 UNION ALL SELECT 'recovered', count(*) FROM ticks WHERE volume < 1 AND price BETWEEN 10 AND 90 UNION ALL SELECT 'dead', count(*) FROM ticks WHERE NOT price BETWEEN 10 AND 90""")
 def _dead(t):
     path = scratch(t.spark, "dead")
-    jobs.start(live(t), jobs.with_dead_letters(path, CHECKS), f"{path}/checkpoint").awaitTermination()
+    jobs.start(live(t), jobs.with_dead_letters(path, checks()), f"{path}/checkpoint").awaitTermination()
     read = lambda p: t.spark.read.parquet(f"{path}/{p}").drop("batch")
-    good, dead, archived = jobs.retry_dead_letters(read("dead"), lambda d: d.withColumn("volume", F.greatest("volume", F.lit(1.0))), CHECKS)
+    good, dead, archived = jobs.retry_dead_letters(read("dead"), lambda d: d.withColumn("volume", F.greatest("volume", F.lit(1.0))), checks())
     count = lambda df, name: df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
     return count(read("good"), "good").unionByName(count(good, "recovered")).unionByName(count(dead.unionByName(archived), "dead"))
 
@@ -225,7 +226,7 @@ def _config(t):
     path = scratch(t.spark, "spec")
     raw = ticks(t.events)
     raw.write.parquet(f"{path}/landing/all")
-    spec = from_config({"path": f"{path}/landing/*", "sink": f"{path}/sink", "checkpoint": f"{path}/checkpoint"}, raw.schema, CHECKS,
+    spec = from_config({"path": f"{path}/landing/*", "sink": f"{path}/sink", "checkpoint": f"{path}/checkpoint"}, raw.schema, checks(),
                        [lambda d: d.withColumn("notional", F.col("price") * F.col("volume"))])
     spec.run(t.spark).awaitTermination()
     a, r = (t.spark.read.parquet(f"{path}/sink/{p}") for p in ("accepted", "rejected"))

@@ -36,3 +36,12 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["symbol", "exchange", "bucket", "open", "high", "low", "close", "volume", "vwap", "trade_count"]
     assert df.count() > 0
+
+
+def test_registry_loads_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 280 and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
