@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import rules
+from quotemill.llm import pieces, rules
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,26 @@ FROM f
 def op10(spark, sf_dir):
     """The ledger of all documents under the current policy."""
     return rules.verdicts(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[rules.CURRENT])
+
+
+def piece_model() -> str:
+    """The public piece model the query uses; the file comes with an installed package on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op7_sentencepiece")
+def op7(spark, sf_dir):
+    """Every text encoded and decoded; digests of the ids and of the decoded text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digests(*pieces.round_trip(docs, piece_model()))
+
+
+def piece_digests(coded: DataFrame, ids: str, back: str) -> DataFrame:
+    return coded.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        digest_of(F.col(ids)).alias("ids_sha256"),
+        F.sha2(F.col(back), 256).alias("decoded_sha256"),
+    )
