@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import pieces, rules
+from quotemill.llm import decontam, pieces, rules
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,39 @@ def piece_digests(coded: DataFrame, ids: str, back: str) -> DataFrame:
         digest_of(F.col(ids)).alias("ids_sha256"),
         F.sha2(F.col(back), 256).alias("decoded_sha256"),
     )
+
+
+LEAK_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b WHERE len(w) > 0)),
+pos AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS x
+        FROM (SELECT rid, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+              FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT rid, pos.n AS n, i, item_id FROM pos JOIN win ON pos.n = win.n AND pos.x = win.x),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+""".format(word=STRICT_WORD)
+
+
+@query("op4_decontamination", LEAK_SQL)
+def op4(spark, sf_dir):
+    """Hits of benchmark windows in every document."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    state, found = decontam.find(docs, items)
+    f = F.col(found)
+    return state.select(
+        "doc_id",
+        f["n_words"].alias("n_words"),
+        f["n_hit"].alias("n_hit"),
+        F.size(f["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"),
+        (f["n_hit"] > 0).alias("contaminated"),
+    )
