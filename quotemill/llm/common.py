@@ -13,6 +13,7 @@ from quotemill.session import tune
 
 # Rows of one Arrow batch: texts may be long, and a batch is held in the Python worker as a whole.
 BATCH_ROWS = 512
+BATCH_BYTES = 32 << 20
 
 # Bytes 0x09-0x0D and 0x20 separate words of the plain kind; ``bytes.split()`` cuts at exactly these.
 SPACES = " \t\n\x0b\f\r"
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators; the cluster's own sizing is left alone."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, pieces, rules
+from quotemill.llm import decontam, neardup, pieces, rules
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op4(spark, sf_dir):
         F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"),
         (f["n_hit"] > 0).alias("contaminated"),
     )
+
+
+@query("op5_near_duplicates")
+def op5(spark, sf_dir):
+    """Near-duplicate group of every document."""
+    return neardup.groups(table(spark, sf_dir, "documents"))
