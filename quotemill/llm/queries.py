@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, neardup, pieces, rules
+from quotemill.llm import decontam, neardup, pieces, quality_model, rules
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,13 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     """Near-duplicate group of every document."""
     return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    """Score, weak-label posterior and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, name = quality_model.judge(docs, quality_model.train(docs))
+    j = F.col(name)
+    return judged.select("doc_id", j["score"].alias("score"), j["posterior"].alias("posterior"),
+                         F.array_join(j["votes"].cast("array<string>"), ",").alias("votes"), (j["score"] >= 0.5).alias("kept"))
