@@ -15,8 +15,8 @@ Two sets of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-
 with less than 1e-6.  No bucket, partner or candidate is capped.
 
 Defined results: a null text, or one without words, has the empty set, is linked with nothing and kept.  Fewer words
-than a shingle make one shingle.  Rows without id take part, but cannot name a component: one is kept only if no
-row with an id is in its group.  Repeated rows share their fate.  Other columns are not returned.
+than a shingle make one shingle.  Rows without id take part, but cannot name a component: if no row of a
+group has an id, its component is null and the row with the smallest key is kept.  Repeated rows share their fate.  Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import lower_ascii, only, plain_words, texts
+from quotemill.llm.common import fresh, lower_ascii, only, plain_words, texts
 from quotemill.session import materialize
 
 SHINGLE = 5
@@ -304,28 +304,35 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id of its group) and ``kept``."""
+    return _grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = signatures(docs, id_col, text_col)
     roots = components(links(docs, signed, id_col, text_col))
-    copies = signed.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    copies = signed.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.min("row").alias("lead"))
     named = copies.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", "first", F.coalesce("root", "class").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = named.join(smallest, "root").select("class", "component_id")
-    rows = signed.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
+    named = named.select("class", "first", "lead", F.coalesce("root", "class").alias("root"))
+    heads = named.groupBy("root").agg(F.min("first").alias("component_id"), F.min("lead").alias("lead"))
+    of_class = named.select("class", "root").join(heads, "root").select("class", "component_id", "lead")
+    rows = signed.select("id", "row", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                       F.col("id").eqNullSafe(component).alias("kept"))
+    named_kept = F.col("id").eqNullSafe(F.col("component_id"))
+    kept = F.when(F.col("n") == 0, True).when(F.col("component_id").isNull(), F.col("row") == F.col("lead")).otherwise(named_kept)
+    return rows.select("id", "row", "n", component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that repeat another: one of each group stays, with its own columns only.
 
-    Rows of one id with one text are one document; the first of them stays.
+    Rows of one id and one text are one document; one of them stays.
     """
-    found = materialize(groups(docs, id_col, text_col), "neardup-groups")
-    gone = found.filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
-    again = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    if again.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col, text_col])
+    found = materialize(_grouped(docs, id_col, text_col).select("row", "kept"), "neardup-groups")
+    mine, gone = fresh(docs, "_row", "_gone")
+    null_safe = F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    left = docs.withColumn(mine, null_safe)
+    out = found.filter("NOT kept").select(F.col("row").alias(gone)).distinct()
+    left = left.join(out, left[mine] == out[gone], "left_anti")
+    if not found.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        left = left.dropDuplicates([mine])
+    return left.drop(mine)
