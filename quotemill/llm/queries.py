@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, neardup, pieces, quality_model, rules
+from quotemill.llm import decontam, neardup, pieces, quality_model, rules, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,12 @@ def op2(spark, sf_dir):
     j = F.col(name)
     return judged.select("doc_id", j["score"].alias("score"), j["posterior"].alias("posterior"),
                          F.array_join(j["votes"].cast("array<string>"), ",").alias("votes"), (j["score"] >= 0.5).alias("kept"))
+
+
+@query("op3_warc")
+def op3(spark, sf_dir):
+    """All pages written as archives and read back through the index."""
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(folder, index).select(
+        F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
+    )
