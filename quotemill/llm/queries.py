@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, neardup, pieces, quality_model, rules, warc
+from quotemill.llm import decontam, neardup, pieces, quality_model, rules, shards, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,12 @@ def op3(spark, sf_dir):
     return warc.read(folder, index).select(
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"
     )
+
+
+SHARDS = 40
+
+
+@query("op8_sharding")
+def op8(spark, sf_dir):
+    """Shard and slot of every document under the key law, and its shard after one more is added."""
+    return shards.assign(table(spark, sf_dir, "documents"), SHARDS)
