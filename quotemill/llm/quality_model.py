@@ -211,8 +211,8 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     # Hash order is the same for any partitioning; the threshold only thins what is sorted for the exact limit.
     share = min(1.0, 1.5 * fit_rows / max(total, 1))
     thin = rows.withColumn("h", F.xxhash64("text")).filter(F.shiftrightunsigned("h", 11) <= int(share * (1 << 53)))
-    sample = thin.dropDuplicates(["h"]).orderBy("h").limit(fit_rows)
-    got = sample.select(vote("text").alias("votes"), make("text").alias("f")).toArrow().combine_chunks()
+    small = thin.select("h", vote("text").alias("votes"), make("text").alias("f"))  # texts stay in the tasks
+    got = small.dropDuplicates(["h"]).orderBy("h").limit(fit_rows).drop("h").toArrow().combine_chunks()
     data, soft = [], np.empty(0)
     if got.num_rows:
         f = got["f"].combine_chunks()

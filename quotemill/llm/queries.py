@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, neardup, pieces, quality_model, rules, shards, warc
+from quotemill.llm import decontam, neardup, pieces, quality_model, rules, shards, toxicity, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,10 @@ SHARDS = 40
 def op8(spark, sf_dir):
     """Shard and slot of every document under the key law, and its shard after one more is added."""
     return shards.assign(table(spark, sf_dir, "documents"), SHARDS)
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
