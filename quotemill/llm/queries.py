@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontam, neardup, pieces, quality_model, rules, shards, toxicity, warc
+from quotemill.llm import chat, decontam, neardup, pieces, quality_model, rules, shards, toxicity, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op6(spark, sf_dir):
     """Toxicity score of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+@query("op1_chat_format")
+def op1(spark, sf_dir):
+    """Every turn with its repaired role, what was done to it, what that cost and its part of the rendered text."""
+    return chat.repair(table(spark, sf_dir, "conversations")).drop("o", "h")

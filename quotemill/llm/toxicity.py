@@ -123,13 +123,13 @@ def select(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, most: int = FEATURE
     return good[np.argsort(-z[good], kind="stable")][:most]
 
 
-def fit(pos: list, unl: list, prior: float, width: int, rounds: int = 40, seed: int = 11) -> np.ndarray:
+def fit(pos: list, unl: list, prior: float, width: int, steps: int = 2000, seed: int = 11) -> np.ndarray:
     """Weights (last one the intercept) of a linear classifier, by Adam on the non-negative risk."""
     w, m, v = (np.zeros(2 * width + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     if not pos or not unl:
         return w
-    rng, step = np.random.default_rng(seed), 0
+    rng, step, mean = np.random.default_rng(seed), 0, np.zeros_like(w)
     batch = min(1000, len(unl))
 
     def gather(rows, pick):
@@ -145,7 +145,7 @@ def fit(pos: list, unl: list, prior: float, width: int, rounds: int = 40, seed:
         at, x, doc, z = part
         return np.append(np.bincount(at, err[doc] * x, 2 * width), err.sum()) / len(z)
 
-    for _ in range(rounds):
+    while step < steps:
         order = rng.permutation(len(unl))
         for begin in range(0, len(order), batch):
             u = gather(unl, order[begin : begin + batch])
@@ -158,7 +158,9 @@ def fit(pos: list, unl: list, prior: float, width: int, rounds: int = 40, seed:
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w
+            if step > steps // 2:  # reversed steps make the weights swing: their mean is the result
+                mean += (w - mean) / (step - steps // 2)
+    return mean
 
 
 def _first(rows: DataFrame, total: int, most: int, *cols: Column) -> DataFrame:
