@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontam, neardup, pieces, quality_model, rules, shards, toxicity, warc
+from quotemill.llm import chat, decontam, licenses, neardup, pieces, quality_model, rules, shards, toxicity, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,15 @@ def op6(spark, sf_dir):
 def op1(spark, sf_dir):
     """Every turn with its repaired role, what was done to it, what that cost and its part of the rendered text."""
     return chat.repair(table(spark, sf_dir, "conversations")).drop("o", "h")
+
+
+@query("op9_license_scan")
+def op9(spark, sf_dir):
+    """The best license match of every document, if any, and how many it has."""
+    state, name = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    matches = F.col(name)["matches"]
+    best = F.get(matches, 0)
+    return state.select(
+        "doc_id", F.col(name)["n_words"].alias("n_words"), F.size(matches).cast("long").alias("n_matches"),
+        *[best[c].alias(c) for c in ("license", "coverage", "matched", "word_from", "word_to", "char_from", "char_to")],
+    )
