@@ -184,8 +184,8 @@ def _route_conversation(costs: Costs):
 _ROUTE = pa.schema([("conv", pa.string()), ("chunk", pa.int32()), ("entry", pa.int32()), ("leave", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
 _ROUTE_SQL = "conv string, chunk int, entry int, leave int, first boolean, last boolean"
 _OUT = pa.schema([("id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("op", pa.string()),
-                  ("cost", pa.float64()), ("rendered", pa.string()), ("o", pa.int64()), ("h", pa.int64())])
-_OUT_SQL = "id long, turn long, role string, new_role string, op string, cost double, rendered string, o long, h long"
+                  ("cost", pa.float64()), ("rendered", pa.string()), ("o", pa.int64()), ("h", pa.int64()), ("k", pa.int64())])
+_OUT_SQL = "id long, turn long, role string, new_role string, op string, cost double, rendered string, o long, h long, k long"
 
 
 def _repair_chunk(costs: Costs, form: Template):
@@ -217,7 +217,7 @@ def _repair_chunk(costs: Costs, form: Template):
                         text, at = text + opening(at, e), e
                     text, cost = text + form.after, cost + extra
                 out.append({"id": r["id"], "turn": r["turn"], "role": r["role"], "new_role": ROLES[step.to - 1], "op": step.op, "cost": cost,
-                            "rendered": text, "o": r["o"], "h": r["h"]})
+                            "rendered": text, "o": r["o"], "h": r["h"], "k": i})
         return pa.Table.from_pylist(out, _OUT)
 
     return run
@@ -225,7 +225,7 @@ def _repair_chunk(costs: Costs, form: Template):
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
            costs: Costs = Costs(), form: Template = Template(), chunks: int | None = None) -> DataFrame:
-    """One row per turn: conversation, turn, role, ``new_role``, ``op``, ``cost``, ``rendered``, and the order (o, h)."""
+    """One row per turn: conversation, turn, role, ``new_role``, ``op``, ``cost``, ``rendered``, and the order (o, h, k)."""
     spark = turns.sparkSession
     chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = only(turns, id=conv_col, turn=turn_col, role=role_col, text=text_col)
@@ -247,6 +247,6 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 def conversations(repaired: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """One row per conversation: its repaired text and cost.  For conversations whose text fits a row."""
-    part = F.struct("o", "h", "rendered")
+    part = F.struct("o", "h", "k", "rendered")
     ordered = F.sort_array(F.collect_list(part))
     return repaired.groupBy(conv_col).agg(F.sum("cost").alias("cost"), F.array_join(F.transform(ordered, lambda p: p["rendered"]), "").alias("text"))

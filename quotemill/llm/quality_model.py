@@ -204,6 +204,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     make = F.arrow_udf(_feature_batches, "struct<slots:array<int>,values:array<float>>").asNondeterministic()
     rows = only(docs, text=text_col).select(F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.select(F.array_join(vote("text").cast("array<string>"), ",").alias("votes")).groupBy("votes").count().collect()
+    counted.sort(key=lambda r: r["votes"])
     patterns = np.array([[int(x) for x in r["votes"].split(",")] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     label = estimate(patterns, np.array([r["count"] for r in counted], float))
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), label["posterior"])}

@@ -168,7 +168,7 @@ def op6(spark, sf_dir):
 @query("op1_chat_format")
 def op1(spark, sf_dir):
     """Every turn with its repaired role, what was done to it, what that cost and its part of the rendered text."""
-    return chat.repair(table(spark, sf_dir, "conversations")).drop("o", "h")
+    return chat.repair(table(spark, sf_dir, "conversations")).drop("o", "h", "k")
 
 
 @query("op9_license_scan")
