@@ -69,19 +69,27 @@ def var_contributions(df: DataFrame, weights: DataFrame, confidence: float = 0.9
     return out.select("asset", "marginal_var", (c("weight") * c("marginal_var")).alias("component_var"), (delta * c("marginal_var")).alias("incremental_var"))
 
 
+def compounded(r: Column) -> Column:
+    """Total return of an aggregate's rows; -1 if any of them is a total loss."""
+    return F.when(F.min(r) <= -1, F.lit(-1.0)).otherwise(F.expm1(F.sum(F.when(r > -1, F.log1p(r)))))
+
+
+def annualised(r: Column) -> Column:
+    """The same brought to a year."""
+    return F.when(F.min(r) <= -1, F.lit(-1.0)).otherwise(F.expm1(F.sum(F.when(r > -1, F.log1p(r))) * ANNUAL / F.count(r)))
+
+
 def performance(df: DataFrame, s: Series, rf: float = 0.0, ret: str = "ret") -> DataFrame:
     """Total and annual return, volatility, Sharpe, Sortino, Calmar, maximum drawdown, win rate per key."""
     keys = list(s.keys)
     curve = X.equity_curve(df, s, ret)
     a = curve.groupBy(*keys).agg(
-        F.count(ret).alias("periods"), F.expm1(F.sum(F.log1p(ret))).alias("total_return"), F.avg(ret).alias("_mean"),
-        F.sum(F.log1p(ret)).alias("_log"),
+        F.count(ret).alias("periods"), compounded(c(ret)).alias("total_return"), F.avg(ret).alias("_mean"),
+        annualised(c(ret)).alias("annual_return"),
         (F.stddev_samp(ret) * ROOT).alias("volatility"), (F.stddev_samp(F.when(c(ret) < 0, c(ret))) * ROOT).alias("_down"),
         F.min("drawdown").alias("max_drawdown"), F.max("periods_under").alias("drawdown_periods"),
         F.avg((c(ret) > 0).cast("double")).alias("win_rate"), sample_skew(ret).alias("skew"), sample_kurtosis(ret).alias("kurtosis"),
     )
-    annual = F.expm1(c("_log") * ANNUAL / c("periods"))
-    a = a.withColumn("annual_return", annual)
     return a.withColumns(
         {
             "sharpe": F.try_divide(c("annual_return") - rf, c("volatility")),
@@ -89,7 +97,7 @@ def performance(df: DataFrame, s: Series, rf: float = 0.0, ret: str = "ret") ->
             "sortino": F.try_divide(c("annual_return") - rf, c("_down")),
             "calmar": F.try_divide(c("annual_return"), F.abs("max_drawdown")),
         }
-    ).drop("_mean", "_down", "_log")
+    ).drop("_mean", "_down")
 
 
 def relative_performance(df: DataFrame, bench: DataFrame, keys: Sequence[str] = ("asset",), rf: float = 0.0, ret: str = "ret") -> DataFrame:
@@ -99,8 +107,8 @@ def relative_performance(df: DataFrame, bench: DataFrame, keys: Sequence[str] =
     a = j.groupBy(*keys).agg(
         F.try_divide(F.covar_samp(ret, "bench"), F.var_samp("bench")).alias("beta"),
         (F.stddev_samp(diff) * ROOT).alias("tracking_error"), F.avg(diff).alias("_active"),
-        F.expm1(F.sum(F.log1p(ret)) * ANNUAL / F.count(ret)).alias("_own"),
-        F.expm1(F.sum(F.log1p("bench")) * ANNUAL / F.count("bench")).alias("_bench"),
+        annualised(c(ret)).alias("_own"),
+        annualised(c("bench")).alias("_bench"),
     )
     return a.withColumns(
         {

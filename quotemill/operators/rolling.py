@@ -177,28 +177,35 @@ def equity_curve(df: DataFrame, s: Series, ret: str = "ret") -> DataFrame:
     """Compounded equity, its running peak, drawdown as a (negative) share of the peak, rows since the peak.
 
     One pass per block and one carry: the sum of log returns and the best point of every earlier block.
+    A return of -1 or less is a total loss: from there on equity is 0 and the drawdown -1.  If that is the
+    first row, the peak is the starting capital of 1.
     """
     keys = list(s.keys)
-    df = index_rows(df, s).withColumns({"_lr": F.log1p(c(ret)), "_block": F.floor(c("_i") / s.block_rows)})
+    lost = F.coalesce(c(ret) <= -1, F.lit(False))
+    df = index_rows(df, s).withColumns({"_block": F.floor(c("_i") / s.block_rows), "_lost": lost.cast("int"),
+                                        "_lr": F.when(lost, 0.0).otherwise(F.log1p(c(ret)))})
     here = Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_local", F.sum("_lr").over(here))
-    df = df.withColumn("_best", F.max(F.struct("_local", "_i")).over(here))
-    ends = df.groupBy(*keys, "_block").agg(F.sum("_lr").alias("_sum"), F.max(F.struct("_local", "_i")).alias("_top"))
+    df = df.withColumns({"_local": F.sum("_lr").over(here), "_dead": F.max("_lost").over(here)})
+    point = F.when(c("_dead") == 0, F.struct("_local", "_i"))
+    df = df.withColumn("_best", F.max(point).over(here))
+    ends = df.groupBy(*keys, "_block").agg(F.sum("_lr").alias("_sum"), F.max(point).alias("_top"), F.max("_lost").alias("_loss"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
-    top = F.struct((c("_before") + c("_top._local")).alias("_local"), c("_top._i").alias("_i"))
-    ends = ends.select(*keys, "_block", "_before", F.max(top).over(earlier).alias("_carried"))
-    best = F.struct((c("_before") + c("_best._local")).alias("_local"), c("_best._i").alias("_i"))
+    ends = ends.withColumns({"_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)),
+                             "_gone": F.coalesce(F.max("_loss").over(earlier), F.lit(0))})
+    alive = c("_gone") == 0
+    top = F.when(alive & c("_top").isNotNull(), F.struct((c("_before") + c("_top._local")).alias("_local"), c("_top._i").alias("_i")))
+    ends = ends.select(*keys, "_block", "_before", "_gone", F.max(top).over(earlier).alias("_carried"))
+    best = F.when(alive & c("_best").isNotNull(), F.struct((c("_before") + c("_best._local")).alias("_local"), c("_best._i").alias("_i")))
     out = df.join(ends, [*keys, "_block"]).withColumn("_peak", F.greatest(best, c("_carried")))
-    lw = c("_before") + c("_local")
+    lw, dead = c("_before") + c("_local"), F.greatest("_dead", "_gone") == 1
     return out.withColumns(
         {
-            "equity": F.exp(lw),
-            "peak": F.exp(c("_peak._local")),
-            "drawdown": F.least(F.expm1(lw - c("_peak._local")), F.lit(0.0)),
-            "periods_under": c("_i") - c("_peak._i"),
+            "equity": F.when(dead, 0.0).otherwise(F.exp(lw)),
+            "peak": F.coalesce(F.exp(c("_peak._local")), F.lit(1.0)),
+            "drawdown": F.when(dead, -1.0).otherwise(F.least(F.expm1(lw - c("_peak._local")), F.lit(0.0))),
+            "periods_under": c("_i") - F.coalesce(c("_peak._i"), F.lit(-1)),
         }
-    ).drop("_lr", "_local", "_best", "_before", "_carried", "_peak", "_i", "_block")
+    ).drop("_lr", "_local", "_best", "_before", "_carried", "_peak", "_i", "_block", "_lost", "_dead", "_gone")
 
 
 def drawdown_duration(df: DataFrame, s: Series, ret: str = "ret") -> DataFrame:

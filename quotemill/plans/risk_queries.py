@@ -81,14 +81,21 @@ def _perf(t):
     return rounded(p.select("asset", "periods", "annual_return", "volatility", "sharpe", "sharpe_arithmetic", "sortino", "calmar", "max_drawdown", "win_rate", "skew", "kurtosis"))
 
 
-@query("relative_performance", f"""WITH {RETURNS.replace("FROM returns WHERE", "REPLACE (ret / 100 AS ret) FROM returns WHERE")}, m AS (SELECT ts, avg(ret) AS bench FROM daily GROUP BY 1),
+def significant(expr: str, digits: int = 6) -> str:
+    """Rounding to significant digits, for both engines."""
+    unit = f"power(10.0, {digits - 1} - floor(log10(abs({expr}))))"
+    return f"CASE WHEN ({expr}) = 0 THEN 0.0 ELSE floor(({expr}) * {unit} + 0.4871) / {unit} END"
+
+
+@query("relative_performance", f"""WITH {RETURNS}, m AS (SELECT ts, avg(ret) AS bench FROM daily GROUP BY 1),
 r AS (SELECT asset, covar_samp(ret, bench) / var_samp(bench) AS beta, stddev_samp(ret - bench) * sqrt(252) AS te, avg(ret - bench) AS act,
   exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS own, exp(sum(ln(1 + bench)) * 252 / count(*)) - 1 AS b FROM daily JOIN m USING (ts) GROUP BY 1)
-SELECT asset, {R('beta')} AS beta, {R('te')} AS tracking_error, {R('own - beta * b', 4)} AS alpha, {R('act * 252 / te')} AS information_ratio FROM r""")
+SELECT asset, {R('beta')} AS beta, {R('te')} AS tracking_error, {significant('own - beta * b')} AS alpha, {R('act * 252 / te')} AS information_ratio FROM r""")
 def _rel(t):
-    d = t.daily_returns.withColumn("ret", F.col("ret") / 100)
+    d = t.daily_returns
     out = K.relative_performance(d, d.groupBy("ts").agg(F.avg("ret").alias("bench")))
-    return rounded(rounded(out, 6, "beta", "tracking_error", "information_ratio"), 4, "alpha")
+    out = rounded(out, 6, "beta", "tracking_error", "information_ratio")
+    return out.withColumn("alpha", F.expr(significant("alpha")))  # compounded daily swings: of any size
 
 
 @query("portfolio_metrics", f"WITH {PORT} SELECT {R('avg(p) * 252')} AS expected_return, {R('stddev_samp(p) * sqrt(252)')} AS volatility, {R('sqrt(252) * avg(p) / stddev_samp(p)')} AS sharpe_ratio, {R('skewness(p)')} AS skewness, {R('kurtosis(p)')} AS kurtosis, 5 AS num_assets FROM port")
@@ -111,14 +118,16 @@ def _report(t):
 SCEN = {"crash": ("ret * 1.5 - 0.01", lambda r: r * 1.5 - 0.01), "calm": ("ret * 0.5", lambda r: r * 0.5), "drift": ("ret + 0.001", lambda r: r + 0.001)}
 
 
-@query("stress_scenarios", f"""WITH {RETURNS}, s AS ({' UNION ALL '.join(f"SELECT asset, ts, '{n}' AS scenario, {e[0]} AS r FROM daily WHERE ret * 1.5 - 0.01 > -1" for n, e in SCEN.items())}),
-e AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY asset, scenario ORDER BY ts) AS lw FROM s),
-d AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY asset, scenario ORDER BY ts)) - 1 AS dd FROM e)
-SELECT asset, scenario, {R('min(dd)')} AS max_drawdown, {R('min(r)')} AS min_return FROM d GROUP BY 1, 2""")
+@query("stress_scenarios", f"""WITH {RETURNS}, s AS ({' UNION ALL '.join(f"SELECT asset, ts, '{n}' AS scenario, {e[0]} AS r FROM daily" for n, e in SCEN.items())}),
+e AS (SELECT *, sum(CASE WHEN r > -1 THEN ln(1 + r) ELSE 0 END) OVER w AS lw, coalesce(bool_or(r <= -1) OVER w, false) AS dead, row_number() OVER w AS i
+  FROM s WINDOW w AS (PARTITION BY asset, scenario ORDER BY ts)),
+p AS (SELECT *, max(CASE WHEN NOT dead THEN {{'l': round(lw, 9), 'i': i}} END) OVER (PARTITION BY asset, scenario ORDER BY ts) AS top,
+  max(CASE WHEN NOT dead THEN lw END) OVER (PARTITION BY asset, scenario ORDER BY ts) AS best FROM e),
+d AS (SELECT *, CASE WHEN dead THEN -1 ELSE exp(lw - best) - 1 END AS dd, i - coalesce(top.i, 0) AS under FROM p)
+SELECT asset, scenario, {R('min(dd)')} AS max_drawdown, {R('min(r)')} AS min_return, max(under) AS longest_recovery, arg_max(under, ts) AS open_recovery FROM d GROUP BY 1, 2""")
 def _stress(t):
-    d = t.daily_returns.filter("ret * 1.5 - 0.01 > -1")
-    out = K.stress(d, RETURN_SERIES, {n: e[1](F.col("ret")) for n, e in SCEN.items()})
-    return rounded(out.select("asset", "scenario", "max_drawdown", "min_return"))
+    out = K.stress(t.daily_returns, RETURN_SERIES, {n: e[1](F.col("ret")) for n, e in SCEN.items()})
+    return rounded(out.select("asset", "scenario", "max_drawdown", "min_return", "longest_recovery", "open_recovery"))
 
 
 @query("inverse_volatility_weights", f"WITH {RETURNS}, v AS (SELECT asset, stddev_samp(ret) AS vol, avg(ret) - 0.1 AS signal FROM daily GROUP BY 1), i AS (SELECT *, CASE WHEN signal > 0 THEN 1 / vol ELSE 0 END AS inv FROM v) SELECT asset, {R('coalesce(inv / nullif(sum(inv) OVER (), 0), 0)')} AS weight FROM i")
@@ -215,16 +224,15 @@ def _optimal(t):
 
 @query("signal_returns", f"""WITH {BARS}, s AS (SELECT *, CASE WHEN {roll('avg', 'close', 5, BW)} > {roll('avg', 'close', 20, BW)} THEN 1 ELSE 0 END AS sig FROM bars),
 p AS (SELECT *, coalesce(lag(sig) OVER ({BW}), 0) AS pos, coalesce(lag(sig, 2) OVER ({BW}), 0) AS was FROM s),
-r AS (SELECT symbol, ts, greatest(coalesce(close / lag(close) OVER ({BW}) - 1, 0) * pos - abs(pos - was) * 0.0015, -0.99) AS sr FROM p)
-SELECT symbol, ts, {R('sr')} AS strategy_ret, {R(f'sum(ln(1 + sr)) OVER ({BW})')} AS log_equity FROM r""")
+r AS (SELECT symbol, ts, coalesce(close / lag(close) OVER ({BW}) - 1, 0) * pos - abs(pos - was) * 0.0015 AS sr FROM p)
+SELECT symbol, ts, {R('sr')} AS strategy_ret, CASE WHEN bool_or(sr <= -1) OVER ({BW}) THEN NULL ELSE {R(f'sum(CASE WHEN sr > -1 THEN ln(1 + sr) END) OVER ({BW})')} END AS log_equity FROM r""")
 def _signal_returns(t):
     p = Panel(t.bars, BAR_SERIES)
     a, b = p.mean("_f", "close", 5), p.mean("_s", "close", 20)
     sig = p.temp("_sig", F.when(F.round(F.col(a) - F.col(b), 9) > 0, 1).otherwise(0), [a, b])
     P.signal_returns(p, sig)
-    capped = p.done().withColumn("strategy_ret", F.greatest("strategy_ret", F.lit(-0.99)))
-    e = X.equity_curve(capped, BAR_SERIES, "strategy_ret")
-    return e.select("symbol", "ts", rnd("strategy_ret").alias("strategy_ret"), rnd(F.log("equity")).alias("log_equity"))
+    e = X.equity_curve(p.done(), BAR_SERIES, "strategy_ret")
+    return e.select("symbol", "ts", rnd("strategy_ret").alias("strategy_ret"), rnd(F.when(F.col("equity") > 0, F.log("equity"))).alias("log_equity"))
 
 
 @query("crossover_search")

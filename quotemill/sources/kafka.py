@@ -11,14 +11,16 @@ from quotemill.sources.decode import encode_json
 
 
 def source_options(servers: str, topics: Sequence[str] | str, starting_offsets: str = "latest",
-                   include_headers: bool = False, max_per_trigger: int | None = None) -> dict[str, str]:
+                   include_headers: bool = False, max_per_trigger: int | None = None,
+                   fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Options of a topic subscription.  Expired or lost offsets fail the stream unless ``fail_on_data_loss`` is off."""
     names = topics if isinstance(topics, str) else ",".join(topics)
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": names,
         "startingOffsets": starting_offsets,
         "includeHeaders": str(include_headers).lower(),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_per_trigger:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
