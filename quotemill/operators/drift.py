@@ -8,11 +8,12 @@ plain aggregates.  p-values are closed forms on the result rows.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.special import binomial_upper, chi2_sf, ks_p, normal_two_sided, on_rows, t_two_sided
@@ -20,6 +21,7 @@ from quotemill.operators.joins import category_counts
 from quotemill.operators.ordered import Series, attach, quantiles, running_totals
 from quotemill.operators.rolling import newest_per_key
 from quotemill.operators.stats import bin_index
+from quotemill.session import materialize
 
 EPS = 1e-10
 c = F.col
@@ -48,11 +50,12 @@ def merged_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> Da
 def order_statistics(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
     """KS, Wasserstein-1, Mann-Whitney U with tie-corrected z, energy and Anderson-Darling statistics per feature."""
     m = merged_counts(ref, cur, features)
-    f1, f2, step = c("cum_n_ref") / c("N"), c("cum_n_cur") / c("M"), F.coalesce(c("next_value") - c("value"), F.lit(0.0))
+    # An empty sample has no distribution: every comparison with it is null.
+    f1, f2, step = F.try_divide("cum_n_ref", "N"), F.try_divide("cum_n_cur", "M"), F.coalesce(c("next_value") - c("value"), F.lit(0.0))
     t = (c("n_ref") + c("n_cur")).cast("double")
     seen, total = (c("cum_n_ref") + c("cum_n_cur")).cast("double"), (c("N") + c("M")).cast("double")
     def ad(cum: str, n: str) -> Column:
-        return F.when(seen < total, t * F.pow(total * c(cum) - c(n) * seen, F.lit(2.0)) / (seen * (total - seen))).otherwise(0.0) / c(n)
+        return F.when(seen < total, t * F.pow(total * c(cum) - c(n) * seen, F.lit(2.0)) / (seen * (total - seen))).otherwise(0.0) / F.nullif(c(n), F.lit(0))
 
     out = m.groupBy("feature").agg(
         F.max(F.abs(f1 - f2)).alias("ks"), F.sum(F.abs(f1 - f2) * step).alias("wasserstein"),
@@ -96,11 +99,11 @@ def binned_measures(hist: DataFrame, keys: Sequence[str] = ("feature",)) -> Data
     keys = list(keys)
     totals = hist.groupBy(*keys).agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"))
     h = hist.join(totals, keys)
-    p, q = c("n_ref") / c("N") + EPS, c("n_cur") / c("M") + EPS
+    p, q = F.try_divide("n_ref", "N") + EPS, F.try_divide("n_cur", "M") + EPS  # null if a sample is empty
     h = h.withColumns({"_p": p, "_q": q}).withColumn("_m", (c("_p") + c("_q")) / 2)
     both, size = (c("n_ref") + c("n_cur")).cast("double"), (c("N") + c("M")).cast("double")
-    er, ec = both * c("N") / size, both * c("M") / size
-    chi = F.when(both > 0, F.pow(c("n_ref") - er, F.lit(2.0)) / er + F.pow(c("n_cur") - ec, F.lit(2.0)) / ec).otherwise(0.0)
+    er, ec = F.try_divide(both * c("N"), size), F.try_divide(both * c("M"), size)
+    chi = F.when(both > 0, F.try_divide(F.pow(c("n_ref") - er, F.lit(2.0)), er) + F.try_divide(F.pow(c("n_cur") - ec, F.lit(2.0)), ec)).otherwise(0.0)
     js = (F.sum(c("_p") * F.log(c("_p") / c("_m"))) + F.sum(c("_q") * F.log(c("_q") / c("_m")))) / 2
     return h.groupBy(*keys).agg(
         js.alias("js_divergence"), F.sqrt(F.greatest(js, F.lit(0.0))).alias("js_distance"),
@@ -133,7 +136,7 @@ def goodness_of_fit(ref: DataFrame, cur: DataFrame, col: str, alpha: float = 0.0
     """Chi-squared of current counts against reference shares, over cells whose expected count is at least 5."""
     h = category_counts(ref, cur, col)
     h = attach(h, h.agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M")))
-    e = c("n_ref") / c("N") * c("M")
+    e = F.try_divide("n_ref", "N") * c("M")
     out = h.withColumn("_e", e).filter("_e >= 5").agg(
         F.sum(F.pow(c("n_cur") - c("_e"), F.lit(2.0)) / c("_e")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     return chi_squared(out.withColumn("feature", F.lit(col)), alpha)
@@ -150,12 +153,12 @@ def mean_tests(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha: f
         F.avg(rv).alias("mean_ref"), F.avg(cv).alias("mean_cur"), F.stddev_samp(rv).alias("std_ref"), F.stddev_samp(cv).alias("std_cur"),
         F.count(rv).alias("n"), F.count(cv).alias("m"))
     d = c("mean_cur") - c("mean_ref")
-    vr, vc = c("std_ref") * c("std_ref") / c("n"), c("std_cur") * c("std_cur") / c("m")
+    vr, vc = F.try_divide(c("std_ref") * c("std_ref"), c("n")), F.try_divide(c("std_cur") * c("std_cur"), c("m"))
     s = s.withColumns(
         {
-            "z": F.try_divide(d, c("std_ref") / F.sqrt(c("m"))),
+            "z": F.try_divide(d * F.sqrt(c("m")), c("std_ref")),
             "t": F.try_divide(d, F.sqrt(vr + vc)),
-            "t_dof": F.try_divide((vr + vc) * (vr + vc), vr * vr / (c("n") - 1) + vc * vc / (c("m") - 1)),
+            "t_dof": F.try_divide((vr + vc) * (vr + vc), F.try_divide(vr * vr, c("n") - 1) + F.try_divide(vc * vc, c("m") - 1)),
             "mean_shift": F.try_divide(F.abs(d), c("std_ref")),
             "std_ratio": F.try_divide(c("std_cur"), c("std_ref")),
         }
@@ -253,16 +256,27 @@ def _path_lengths(tree, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nda
 def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation-forest score in (0, 1) per row of ``df``.
 
-    Trees grow on small samples of the reference (a bounded number of rows, picked by hash order); scoring is a
-    pass over Arrow batches with the trees shipped to the tasks.
+    Every tree draws its own ``sample`` rows from all rows of the reference and grows in a task of its own; scoring
+    is a pass over Arrow batches with the trees (``trees`` x ``sample`` nodes at most) shipped to the tasks.
     """
     cols = list(cols)
-    picked = ref.select(*[c(x).cast("double") for x in cols]).dropna()
-    picked = picked.orderBy(F.xxhash64(F.lit(seed), *cols)).limit(trees * sample // 4).toPandas().to_numpy()
-    rng = np.random.default_rng(seed)
-    take = min(sample, len(picked))
+    rows = materialize(ref.select(*[c(x).cast("double").alias(x) for x in cols]).dropna(), "isolation")
+    n = rows.count()
+    take = min(sample, n)
     depth = max(1, math.ceil(math.log2(max(take, 2))))
-    forest = [_grow(picked[rng.choice(len(picked), take, replace=False)], rng, depth) for _ in range(trees)]
+    share = min(1.0, (2.0 * take + 50) / max(n, 1))  # a thinned draw, cut to exactly ``take`` rows below
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, c("_row")), F.lit(1 << 30)).alias("h")))
+    chosen = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.explode(F.filter(draws, lambda d: d["h"] <= share * (1 << 30))))
+    order = Window.partitionBy("tree").orderBy("h", *cols)
+    chosen = chosen.select("_d.tree", "_d.h", *cols).withColumn("_rank", F.row_number().over(order)).filter(c("_rank") <= take)
+
+    def grow(key, part):
+        tree = _grow(part.sort_values(["h", *cols])[cols].to_numpy(), np.random.default_rng([seed, int(key[0])]), depth)
+        return pd.DataFrame({"tree": [int(key[0])], "nodes": [pickle.dumps(tree)]})
+
+    grown = chosen.groupBy("tree").applyInPandas(grow, "tree int, nodes binary").orderBy("tree").collect()
+    forest = [pickle.loads(r["nodes"]) for r in grown]
     norm = _average_path(take) or 1.0
     shipped = df.sparkSession.sparkContext.broadcast(forest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", anomaly_score double"
@@ -273,7 +287,7 @@ def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees:
             total = np.zeros(len(x))
             for tree in shipped.value:
                 _path_lengths(tree, x, np.arange(len(x)), 0, total)
-            yield b.assign(anomaly_score=np.power(2.0, -total / len(shipped.value) / norm))
+            yield b.assign(anomaly_score=np.power(2.0, -total / max(len(shipped.value), 1) / norm))
 
     return df.mapInPandas(score, schema)
 
@@ -332,20 +346,14 @@ def infer_roles(df: DataFrame, unique_ratio: float = 0.05) -> DataFrame:
     """numeric or categorical per column: text is categorical, and so is a number with few distinct values."""
     numeric = {"double", "float", "int", "bigint", "smallint", "tinyint"}
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    wide = df.agg(*[F.struct(F.lit(n).alias("column"), (F.approx_count_distinct(n) / F.count(n)).alias("unique_ratio"),
-                             F.lit(t in numeric).alias("_num")).alias(f"_{k}") for k, (n, t) in enumerate(kinds.items())])
-    rows = wide.select(F.explode(F.array(*[f"_{k}" for k in range(len(kinds))])).alias("x")).select("x.*")
-    role = F.when(~c("_num") | (c("unique_ratio") < unique_ratio), "categorical").otherwise("numeric")
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t in numeric).alias("num"), c(n).cast("string").alias("v")) for n, t in kinds.items()]))
+    values = df.select(cells.alias("x")).select("x.*").groupBy("column", "num", "v").agg(F.count("v").alias("n"))
+    ratio = F.try_divide(F.count("v"), F.sum("n"))  # exact, so roles do not change with the layout of the data
+    rows = values.groupBy("column", "num").agg(ratio.alias("unique_ratio"))
+    role = F.when(~c("num") | (c("unique_ratio") < unique_ratio), "categorical").otherwise("numeric")
     return rows.select("column", role.alias("role"))
 
 
-def choose_method(role: str, n: int) -> str:
-    """KS for numeric features (Wasserstein on very small samples), chi-squared for categories."""
-    if role == "categorical":
-        return "chi2"
-    return "ks" if n >= 30 else "wasserstein"
-
-
 def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Long table (feature, method, statistic, drift) over every applicable method."""
     o = order_statistics(ref, cur, numeric)

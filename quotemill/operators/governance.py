@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +33,13 @@ VERSION = T.StructType(
 
 
 def table_checksum(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table: row hashes folded by xor and by sum, with the row count."""
-    h = F.xxhash64(*sorted(df.columns))
+    """Order-free digest of a table: row hashes folded by xor and by sum, with the row count.
+
+    A row's hash covers names, types and null flags besides the values, so a null cannot change places with a value.
+    """
+    kinds = dict(df.dtypes)
+    cells = [x for n in sorted(df.columns) for x in (F.lit(f"{n}:{kinds[n]}"), c(f"`{n}`").isNull(), c(f"`{n}`"))]
+    h = F.xxhash64(*cells)
     folded = df.agg(F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(2147483647))).alias("s"), F.count(F.lit(1)).alias("rows"))
     return folded.select(F.sha2(F.concat_ws("|", "x", "s", "rows"), 256).alias("checksum"), "rows")
 
@@ -61,17 +67,17 @@ def list_versions(versions: DataFrame, dataset: str | None = None, any_tag: Sequ
     return out.orderBy(F.desc("ts"), "version_id")
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 50, backwards: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None, backwards: bool = False) -> DataFrame:
     """Nodes reached from ``start`` (node) along (src, dst) edges, with the smallest depth.
 
     Breadth first: each level joins the frontier to the edges and drops nodes already seen, so cycles end and
-    every node is kept once however many paths lead to it.
+    every node is kept once however many paths lead to it.  Without ``max_depth`` the walk ends when nothing is new.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
     edges = edges.select(c(a).alias("node"), c(b).alias("next"))
     seen = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "lineage-seen")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.select("node").join(edges, "node").select(c("next").alias("node")).distinct()
         frontier = materialize(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "lineage-level")
         if frontier.isEmpty():
@@ -123,17 +129,13 @@ def tier(ts: str, now: Column, bounds: Sequence[tuple[str, str]], last: str = "c
     return out
 
 
-def archive(spark: SparkSession, path: str, archive_path: str, condition: Column, part: str = "part") -> int:
-    """Copy matching rows to the archive, then delete them from the table; returns the number moved."""
+def archive(spark: SparkSession, path: str, archive_path: str, condition: Column, run: str, part: str = "part") -> int:
+    """Copy matching rows to the archive, then delete them from the table; returns the number moved.
+
+    The copy replaces what the same ``run`` copied before: if a run fails between copy and deletion, running it again
+    leaves every row in one place.
+    """
     from quotemill.sources.store import delete_where
 
-    spark.read.parquet(path).filter(condition).write.mode("append").partitionBy(part).parquet(archive_path)
+    spark.read.parquet(path).filter(condition).write.mode("overwrite").partitionBy(part).parquet(f"{archive_path}/run={run}")
     return delete_where(spark, path, condition, part)
-
-
-REGISTRY: dict[str, object] = {}
-
-
-def register_action(name: str, action) -> None:
-    """Named retention action: a function (kept, expired) -> DataFrame."""
-    REGISTRY[name] = action

@@ -39,7 +39,10 @@ def ema(p: Panel, span: int, col: str = "close", out: str | None = None) -> str:
 
 
 def rsi(p: Panel, n: int = 14, col: str = "close", out: str | None = None, method: str = "simple") -> str:
-    """Relative strength index from plain means, or Wilder averages seeded with the mean of n changes."""
+    """Relative strength index from plain means, or Wilder averages seeded with the mean of n changes.
+
+    A change to or from a missing price counts as none.  The Wilder form is 100 with gains only and 50 in a flat market.
+    """
     up, down = _gain_loss(p, col)
     if method == "simple":
         a, b = p.mean(f"_up_{col}_{n}", up, n), p.mean(f"_dn_{col}_{n}", down, n)
@@ -47,8 +50,8 @@ def rsi(p: Panel, n: int = 14, col: str = "close", out: str | None = None, metho
         return p.add(out or f"rsi_{n}", 100 - 100 / (1 + c(a) / (c(b) + 1e-10)), [a, b])
     a, b = p.wilder(f"_wup_{col}_{n}", up, n, start=n), p.wilder(f"_wdn_{col}_{n}", down, n, start=n)
     p.hide(a, b)
-    rs = F.when(c(b) == 0, 100.0).otherwise(c(a) / c(b))
-    return p.add(out or f"rsi_wilder_{n}", 100 - 100 / (1 + rs), [a, b])
+    moved = F.when(c(b) == 0, F.when(c(a) == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide(c(a), c(b))))
+    return p.add(out or f"rsi_wilder_{n}", moved, [a, b])
 
 
 def macd(p: Panel, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close", tag: str = "") -> list[str]:
@@ -351,7 +354,7 @@ def doji(p: Panel, share: float = 0.1) -> str:
 def ewma_variance(p: Panel, decay: float = 0.94, out: str = "ewma_vol") -> str:
     """Exponentially weighted volatility of returns (stands in for a declared conditional-variance model)."""
     prev = _lag(p, "close")
-    r = c("close") / c(prev) - 1
+    r = F.try_divide(c("close"), c(prev)) - 1
     sq = p.temp("_ret2", F.coalesce(r * r, F.lit(0.0)), [prev])
     v = p.ema("_ewma_var", sq, alpha=1 - decay, start=1)
     p.hide(v)
@@ -420,7 +423,7 @@ def running_totals_of_volume(df: DataFrame, s: Series) -> DataFrame:
     """obv, accumulation/distribution, price-volume trend and negative volume index in one pass."""
     p = Panel(df, s)
     prev, pv = p.temp("_pc", F.lag("close").over(p.w), back=1), p.temp("_pvol", F.lag("volume").over(p.w), back=1)
-    ret = c("close") / c(prev) - 1
+    ret = F.try_divide(c("close"), c(prev)) - 1  # none after a price of zero
     p.add("_obv", F.coalesce(F.signum(c("close") - c(prev)) * c("volume"), F.lit(0.0)), [prev])
     p.add("_ad", money_flow_multiplier() * c("volume"))
     p.add("_pvt", F.coalesce(ret * c("volume"), F.lit(0.0)), [prev])

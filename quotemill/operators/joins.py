@@ -181,7 +181,7 @@ def arbitrage(matches: DataFrame, fees_bps: float = 5.0, min_profit: float = 1e-
     fee = fees_bps / 10000
     out = matches.withColumns(
         {
-            "spread_bps": (F.col("sell_price") - F.col("buy_price")) / F.col("buy_price") * 10000,
+            "spread_bps": F.try_divide(F.col("sell_price") - F.col("buy_price"), F.col("buy_price")) * 10000,
             "pnl": (F.col("sell_price") - F.col("buy_price")) * F.col("quantity"),
         }
     )

@@ -132,4 +132,4 @@ def triangular(tops: DataFrame, pairs: DataFrame, at: Sequence[str], edge: float
     out = base.join(F.broadcast(pairs), "base").join(quote, [*at, "quote"])
     out = out.withColumns({"synthetic_bid": c("_bb") * c("_qb"), "synthetic_ask": c("_ba") * c("_qa")})
     out = out.filter(c("synthetic_bid") > (1 + edge) * c("synthetic_ask"))
-    return out.withColumn("edge", c("synthetic_bid") / c("synthetic_ask") - 1).drop("_bb", "_ba", "_qb", "_qa")
+    return out.withColumn("edge", F.try_divide(c("synthetic_bid"), c("synthetic_ask")) - 1).drop("_bb", "_ba", "_qb", "_qa")

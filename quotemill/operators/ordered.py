@@ -100,12 +100,22 @@ PANEL_ROWS = 4096
 FORGET = 1e-17
 
 
+# Largest power of 1 / decay that a stretch may reach inside a double.
+LARGEST = 1e250
+
+
 def memory_rows(decay: float) -> int:
-    """Power-of-four window after which ``decay`` raised to its length is below rounding error."""
+    """Power-of-four window after which ``decay`` raised to its length is below rounding error.
+
+    The common length is 256; a fast decay gets a shorter one, so that the inverse powers inside a stretch stay finite.
+    History below ``FORGET`` of the total is dropped: a spike more than 1e16 times the level would show that.
+    """
     need = math.ceil(math.log(FORGET) / math.log(decay))
     m = 256
     while m < need:
         m *= 4
+    while m > 16 and m // 4 >= need and m * -math.log(decay) > math.log(LARGEST):
+        m //= 4
     return m
 
 
@@ -136,6 +146,7 @@ class Panel:
         self.depth: dict[str, int] = {}
         self.hidden: list[str] = []
         self.minis: set[int] = set()
+        self.weights: dict[tuple, str] = {}
         self.w = Window.partitionBy(*self.series.keys, "_block").orderBy("_i")
         self.keys_sql = ", ".join(f"`{k}`" for k in self.series.keys)
         self.order_sql = f"PARTITION BY {self.keys_sql}, _block ORDER BY _i"
@@ -217,13 +228,29 @@ class Panel:
 
     def ema(self, out: str, c: str, span: float | None = None, alpha: float | None = None, start: int = 0,
             seed: str | None = None) -> str:
-        """Recursive moving average, seeded with the first value (or ``seed``) at row ``start``."""
+        """Recursive moving average, seeded with the first value (or ``seed``) at row ``start``.
+
+        A null value has no weight while the weights of earlier values go on fading by row, as in an exponentially
+        weighted mean by absolute positions; the result stays as it was.  Without nulls the weights sum to 1 and this is
+        y = y' + alpha (x - y').  Alpha 1 (span 1) is the value itself.
+        """
         if out in self.depth:
             return out
         a = alpha if alpha is not None else 2.0 / (span + 1.0)
-        u = f"CASE WHEN _i < {start} THEN 0D WHEN _i = {start} THEN `{seed or c}` ELSE {a!r}D * `{c}` END"
-        self.temp(f"_u_{out}", F.expr(u), [c] + ([seed] if seed else []))
-        return self.recur(out, f"_u_{out}", 1.0 - a, start)
+        first, uses = seed or c, [c] + ([seed] if seed else [])
+        if a >= 1.0:
+            return self.add(out, F.expr(f"CASE WHEN _i = {start} THEN `{first}` WHEN _i > {start} THEN `{c}` END"), uses)
+        u = f"CASE WHEN _i < {start} THEN 0D WHEN _i = {start} THEN coalesce(`{first}`, 0D) ELSE {a!r}D * coalesce(`{c}`, 0D) END"
+        self.temp(f"_u_{out}", F.expr(u), uses)
+        total = self.recur(f"_n_{out}", f"_u_{out}", 1.0 - a, start)
+        key = (c, seed, a, start)
+        if key not in self.weights:
+            name = self.weights[key] = f"_w{len(self.weights)}"
+            w = f"CASE WHEN _i < {start} THEN 0D WHEN _i = {start} THEN nvl2(`{first}`, 1D, 0D) ELSE nvl2(`{c}`, {a!r}D, 0D) END"
+            self.temp(f"_u{name}", F.expr(w), uses)
+            self.recur(name, f"_u{name}", 1.0 - a, start)
+        self.hide(total, self.weights[key])
+        return self.add(out, F.expr(f"try_divide(`{total}`, `{self.weights[key]}`)"), [total, self.weights[key]])
 
     def wilder(self, out: str, c: str, n: int, start: int) -> str:
         """Average with alpha = 1/n whose seed is the plain mean of the n values ending at ``start``."""

@@ -107,7 +107,7 @@ def risk_contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
     sw = cov.join(wb, "b").groupBy("a").agg(F.sum(c("cov") * c("_wb")).alias("_sw"))
     per = sw.join(weights.select(c("asset").alias("a"), "weight"), "a").withColumn("_part", c("weight") * c("_sw"))
     total = per.agg(F.sum("_part").alias("_var"))
-    return attach(per, total).select(c("a").alias("asset"), (c("_part") / c("_var")).alias("contribution"))
+    return attach(per, total).select(c("a").alias("asset"), F.try_divide(c("_part"), c("_var")).alias("contribution"))
 
 
 def _moments(wide: DataFrame, assets: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +192,7 @@ def signal_returns(p: Panel, signal: str, price: str = "close", fee: float = 0.0
     pos = p.temp(f"_pos_{out}", F.coalesce(F.lag(signal).over(p.w), F.lit(0)).cast("double"), [signal], back=1)
     prev = p.temp(f"_was_{out}", F.coalesce(F.lag(pos).over(p.w), F.lit(0.0)), [pos], back=1)
     past = p.temp(f"_px_{out}", F.lag(price).over(p.w), [price], back=1)
-    gross = F.coalesce(c(price) / c(past) - 1, F.lit(0.0)) * c(pos)
+    gross = F.coalesce(F.try_divide(c(price), c(past)) - 1, F.lit(0.0)) * c(pos)
     return p.add(out, gross - F.abs(c(pos) - c(prev)) * (fee + slippage), [pos, prev, past, price])
 
 

@@ -54,7 +54,8 @@ def limits(field: str, low=None, high=None, warn_low=None, warn_high=None) -> li
 
 
 def outlier(field: str, mean: float, std: float, limit: float = 3.0) -> Column:
-    return issue(F.abs(c(field) - mean) / std > limit, field, "outlier", "warning", f"{field} is more than {limit} deviations off")
+    """Distance from the mean in deviations; with a deviation of 0 (or unknown) no row is an outlier."""
+    return issue(F.coalesce(F.try_divide(F.abs(c(field) - F.lit(mean)), F.lit(std)) > limit, F.lit(False)), field, "outlier", "warning", f"{field} is more than {limit} deviations off")
 
 
 def one_of(field: str, values: Sequence[str]) -> Column:

@@ -64,7 +64,7 @@ def var_contributions(df: DataFrame, weights: DataFrame, confidence: float = 0.9
     z = NORMAL.inv_cdf(1 - confidence)
     port = portfolio_returns(df, weights, ret).withColumnRenamed(ret, "_p")
     per = df.join(port, "ts").groupBy("asset").agg(F.corr(ret, "_p").alias("_c"), F.stddev_samp(ret).alias("_s"), F.stddev_samp("_p").alias("_ps"))
-    out = per.join(weights, "asset").withColumn("marginal_var", -z * c("_c") * c("_s") / c("_ps"))
+    out = per.join(weights, "asset").withColumn("marginal_var", F.try_divide(-z * c("_c") * c("_s"), c("_ps")))
     delta = change if isinstance(change, Column) else F.lit(change)
     return out.select("asset", "marginal_var", (c("weight") * c("marginal_var")).alias("component_var"), (delta * c("marginal_var")).alias("incremental_var"))
 

@@ -63,10 +63,10 @@ def _set(t):
 
 
 @query("feature_lookup", f"WITH {VALUES}, rq AS (SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS entity_id, ts FROM events WHERE event_type = 'purchase') SELECT rq.request_id, rq.entity_id, " + ", ".join(
-    f"(SELECT arg_max(fv.value, fv.ts) FROM fv WHERE fv.feature = '{f}' AND fv.entity_id = rq.entity_id AND fv.ts <= rq.ts) AS \"{f}\"" for f in FEATURES) + " FROM rq")
+    f"(SELECT arg_max(fv.value, fv.ts) FROM fv WHERE fv.feature = '{f}' AND fv.version = 1 AND fv.entity_id = rq.entity_id AND fv.ts <= rq.ts) AS \"{f}\"" for f in FEATURES) + " FROM rq")
 def _lookup(t):
     requests = t.events.filter("event_type = 'purchase'").select(F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("entity_id"), "ts")
-    return feature_store(t).lookup(requests, FEATURES).drop("ts")
+    return feature_store(t).lookup(requests, FEATURES, production=True).drop("ts")
 
 
 @query("feature_versions_resolved", f"WITH {VALUES} SELECT feature, CAST(max(version) AS INT) AS latest, CAST(min(version) AS INT) AS production FROM fv GROUP BY 1")
@@ -160,15 +160,18 @@ def _mixture(t):
 # -- versions and lineage --------------------------------------------------------------------------------
 
 
-@query("dataset_checksum", "SELECT true AS same_in_any_order, true AS changed_by_one_value, count(*) AS rows FROM orders")
+@query("dataset_checksum", "SELECT true AS same_in_any_order, true AS changed_by_one_value, true AS changed_by_moved_nulls, count(*) AS rows FROM orders")
 def _checksum(t):
     o = t.orders
     a, b = G.table_checksum(o), G.table_checksum(o.repartition(7, "o_custkey").sort("o_totalprice"))
     top = o.agg(F.max("o_orderkey").alias("k"))
     other = G.table_checksum(o.join(F.broadcast(top), o["o_orderkey"] == top["k"], "left").withColumn(
         "o_totalprice", F.when(F.col("k").isNotNull(), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("k"))
-    return (a.join(b.withColumnRenamed("checksum", "b"), "rows").join(other.withColumnRenamed("checksum", "c"), "rows")
-            .select((F.col("checksum") == F.col("b")).alias("same_in_any_order"), (F.col("checksum") != F.col("c")).alias("changed_by_one_value"), "rows"))
+    pair = [o.select(F.when(F.lit(k), F.col("o_orderkey")).alias("x"), F.when(~F.lit(k), F.col("o_orderkey")).alias("y")) for k in (True, False)]
+    left, right = (G.table_checksum(d).withColumnRenamed("checksum", n) for d, n in zip(pair, "de"))
+    return (a.join(b.withColumnRenamed("checksum", "b"), "rows").join(other.withColumnRenamed("checksum", "c"), "rows").join(left, "rows").join(right, "rows")
+            .select((F.col("checksum") == F.col("b")).alias("same_in_any_order"), (F.col("checksum") != F.col("c")).alias("changed_by_one_value"),
+                    (F.col("d") != F.col("e")).alias("changed_by_moved_nulls"), "rows"))
 
 
 @query("dataset_versions", "SELECT 'customers' AS dataset_id, 'filter' AS operation, count(*) AS rows FROM customer WHERE c_acctbal > 0")
@@ -247,7 +250,7 @@ def _tiers(t):
 def _archive(t):
     path, old = scratch(t.spark, "retained"), scratch(t.spark, "archive")
     t.ticks.withColumn("part", time_key("ts", "day")).repartition("part").write.partitionBy("part").parquet(path)
-    G.archive(t.spark, path, old, F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    G.archive(t.spark, path, old, F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"), run="2024-01-20")
     count = lambda p, n: t.spark.read.parquet(p).groupBy(F.lit(n).alias("place")).agg(F.count(F.lit(1)).alias("n"))
     return count(path, "table").unionByName(count(old, "archive"))
 

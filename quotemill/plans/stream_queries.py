@@ -31,13 +31,18 @@ def arrivals(t, late: bool = False) -> str:
             now = now.unionByName(before)
             if k == len(BATCHES) - 1:
                 now = now.unionByName(events.filter(cond).filter(slow))
-        now.write.mode("append").parquet(f"{path}/part-{k}")
+        now.coalesce(1).write.mode("append").parquet(f"{path}/part-{k}")
     return f"{path}/*"
 
 
+def stream(t, path: str):
+    """A landing folder as a stream of ticks, one file a batch."""
+    return ticks(store.stream_table(t.spark, path, EVENTS, files_per_trigger=1))
+
+
 def live(t):
-    """The whole event table as one stream."""
-    return ticks(store.stream_table(t.spark, f"{t.path}/events.parquet*", EVENTS))
+    """The event table as a stream of four batches."""
+    return stream(t, arrivals(t))
 
 
 @query("stream_tumbling", f"""WITH {TICKS} SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, symbol, {SUMMARY} FROM ticks GROUP BY 1, 2, 3""")
@@ -71,25 +76,35 @@ def _join(t):
 
 
 @query("stream_left_join", f"""WITH {TICKS}, m AS (SELECT l.tie AS l_tie, l.ts, r.tie AS r_tie FROM ticks l LEFT JOIN ticks r ON l.user_id = r.user_id AND r.symbol = 'purchase' AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 2 HOUR WHERE l.symbol = 'click')
-SELECT count(*) FILTER (r_tie IS NOT NULL) AS matched FROM m""")
+SELECT l_tie, coalesce(r_tie, -1) AS r_tie FROM m WHERE r_tie IS NOT NULL OR ts < (SELECT least(max(ts) FILTER (symbol = 'click'), max(ts) FILTER (symbol = 'purchase')) - INTERVAL 5 MINUTE FROM ticks)""")
 def _left_join(t):
     left = live(t).filter("symbol = 'click'").select("user_id", F.col("tie").alias("l_tie"), F.col("ts").alias("l_ts"))
     right = live(t).filter("symbol = 'purchase'").select("user_id", F.col("tie").alias("r_tie"), F.col("ts").alias("r_ts"))
     out = jobs.run_to_table(jobs.windowed_join(left, right, ["user_id"], "2 hours", how="left_outer"), "left-join")
-    return out.agg(F.count("r_tie").alias("matched"))
+    return out.select("l_tie", F.coalesce("r_tie", F.lit(-1)).alias("r_tie"))  # rows without a match come out once the watermark has passed them
+
+
+@query("stream_full_join", f"""WITH {TICKS}, b AS (SELECT least(max(ts) FILTER (symbol = 'click'), max(ts) FILTER (symbol = 'purchase')) - INTERVAL 5 MINUTE AS wm FROM ticks),
+l AS (SELECT * FROM ticks WHERE symbol = 'click'), r AS (SELECT * FROM ticks WHERE symbol = 'purchase'),
+m AS (SELECT l.tie AS l_tie, l.ts AS l_ts, r.tie AS r_tie, r.ts AS r_ts FROM l FULL JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.ts >= l.ts - INTERVAL 2 HOUR)
+SELECT coalesce(l_tie, -1) AS l_tie, coalesce(r_tie, -1) AS r_tie FROM m, b WHERE (l_tie IS NOT NULL AND r_tie IS NOT NULL) OR l_ts < wm OR r_ts + INTERVAL 2 HOUR < wm""")
+def _full_join(t):
+    left = live(t).filter("symbol = 'click'").select("user_id", F.col("tie").alias("l_tie"), F.col("ts").alias("l_ts"))
+    right = live(t).filter("symbol = 'purchase'").select("user_id", F.col("tie").alias("r_tie"), F.col("ts").alias("r_ts"))
+    return jobs.run_to_table(jobs.windowed_join(left, right, ["user_id"], "2 hours", how="full_outer"), "full-join").select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("l_tie", "r_tie")])
 
 
 @query("stream_count_windows", f"""WITH {TICKS}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, tie) - 1 AS i FROM ticks),
 w AS (SELECT *, unnest(range(CAST(greatest(ceil((i - 99) / 50), 0) AS BIGINT), CAST(floor(i / 50) + 1 AS BIGINT))) AS window_id FROM i)
 SELECT symbol, window_id, {R('avg(price)')} AS avg_price, sum(volume) AS volume FROM w GROUP BY 1, 2 HAVING count(*) = 100""")
 def _count(t):
-    s = ticks(store.stream_table(t.spark, arrivals(t), EVENTS, files_per_trigger=None))
+    s = live(t)
     return rounded(jobs.run_to_table(stateful.count_windows(s, 100, 50), "count-windows").drop("batch"), 6, "avg_price")
 
 
 @query("stream_running_state", f"WITH {TICKS} SELECT symbol, count(*) AS n, arg_max(price, (ts, tie)) AS last_price, arg_max(volume, (ts, tie)) AS last_volume, arg_max(tie, (ts, tie)) AS last_tie FROM ticks GROUP BY 1")
 def _state(t):
-    s = ticks(store.stream_table(t.spark, arrivals(t), EVENTS))
+    s = live(t)
     return jobs.latest(jobs.run_to_table(stateful.running_state(s), "running", "update"), ["symbol"])
 
 
@@ -105,9 +120,14 @@ def _live_book(t):
 
 @query("stream_deduplicated", f"WITH {TICKS} SELECT tie, symbol, price FROM ticks")
 def _dedup(t):
-    """Every event lands twice in the same window of lateness; each comes out once."""
-    s = live(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return jobs.run_to_table(jobs.deduplicated(s, ["tie"]), "dedup").select("tie", "symbol", "price")
+    """Every event lands a second time one batch later, inside the allowed lateness; each comes out once."""
+    path = scratch(t.spark, "twice")
+    parts = [t.events.filter(cond) for cond in BATCHES]
+    for k, part in enumerate([*parts, None]):
+        rows = [x for x in (part, parts[k - 1] if k else None) if x is not None]
+        (rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])).coalesce(1).write.parquet(f"{path}/part-{k}")
+    s = stream(t, f"{path}/*")
+    return jobs.run_to_table(jobs.deduplicated(s, ["tie"], "15 days"), "dedup").select("tie", "symbol", "price")
 
 
 @query("stream_exactly_once", "SELECT event_type AS symbol, count(*) AS n, " + R("sum(value)", 3) + " AS total FROM events GROUP BY 1")
@@ -147,7 +167,7 @@ SELECT symbol, exchange, time_bucket(INTERVAL 1 HOUR, b) AS bucket, arg_min(open
   {R('sum(vwap * volume) / nullif(sum(volume), 0)')} AS vwap, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM m GROUP BY 1, 2, 3""")
 def _rollup(t):
     path = scratch(t.spark, "rollup")
-    s = ticks(store.stream_table(t.spark, arrivals(t, late=True), EVENTS, files_per_trigger=4))
+    s = stream(t, arrivals(t, late=True))
     jobs.start(s, jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks"), f"{path}/checkpoint").awaitTermination()
     return rounded(jobs.latest(t.spark.read.parquet(f"{path}/bars"), ["symbol", "exchange", "bucket"]), 6, "vwap")
 
@@ -155,7 +175,7 @@ def _rollup(t):
 @query("stream_drift")
 def _drift(t):
     reference = t.ticks.filter("ts < TIMESTAMP_NTZ'2024-01-08'")
-    s = ticks(store.stream_table(t.spark, arrivals(t), EVENTS))
+    s = live(t)
     return jobs.run_to_table(s, "drift", handler=lambda p: jobs.drift_per_batch(p, reference, ["price", "volume"]))
 
 
@@ -188,7 +208,7 @@ def _dead(t):
 @query("stream_upsert", f"WITH {TICKS} SELECT symbol, exchange, max(ts) AS ts, arg_max(price, (ts, tie)) AS price FROM ticks GROUP BY 1, 2")
 def _upsert(t):
     path = scratch(t.spark, "stream-upsert")
-    s = ticks(store.stream_table(t.spark, arrivals(t), EVENTS, files_per_trigger=2)).withColumn("part", F.col("symbol"))
+    s = live(t).withColumn("part", F.col("symbol"))
     s = s.select("symbol", "exchange", "ts", "tie", "price", "part")
 
     def handle(df, batch, inner=jobs.upsert_handler(f"{path}/table", ["symbol", "exchange"], ["ts", "tie"], "part")):
@@ -212,12 +232,12 @@ def _attach(t):
     return jobs.run_to_table(s, "alert-attach").drop("batch")
 
 
-@query("stream_progress", "SELECT count(*) AS input_rows FROM events")
+@query("stream_progress", "SELECT 4 AS batches, count(*) AS input_rows FROM events")
 def _progress(t):
     path = scratch(t.spark, "progress")
-    q = jobs.start(live(t), jobs.batch_writer(f"{path}/data"), f"{path}/checkpoint")
-    q.awaitTermination()
-    return jobs.progress_rows(t.spark, q).agg(F.sum("input_rows").alias("input_rows"))
+    handler = jobs.with_metrics(jobs.batch_writer(f"{path}/data"), f"{path}/metrics")
+    jobs.start(live(t), handler, f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{path}/metrics").agg(F.count(F.lit(1)).alias("batches"), F.sum("input_rows").alias("input_rows"))
 
 
 @query("stream_from_config", f"""WITH {TICKS} SELECT 'accepted' AS part, count(*) AS n, {R("sum(price * volume)", 2)} AS notional FROM ticks WHERE price BETWEEN 10 AND 90 AND volume >= 1

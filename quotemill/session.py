@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,13 +35,46 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     folder = tempfile.mkdtemp(prefix="quotemill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _located(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever file system the path names."""
+    files, there = _located(spark, path)
+    return files.exists(there)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or a folder with all it holds; one that is not there is no error."""
+    files, there = _located(spark, path)
+    files.delete(there, True)
+
+
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unique path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every intermediate this process has written so far; frames that still read them end with it.
+
+    Returns the number of paths.  A local session's own temporary folder goes when the process ends anyway.
+    """
+    gone = [_made.pop() for _ in range(len(_made))]
+    for path in gone:
+        remove_path(spark, path)
+    return len(gone)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill.functions.scalars import hash_bucket, matches, time_key
-from quotemill.session import materialize, scratch
+from quotemill.session import materialize, remove_path, scratch
 
 # File suffix -> data source name.
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
@@ -119,36 +118,28 @@ def upsert(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[st
     """Upsert into a partitioned table, rewriting only the partitions that receive updates."""
     updates = materialize(updates, "upsert-in")
     touched = updates.select(part).distinct()
-    base = spark.read.schema(updates.schema).parquet(path).join(F.broadcast(touched), part, "left_semi")
+    base = spark.read.schema(updates.schema).parquet(path).join(touched, part, "left_semi")
     merged = materialize(merge_rows(base, updates, keys, order), "upsert-out")
-    merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    merged.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def delete_where(spark: SparkSession, path: str, condition: Column, part: str = "part") -> int:
     """Delete matching rows; only partitions that hold one are rewritten.  Returns the number of rows removed."""
     df = spark.read.parquet(path)
-    hit = materialize(df.filter(condition).groupBy(part).agg(F.count(F.lit(1)).alias("n")), "delete-hit")
+    gone = F.coalesce(condition, F.lit(False))
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    counts = df.groupBy(part, folder.alias("folder")).agg(F.count_if(gone).alias("n"), F.count_if(~gone).alias("left"))
+    hit = materialize(counts.filter("n > 0"), "delete-hit")
     removed = hit.agg(F.sum("n")).first()[0] or 0
     if removed:
-        keep = df.join(F.broadcast(hit.select(part)), part, "left_semi").filter(F.coalesce(~condition, F.lit(True)))
-        keep = materialize(keep, "delete-keep")
-        emptied = [r[0] for r in hit.join(keep.select(part).distinct(), part, "left_anti").select(part).toLocalIterator()]
-        keep.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
-        drop_partitions(spark, path, part, emptied)
+        touched = hit.filter("left > 0").select(part).distinct()
+        keep = materialize(df.join(touched, part, "left_semi").filter(~gone), "delete-keep")
+        keep.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        for r in hit.filter("left = 0").select("folder").toLocalIterator():  # as many as folders were emptied
+            remove_path(spark, spark._jvm.java.net.URI(r["folder"]).getPath())
     return removed
 
 
-def drop_partitions(spark: SparkSession, path: str, part: str, values: Sequence) -> None:
-    """Leave the named partition folders without rows."""
-    schema = spark.read.parquet(path).drop(part).schema
-
-    def clear(value) -> None:
-        spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{part}={value}")
-
-    with ThreadPoolExecutor(8) as pool:
-        list(pool.map(clear, values))
-
-
 def range_predicate(ts: str, start, stop, extra: Column | None = None) -> Column:
     """[start, stop) with an optional further condition."""
     cond = (F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(stop).cast("timestamp_ntz"))
@@ -161,10 +152,3 @@ def compact(pages: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     for page in pages[1:]:
         out = out.unionByName(page, allowMissingColumns=True)
     return out.dropDuplicates(list(keys)).sortWithinPartitions(*keys)
-
-
-def temp_table(df: DataFrame, label: str) -> str:
-    """Write to the shared folder and return the path."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return path

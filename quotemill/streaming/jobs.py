@@ -6,14 +6,16 @@ each batch counts once, and ``latest`` reads the newest version of every row tha
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quotemill.operators.bars import tick_summary
-from quotemill.session import scratch
+from quotemill.operators.ordered import attach
+from quotemill.session import path_exists, scratch
 from quotemill.sources.store import latest_per_key
 
 c = F.col
@@ -48,9 +50,22 @@ def latest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return latest_per_key(table, list(keys), ["batch"]).drop("batch")
 
 
-def append_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", every: str = "60 seconds") -> StreamingQuery:
-    """Plain append to a table format."""
-    return df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(processingTime=every).start()
+def append_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", every: str | None = "60 seconds") -> StreamingQuery:
+    """Plain append to a table format; without an interval the available data is processed and the query ends."""
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def held(handler: Batch) -> Batch:
+    """A handler that reads its batch several times gets it computed once, and releases it after."""
+    def write(df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        try:
+            handler(df, batch)
+        finally:
+            df.unpersist()
+
+    return write
 
 
 # -- windows ---------------------------------------------------------------------------------------------
@@ -109,42 +124,63 @@ def with_late_rows(path: str, late_seconds: float, ts: str = "ts") -> Batch:
         spark = df.sparkSession
         top = None
         if batch > 0:
-            top = spark.read.parquet(f"{path}/newest").filter(c("batch") < batch).agg(F.max("top")).first()[0]
+            top = spark.read.parquet(f"{path}/newest/batch={batch - 1}").first()[0]
         limit = F.lit(top).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(float(late_seconds)))
         is_late = F.lit(False) if top is None else c(ts) < limit
         df = df.withColumn("is_late", is_late)
         df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        df.agg(F.max(ts).alias("top")).write.mode("overwrite").parquet(f"{path}/newest/batch={batch}")
+        # The file holds the newest time so far, so the next batch reads one row whatever came before.
+        newest = df.agg(F.max(ts).alias("top"))
+        if top is not None:
+            newest = newest.select(F.greatest("top", F.lit(top).cast("timestamp_ntz")).alias("top"))
+        newest.write.mode("overwrite").parquet(f"{path}/newest/batch={batch}")
+
+    return held(write)
 
-    return write
 
+def incremental_rollup(path: str, source: str, interval: str = "1h", part: str = "day", start: str | None = None, end: str | None = None) -> Batch:
+    """Continuous aggregate: store ticks by time, rebuild only the coarse buckets the batch touches.
 
-def incremental_rollup(path: str, source: str, interval: str = "1h") -> Batch:
-    """Continuous aggregate: store finer bars per batch, rebuild only the coarse buckets the batch touches."""
+    Ticks lie in folders by ``part`` and batch, and only the folders of touched buckets are read again.  The refresh
+    window takes buckets from ``start`` to ``end`` before the newest time of the batch; others wait for a later call.
+    """
     from quotemill.operators.bars import bucket, ohlcv, rollup_bars
 
     def write(ticks: DataFrame, batch: int) -> None:
         spark = ticks.sparkSession
-        ticks.select("symbol", "exchange", "ts", "tie", "price", "volume").write.mode("overwrite").parquet(f"{source}/batch={batch}")
-        everything = spark.read.option("basePath", source).parquet(source).filter(c("batch") <= batch)
+        rows = ticks.select("symbol", "exchange", "ts", "tie", "price", "volume", F.date_trunc(part, "ts").cast("timestamp_ntz").cast("string").alias("slot"))
+        rows = rows.withColumn("batch", F.lit(batch)).hint("rebalance", "slot")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(source)
         touched = ticks.select("symbol", "exchange", bucket("ts", interval).alias("bucket")).distinct()
-        affected = everything.withColumn("bucket", bucket("ts", interval)).join(touched, ["symbol", "exchange", "bucket"], "left_semi").drop("bucket", "batch")
+        if start or end:
+            newest = ticks.agg(F.max("ts").alias("top"))
+            touched = attach(touched, newest)
+            if start:
+                touched = touched.filter(c("bucket") >= c("top") - F.expr(f"INTERVAL {start}"))
+            if end:
+                touched = touched.filter(c("bucket") <= c("top") - F.expr(f"INTERVAL {end}"))
+            touched = touched.drop("top")
+        slots = [r[0] for r in ticks.select(F.date_trunc(part, "ts").cast("timestamp_ntz").cast("string")).distinct().collect()]  # folders of this batch
+        stored = spark.read.parquet(source).filter(c("slot").cast("string").isin(slots) & (c("batch") <= batch))
+        affected = stored.withColumn("bucket", bucket("ts", interval)).join(touched, ["symbol", "exchange", "bucket"], "left_semi").drop("bucket", "batch", "slot")
         rollup_bars(ohlcv(affected, "1m"), interval).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    return write
+    return held(write)
 
 
-def drift_per_batch(path: str, reference: DataFrame, features: Sequence[str]) -> Batch:
-    """Mean shift, KS and stability index of every batch against a stored reference."""
+def drift_per_batch(path: str, reference: DataFrame, features: Sequence[str], alpha: float = 0.05) -> Batch:
+    """Score (mean shift), KS with p-value, stability index and a flag per feature and batch, against a stored reference."""
+    from quotemill.functions.special import ks_p, on_rows
     from quotemill.operators import drift as D
 
     def write(df: DataFrame, batch: int) -> None:
         o = D.order_statistics(reference, df, features).select("feature", "ks", "n", "m")
         b = D.binned_measures(D.shared_histogram(reference, df, features)).select("feature", "psi")
         s = D.mean_tests(reference, df, features).select("feature", "mean_shift")
-        o.join(b, "feature").join(s, "feature").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        out = o.join(b, "feature").join(s, "feature").withColumn("p_value", on_rows(ks_p, "ks", "n", "m"))
+        out.withColumn("drift", c("p_value") < alpha).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    return write
+    return held(write)
 
 
 def with_dead_letters(path: str, checks: Sequence[Column]) -> Batch:
@@ -156,7 +192,7 @@ def with_dead_letters(path: str, checks: Sequence[Column]) -> Batch:
         v.filter("valid").drop("issues", "valid").write.mode("overwrite").parquet(f"{path}/good/batch={batch}")
         v.filter("NOT valid").drop("valid").withColumn("attempts", F.lit(0)).write.mode("overwrite").parquet(f"{path}/dead/batch={batch}")
 
-    return write
+    return held(write)
 
 
 def retry_dead_letters(dead: DataFrame, fix: Callable[[DataFrame], DataFrame], checks: Sequence[Column], max_attempts: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,42 +212,40 @@ def upsert_handler(path: str, keys: Sequence[str], order: Sequence[str], part: s
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df = df.drop("batch")
-        if not _exists(spark, path):
-            latest_per_key(df, keys, order).repartition(part).write.partitionBy(part).parquet(path)
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            latest_per_key(df, keys, order).hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(path)
         else:
             upsert(spark, path, df, keys, order, part)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except Exception:  # noqa: BLE001 - a missing folder is the expected case
-        return False
-
-
 def feature_handler(root: str, feature: str, version: int, entity: str, value: str, ts: str = "ts") -> Batch:
-    """Feature-store sink: each batch appends the values of one feature."""
+    """Feature-store sink: each batch holds its values under its own number, so a replayed batch replaces itself."""
     from quotemill.operators.feature_store import FeatureStore
 
     def write(df: DataFrame, batch: int) -> None:
         rows = df.select(F.lit(feature).alias("feature"), F.lit(version).alias("version"), c(entity).cast("string").alias("entity_id"), c(ts).alias("ts"), c(value).cast("double").alias("value"))
-        FeatureStore(df.sparkSession, root).write(rows)
+        FeatureStore(df.sparkSession, root).write(rows, batch)
 
     return write
 
 
 # -- metrics ---------------------------------------------------------------------------------------------
 
-PROGRESS = "batch long, input_rows long, rows_per_second double, batch_ms long, state_rows long"
+METRICS = "input_rows long, batch_ms long, rows_per_second double"
+
 
+def with_metrics(handler: Batch, path: str) -> Batch:
+    """Keep input rows, duration and rate of every batch in a table, one folder per batch.
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Input rows, rate, duration and state size per recent micro-batch of a query."""
-    rows = []
-    for p in query.recentProgress:
-        state = sum(op.numRowsTotal for op in p.stateOperators)
-        rows.append((p.batchId, p.numInputRows, float(p.processedRowsPerSecond or 0.0), p.batchDuration, state))
-    return spark.createDataFrame(rows, PROGRESS)
+    Rows are counted while ``handler`` reads the batch, which it must do at least once; a replayed batch replaces its row.
+    """
+    def write(df: DataFrame, batch: int) -> None:
+        seen, began = Observation(), time.monotonic()
+        handler(df.observe(seen, F.count(F.lit(1)).alias("rows")), batch)
+        seconds, rows = time.monotonic() - began, seen.get["rows"]
+        one = [(rows, int(seconds * 1000), rows / max(seconds, 1e-3))]
+        df.sparkSession.createDataFrame(one, METRICS).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write

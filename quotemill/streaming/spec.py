@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quotemill.operators.project import compose
 from quotemill.operators.quality import validate
 from quotemill.sources.store import stream_table
-from quotemill.streaming.jobs import Batch, batch_writer, start
+from quotemill.streaming.jobs import Batch, batch_writer, held, start
 
 
 @dataclass
@@ -43,7 +43,7 @@ class StreamSpec:
             if checked is not None:
                 reject(checked.filter("NOT valid").drop("valid"), batch)
 
-        return start(source, handle, self.checkpoint, every=every)
+        return start(source, held(handle), self.checkpoint, every=every)
 
 
 def from_config(config: dict, schema: T.StructType, checks: list[Column], transforms: list[Callable[[DataFrame], DataFrame]]) -> StreamSpec:
