@@ -7,8 +7,8 @@
 3. In each band bucket all classes are compared with the smallest one (a star, not all pairs).  The sketch drops
    hopeless pairs; of the rest each class first tries its likeliest partner.  Confirmed links give components.
 4. What is left are pairs in one bucket but in different components.  Buckets are cut into pieces of bounded size
-   and pieces are compared two by two inside tasks, on sketches only; nothing is emitted for pairs of one
-   component, so a group of near copies costs its size and not its square.  The survivors are confirmed as well.
+   and pieces are compared two by two inside tasks: sketches first, then the full sets of what they leave.  Pairs of
+   one component are never looked at, and a task returns links only, so no list of pairs is ever made.
 5. Components over the links by alternating large-star and small-star steps on written tables.
 
 Two sets of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6; a true link fails the sketch test
@@ -38,7 +38,8 @@ THRESHOLD = (75, 100)  # intersection / union, compared as products
 BANDS, ROWS = 32, 4
 SAMPLES = 256
 SKETCH_BITS = 1024
-PIECE = 2048  # classes of a bucket that one task compares with as many others
+PIECE = 512  # classes of a bucket that one task compares with as many others
+STAR_ONLY = 2  # a bucket of so few classes has no pair beside its star
 # Most differing sketch bits of a pair of similarity 0.75: mean 113, standard deviation 12, plus five of these.
 FAR_BITS = 174
 
@@ -214,10 +215,11 @@ def star_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("a", "b", distance("ka", "kb").alias("far")).filter(F.col("far") <= FAR_BITS)
 
 
-def rest_pairs(members: DataFrame, found: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket in different components whose sizes and sketches allow a link.
+def rest_links(members: DataFrame, full: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links between classes of one bucket that are in different components so far.
 
-    Pieces hold one large component or several small ones; two pieces of one component are never compared.
+    Pieces hold one large component or several small ones; two pieces of one component are never compared.  A task
+    gets two pieces with their full sets and returns links only, at most one for any two components.
     """
     named = members.join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("key", "class", F.coalesce("root", "class").alias("root"))
@@ -225,7 +227,7 @@ def rest_pairs(members: DataFrame, found: DataFrame, roots: DataFrame) -> DataFr
     open_keys = (
         counts.groupBy("key")
         .agg(F.count(F.lit(1)).alias("roots"), F.sum("c").alias("all"), F.sum(F.when(F.col("c") <= PIECE, F.col("c")).otherwise(0)).alias("small"))
-        .filter("roots > 1 AND all > 2")
+        .filter(f"roots > 1 AND all > {STAR_ONLY}")
         .select("key", "small")
     )
     large = F.col("c") > PIECE
@@ -246,50 +248,77 @@ def rest_pairs(members: DataFrame, found: DataFrame, roots: DataFrame) -> DataFr
     placed = named.join(tags, ["key", "root"]).select(
         "key", "class", "root", F.struct("large", "of", F.pmod(F.xxhash64("class"), "parts").alias("no")).alias("piece")
     )
-    placed = placed.join(found.select("class", "n", "sketch"), "class")
     first = placed.join(duels.withColumn("piece", F.col("p")), ["key", "piece"]).withColumn("side", F.lit(0))
     second = placed.join(duels.filter("p <> q").withColumn("piece", F.col("q")), ["key", "piece"]).withColumn("side", F.lit(1))
-    ring = first.union(second).select("key", F.xxhash64("p", "q").alias("duel"), "side", "class", "root", "n", "sketch")
+    ring = first.union(second).select("key", F.xxhash64("p", "q").alias("duel"), "side", "class", "root")
+    ring = ring.join(full.select("class", "n", "bands", "sketch", "set"), "class")
     return ring.groupBy("key", "duel").applyInPandas(_compare, "a long, b long").distinct()
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two pieces (or within one) with other roots, fitting sizes and near sketches."""
-    sides = [group[group.side == 0], group[group.side == 1]]
-    alone = not len(sides[1])
-    left, right = sides[0], sides[0] if alone else sides[1]
-    words = SKETCH_BITS // 64
-
-    def columns(part):
-        bits = np.frombuffer(b"".join(part.sketch), np.uint64).reshape(-1, words)
-        return part["class"].to_numpy(), part.root.to_numpy(), part.n.to_numpy(), bits
-
-    c1, r1, n1, k1 = columns(left)
-    c2, r2, n2, k2 = columns(right)
+    """Links between two pieces (or within one) across components.
+
+    Sizes and sketches drop most pairs, and of the bands that a pair shares only the first one looks at it; the
+    others are counted on the full sets.
+    """
+    key = group.key.iloc[0]
+    left, right = group[group.side == 0], group[group.side == 1]
+    if not len(left):  # hashing may leave a piece empty
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    alone = not len(right)
+    if alone:
+        right = left
+    c1, r1, n1, k1, b1 = _columns(left)
+    c2, r2, n2, k2, b2 = _columns(right)
+    band = int(np.flatnonzero(b1[0] == key)[0])
+    sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
+    joined: dict[int, int] = {}
+
+    def top(x):
+        while x in joined:
+            x = joined[x]
+        return x
+
     out = []
-    for i in range(len(c1)):
+    for i, own in enumerate(left["set"]):
         ok = (r2 != r1[i]) & (np.minimum(n2, n1[i]) * THRESHOLD[1] >= np.maximum(n2, n1[i]) * THRESHOLD[0])
         if alone:
             ok[: i + 1] = False
         at = np.flatnonzero(ok)
-        if len(at):
-            at = at[np.bitwise_count(k2[at] ^ k1[i]).sum(axis=1) <= FAR_BITS]
-            out.extend((min(c1[i], c), max(c1[i], c)) for c in c2[at])
+        at = at[np.bitwise_count(k2[at] ^ k1[i]).sum(axis=1) <= FAR_BITS]
+        at = at[(b2[at] == b1[i]).argmax(axis=1) == band]
+        at = at[[top(r) != top(r1[i]) for r in r2[at].tolist()]] if len(at) else at
+        if not len(at):
+            continue
+        own = np.frombuffer(own, np.uint64)
+        flat = np.concatenate([sets[j] for j in at])
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[place] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(n2[at])[:-1]]))
+        for j in at[both * THRESHOLD[1] >= (n1[i] + n2[at] - both) * THRESHOLD[0]]:
+            x, y = top(int(r1[i])), top(int(r2[j]))
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out.append((min(c1[i], c2[j]), max(c1[i], c2[j])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
+def _columns(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    bits = np.frombuffer(b"".join(part.sketch), np.uint64).reshape(-1, SKETCH_BITS // 64)
+    return part["class"].to_numpy(), part.root.to_numpy(), part.n.to_numpy(), bits, np.stack(part.bands.to_numpy())
+
+
 def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table (a, b) of confirmed links between classes; together they connect all that is linked."""
     found = materialize(signed.filter("n > 0").dropDuplicates(["class"]).select("class", "row", "n", "bands", "sketch"), "neardup-classes")
     keyed = found.select("class", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key", "lo")
     members = materialize(keyed.join(shared, "key"), "neardup-buckets")
-    wanted = members.select("class").distinct().join(found.select("class", "row", "n"), "class")
+    wanted = members.select("class").distinct().join(found, "class")
     source = only(docs, id=id_col, text=text_col).select(row_key(), "text")
     source = source.join(wanted, "row").dropDuplicates(["row"])
     sets = F.arrow_udf(_sets, "binary").asNondeterministic()
-    full = materialize(source.select("class", "n", sets("text").alias("set")), "neardup-sets")
-    stars = materialize(star_pairs(members, found), "neardup-stars")
+    full = materialize(source.select("class", "n", "bands", "sketch", sets("text").alias("set")), "neardup-sets")
+    stars = materialize(star_pairs(members, full), "neardup-stars")
     likely = stars.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     tried = materialize(likely, "neardup-tried")
     first = materialize(confirm(tried, full), "neardup-links")
@@ -297,9 +326,7 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col:
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
     left = stars.select("a", "b").join(tried, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").filter(apart).select("a", "b")
-    rest = left.union(rest_pairs(members, found, roots).join(tried, ["a", "b"], "left_anti")).distinct()
-    second = confirm(materialize(rest, "neardup-rest"), full)
-    return materialize(first.union(second).distinct(), "neardup-links")
+    return materialize(first.union(confirm(left, full)).union(rest_links(members, full, roots)).distinct(), "neardup-links")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
