@@ -159,21 +159,32 @@ def order_triggers(orders: DataFrame, quotes: DataFrame, s: Series) -> DataFrame
     return hits.join(held.select("order_id"), "order_id", "left_anti").unionByName(armed)
 
 
-def venue_match(quotes: DataFrame, span: str, max_gap_ms: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Best bid and best ask per (keys, time bucket) when they sit on different venues, cross, and are close in time."""
-    best = quotes.groupBy(*keys, F.window("ts", span)["start"].alias("bucket")).agg(
-        F.max(F.struct("bid", "tie", "exchange", "bid_size", "ts")).alias("b"),
-        F.min(F.struct("ask", "tie", "exchange", "ask_size", "ts")).alias("a"),
-    )
-    gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("a.ts"), F.col("b.ts"))) / F.lit(1000.0)
-    out = best.select(
-        *keys, "bucket",
-        F.col("a.exchange").alias("buy_exchange"), F.col("b.exchange").alias("sell_exchange"),
-        F.col("a.ask").alias("buy_price"), F.col("b.bid").alias("sell_price"),
-        F.least(F.col("a.ask_size"), F.col("b.bid_size")).alias("quantity"), gap.alias("gap_ms"),
+def venue_match(quotes: DataFrame, s: Series, venues: Sequence[str], max_gap_ms: float) -> DataFrame:
+    """Crossings of standing quotes: at every update, the best bid and the best ask among the venues' latest quotes.
+
+    A venue's quote stands until its next one; quotes further than ``max_gap_ms`` behind the update are stale, and
+    bid and ask must sit on different venues with the bid above the ask.  Each venue is one running value of the
+    series, so a busy symbol is scanned block by block.  Equal prices go to the venue named first.
+    """
+    sides = {f"_v{k}": F.when(F.col("exchange") == v, F.struct("bid", "bid_size", "ask", "ask_size", F.col(s.ts).alias("at"))) for k, v in enumerate(venues)}
+    df = cumulative(quotes.withColumns(sides), s, {f"_s{k}": ("last", f"_v{k}") for k in range(len(venues))})
+
+    def standing(k: int, *fields: Column) -> Column:
+        q = F.col(f"_s{k}")
+        age = F.timestamp_diff("MICROSECOND", q["at"], F.col(s.ts)) / F.lit(1000.0)
+        return F.when(age <= max_gap_ms, F.struct(*fields, F.lit(k).alias("k"), age.alias("age")))
+
+    bids = [standing(k, (-F.col(f"_s{k}")["bid"]).alias("price"), F.lit(k).alias("rank"), F.col(f"_s{k}")["bid_size"].alias("size")) for k in range(len(venues))]
+    asks = [standing(k, F.col(f"_s{k}")["ask"].alias("price"), F.lit(k).alias("rank"), F.col(f"_s{k}")["ask_size"].alias("size")) for k in range(len(venues))]
+    names = F.array(*[F.lit(v) for v in venues])
+    out = df.withColumns({"_b": F.least(*bids), "_a": F.least(*asks)})
+    out = out.select(
+        *s.keys, s.ts, *s.tie,
+        F.get(names, F.col("_a.k")).alias("buy_exchange"), F.get(names, F.col("_b.k")).alias("sell_exchange"),
+        F.col("_a.price").alias("buy_price"), (-F.col("_b.price")).alias("sell_price"),
+        F.least("_a.size", "_b.size").alias("quantity"), F.abs(F.col("_a.age") - F.col("_b.age")).alias("gap_ms"),
     )
-    return out.filter((F.col("buy_exchange") != F.col("sell_exchange")) & (F.col("sell_price") > F.col("buy_price"))
-                      & (F.col("gap_ms") <= max_gap_ms))
+    return out.filter((F.col("buy_exchange") != F.col("sell_exchange")) & (F.col("sell_price") > F.col("buy_price")))
 
 
 def arbitrage(matches: DataFrame, fees_bps: float = 5.0, min_profit: float = 1e-4, min_notional: float = 1000.0) -> DataFrame:

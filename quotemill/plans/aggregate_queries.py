@@ -234,16 +234,28 @@ def _aligned(t):
     return rounded(wide_returns(t).toDF("ts", "a0", "a1", "a2", "a3", "a4"))
 
 
-@query("venue_arbitrage", f"""WITH {QUOTES}, b AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, max((bid, tie)) AS mb, min((ask, tie)) AS ma FROM quotes GROUP BY 1, 2),
-m AS (SELECT b.symbol, b.bucket, a.exchange AS buy_exchange, x.exchange AS sell_exchange, a.ask AS buy_price, x.bid AS sell_price,
-   least(a.ask_size, x.bid_size) AS quantity, abs(epoch_us(a.ts - x.ts)) / 1000.0 AS gap_ms
-  FROM b JOIN quotes a ON a.tie = ma[2] JOIN quotes x ON x.tie = mb[2])
-SELECT symbol, bucket, buy_exchange, sell_exchange, {R('buy_price')} AS buy_price, {R('sell_price')} AS sell_price, quantity, gap_ms,
+VENUES = ("v0", "v1", "v2", "v3")
+
+
+def _standing(v: str, column: str) -> str:
+    return f"last_value(CASE WHEN exchange = '{v}' THEN {column} END IGNORE NULLS) OVER w"
+
+
+@query("venue_arbitrage", f"""WITH {QUOTES}, s AS (SELECT tie, ts, symbol, """ + ", ".join(
+    f"{_standing(v, c)} AS {c}_{k}" for k, v in enumerate(VENUES) for c in ("bid", "bid_size", "ask", "ask_size", "ts"))
+    + """ FROM quotes WINDOW w AS (PARTITION BY symbol ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (""" + " UNION ALL ".join(
+        f"SELECT tie, ts, symbol, {k} AS k, '{v}' AS venue, bid_{k} AS bid, bid_size_{k} AS bid_size, ask_{k} AS ask, ask_size_{k} AS ask_size, epoch_us(ts - ts_{k}) / 1000.0 AS age FROM s"
+        for k, v in enumerate(VENUES)) + f"""),
+f AS (SELECT *, row_number() OVER (PARTITION BY tie ORDER BY bid DESC, k) AS rb, row_number() OVER (PARTITION BY tie ORDER BY ask, k) AS ra FROM l WHERE age <= 1800000),
+m AS (SELECT a.symbol, a.tie, a.ts, a.venue AS buy_exchange, b.venue AS sell_exchange, a.ask AS buy_price, b.bid AS sell_price, least(a.ask_size, b.bid_size) AS quantity, abs(a.age - b.age) AS gap_ms
+  FROM f a JOIN f b ON a.tie = b.tie AND a.ra = 1 AND b.rb = 1)
+SELECT symbol, tie, ts, buy_exchange, sell_exchange, {R('buy_price')} AS buy_price, {R('sell_price')} AS sell_price, quantity, gap_ms,
   {R('(sell_price - buy_price) / buy_price * 10000', 4)} AS spread_bps, {R('(sell_price - buy_price) * quantity', 4)} AS pnl,
   (sell_price - buy_price) / buy_price - 0.0005 > 0 AND (sell_price - buy_price) * quantity * (1 - 0.0005) > 1e-4 AND quantity * buy_price > 1000 AS viable
-FROM m WHERE buy_exchange <> sell_exchange AND sell_price > buy_price AND gap_ms <= 1800000""")
+FROM m WHERE buy_exchange <> sell_exchange AND sell_price > buy_price""")
 def _venues(t):
-    out = J.arbitrage(J.venue_match(t.quotes, "1 hour", 1_800_000.0))
+    out = J.arbitrage(J.venue_match(t.quotes, TICK_SERIES, VENUES, 1_800_000.0))
     return rounded(rounded(out, 6, "buy_price", "sell_price"), 4, "spread_bps", "pnl")
 
 

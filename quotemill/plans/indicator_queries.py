@@ -72,6 +72,30 @@ def _ema_ticks(t):
     return rounded(p.done().select("symbol", "tie", "ema_12", "ema_26"))
 
 
+def gapped(x: str, alpha: float, w: str = BW) -> str:
+    """Exponential weights by absolute position, over the whole history; a null has no weight."""
+    first = f"CASE WHEN rn = 1 THEN 1.0 ELSE {alpha:.17e} END"
+    part = lambda u: f"list_reduce(list({u}) OVER ({w}), lambda a, v: a * {1 - alpha:.17e} + v)"
+    return f"({part(f'coalesce({x}, 0) * {first}')} / nullif({part(f'CASE WHEN {x} IS NULL THEN 0.0 ELSE {first} END')}, 0))"
+
+
+GAP = "CASE WHEN trade_count % 3 = 0 THEN NULL ELSE close END"
+
+
+@indicator("ema_with_gaps", ["ema_3", "ema_12", "ema_26"], {"gap": GAP}, {f"ema_{n}": gapped("gap", 2 / (n + 1)) for n in (3, 12, 26)})
+def _ema_gaps(p):
+    p.df = p.df.withColumn("gap", F.when(F.col("trade_count") % 3 != 0, F.col("close")))
+    for n in (3, 12, 26):
+        I.ema(p, n, "gap")
+
+
+@indicator("ema_fast", ["ema_1", "fast_90", "fast_99"], {"ema_1": "close", "fast_90": fold("close", 0.9), "fast_99": fold("close", 0.99)})
+def _ema_fast(p):
+    I.ema(p, 1)
+    p.ema("fast_90", "close", alpha=0.9)
+    p.ema("fast_99", "close", alpha=0.99)
+
+
 @indicator("ema_adjusted", ["ema_adj_20"], {
     "num": fold("close", 2 / 21).replace("a + 9.52380952380952328e-02 * (v - a)", f"a * {1 - 2 / 21:.17e} + v"),
     "den": f"list_reduce(list(1.0::DOUBLE) OVER ({BW}), lambda a, v: a * {1 - 2 / 21:.17e} + v)"},
