@@ -48,7 +48,7 @@ def rsi(p: Panel, n: int = 14, col: str = "close", out: str | None = None, metho
         a, b = p.mean(f"_up_{col}_{n}", up, n), p.mean(f"_dn_{col}_{n}", down, n)
         p.hide(a, b)
         return p.add(out or f"rsi_{n}", 100 - 100 / (1 + c(a) / (c(b) + 1e-10)), [a, b])
-    a, b = p.wilder(f"_wup_{col}_{n}", up, n, start=n), p.wilder(f"_wdn_{col}_{n}", down, n, start=n)
+    a, b = p.wilder(f"_wup_{col}_{n}", up, n, n, whole=True), p.wilder(f"_wdn_{col}_{n}", down, n, n, whole=True)
     p.hide(a, b)
     moved = F.when(c(b) == 0, F.when(c(a) == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide(c(a), c(b))))
     return p.add(out or f"rsi_wilder_{n}", moved, [a, b])
@@ -157,12 +157,12 @@ def adx(p: Panel, n: int = 14) -> list[str]:
     up, down = c("high") - c(ph), c(pl) - c("low")
     plus = p.temp("_dm_plus", F.when((up > down) & (up > 0), up).otherwise(0.0), [ph, pl])
     minus = p.temp("_dm_minus", F.when((down > up) & (down > 0), down).otherwise(0.0), [ph, pl])
-    sp, sm, st = (p.wilder(f"_w{x}_{n}", x, n, start=n) for x in (plus, minus, tr))
+    sp, sm, st = (p.wilder(f"_w{x}_{n}", x, n, start=n, whole=x != tr) for x in (plus, minus, tr))
     p.hide(sp, sm, st)
     dp = p.add("di_plus", ratio(c(sp), c(st), 100), [sp, st])
     dm = p.add("di_minus", ratio(c(sm), c(st), 100), [sm, st])
     dx = p.temp("_dx", F.coalesce(ratio(F.abs(c(dp) - c(dm)), c(dp) + c(dm), 100), F.lit(0.0)), [dp, dm])
-    return [p.wilder(f"adx_{n}", dx, n, start=2 * n - 1), dp, dm]
+    return [p.wilder(f"adx_{n}", dx, n, start=2 * n - 1, whole=True), dp, dm]
 
 
 def typical(p: Panel) -> str:
@@ -356,7 +356,7 @@ def ewma_variance(p: Panel, decay: float = 0.94, out: str = "ewma_vol") -> str:
     prev = _lag(p, "close")
     r = F.try_divide(c("close"), c(prev)) - 1
     sq = p.temp("_ret2", F.coalesce(r * r, F.lit(0.0)), [prev])
-    v = p.ema("_ewma_var", sq, alpha=1 - decay, start=1)
+    v = p.ema("_ewma_var", sq, alpha=1 - decay, start=1, whole=True)
     p.hide(v)
     return p.add(out, F.sqrt(v), [v])
 
@@ -410,7 +410,7 @@ def stc(p: Panel, fast: int = 23, slow: int = 50, n: int = 10, smooth: int = 3)
         h, lo = _range_of(p, n, x, x)
         start += n - 1
         k = p.temp(f"_stc_k{step}", F.coalesce(ratio(c(x) - c(lo), c(h) - c(lo), 100), F.lit(0.0)), [x, h, lo])
-        x = p.ema("stc" if step == 2 else "_stc_d1", k, span=smooth, start=start)
+        x = p.ema("stc" if step == 2 else "_stc_d1", k, span=smooth, start=start, whole=True)
         if step == 1:
             p.hide(x)
     return x

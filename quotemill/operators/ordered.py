@@ -227,12 +227,13 @@ class Panel:
         return self.add(out, F.expr(y), [part], back=m)
 
     def ema(self, out: str, c: str, span: float | None = None, alpha: float | None = None, start: int = 0,
-            seed: str | None = None) -> str:
+            seed: str | None = None, whole: bool = False) -> str:
         """Recursive moving average, seeded with the first value (or ``seed``) at row ``start``.
 
         A null value has no weight while the weights of earlier values go on fading by row, as in an exponentially
         weighted mean by absolute positions; the result stays as it was.  Without nulls the weights sum to 1 and this is
         y = y' + alpha (x - y').  Alpha 1 (span 1) is the value itself.
+        ``whole`` says that the values hold no null, which saves the sum of weights.
         """
         if out in self.depth:
             return out
@@ -242,6 +243,8 @@ class Panel:
             return self.add(out, F.expr(f"CASE WHEN _i = {start} THEN `{first}` WHEN _i > {start} THEN `{c}` END"), uses)
         u = f"CASE WHEN _i < {start} THEN 0D WHEN _i = {start} THEN coalesce(`{first}`, 0D) ELSE {a!r}D * coalesce(`{c}`, 0D) END"
         self.temp(f"_u_{out}", F.expr(u), uses)
+        if whole:
+            return self.recur(out, f"_u_{out}", 1.0 - a, start)
         total = self.recur(f"_n_{out}", f"_u_{out}", 1.0 - a, start)
         key = (c, seed, a, start)
         if key not in self.weights:
@@ -252,11 +255,11 @@ class Panel:
         self.hide(total, self.weights[key])
         return self.add(out, F.expr(f"try_divide(`{total}`, `{self.weights[key]}`)"), [total, self.weights[key]])
 
-    def wilder(self, out: str, c: str, n: int, start: int) -> str:
+    def wilder(self, out: str, c: str, n: int, start: int, whole: bool = False) -> str:
         """Average with alpha = 1/n whose seed is the plain mean of the n values ending at ``start``."""
         seed = self.mean(f"_seed_{out}", c, n)
         self.hide(seed)
-        return self.ema(out, c, alpha=1.0 / n, start=start, seed=seed)
+        return self.ema(out, c, alpha=1.0 / n, start=start, seed=seed, whole=whole)
 
     # -- evaluation ----------------------------------------------------------------------------------
     def block_size(self) -> int:
