@@ -213,7 +213,7 @@ def crossover_search(df: DataFrame, s: Series, grid: Sequence[tuple[int, int]],
     d = d.join(size, list(s.keys)).withColumn("fold", F.floor(c("_i") * folds / c("_size")).cast("int"))
     sharpe = [F.struct(F.lit(f).alias("fast"), F.lit(sl).alias("slow"),
                        (F.try_divide(F.avg(n), F.stddev_samp(n)) * math.sqrt(252)).alias("sharpe"),
-                       F.expm1(F.sum(F.log1p(n))).alias("total_return")).alias(f"_s{k}")
+                       F.when(F.min(n) <= -1, F.lit(-1.0)).otherwise(F.expm1(F.sum(F.when(c(n) > -1, F.log1p(n))))).alias("total_return")).alias(f"_s{k}")
               for k, ((f, sl), n) in enumerate(zip(grid, names))]
     scored = d.groupBy(*s.keys, "fold").agg(*sharpe)
     long = scored.select(F.explode(F.array(*[f"_s{k}" for k in range(len(grid))])).alias("x")).select("x.*")

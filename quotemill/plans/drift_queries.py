@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import drift as D
 from quotemill.plans.market import TICK_SERIES
-from quotemill.plans.registry import R, query, rounded
+from quotemill.plans.registry import R, kolmogorov, query, rounded
 
 NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CUT = "1996-01-01"
@@ -26,9 +26,11 @@ def _ks(t):
     return rounded(D.order_statistics(*samples(t, *NUMS), NUMS).select("feature", "ks"), 9)
 
 
-@query("ks_test")
+@query("ks_test", f"""WITH {MERGED}, s AS (SELECT feature, max(abs(cr / n - cc / m)) AS d, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM m GROUP BY 1),
+p AS (SELECT *, {kolmogorov('d * sqrt(n * m / (n + m))')} AS p FROM s)
+SELECT feature, {R('d', 9)} AS statistic, n, m, {R('p', 9)} AS p_value, p < 0.05 AS drift FROM p""")
 def _ks_test(t):
-    return D.ks_test(*samples(t, *NUMS), NUMS)
+    return rounded(D.ks_test(*samples(t, *NUMS), NUMS), 9, "statistic", "p_value")
 
 
 @query("wasserstein_and_energy", f"WITH {MERGED} SELECT feature, {R('sum(abs(cr / n - cc / m) * coalesce(nv - v, 0))')} AS wasserstein, {R('sqrt(2 * sum(pow(cr / n - cc / m, 2) * coalesce(nv - v, 0)))')} AS energy FROM m GROUP BY 1")

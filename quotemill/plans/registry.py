@@ -78,6 +78,12 @@ def R(expr: str, digits: int = 6) -> str:
     return f"(floor(({expr}) * 1e{digits} + 0.4871) / 1e{digits})"
 
 
+def kolmogorov(x: str) -> str:
+    """SQL of the limit distribution of the scaled two-sample distance, as its alternating series."""
+    series = f"list_sum(list_transform(range(1, 101), lambda k: 2 * pow(-1, k - 1) * exp(-2 * k * k * ({x}) * ({x}))))"
+    return f"CASE WHEN ({x}) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, {series})) END"
+
+
 def rounded(df: DataFrame, digits: int = 6, *cols: str) -> DataFrame:
     doubles = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
     return df.withColumns({c: rnd(c, digits) for c in doubles})

@@ -235,9 +235,24 @@ def _signal_returns(t):
     return e.select("symbol", "ts", rnd("strategy_ret").alias("strategy_ret"), rnd(F.when(F.col("equity") > 0, F.log("equity"))).alias("log_equity"))
 
 
-@query("crossover_search")
+GRID = [(f, s) for f in (3, 5, 10) for s in (20, 40, 60)]
+FOLDS = """, z AS (SELECT *, floor((row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) * 4 / count(*) OVER (PARTITION BY symbol)) AS fold, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS past FROM bars)"""
+
+
+def _trial(fast: int, slow: int) -> str:
+    return f"""SELECT {fast} AS fast, {slow} AS slow, symbol, ts, fold, close, past,
+  CASE WHEN {roll('avg', 'close', fast, BW)} > {roll('avg', 'close', slow, BW)} THEN 1 ELSE 0 END AS sig FROM z"""
+
+
+@query("crossover_search", f"""WITH {BARS}{FOLDS}, g AS ({' UNION ALL '.join(_trial(f, s) for f, s in GRID)}),
+p AS (SELECT *, coalesce(lag(sig) OVER w, 0) AS pos, coalesce(lag(sig, 2) OVER w, 0) AS was FROM g WINDOW w AS (PARTITION BY fast, slow, symbol ORDER BY ts)),
+r AS (SELECT *, coalesce(close / past - 1, 0) * pos - abs(pos - was) * 0.0015 AS ret FROM p),
+f AS (SELECT fast, slow, symbol, fold, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe,
+  CASE WHEN min(ret) <= -1 THEN -1 ELSE exp(sum(CASE WHEN ret > -1 THEN ln(1 + ret) END)) - 1 END AS total FROM r GROUP BY 1, 2, 3, 4)
+SELECT fast, slow, {R('avg(sharpe)')} AS mean_sharpe, {significant('avg(total)')} AS mean_return FROM f GROUP BY 1, 2""")
 def _search(t):
-    return rounded(P.crossover_search(t.bars, BAR_SERIES, [(f, s) for f in (3, 5, 10) for s in (20, 40, 60)]))
+    out = rounded(P.crossover_search(t.bars, BAR_SERIES, GRID), 6, "mean_sharpe")
+    return out.withColumn("mean_return", F.expr(significant("mean_return")))
 
 
 @query("regime_position_size", f"""WITH {RETURNS}, s AS (SELECT asset, ts, {roll('avg', 'ret', 20, AW)} AS mu, {roll('stddev_samp', 'ret', 20, AW)} AS sd FROM daily),

@@ -7,7 +7,7 @@ from quotemill.operators.ordered import Series
 from quotemill.plans.market import TICKS, ticks
 from quotemill.plans.bars_queries import OHLCV_COLS, SUMMARY
 from quotemill.plans.micro_queries import DELTAS, deltas
-from quotemill.plans.registry import R, query, rnd, rounded
+from quotemill.plans.registry import R, kolmogorov, query, rnd, rounded
 from quotemill.schemas import EVENTS
 from quotemill.session import scratch
 from quotemill.sources import store
@@ -19,6 +19,9 @@ BATCHES = ["ts < TIMESTAMP_NTZ'2024-01-08'", "ts >= TIMESTAMP_NTZ'2024-01-08' AN
            "ts >= TIMESTAMP_NTZ'2024-01-15' AND ts < TIMESTAMP_NTZ'2024-01-22'", "ts >= TIMESTAMP_NTZ'2024-01-22'"]
 
 
+BATCH_OF = "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-15' THEN 1 WHEN ts < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END"
+
+
 def arrivals(t, late: bool = False) -> str:
     """Land the events in four appends; with ``late``, high prices arrive one append after their time."""
     path = scratch(t.spark, "landing")
@@ -144,10 +147,7 @@ def _once(t):
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("price"), 3).alias("total"))
 
 
-B_SQL = "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-15' THEN 1 WHEN ts < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END"
-
-
-@query("stream_late_rows", f"""WITH a AS (SELECT event_id, ts, least({B_SQL} + CASE WHEN value > 80 THEN 1 ELSE 0 END, 3) AS batch FROM events),
+@query("stream_late_rows", f"""WITH a AS (SELECT event_id, ts, least({BATCH_OF} + CASE WHEN value > 80 THEN 1 ELSE 0 END, 3) AS batch FROM events),
 n AS (SELECT batch, max(ts) AS top FROM a GROUP BY 1), l AS (SELECT a.event_id, a.ts < (SELECT max(top) FROM n WHERE n.batch < a.batch) - INTERVAL 1 HOUR AS late FROM a)
 SELECT coalesce(late, false) AS is_late, count(*) AS n FROM l GROUP BY 1""")
 def _late(t):
@@ -172,11 +172,29 @@ def _rollup(t):
     return rounded(jobs.latest(t.spark.read.parquet(f"{path}/bars"), ["symbol", "exchange", "bucket"]), 6, "vwap")
 
 
-@query("stream_drift")
+FIRST_WEEK = "ts < TIMESTAMP '2024-01-08'"
+
+
+@query("stream_drift", f"""WITH {TICKS}, f AS (SELECT ts, 'price' AS feature, price AS v FROM ticks UNION ALL SELECT ts, 'volume', volume FROM ticks),
+cells AS (SELECT CAST(b.batch AS INT) AS batch, feature, v, 1 AS r, 0 AS c FROM f, (SELECT unnest(range(4)) AS batch) b WHERE {FIRST_WEEK}
+  UNION ALL SELECT CAST({{b}} AS INT), feature, v, 0, 1 FROM f),
+k AS (SELECT batch, feature, v, sum(r) AS nr, sum(c) AS nc FROM cells GROUP BY 1, 2, 3),
+m AS (SELECT *, sum(nr) OVER w AS cr, sum(nc) OVER w AS cc, sum(nr) OVER (PARTITION BY batch, feature) AS n, sum(nc) OVER (PARTITION BY batch, feature) AS m
+  FROM k WINDOW w AS (PARTITION BY batch, feature ORDER BY v)),
+d AS (SELECT batch, feature, max(abs(cr / n - cc / m)) AS ks, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM m GROUP BY 1, 2),
+l AS (SELECT batch, feature, min(v) AS lo, max(v) AS hi FROM cells GROUP BY 1, 2),
+h0 AS (SELECT batch, feature, CAST(least(floor((v - lo) / (hi - lo) * 10), 9) AS INT) AS bin, sum(r) AS nr, sum(c) AS nc FROM cells JOIN l USING (batch, feature) GROUP BY 1, 2, 3),
+h AS (SELECT g.batch, g.feature, coalesce(nr, 0) / n + 1e-10 AS p, coalesce(nc, 0) / m + 1e-10 AS q
+  FROM (SELECT batch, feature, CAST(unnest(range(10)) AS INT) AS bin FROM l) g LEFT JOIN h0 USING (batch, feature, bin) JOIN d USING (batch, feature)),
+i AS (SELECT batch, feature, sum((p - q) * ln(p / q)) AS psi FROM h GROUP BY 1, 2),
+a AS (SELECT batch, feature, abs(avg(v) FILTER (c = 1) - avg(v) FILTER (r = 1)) / stddev_samp(v) FILTER (r = 1) AS shift FROM cells GROUP BY 1, 2),
+o AS (SELECT *, {kolmogorov('ks * sqrt(n * m / (n + m))')} AS p FROM d JOIN i USING (batch, feature) JOIN a USING (batch, feature))
+SELECT batch, feature, {R('ks')} AS ks, n, m, {R('psi')} AS psi, {R('shift')} AS mean_shift, {R('p')} AS p_value, p < 0.05 AS drift FROM o""".replace("{b}", BATCH_OF))
 def _drift(t):
     reference = t.ticks.filter("ts < TIMESTAMP_NTZ'2024-01-08'")
     s = live(t)
-    return jobs.run_to_table(s, "drift", handler=lambda p: jobs.drift_per_batch(p, reference, ["price", "volume"]))
+    out = jobs.run_to_table(s, "drift", handler=lambda p: jobs.drift_per_batch(p, reference, ["price", "volume"]))
+    return rounded(out, 6, "ks", "psi", "mean_shift", "p_value")
 
 
 @query("drift_alerts", f"""WITH RECURSIVE {TICKS}, h AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(price) AS score FROM ticks GROUP BY 1, 2),
