@@ -64,7 +64,7 @@ def order_statistics(ref: DataFrame, cur: DataFrame, features: Sequence[str]) ->
         F.sum(c("n_ref") * (c("cum_n_cur") - c("n_cur") / 2)).alias("u"), F.sum(t * t * t - t).alias("_ties"),
         F.max(c("N").cast("double")).alias("n"), F.max(c("M").cast("double")).alias("m"))
     size = c("n") + c("m")
-    sd = F.sqrt(c("n") * c("m") / 12 * ((size + 1) - c("_ties") / (size * (size - 1))))
+    sd = F.sqrt(c("n") * c("m") / 12 * ((size + 1) - F.try_divide(c("_ties"), size * (size - 1))))
     return out.withColumn("u_z", F.try_divide(c("u") - c("n") * c("m") / 2, sd)).drop("_ties")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import drift as D
 from quotemill.plans.market import TICK_SERIES
-from quotemill.plans.registry import R, kolmogorov, query, rounded
+from quotemill.plans.registry import R, chi_squared_tail, kolmogorov, normal_tails, query, rounded, student_tails
 
 NUMS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CUT = "1996-01-01"
@@ -45,9 +45,11 @@ def _mw(t):
     return rounded(rounded(s, 1, "u"), 6, "u_z")
 
 
-@query("mann_whitney_test")
+@query("mann_whitney_test", f"""WITH {MERGED}, u AS (SELECT feature, sum(nr * (cc - nc / 2.0)) AS u, sum(pow(nr + nc, 3) - (nr + nc)) AS ties, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM m GROUP BY 1),
+z AS (SELECT *, (u - n * m / 2) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) AS z FROM u), p AS (SELECT *, {normal_tails('z')} AS p FROM z)
+SELECT feature, {R('u', 1)} AS statistic, {R('z')} AS u_z, {R('p')} AS p_value, p < 0.05 AS drift FROM p""")
 def _mwt(t):
-    return D.mann_whitney(*samples(t, *NUMS), NUMS)
+    return rounded(rounded(D.mann_whitney(*samples(t, *NUMS), NUMS), 1, "statistic"), 6, "u_z", "p_value")
 
 
 @query("anderson_darling", f"""WITH {MERGED}, a AS (SELECT feature, n::DOUBLE AS n, m::DOUBLE AS m, (nr + nc)::DOUBLE AS l, (cr + cc)::DOUBLE AS b, cr, cc FROM m)
@@ -72,9 +74,12 @@ def _binned(t):
     return rounded(rounded(rounded(m, 9, "js_divergence", "kl", "psi"), 8, "js_distance"), 6, "chi2")
 
 
-@query("chi_squared_test")
+@query("chi_squared_test", f"""WITH {HIST}, s AS (SELECT feature, sum(CASE WHEN nr + nc > 0 THEN pow(nr - er, 2) / er + pow(nc - ec, 2) / ec ELSE 0 END) AS chi2,
+  count(*) FILTER (nr + nc > 0) - 1 AS dof FROM pq GROUP BY 1), p AS (SELECT *, {chi_squared_tail('chi2', 'dof')} AS p FROM s)
+SELECT feature, {R('chi2')} AS chi2, CAST(dof AS BIGINT) AS dof, {R('p', 5)} AS p_value, p < 0.05 AS drift FROM p""")
 def _chi_test(t):
-    return D.chi_squared(D.binned_measures(D.shared_histogram(*samples(t, *NUMS), NUMS)))
+    out = D.chi_squared(D.binned_measures(D.shared_histogram(*samples(t, *NUMS), NUMS))).select("feature", "chi2", "dof", "p_value", "drift")
+    return rounded(rounded(out, 6, "chi2"), 5, "p_value")
 
 
 CAT = f"""k AS (SELECT l_returnflag AS category, count(*) FILTER (l_shipdate < DATE '{CUT}')::DOUBLE AS nr, count(*) FILTER (l_shipdate >= DATE '{CUT}')::DOUBLE AS nc FROM lineitem GROUP BY 1),
@@ -101,10 +106,12 @@ def _means(t):
     return rounded(rounded(s, 3, "t_dof"), 6, "z", "t", "mean_shift", "std_ratio")
 
 
-@query("mean_test_p_values")
+@query("mean_test_p_values", f"""WITH {MEANS}, z AS (SELECT feature, (mc - mr) / (sr / sqrt(m)) AS z, (mc - mr) / sqrt(sr * sr / n + sc * sc / m) AS t,
+  pow(sr * sr / n + sc * sc / m, 2) / (pow(sr * sr / n, 2) / (n - 1) + pow(sc * sc / m, 2) / (m - 1)) AS v FROM s), p AS (SELECT feature, {normal_tails('z')} AS zp, {student_tails('t', 'v')} AS tp FROM z)
+SELECT feature, {R('zp')} AS z_p, {R('tp')} AS t_p, CASE WHEN tp < 0.001 THEN 'critical' WHEN tp < 0.01 THEN 'high' WHEN tp < 0.05 THEN 'medium' WHEN tp < 0.1 THEN 'low' ELSE 'none' END AS severity FROM p""")
 def _mean_p(t):
     m = D.mean_test_p(D.mean_tests(*samples(t, *NUMS), NUMS))
-    return m.select("feature", "z_p", "t_p", D.severity("t_p").alias("severity"))
+    return rounded(m.select("feature", "z_p", "t_p", D.severity("t_p").alias("severity")), 6)
 
 
 @query("overall_drift")

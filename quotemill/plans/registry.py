@@ -84,6 +84,30 @@ def kolmogorov(x: str) -> str:
     return f"CASE WHEN ({x}) < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, {series})) END"
 
 
+def integral(f: str, lo: str, width: float, steps: int = 2000) -> str:
+    """SQL of the integral of ``f`` (in ``{x}``) from ``lo`` over ``width``, by Simpson's rule."""
+    h = width / steps
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({h / 3!r} * list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * {f.format(x=f'(({lo}) + i * {h!r})')})))"
+
+
+def normal_tails(z: str) -> str:
+    """SQL of the two-sided p-value of a standard normal statistic."""
+    return f"(2 * {integral('exp(-{x} * {x} / 2) / sqrt(2 * pi())', f'abs({z})', 12.0)})"
+
+
+def student_tails(t: str, dof: str) -> str:
+    """The same for Student's t with many degrees of freedom."""
+    scale = f"exp(lgamma((({dof}) + 1) / 2) - lgamma(({dof}) / 2)) / sqrt(({dof}) * pi())"
+    return f"(2 * {scale} * {integral('pow(1 + {x} * {x} / (' + dof + '), -((' + dof + ') + 1) / 2)', f'abs({t})', 40.0, 4000)})"
+
+
+def chi_squared_tail(v: str, dof: str) -> str:
+    """SQL of P(X > v) for a chi-squared X."""
+    f = "pow({x}, (" + dof + ") / 2.0 - 1) * exp(-{x} / 2)"
+    return f"({integral(f, v, 400.0, 4000)} / (pow(2, ({dof}) / 2.0) * exp(lgamma(({dof}) / 2.0))))"
+
+
 def rounded(df: DataFrame, digits: int = 6, *cols: str) -> DataFrame:
     doubles = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
     return df.withColumns({c: rnd(c, digits) for c in doubles})
