@@ -114,9 +114,11 @@ def _mean_p(t):
     return rounded(m.select("feature", "z_p", "t_p", D.severity("t_p").alias("severity")), 6)
 
 
-@query("overall_drift")
+@query("overall_drift", f"""WITH {MERGED}, s AS (SELECT feature, max(abs(cr / n - cc / m)) * sqrt(max(n) * max(m) / (max(n) + max(m))) AS x FROM m GROUP BY 1), p AS (SELECT feature, {kolmogorov('x')} AS p FROM s),
+o AS (SELECT least(min(p) * count(p), 1.0) AS p, arg_min(feature, p) AS feature FROM p)
+SELECT {R('p', 9)} AS p_value, feature, CASE WHEN p < 0.001 THEN 'critical' WHEN p < 0.01 THEN 'high' WHEN p < 0.05 THEN 'medium' WHEN p < 0.1 THEN 'low' ELSE 'none' END AS severity, p < 0.05 AS drift FROM o""")
 def _overall(t):
-    return D.overall(D.ks_test(*samples(t, *NUMS), NUMS))
+    return rounded(D.overall(D.ks_test(*samples(t, *NUMS), NUMS)), 9, "p_value")
 
 
 @query("mean_distance", f"""WITH a AS (SELECT avg(l_quantity) AS x, avg(l_discount) AS y, var_samp(l_quantity) AS sxx, var_samp(l_discount) AS syy, covar_samp(l_quantity, l_discount) AS sxy FROM lineitem WHERE l_shipdate < DATE '{CUT}'),
@@ -165,12 +167,23 @@ def _roles(t):
     return D.infer_roles(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"))
 
 
-@query("drift_report")
+REPORT = f"""{MERGED}{HIST[len(CELLS):]}{MEANS[len(CELLS):]}, ck AS ({CAT.split('AS (', 1)[1].split('),', 1)[0]}), ct AS (SELECT *, sum(nr) OVER () AS n, sum(nc) OVER () AS m FROM ck),
+o AS (SELECT feature, max(abs(cr / n - cc / m)) AS ks, sum(abs(cr / n - cc / m) * coalesce(nv - v, 0)) AS w, sum(nr * (cc - nc / 2.0)) AS u, sum(pow(nr + nc, 3) - (nr + nc)) AS ties, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM m GROUP BY 1),
+oz AS (SELECT *, (u - n * m / 2) / sqrt(n * m / 12 * ((n + m + 1) - ties / ((n + m) * (n + m - 1)))) AS z, ks * sqrt(n * m / (n + m)) AS x FROM o),
+bm AS (SELECT feature, sqrt(greatest((sum(p * ln(p / ((p + q) / 2))) + sum(q * ln(q / ((p + q) / 2)))) / 2, 0)) AS js, sum(p * ln(p / q)) AS kl, sum((p - q) * ln(p / q)) AS psi FROM pq GROUP BY 1),
+mt AS (SELECT feature, (mc - mr) / sqrt(sr * sr / n + sc * sc / m) AS t, pow(sr * sr / n + sc * sc / m, 2) / (pow(sr * sr / n, 2) / (n - 1) + pow(sc * sc / m, 2) / (m - 1)) AS v FROM s),
+cq AS (SELECT sum(pow(nr - (nr + nc) * n / (n + m), 2) / ((nr + nc) * n / (n + m)) + pow(nc - (nr + nc) * m / (n + m), 2) / ((nr + nc) * m / (n + m))) AS chi2, count(*) - 1 AS dof FROM ct),
+rep AS (SELECT feature, 'ks' AS method, ks AS statistic, {kolmogorov('x')} < 0.05 AS drift FROM oz UNION ALL SELECT feature, 'wasserstein', w, w > 0.1 FROM oz
+ UNION ALL SELECT feature, 'mann_whitney', u, {normal_tails('z')} < 0.05 FROM oz UNION ALL SELECT feature, 'js', js, js > 0.1 FROM bm UNION ALL SELECT feature, 'psi', psi, psi >= 0.2 FROM bm
+ UNION ALL SELECT feature, 'kl', kl, kl > 0.1 FROM bm UNION ALL SELECT feature, 'welch', t, {student_tails('t', 'v')} < 0.05 FROM mt UNION ALL SELECT 'l_returnflag', 'chi2', chi2, {chi_squared_tail('chi2', 'dof')} < 0.05 FROM cq)"""
+
+
+@query("drift_report", f"WITH {REPORT} SELECT feature, method, {R('statistic', 5)} AS statistic, drift FROM rep")
 def _report(t):
-    return D.drift_report(*samples(t, *NUMS, "l_returnflag"), NUMS, ["l_returnflag"])
+    return rounded(D.drift_report(*samples(t, *NUMS, "l_returnflag"), NUMS, ["l_returnflag"]), 5, "statistic")
 
 
-@query("drift_report_summary")
+@query("drift_report_summary", f"WITH {REPORT} SELECT feature, count(*) AS methods, count(*) FILTER (drift) AS flags, avg(drift::INT) AS ratio FROM rep GROUP BY 1")
 def _summary(t):
     return D.report_summary(D.drift_report(*samples(t, *NUMS, "l_returnflag"), NUMS, ["l_returnflag"]))
 
