@@ -40,6 +40,12 @@ def time_key(ts: str | Column, unit: str) -> Column:
     return F.date_format(col, TIME_KEYS[unit])
 
 
+def uniform_draw(seed: int, *cols: Column | str) -> Column:
+    """A number in (0, 1) that seed and columns alone decide: 52 bits of an MD5, whatever the partitioning."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in cols])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def hash_bucket(n: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.functions.scalars import uniform_draw
 from quotemill.functions.special import NORMAL
 from quotemill.operators.ordered import Panel, Series, attach, cumulative, index_rows
 from quotemill.operators.scans import affine_scan
@@ -124,10 +125,10 @@ def _moments(wide: DataFrame, assets: Sequence[str]) -> tuple[np.ndarray, np.nda
 
 
 def random_portfolios(spark: SparkSession, wide: DataFrame, assets: Sequence[str], draws: int = 1000, seed: int = 11, rf: float = 0.02) -> DataFrame:
-    """Dirichlet(1) weights (normalised exponentials) with return, volatility and Sharpe ratio."""
+    """Dirichlet(1) weights (normalised exponentials) with return, volatility and Sharpe ratio; seed and number decide a draw."""
     mu, cov = _moments(wide, assets)
     k = len(assets)
-    d = spark.range(draws).select(c("id").alias("draw"), *[(-F.log(F.rand(seed + i) + 1e-300)).alias(f"_e{i}") for i in range(k)])
+    d = spark.range(draws).select(c("id").alias("draw"), *[(-F.log(uniform_draw(seed, "id", F.lit(i)))).alias(f"_e{i}") for i in range(k)])
     total = sum((c(f"_e{i}") for i in range(k)), F.lit(0.0))
     d = d.withColumns({f"w{i}": c(f"_e{i}") / total for i in range(k)})
     ret = sum((c(f"w{i}") * float(mu[i]) for i in range(k)), F.lit(0.0))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.scalars import uniform_draw
 from quotemill.functions.special import NORMAL, on_rows, t_quantile
 from quotemill.operators import rolling as X
 from quotemill.operators.ordered import Series, attach, quantiles
@@ -45,9 +46,11 @@ def expected_shortfall(df: DataFrame, keys: Sequence[str] = ("asset",), levels:
 
 
 def monte_carlo_var(df: DataFrame, keys: Sequence[str] = ("asset",), confidence: float = 0.95, draws: int = 10000, seed: int = 7, ret: str = "ret") -> DataFrame:
-    """Quantile of normal draws with each key's mean and deviation."""
+    """Quantile of normal draws with each key's mean and deviation; seed, key and number decide a draw."""
     stats = df.groupBy(*keys).agg(F.avg(ret).alias("_m"), F.stddev_samp(ret).alias("_s"))
-    sims = stats.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_x", c("_m") + c("_s") * F.randn(seed))
+    sims = stats.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u, v = (uniform_draw(seed, *keys, "_draw", F.lit(k)) for k in ("u", "v"))
+    sims = sims.withColumn("_x", c("_m") + c("_s") * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v))
     return quantiles(sims, "_x", [1 - confidence], keys, ["var"])
 
 

@@ -49,9 +49,17 @@ def _cvar(t):
     return rounded(K.expected_shortfall(t.daily_returns, levels=(0.01, 0.05, 0.10)))
 
 
-@query("monte_carlo_var")
+def draw_sql(seed: int, *parts: str) -> str:
+    """The twin of ``uniform_draw``."""
+    text = " || '|' || ".join([f"'{seed}'", *[f"CAST({p} AS VARCHAR)" for p in parts]])
+    return f"((CAST('0x' || substring(md5({text}), 1, 13) AS BIGINT)::DOUBLE + 0.5) / {float(1 << 52)!r})"
+
+
+@query("monte_carlo_var", f"""WITH {RETURNS}, s AS (SELECT asset, avg(ret) AS m, stddev_samp(ret) AS sd FROM daily GROUP BY 1), d AS (SELECT *, unnest(range(1, 10001)) AS draw FROM s),
+x AS (SELECT asset, m + sd * sqrt(-2 * ln({draw_sql(7, 'asset', 'draw', "'u'")})) * cos(2 * pi() * {draw_sql(7, 'asset', 'draw', "'v'")}) AS x FROM d)
+SELECT asset, {R('quantile_cont(x, 0.05)')} AS var FROM x GROUP BY 1""")
 def _mc(t):
-    return K.monte_carlo_var(t.daily_returns)
+    return rounded(K.monte_carlo_var(t.daily_returns))
 
 
 @query("portfolio_var", f"WITH {PORT} SELECT {R('quantile_cont(p, 0.05)')} AS historical, {R(f'avg(p) + ({Z95!r}) * stddev_samp(p)')} AS gaussian FROM port")
@@ -207,9 +215,13 @@ def _rc(t):
     return rounded(P.risk_contributions(A.covariance_matrix(wide_returns(t), ASSETS), weights(t)))
 
 
-@query("random_portfolios")
+@query("random_portfolios", f"""WITH {WIDE}, mo AS (SELECT {', '.join(f'avg(a{i}) * 252 AS m{i}' for i in range(5))}, {', '.join(f'covar_samp(a{i}, a{j}) * 252 AS c{i}{j}' for i in range(5) for j in range(5))} FROM wide),
+e AS (SELECT draw, {', '.join(f"-ln({draw_sql(11, 'draw', str(i))}) AS e{i}" for i in range(5))} FROM (SELECT unnest(range(1000)) AS draw)),
+w AS (SELECT draw, {', '.join(f'e{i} / (e0 + e1 + e2 + e3 + e4) AS w{i}' for i in range(5))} FROM e),
+p AS (SELECT w.*, {' + '.join(f'w{i} * m{i}' for i in range(5))} AS ret, sqrt({' + '.join(f'w{i} * w{j} * c{i}{j}' for i in range(5) for j in range(5))}) AS vol FROM w, mo)
+SELECT draw, {', '.join(f'{R(f"w{i}")} AS "{a}"' for i, a in enumerate(ASSETS))}, {R('ret')} AS ret, {R('vol')} AS vol, {R('(ret - 0.02) / (vol + 1e-9)')} AS sharpe FROM p""")
 def _frontier(t):
-    return P.random_portfolios(t.spark, wide_returns(t), ASSETS)
+    return rounded(P.random_portfolios(t.spark, wide_returns(t), ASSETS))
 
 
 @query("optimal_weights")
