@@ -256,7 +256,8 @@ def _path_lengths(tree, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nda
 def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
     """Isolation-forest score in (0, 1) per row of ``df``.
 
-    Every tree draws its own ``sample`` rows from all rows of the reference and grows in a task of its own; scoring
+    Every tree draws its own ``sample`` rows from all rows of the reference (seed, tree and the row's place in a written
+    copy decide) and grows in a task of its own; scoring
     is a pass over Arrow batches with the trees (``trees`` x ``sample`` nodes at most) shipped to the tasks.
     """
     cols = list(cols)

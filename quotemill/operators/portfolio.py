@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import uniform_draw
-from quotemill.functions.special import NORMAL
 from quotemill.operators.ordered import Panel, Series, attach, cumulative, index_rows
 from quotemill.operators.scans import affine_scan
 from quotemill.session import materialize
@@ -164,6 +164,21 @@ def _parity(cov: np.ndarray, items: list[int], weight: float, out: np.ndarray) -
     _parity(cov, halves[1], weight * (1 - share), out)
 
 
+def tail_means(wide: DataFrame, assets: Sequence[str], draws: pd.DataFrame) -> DataFrame:
+    """Mean of the worst 5 % of each drawn portfolio's returns (``draw``, ``cvar_5``); ``draws`` has a row per draw."""
+    from quotemill.operators.risk import expected_shortfall
+
+    ids, weights, names = draws["draw"].to_numpy(), draws[list(assets)].to_numpy(), list(assets)
+
+    def returns(batches):
+        for b in batches:
+            x = b[names].to_numpy(dtype="float64") @ weights.T
+            yield pd.DataFrame({"draw": np.tile(ids, len(x)), "ret": x.ravel()})
+
+    rows = wide.select(*[c(f"`{a}`") for a in assets]).dropna().mapInPandas(returns, "draw long, ret double")
+    return expected_shortfall(materialize(rows, "tail-draws"), ["draw"], (0.05,))
+
+
 def optimal_weights(spark: SparkSession, wide: DataFrame, assets: Sequence[str], method: str = "min_variance") -> DataFrame:
     """Weights from moments computed by Spark; only the k x k algebra runs on the driver."""
     mu, cov = _moments(wide, assets)
@@ -178,11 +193,9 @@ def optimal_weights(spark: SparkSession, wide: DataFrame, assets: Sequence[str],
         w = np.zeros(len(assets))
         _parity(cov, _cluster_order(np.sqrt(np.clip(0.5 * (1 - corr), 0, None))), 1.0, w)
     elif method == "cvar":
-        z = NORMAL.inv_cdf(0.05)
-        tail = NORMAL.pdf(z) / 0.05
-        draws = random_portfolios(spark, wide, assets)
-        best = draws.orderBy((c("vol") / math.sqrt(252) * tail - c("ret") / 252).asc(), "draw").first()
-        w = np.array([best[a] for a in assets])
+        draws = random_portfolios(spark, wide, assets).select("draw", *assets).toPandas()
+        best = tail_means(wide, assets, draws).orderBy(F.desc("cvar_5"), "draw").first()
+        w = draws[draws["draw"] == best["draw"]][list(assets)].to_numpy()[0]
     else:
         raise ValueError(f"unknown method {method!r}")
     return spark.createDataFrame([(a, float(x)) for a, x in zip(assets, w)], "asset string, weight double")
