@@ -75,14 +75,16 @@ def struct_array(kind: pa.StructType, columns: dict[str, list]) -> pa.StructArra
     return pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in kind], fields=list(kind))
 
 
-def each(fn):
-    """An iterator-of-batches function from a function of one batch."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield fn(batch)
-
-    return run
+def forgetting(batches: Iterator, *tables: dict) -> Iterator:
+    """The batches of a task; after the last one the remembering tables are emptied.
+
+    Python workers live on from stage to stage, and what each stage remembers would add up.
+    """
+    try:
+        yield from batches
+    finally:
+        for table in tables:
+            table.clear()
 
 
 def digest_of(ids: Column) -> Column:

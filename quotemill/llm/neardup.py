@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import fresh, lower_ascii, only, plain_words, texts
+from quotemill.llm.common import forgetting, fresh, lower_ascii, only, plain_words, texts
 from quotemill.session import materialize
 
 SHINGLE = 5
@@ -65,7 +65,7 @@ class Hasher(dict):
     """64-bit hashes of words, remembered for the frequent ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -116,7 +116,7 @@ def band_keys(best: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in forgetting(batches, _words):
         out = []
         for text in texts(batch):
             found = shingles(text)
@@ -130,7 +130,7 @@ def _signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in forgetting(batches, _words):
         yield pa.array([shingles(t).tobytes() for t in texts(batch)], pa.binary())
 
 

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from quotemill.llm.common import fresh
+from quotemill.llm.common import forgetting, fresh
 
 MARK = "▁"
-CHUNK_CACHE = 300_000
-PAIR_CACHE = 1_000_000
+CHUNK_CACHE = 200_000
+PAIR_CACHE = 300_000
 LONG_CHUNK = 64
 
 
@@ -295,14 +295,28 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+
+
 def _each_text(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = model(path).encode
-        for batch in batches:
-            rows = [encode(t or "") for t in batch.to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)]).astype(np.int32)
-            values = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+        m = model(path)
+        for batch in forgetting(batches, m.known, m.fits, m.merges):
+            yield _lists([m.encode(t or "") for t in batch.to_pylist()])
+
+    return run
+
+
+def _each_round(path: str):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = model(path)
+        for batch in forgetting(batches, m.known, m.fits, m.merges):
+            rows = [m.encode(t or "") for t in batch.to_pylist()]
+            back = pa.array([m.decode(r) for r in rows], pa.string())
+            yield pa.StructArray.from_arrays([_lists(rows), back], ["ids", "decoded"])
 
     return run
 
@@ -333,6 +347,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> tuple[DataFrame, str, str]:
-    """Encoded and decoded documents, and the names of the two new columns, which clash with no input column."""
-    ids, back = fresh(docs, "ids", "decoded")
-    return decode(encode(docs, path, text_col, ids), path, ids, back), ids, back
+    """Encoded and decoded documents, and the names of the two new columns, which clash with no input column.
+
+    Both steps run in one worker, so the model is held once and the ids do not travel back to be decoded.
+    """
+    ids, back, both = fresh(docs, "ids", "decoded", "_both")
+    turn = F.arrow_udf(_each_round(path), "struct<ids:array<int>,decoded:string>").asNondeterministic()
+    coded = docs.withColumn(both, turn(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return coded.withColumns({ids: F.col(both)["ids"], back: F.col(both)["decoded"]}).drop(both), ids, back

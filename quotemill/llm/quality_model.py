@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import fresh, only, plain_words, texts
+from quotemill.llm.common import forgetting, fresh, only, plain_words, texts
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 14
@@ -77,7 +77,7 @@ class Shapes(dict):
     TABLE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else 108 if b >= 128 else b for b in range(256))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         raw, out = word[:8].translate(self.TABLE) + b"~" + word[-4:].translate(self.TABLE), bytearray()
         for c in raw:
@@ -93,7 +93,7 @@ _shapes, _slots = Shapes(), {}
 def _slot(feature: bytes) -> int:
     at = _slots.get(feature)
     if at is None:
-        if len(_slots) > 200_000:
+        if len(_slots) > 100_000:
             _slots.clear()
         at = _slots[feature] = 1 + xxhash.xxh3_64_intdigest(feature) % (BUCKETS - 1)
     return at
@@ -175,7 +175,7 @@ def _vote_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _feature_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
-    for batch in batches:
+    for batch in forgetting(batches, _shapes, _slots):
         yield pa.array([dict(zip(("slots", "values"), features(plain_words(t)))) for t in texts(batch)], kind)
 
 
@@ -185,7 +185,7 @@ _JUDGED = pa.struct([("score", pa.float64()), ("posterior", pa.float64()), ("vot
 def _judge_batches(shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, known, prior = shared.value
-        for batch in batches:
+        for batch in forgetting(batches, _shapes, _slots):
             out = []
             for t in texts(batch):
                 words = plain_words(t)

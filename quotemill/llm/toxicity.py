@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import only, strict_words, texts
+from quotemill.llm.common import forgetting, only, strict_words, texts
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 4_000, 20_000
@@ -39,7 +39,7 @@ class Slots(dict):
     """Hash slots of a word and its beginnings, remembered for the frequent words."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         text = word.decode(errors="replace")
         parts = [b"=" + word, *(f"^{text[:n]}".encode() for n in STARTS if n < len(text))]
@@ -58,7 +58,7 @@ def held_out(id_col: Column) -> Column:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per slot among positives and others, added up for the whole partition."""
     found = np.zeros((2, SLOTS), np.int64)
-    for batch in batches:
+    for batch in forgetting(batches, _slots):
         for text, positive in zip(texts(batch.column("text")), batch.column("positive").to_pylist()):
             slots = {s for w in set(strict_words(text)) for s in _slots[w]}
             found[int(positive), np.fromiter(slots, np.int64, len(slots))] += 1
@@ -88,7 +88,7 @@ def _sparse(shared):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at = shared.value
-        for batch in batches:
+        for batch in forgetting(batches, _slots):
             out = []
             for text in texts(batch):
                 words = strict_words(text)
@@ -101,7 +101,7 @@ def _sparse(shared):
 def _scores(shared):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w = shared.value
-        for batch in batches:
+        for batch in forgetting(batches, _slots):
             out = []
             for text in texts(batch):
                 words = strict_words(text)

@@ -57,4 +57,6 @@ def test_frames(spark, library):
     assert coded.columns == [*docs.columns, ids, back] and "ids" != ids
     got = sorted((repr((r.doc_id, r.text)), tuple(r[ids]), r[back]) for r in coded.collect())
     assert got == sorted((repr((d[0], d[1])), tuple(library.encode(d[1] or "")), library.decode(library.encode(d[1] or ""))) for d in rows())
+    apart = P.decode(P.encode(docs, PATH, out="a"), PATH, "a", "b")
+    assert sorted((repr((r.doc_id, r.text)), tuple(r.a), r.b) for r in apart.collect()) == got
     assert piece_digests(*P.round_trip(spark.createDataFrame([], DOCS), PATH)).count() == 0
