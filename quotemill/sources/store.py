@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotemill.functions.scalars import hash_bucket, matches, time_key
-from quotemill.session import materialize, remove_path, scratch
+from quotemill.session import materialize, remove_path
 
 # File suffix -> data source name.
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
