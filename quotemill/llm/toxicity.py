@@ -8,7 +8,7 @@ Where the second part falls below zero (the model has begun to fit unlabelled po
 reversed, as the non-negative estimator asks.
 
 Bounds of the fit: at most ``POSITIVES`` positives and ``UNLABELLED`` unlabelled documents, taken in the order of a hash of
-their text; the feature counts cover all training documents.  Labels, language, source and id never enter a score.
+their text; the feature counts cover all training documents and all positives.  Labels, language, source and id never enter a score.
 
 Defined results: null and empty texts are scored from the intercept.  Labels that are null or outside 0 and 1 are ignored;
 a document labelled both ways counts as toxic.  Without any positive every score is the prior (0 if
@@ -32,6 +32,7 @@ FOLDS = 5
 POSITIVES, UNLABELLED = 4_000, 20_000
 SLOTS = 1 << 17
 FEATURES = 4_096
+MARKS = 1 << 20  # hash values of toxic ids that are told apart before the exact join
 STARTS = (4, 5, 6, 7)  # lengths, in characters, of the word beginnings that are features
 
 
@@ -56,14 +57,35 @@ def held_out(id_col: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per slot among positives and others, added up for the whole partition."""
-    found = np.zeros((2, SLOTS), np.int64)
+    """Documents per slot, added up for the whole partition; slot -1 counts all of them."""
+    found = np.zeros(SLOTS + 1, np.int64)
     for batch in forgetting(batches, _slots):
-        for text, positive in zip(texts(batch.column("text")), batch.column("positive").to_pylist()):
+        for text in texts(batch.column("text")):
             slots = {s for w in set(strict_words(text)) for s in _slots[w]}
-            found[int(positive), np.fromiter(slots, np.int64, len(slots))] += 1
-    at = np.flatnonzero(found.any(axis=0))
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "p": pa.array(found[1, at]), "u": pa.array(found[0, at])})
+            found[np.fromiter(slots, np.int64, len(slots))] += 1
+            found[-1] += 1
+    at = np.flatnonzero(found)
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(np.where(at == SLOTS, -1, at), pa.int32()), "n": pa.array(found[at])})
+
+
+def _counts(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents per slot and their number."""
+    got = rows.select("text").mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS + 1, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def confirmed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids``, however many these are.
+
+    Which of ``MARKS`` hash values occur is sent to every task; only rows that have one of them, few where few documents
+    are toxic, go through the exact join, which may shuffle their texts.
+    """
+    ids = ids.select(F.col("id").cast(rows.schema["id"].dataType).alias("id"))
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).cast("int").alias("mark")
+    near = rows.select("*", mark).join(F.broadcast(ids.select(mark).distinct()), "mark", "left_semi").drop("mark")
+    return near.join(ids, "id", "left_semi")
 
 
 def _chosen(word_counts: Counter, at: dict[int, int]) -> dict[int, int]:
@@ -190,18 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, n_toxic = said.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = min(max(n_toxic / n if n else 0.0, 1e-3), 0.999)
     rows = only(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("id")))
-    ids = said.filter("toxic = 1").select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(positives).select("id")
-    # At most ``positives`` ids: small enough to be sent to every task.
-    marked = rows.join(F.broadcast(ids.withColumn("positive", F.lit(True))), "id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
-    counts = marked.mapInArrow(_count, "slot int, p long, u long").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
-    total, n_p = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0))).first()
-    slots, p, u = (counts[c].to_numpy() for c in ("slot", "p", "u"))
-    chosen = slots[select(p, u, n_p, total - n_p)]
+    toxic = confirmed(rows, said.filter("toxic = 1").select("id"))
+    (every, total), (p, n_p) = _counts(rows), _counts(toxic)
+    chosen = select(p, every - p, n_p, total - n_p)
     at = {int(s): i for i, s in enumerate(chosen)}
     sparse = F.arrow_udf(_sparse(spark.sparkContext.broadcast(at)), "struct<at:array<int>,x:array<float>>").asNondeterministic()
     f = sparse("text").alias("f")
-    pos = _parts(_first(marked.filter("positive"), n_p, positives, f))
-    unl = _parts(_first(marked, total, unlabelled, f))
+    pos = _parts(_first(toxic, n_p, positives, f))
+    unl = _parts(_first(rows, total, unlabelled, f))
     return {"at": at, "prior": prior, "weights": fit(pos, unl, prior, len(at))}
 
 

@@ -86,3 +86,14 @@ def test_the_risk_estimator_stays_non_negative():
     hidden = np.mean([w[0] + w[102 + i] + w[-1] > 0 for i in range(100)])
     clean = np.mean([w[1] + w[102 + i] + w[-1] < 0 for i in range(100, 500)])
     assert hidden > 0.9 and clean > 0.9 and rng is not None
+
+
+def test_features_count_every_positive(spark):
+    """Each telling word is in four of 240 toxic documents: with 20 positives for the fit, all 60 words still are features."""
+    docs = [(i, " ".join([f"vile{chr(97 + i // 4 % 26)}{chr(97 + i // 104)}x"] * 3 + [f"tok{j}" for j in range(i % 7, 20)]), "en", "s", 1) for i in range(240)]
+    docs += [(i, " ".join(f"tok{j}" for j in range(i % 7, 20)), "en", "s", 1) for i in range(240, 6000)]
+    docs = [(i, *d) for i, d in zip((i for i in range(9000) if zlib.crc32(str(i).encode()) % 5), (d[1:] for d in docs))]
+    d, lab = prepare(spark).createDataFrame(docs, DOCS), spark.createDataFrame([(r[0], 1, int(k < 240)) for k, r in enumerate(docs)], LABELS)
+    at = T.train(d, lab, positives=20)["at"]
+    telling = {T._slots[w.encode()][0] for r in docs[:240] for w in r[1].split() if w.startswith("vile")}
+    assert len(telling) == 60 and telling <= set(at)
