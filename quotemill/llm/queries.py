@@ -173,11 +173,12 @@ def op1(spark, sf_dir):
 
 @query("op9_license_scan")
 def op9(spark, sf_dir):
-    """The best license match of every document, if any, and how many it has."""
+    """The best license match of every document, if any, how many it has, and all of them, best first."""
     state, name = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     matches = F.col(name)["matches"]
     best = F.get(matches, 0)
     return state.select(
         "doc_id", F.col(name)["n_words"].alias("n_words"), F.size(matches).cast("long").alias("n_matches"),
         *[best[c].alias(c) for c in ("license", "coverage", "matched", "word_from", "word_to", "char_from", "char_to")],
+        matches.alias("matches"),
     )

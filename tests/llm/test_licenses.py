@@ -4,6 +4,7 @@ from functools import lru_cache
 from plain import DOCS, clashing, frame
 
 from quotemill.llm import licenses as L
+from quotemill.llm import queries as Q
 from quotemill.llm.common import prepare
 
 
@@ -72,3 +73,13 @@ def test_frames(spark):
     assert [m.license for m in got[100].matches] == ["mit-notice"] and text[got[100].matches[0].char_from :] == "Released under the MIT License."
     assert got[101].matches == got[102].matches == [] and got[101].n_words == 0
     assert L.scan(spark.createDataFrame([], DOCS))[0].count() == 0
+
+
+def test_the_query_returns_every_match(spark, tmp_path):
+    text = "Released under the MIT License.\nSome words between.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License."
+    frame(spark, [(100, text, "en", "s", 1), (101, "no licence", "en", "s", 1)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q.QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    spans = {(m.license, text[m.char_from : m.char_to]) for m in got[100].matches}
+    assert spans == {("mit-notice", "Released under the MIT License"), ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0")}
+    assert len({(m.license, m.char_from) for m in got[100].matches}) == got[100].n_matches == 3
+    assert got[101].matches == [] and got[101].n_matches == 0 and got[101].license is None
