@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quotemill.operators.bars import tick_summary
 from quotemill.operators.ordered import attach
+from quotemill.schemas import INTERVALS
 from quotemill.session import path_exists, scratch
 from quotemill.sources.store import latest_per_key
 
@@ -142,26 +143,43 @@ def incremental_rollup(path: str, source: str, interval: str = "1h", part: str =
     """Continuous aggregate: store ticks by time, rebuild only the coarse buckets the batch touches.
 
     Ticks lie in folders by ``part`` and batch, and only the folders of touched buckets are read again.  The refresh
-    window takes buckets from ``start`` to ``end`` before the newest time of the batch; others wait for a later call.
+    window takes buckets from ``start`` to ``end`` before the newest time of the batch; the keys of others are kept in
+    ``_pending`` below ``path`` by batch and rebuilt by the first later batch whose window holds them (one without a
+    window takes all).
     """
     from quotemill.operators.bars import bucket, ohlcv, rollup_bars
 
+    length = INTERVALS[interval]
+    span = F.expr(f"INTERVAL 1 {length}" if length in ("week", "month") else f"INTERVAL {length}")
+
+    def part_of(at: Column) -> Column:
+        return F.date_trunc(part, at).cast("timestamp_ntz").cast("string")
+
     def write(ticks: DataFrame, batch: int) -> None:
         spark = ticks.sparkSession
-        rows = ticks.select("symbol", "exchange", "ts", "tie", "price", "volume", F.date_trunc(part, "ts").cast("timestamp_ntz").cast("string").alias("slot"))
+        rows = ticks.select("symbol", "exchange", "ts", "tie", "price", "volume", part_of(c("ts")).alias("slot"))
         rows = rows.withColumn("batch", F.lit(batch)).hint("rebalance", "slot")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(source)
         touched = ticks.select("symbol", "exchange", bucket("ts", interval).alias("bucket")).distinct()
+        before, now = f"{path}/_pending/batch={batch - 1}", f"{path}/_pending/batch={batch}"
+        if path_exists(spark, before):
+            touched = touched.unionByName(spark.read.parquet(before)).distinct()
         if start or end:
-            newest = ticks.agg(F.max("ts").alias("top"))
-            touched = attach(touched, newest)
+            inside = F.lit(True)
             if start:
-                touched = touched.filter(c("bucket") >= c("top") - F.expr(f"INTERVAL {start}"))
+                inside = inside & (c("bucket") >= c("top") - F.expr(f"INTERVAL {start}"))
             if end:
-                touched = touched.filter(c("bucket") <= c("top") - F.expr(f"INTERVAL {end}"))
-            touched = touched.drop("top")
-        slots = [r[0] for r in ticks.select(F.date_trunc(part, "ts").cast("timestamp_ntz").cast("string")).distinct().collect()]  # folders of this batch
-        stored = spark.read.parquet(source).filter(c("slot").cast("string").isin(slots) & (c("batch") <= batch))
+                inside = inside & (c("bucket") <= c("top") - F.expr(f"INTERVAL {end}"))
+            marked = attach(touched, ticks.agg(F.max("ts").alias("top"))).withColumn("inside", F.coalesce(inside, F.lit(False)))
+            marked.filter(~c("inside")).drop("top", "inside").write.mode("overwrite").parquet(now)
+            touched = marked.filter("inside").drop("top", "inside")
+        # Folders of the buckets to rebuild: the first and the last one of each bucket, mostly the same.
+        ends = touched.select(part_of(c("bucket")), part_of(c("bucket") + span - F.expr("INTERVAL 1 MICROSECOND"))).distinct().collect()
+        slot = c("slot").cast("string")
+        near = slot.isin([a for a, b in ends if a == b])
+        for a, b in ends:
+            near = near if a == b else near | slot.between(a, b)
+        stored = spark.read.parquet(source).filter(near & (c("batch") <= batch))
         affected = stored.withColumn("bucket", bucket("ts", interval)).join(touched, ["symbol", "exchange", "bucket"], "left_semi").drop("bucket", "batch", "slot")
         rollup_bars(ohlcv(affected, "1m"), interval).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 

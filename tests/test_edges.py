@@ -201,6 +201,40 @@ def test_refresh_window_of_continuous_aggregates(spark):
     assert sorted(str(r.bucket)[:10] for r in spark.read.parquet(f"{path}/bars").collect()) == ["2024-01-02", "2024-01-03"]
 
 
+def test_buckets_outside_the_refresh_window_are_rebuilt_later(spark):
+    def ticks(*rows):
+        df = spark.createDataFrame([("a", "v", at, k, float(k), 1.0) for k, at in rows], "symbol string, exchange string, at string, tie long, price double, volume double")
+        return df.withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at")
+
+    def bars(path):
+        out = jobs.latest(spark.read.parquet(path), ["symbol", "exchange", "bucket"])
+        return {str(r.bucket)[5:16]: (r.open, r.close, r.trade_count) for r in out.collect()}
+
+    path = scratch(spark, "pending")
+    run = jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks", part="hour", end="1 hour")
+    batches = [ticks((1, "2024-01-01 10:05:00"), (2, "2024-01-01 10:50:00")), ticks((3, "2024-01-01 11:30:00"), (4, "2024-01-01 10:55:00")), ticks((5, "2024-01-01 13:00:00"))]
+    for k, batch in enumerate(batches):
+        run(batch, k)
+        run(batch, k)  # a replayed batch changes nothing
+    assert bars(f"{path}/bars") == {"01-01 10:00": (1.0, 4.0, 3), "01-01 11:00": (3.0, 3.0, 1)}
+    jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks", part="hour")(ticks((6, "2024-01-01 14:00:00")), 3)
+    assert bars(f"{path}/bars")["01-01 13:00"] == (5.0, 5.0, 1) and len(bars(f"{path}/bars")) == 4
+
+    path = scratch(spark, "late")
+    run = jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks", start="30 hours")
+    for k, batch in enumerate([ticks((1, "2024-01-03 10:00:00")), ticks((2, "2024-01-01 10:00:00"), (3, "2024-01-03 11:00:00"))]):
+        run(batch, k)
+    assert sorted(bars(f"{path}/bars")) == ["01-03 10:00", "01-03 11:00"]
+    jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks")(ticks((4, "2024-01-03 12:00:00")), 2)
+    assert bars(f"{path}/bars")["01-01 10:00"] == (2.0, 2.0, 1)
+
+    path = scratch(spark, "wide")  # a bucket that lies in several folders
+    run = jobs.incremental_rollup(f"{path}/bars", f"{path}/ticks", "1d", part="hour")
+    for k, batch in enumerate([ticks((1, "2024-01-01 10:00:00")), ticks((2, "2024-01-01 11:00:00"))]):
+        run(batch, k)
+    assert bars(f"{path}/bars") == {"01-01 00:00": (1.0, 2.0, 2)}
+
+
 def test_hot_partitions_are_written_by_several_tasks(spark):
     path = scratch(spark, "hot")
     spark.createDataFrame([(-1, "hot", "x"), (-2, "cold", "x")], "id long, part string, v string").write.partitionBy("part").parquet(path)
