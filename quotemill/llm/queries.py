@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontam, licenses, neardup, pieces, quality_model, rules, shards, toxicity, warc
+from quotemill.llm import chat, decontam, exact, licenses, neardup, pieces, quality_model, rules, shards, toxicity, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,18 @@ def op9(spark, sf_dir):
         *[best[c].alias(c) for c in ("license", "coverage", "matched", "word_from", "word_to", "char_from", "char_to")],
         matches.alias("matches"),
     )
+
+
+SAME_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op13_exact_dedup", SAME_SQL)
+def op13(spark, sf_dir):
+    """Every document with the one that stays of those with its text."""
+    work = exact.Deduplicator(spark, f"{sf_dir}/documents.parquet")
+    work.update()
+    return work.verdicts().withColumnRenamed("digest", "text_sha256")
