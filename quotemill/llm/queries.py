@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontam, exact, licenses, neardup, pieces, quality_model, rules, shards, toxicity, warc
+from quotemill.llm import align, chat, decontam, exact, lexical, licenses, neardup, pieces, quality_model, rules, shards, toxicity, warc
 from quotemill.llm.common import STRICT_WORD, digest_of, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,6 +184,38 @@ def op9(spark, sf_dir):
     )
 
 
+SEARCH_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}')) AS x FROM benchmark),
+s AS (SELECT CAST(count(*) FILTER (WHERE len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+t AS (SELECT rid, x, count(*) AS tf FROM (SELECT rid, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM q) GROUP BY rid, x),
+f AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t GROUP BY x),
+m AS (SELECT rid, doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) AS m FROM d, s WHERE len(w) > 0),
+scored AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM q JOIN f USING (x) JOIN t USING (x) JOIN m USING (rid) GROUP BY item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""".format(word=STRICT_WORD)
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, sf_dir):
+    """Figures, a digest of the groups and corpus-wide link counts of every document."""
+    import public_tokenizers
+
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    found = align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model(), groups=groups)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 SAME_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
