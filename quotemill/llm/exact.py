@@ -28,7 +28,8 @@ from quotemill.streaming.jobs import batch_writer, latest, start
 
 BATCH_BYTES = 256 << 20
 HIT_BUCKETS = 1 << 20
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# The store for state that outgrows memory; it must not set files' space aside, or many small partitions fill the disk.
+STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -69,14 +70,16 @@ class Deduplicator:
 
     def update(self) -> None:
         """Take in the files that have arrived since the last call, and check the hits."""
-        spark, before = self.spark, self.spark.conf.get(PROVIDER)
+        spark, before = self.spark, {k: self.spark.conf.get(k, None) for k in STORE}
         arriving = _rows(self._arriving(), self.digest, self.id_col, self.text_col).select("digest", "at")
-        spark.conf.set(PROVIDER, ROCKSDB)
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
         try:
             # Update mode hands out the entries that a batch has changed.
             start(_entry(arriving.groupBy("digest")), batch_writer(f"{self.folder}/state"), f"{self.folder}/checkpoint", "update").awaitTermination()
         finally:
-            spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         rows = self.rows()
         failed = materialize(self._collisions(rows), "exact-failed")
         if not failed.isEmpty():
