@@ -1,12 +1,13 @@
 """Shard placement by a hierarchical weighted hash tree.
 
-Regions hold racks and racks hold shards.  A document descends from the root: at each level every child draws
--ln(u) / weight with u hashed from the document's key and the child's name, and the smallest draw wins.  A child's draw
-depends on nothing but key, name and its own weight, so changing weights moves documents only into or out of the
-subtrees whose weight changed, and a child of weight w gets w / (sum of weights) of what reaches its parent.
+Regions hold racks and racks hold shards.  A document descends from the root and at every level goes to the child with
+the smallest draw.  A shard draws -ln(u) / weight with u hashed from the document's key and the shard; a rack's draw is
+the smallest of its shards', a region's the smallest of its racks'.  The smallest of exponential draws is an
+exponential draw of the summed weight, so every child gets weight / (sum of weights) of what reaches its parent.
 
-A tree grows by opening a new region (a rack with a shard of its own), so no weight of an existing subtree changes
-and documents move into the new shard only.
+A shard's draw depends on nothing but key, shard and weight, so a change of weights moves documents only into or out
+of the shards, racks and regions whose weight changed, and a new shard, wherever in the tree, takes documents only
+into itself: the tree of n + 1 shards is the tree of n, grown by one, for every n.
 
 Slots number the documents of a shard without gaps: rows are numbered inside (written file, shard) and shifted by
 the counts of the files before, so no task holds a whole shard.
@@ -34,62 +35,51 @@ REGION_RACKS, RACK_SHARDS = 4, 5  # racks of a region, shards of a rack in trees
 class Tree:
     """Leaves as (region, rack, shard, weight); racks and regions weigh what they hold."""
 
-    leaves: tuple[tuple[int, int, int, float], ...]
+    leaves: tuple[tuple[int, int, int, float], ...] = ()
 
     @staticmethod
     def of(shards: int) -> Tree:
-        """Equal shards in full regions, the rest in a region each, as ``grown`` would have added them."""
-        full = shards // (REGION_RACKS * RACK_SHARDS) * (REGION_RACKS * RACK_SHARDS)
-        per = REGION_RACKS * RACK_SHARDS
-        leaves = [(s // per, s // RACK_SHARDS, s, 1.0) for s in range(full)]
-        return Tree(tuple(leaves)).grown(shards - full)
+        """Equal shards, rack by rack and region by region."""
+        return Tree().grown(shards)
 
     def grown(self, more: int = 1, weight: float = 1.0) -> Tree:
-        """The tree with ``more`` new shards, each in a rack and a region of its own."""
+        """The tree with ``more`` new shards, in the last rack and region while these have room."""
         leaves = list(self.leaves)
         for _ in range(more):
-            region, rack, shard = (1 + max((leaf[i] for leaf in leaves), default=-1) for i in range(3))
+            shard = 1 + max((leaf[2] for leaf in leaves), default=-1)
+            rack = max((leaf[1] for leaf in leaves), default=0)
+            if sum(leaf[1] == rack for leaf in leaves) >= RACK_SHARDS:
+                rack += 1
+            region = next((leaf[0] for leaf in leaves if leaf[1] == rack), None)
+            if region is None:
+                region = max((leaf[0] for leaf in leaves), default=0)
+                if len({leaf[1] for leaf in leaves if leaf[0] == region}) >= REGION_RACKS:
+                    region += 1
             leaves.append((region, rack, shard, weight))
         return Tree(tuple(leaves))
 
     def reweighted(self, weights: dict[int, float]) -> Tree:
         return Tree(tuple((g, r, s, weights.get(s, w)) for g, r, s, w in self.leaves))
 
-    def children(self, depth: int) -> dict[int, list[tuple[int, float]]]:
-        """For each node of a depth (0: the root) its children and their weights."""
-        out: dict[int, dict[int, float]] = {}
-        for leaf in self.leaves:
-            parent = 0 if depth == 0 else leaf[depth - 1]
-            below = out.setdefault(parent, {})
-            below[leaf[depth]] = below.get(leaf[depth], 0.0) + leaf[3]
-        return {p: sorted((c, w) for c, w in below.items() if w > 0) for p, below in out.items()}
-
     def place(self, key: Sequence[str]) -> Column:
-        """The shard of a row with these key columns."""
-        node = _draw(key, 0, self.children(0)[0])
-        for depth in (1, 2):
-            node = _descend(key, depth, node, self.children(depth))
-        return node
-
-
-def _draw(key: Sequence[str], depth: int, children: list[tuple[int, float]]) -> Column:
-    """The child with the smallest weighted draw; equal draws go to the smaller number."""
-    draws = [F.struct(_cost(key, depth, F.lit(c), F.lit(w)).alias("d"), F.lit(c).alias("c")) for c, w in children]
-    return F.least(*draws)["c"] if len(draws) > 1 else F.lit(children[0][0])
+        """Struct of region, rack and shard of a row with these key columns; equal draws go to the smaller numbers."""
+        regions: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        for region, rack, shard, weight in self.leaves:
+            if weight > 0:
+                regions.setdefault(region, {}).setdefault(rack, []).append((shard, weight))
+        racks = {g: [_least([_draw(key, g, r, s, w) for s, w in below]) for r, below in held.items()] for g, held in regions.items()}
+        return _least([_least(draws) for draws in racks.values()])
 
 
-def _descend(key: Sequence[str], depth: int, node: Column, children: dict[int, list[tuple[int, float]]]) -> Column:
-    """The same one level down, for whichever node was drawn above."""
-    lists = F.create_map(*[x for p, below in children.items() for x in (
-        F.lit(p), F.array(*[F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in below]))])
-    drawn = F.transform(F.element_at(lists, node), lambda x: F.struct(_cost(key, depth, x["c"], x["w"]).alias("d"), x["c"].alias("c")))
-    return F.array_min(drawn)["c"]
+def _least(draws: list[Column]) -> Column:
+    return F.least(*draws) if len(draws) > 1 else draws[0]
 
 
-def _cost(key: Sequence[str], depth: int, child: Column, weight: Column) -> Column:
-    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash of key, level and child."""
-    h = F.shiftrightunsigned(F.xxhash64(*[F.col(k) for k in key], F.lit(depth), child), 12)
-    return -F.ln((h + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
+def _draw(key: Sequence[str], region: int, rack: int, shard: int, weight: float) -> Column:
+    """-ln(u) / weight with u in (0, 1) from 52 bits of the hash of key and shard, and where the shard is."""
+    h = F.shiftrightunsigned(F.xxhash64(*[F.col(k) for k in key], F.lit(shard)), 12)
+    cost = -F.ln((h + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(float(weight))
+    return F.struct(cost.alias("draw"), F.lit(region).alias("region"), F.lit(rack).alias("rack"), F.lit(shard).alias("shard"))
 
 
 def assign(docs: DataFrame, shards: int | Tree, id_col: str = "doc_id", text_col: str = "text", grow: int = 1) -> DataFrame:
@@ -100,10 +90,8 @@ def assign(docs: DataFrame, shards: int | Tree, id_col: str = "doc_id", text_col
     tree = shards if isinstance(shards, Tree) else Tree.of(shards)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = only(docs, id=id_col, text=text_col).select("id", (F.length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("region", _draw(["id"], 0, tree.children(0)[0]))
-    rows = rows.withColumn("rack", _descend(["id"], 1, F.col("region"), tree.children(1)))
-    rows = rows.withColumn("shard", _descend(["id"], 2, F.col("rack"), tree.children(2)))
-    rows = rows.select("id", "size", "text_crc32", "region", "rack", "shard", tree.grown(grow).place(["id"]).alias("grown_shard"))
+    rows = rows.withColumns({"now": tree.place(["id"]), "then": tree.grown(grow).place(["id"])})
+    rows = rows.select("id", "size", "text_crc32", "now.region", "now.rack", "now.shard", F.col("then.shard").alias("grown_shard"))
     out = with_slots(materialize(rows, "shards"), "shard")
     return out.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -15,9 +16,42 @@ def many(spark):
 
 
 def test_tree_of_any_size():
-    for n in (1, 7, 19, 20, 21, 40, 41, 63):
+    for n in range(201):
         tree = S.Tree.of(n)
-        assert sorted(leaf[2] for leaf in tree.leaves) == list(range(n)) and tree.grown() == S.Tree.of(n + 1) or (n + 1) % 20 == 0
+        assert [leaf[2] for leaf in tree.leaves] == list(range(n)) and tree.grown() == S.Tree.of(n + 1)
+        racks, regions = Counter(leaf[1] for leaf in tree.leaves), Counter({leaf[:2] for leaf in tree.leaves})
+        assert max(racks.values(), default=0) <= S.RACK_SHARDS and max(Counter(g for g, _ in regions).values(), default=0) <= S.REGION_RACKS
+
+
+def _hash(spark, ids, shard):
+    """The engine's own 64-bit hash of (key, shard), as unsigned 52 bits."""
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", F.xxhash64("doc_id", F.lit(shard)).alias("h")).collect()
+    return {r.doc_id: (r.h % (1 << 64)) >> 12 for r in got}
+
+
+def test_placement_level_by_level(spark):
+    """Descending by the smallest draw below each child, recomputed in plain Python."""
+    tree, ids = S.Tree.of(47).reweighted({3: 2.5, 41: 0.5, 17: 0.0}), list(range(300))
+    draws = {s: {i: -math.log((h + 0.5) / 2**52) / w for i, h in _hash(spark, ids, s).items()} for _, _, s, w in tree.leaves if w > 0}
+    frame_ = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for r in frame_.select("doc_id", tree.place(["doc_id"]).alias("at")).collect():
+        node = ()
+        for depth in range(3):
+            below = {}
+            for leaf in tree.leaves:
+                if leaf[:depth] == node and leaf[2] in draws:
+                    below[leaf[depth]] = min(below.get(leaf[depth], math.inf), draws[leaf[2]][r.doc_id])
+            node += (min(below, key=below.get),)
+        assert node == (r["at"]["region"], r["at"]["rack"], r["at"]["shard"])
+
+
+def test_growth_takes_rows_into_the_new_shard_at_every_size(many):
+    sizes = [1, 4, 5, 19, 20, 39, 59, 60]
+    trees = {f"s{n}": S.Tree.of(n).place(["doc_id"])["shard"] for n in sorted({*sizes, *[n + 1 for n in sizes]})}
+    got = many.limit(4000).select(*[c.alias(n) for n, c in trees.items()]).toPandas()
+    for n in sizes:
+        moved = got[got[f"s{n}"] != got[f"s{n + 1}"]]
+        assert set(moved[f"s{n + 1}"]) == {n} and abs(len(moved) / len(got) - 1 / (n + 1)) < 0.03
 
 
 def test_growth_moves_into_the_new_shard_only(many):
@@ -34,7 +68,7 @@ def test_slots_are_gapless(many):
 
 def test_placement_follows_weights(many):
     heavy = S.Tree.of(40).reweighted({3: 4.0})
-    share = Counter(r.shard for r in many.select(heavy.place(["doc_id"]).alias("shard")).collect())
+    share = Counter(r.shard for r in many.select(heavy.place(["doc_id"])["shard"].alias("shard")).collect())
     assert abs(share[3] / 20_000 - 4 / 43) < 0.02
 
 
@@ -42,7 +76,7 @@ def test_movement_is_confined_to_subtrees_whose_weight_changed(many):
     tree = S.Tree.of(40)
     heavy = tree.reweighted({3: 2.0})
     where = {leaf[2]: leaf for leaf in tree.leaves}
-    pairs = many.select(tree.place(["doc_id"]).alias("a"), heavy.place(["doc_id"]).alias("b")).filter("a <> b").collect()
+    pairs = many.select(tree.place(["doc_id"])["shard"].alias("a"), heavy.place(["doc_id"])["shard"].alias("b")).filter("a <> b").collect()
     assert pairs
     for r in pairs:  # a document moves only towards the subtree that became heavier
         old, new, hot = where[r.a], where[r.b], where[3]
