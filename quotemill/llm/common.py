@@ -79,6 +79,18 @@ def forgetting(batches: Iterator, *tables: dict) -> Iterator:
             table.clear()
 
 
+def first_texts(rows: DataFrame, most: int, *cols: Column) -> DataFrame:
+    """``cols`` of the ``most`` first distinct texts in the order of their hash, or of all if there are fewer.
+
+    Column ``text`` must not be null.  Hash order is the same for any partitioning.  Distinct hashes are counted and cut
+    before a text is looked at, so copies neither shrink the sample nor are worked on twice.
+    """
+    h = F.xxhash64("text")
+    last = rows.select(h.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]  # null without any text
+    chosen = rows.select("text").filter(h <= F.lit(last).cast("long")).distinct()
+    return chosen.select(h.alias("h"), *cols).dropDuplicates(["h"]).orderBy("h").limit(most).drop("h")
+
+
 def digest_of(ids: Column) -> Column:
     """Lowercase hex SHA-256 of the decimal numbers of an array column, joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)

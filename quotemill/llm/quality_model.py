@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import forgetting, fresh, only, plain_words, texts
+from quotemill.llm.common import first_texts, forgetting, fresh, only, plain_words, texts
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 14
@@ -208,12 +208,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) ->
     patterns = np.array([[int(x) for x in r["votes"].split(",")] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     label = estimate(patterns, np.array([r["count"] for r in counted], float))
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), label["posterior"])}
-    total = sum(r["count"] for r in counted)
-    # Hash order is the same for any partitioning; the threshold only thins what is sorted for the exact limit.
-    share = min(1.0, 1.5 * fit_rows / max(total, 1))
-    thin = rows.withColumn("h", F.xxhash64("text")).filter(F.shiftrightunsigned("h", 11) <= int(share * (1 << 53)))
-    small = thin.select("h", vote("text").alias("votes"), make("text").alias("f"))  # texts stay in the tasks
-    got = small.dropDuplicates(["h"]).orderBy("h").limit(fit_rows).drop("h").toArrow().combine_chunks()
+    got = first_texts(rows, fit_rows, vote("text").alias("votes"), make("text").alias("f")).toArrow().combine_chunks()
     data, soft = [], np.empty(0)
     if got.num_rows:
         f = got["f"].combine_chunks()

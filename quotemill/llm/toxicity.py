@@ -1,6 +1,6 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other training documents are unlabelled, whatever their label says.
+Confirmed toxic documents are the positives; the training documents as a whole are the unlabelled, whatever their label says.
 The class prior is the toxic share of the labelled training rows.  Hashed words and word beginnings are counted over
 all training documents, those that positives hold significantly more often are the features, and a linear numpy
 classifier is trained on the risk  prior * mean_P loss(+)  +  max(0, mean_U loss(-) - prior * mean_P loss(-)).
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import forgetting, only, strict_words, texts
+from quotemill.llm.common import first_texts, forgetting, only, strict_words, texts
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 4_000, 20_000
@@ -185,14 +185,6 @@ def fit(pos: list, unl: list, prior: float, width: int, steps: int = 2000, seed:
     return mean
 
 
-def _first(rows: DataFrame, total: int, most: int, *cols: Column) -> DataFrame:
-    """At most ``most`` rows in the order of a hash of the text; the hash threshold thins what has to be sorted."""
-    h = F.xxhash64("text")
-    share = min(1.0, (1.5 * most + 100) / max(total, 1))
-    thin = rows.filter(F.shiftrightunsigned(h, 11) <= int(share * (1 << 53)))
-    return thin.select(h.alias("h"), *cols).dropDuplicates(["h"]).orderBy("h").limit(most).drop("h")
-
-
 def _parts(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     got = sample.toArrow().combine_chunks()
     if not got.num_rows:
@@ -218,8 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at = {int(s): i for i, s in enumerate(chosen)}
     sparse = F.arrow_udf(_sparse(spark.sparkContext.broadcast(at)), "struct<at:array<int>,x:array<float>>").asNondeterministic()
     f = sparse("text").alias("f")
-    pos = _parts(_first(toxic, n_p, positives, f))
-    unl = _parts(_first(rows, total, unlabelled, f))
+    pos = _parts(first_texts(toxic, positives, f))
+    unl = _parts(first_texts(rows, unlabelled, f))
     return {"at": at, "prior": prior, "weights": fit(pos, unl, prior, len(at))}
 
 

@@ -2,9 +2,10 @@ import numpy as np
 import pandas as pd
 from conftest import DATA
 from plain import DOCS, clashing, frame
+from pyspark.sql import functions as F
 
 from quotemill.llm import quality_model as Q
-from quotemill.llm.common import plain_words, prepare
+from quotemill.llm.common import first_texts, plain_words, prepare
 
 
 def test_em_recovers_planted_accuracies():
@@ -53,3 +54,14 @@ def test_the_sample_is_bounded_and_stable(spark):
     docs = frame(prepare(spark))
     a, b = Q.train(docs, fit_rows=5), Q.train(docs.repartition(7), fit_rows=5)
     assert np.allclose(a["weights"], b["weights"]) and a["posterior"] == b["posterior"]
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    """1,000 texts, most of them many times over, one a third of all rows: all of them are fitted on, each once."""
+    docs = prepare(spark).range(60_000).selectExpr("IF(id % 3 = 0, 'one text', concat('text number ', id % 1000)) AS text")
+    distinct = docs.distinct().count()
+    got = [r.text for r in first_texts(docs, 20_000, F.col("text")).collect()]
+    assert len(got) == len(set(got)) == distinct
+    few = [r.text for r in first_texts(docs, 100, F.col("text")).collect()]
+    assert few == got[:100]
+    assert first_texts(docs.limit(0), 100, F.col("text")).count() == 0
