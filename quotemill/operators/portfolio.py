@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions.scalars import uniform_draw
+from quotemill.operators import gram
 from quotemill.operators.ordered import Panel, Series, attach, cumulative, index_rows
 from quotemill.operators.scans import affine_scan
 from quotemill.session import materialize
@@ -62,8 +63,24 @@ def inverse_volatility(signals: DataFrame, signal: str = "signal", vol: str = "v
     return attach(d, total).withColumn("weight", F.coalesce(F.try_divide(c("_inv"), c("_total")), F.lit(0.0))).drop("_inv", "_total")
 
 
-def limit_checks(book: DataFrame, max_weight: float = 0.2, max_leverage: float = 5.0, max_sector: float = 0.4) -> DataFrame:
-    """Flags per position: weight within limits, sector within its share, gross leverage within its bound.
+def portfolio_correlations(book: DataFrame, cov: DataFrame) -> DataFrame:
+    """Correlation of every position's returns with those of its portfolio, from the long covariance (a, b, cov).
+
+    ``book`` has portfolio, symbol, weight.  Symbols without covariance add nothing; without variance the answer is null.
+    """
+    held = book.groupBy("portfolio", "symbol").agg(F.sum("weight").alias("weight"))
+    part = held.join(cov.withColumnsRenamed({"b": "symbol"}), "symbol").groupBy("portfolio", "a").agg(F.sum(c("weight") * c("cov")).alias("with_portfolio"))
+    own = cov.filter("a = b").select("a", c("cov").alias("var"))
+    rows = held.withColumnRenamed("symbol", "a").join(part, ["portfolio", "a"]).join(own, "a")
+    total = rows.groupBy("portfolio").agg(F.sum(c("weight") * c("with_portfolio")).alias("portfolio_var"))
+    corr = F.try_divide(c("with_portfolio"), F.sqrt(c("var") * c("portfolio_var")))
+    return rows.join(total, "portfolio").select("portfolio", c("a").alias("symbol"), corr.alias("correlation"))
+
+
+def limit_checks(book: DataFrame, max_weight: float = 0.2, max_leverage: float = 5.0, max_sector: float = 0.4,
+                 correlations: DataFrame | None = None, max_correlation: float = 0.7) -> DataFrame:
+    """Flags per position: weight within limits, sector within its share, gross leverage within its bound, and, given
+    ``portfolio_correlations``, returns not too much like the portfolio's (unknown ones pass).
 
     ``book`` has portfolio, symbol, sector, weight; sums per portfolio and sector are partial aggregates.
     """
@@ -72,7 +89,12 @@ def limit_checks(book: DataFrame, max_weight: float = 0.2, max_leverage: float =
     out = book.join(gross, "portfolio").join(sector, ["portfolio", "sector"])
     check = F.when(c("weight") > max_weight, "max_weight").when(c("weight") < -max_weight, "min_weight").otherwise("ok")
     out = out.withColumns({"weight_check": check, "leverage_ok": c("leverage") <= max_leverage, "sector_ok": c("sector_weight") <= max_sector})
-    return out.withColumn("passed", (c("weight_check") == "ok") & c("leverage_ok") & c("sector_ok"))
+    passed = (c("weight_check") == "ok") & c("leverage_ok") & c("sector_ok")
+    if correlations is not None:
+        out = out.join(correlations, ["portfolio", "symbol"], "left")
+        out = out.withColumn("correlation_ok", F.coalesce(F.abs("correlation") <= max_correlation, F.lit(True)))
+        passed = passed & c("correlation_ok")
+    return out.withColumn("passed", passed)
 
 
 def drawdown_ok(value: Column, peak: Column, limit: float = 0.2) -> Column:
@@ -112,16 +134,14 @@ def risk_contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def _moments(wide: DataFrame, assets: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Annual mean vector and covariance matrix: one aggregate of k + k(k+1)/2 values."""
-    q = [f"`{a}`" for a in assets]
-    aggs = [F.avg(x) for x in q] + [F.covar_samp(x, y) for i, x in enumerate(q) for y in q[i:]]
-    row = [float(v) for v in wide.agg(*aggs).first()]
+    """Annual mean vector and covariance matrix of the panel's columns, k + k * k numbers."""
     k = len(assets)
-    cov, values = np.zeros((k, k)), iter(row[k:])
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = next(values)
-    return np.array(row[:k]) * 252, cov * 252
+    pairs = gram.co_moments(wide, gram.vector(assets), k).persist()
+    try:
+        mean = np.diag(gram.as_matrix(pairs.filter("i = j"), k, c("mean_i")))
+        return mean * 252, gram.as_matrix(pairs, k, gram.covariance()) * 252
+    finally:
+        pairs.unpersist()
 
 
 def random_portfolios(spark: SparkSession, wide: DataFrame, assets: Sequence[str], draws: int = 1000, seed: int = 11, rf: float = 0.02) -> DataFrame:

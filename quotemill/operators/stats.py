@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.operators import gram
 from quotemill.operators.ordered import attach, quantiles
 
 ANNUAL = 252
@@ -113,25 +113,18 @@ def metric_summary(df: DataFrame, labels: Sequence[str], value: str, ts: str, si
 
 
 def pair_correlations(wide: DataFrame, assets: Sequence[str], min_abs: float | None = None) -> DataFrame:
-    """Correlation and annualised covariance of every asset pair, as aggregates of one pass over the aligned panel."""
-    pairs = list(combinations(sorted(assets), 2))
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("corr"),
-                             (F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")) * ANNUAL).alias("annual_cov")).alias(f"_{k}"))
-    row = wide.agg(*aggs)
-    out = row.select(F.explode(F.array(*[f"_{k}" for k in range(len(pairs))])).alias("s")).select("s.*")
+    """Correlation and annualised covariance of every asset pair of the aligned panel, by one blocked product."""
+    names = sorted(assets)
+    pairs = gram.named(gram.co_moments(wide, gram.vector(names), len(names)).filter("i < j"), names)
+    out = pairs.select("a", "b", gram.correlation().alias("corr"), (gram.covariance() * ANNUAL).alias("annual_cov"))
     return out if min_abs is None else out.filter(F.abs("corr") >= min_abs)
 
 
 def covariance_matrix(wide: DataFrame, assets: Sequence[str], periods: int = ANNUAL) -> DataFrame:
     """Long form (a, b, cov) including the diagonal and both orders."""
-    pairs = [(a, b) for a in assets for b in assets]
-    row = wide.agg(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                 (F.covar_samp(F.col(f"`{a}`"), F.col(f"`{b}`")) * periods).alias("cov")).alias(f"_{k}")
-        for k, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[f"_{k}" for k in range(len(pairs))])).alias("s")).select("s.*")
+    pairs = gram.named(gram.co_moments(wide, gram.vector(assets), len(assets)), assets)
+    both = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    return pairs.select(both.alias("p"), (gram.covariance() * periods).alias("cov")).select("p.a", "p.b", "cov")
 
 
 def volume_profile(t: DataFrame, precision: int = 2, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from quotemill.functions.special import COINTEGRATION_CRITICAL, UNIT_ROOT
 from quotemill.operators import micro as M
 from quotemill.operators import pairs as P
 from quotemill.operators.ordered import Panel
 from quotemill.plans.aggregate_queries import ASSETS
 from quotemill.plans.market import QUOTES, RETURNS, TICK_SERIES, TICKS
-from quotemill.plans.registry import R, query, rounded
+from quotemill.plans.registry import R, normal_tails, query, rounded
 from quotemill.plans.rolling_queries import TW
 
 DELTAS = TICKS + """, arrivals AS (SELECT symbol, ts, tie, CASE WHEN volume >= 95 THEN tie - 50 ELSE tie END AS sequence,
@@ -135,9 +136,25 @@ def _hedge(t):
     return rounded(rounded(out, 6, "hedge_ratio", "corr"), 2, "spread", "spread_mean", "spread_std")
 
 
-@query("cointegration")
+def _polynomial(coef, x: str) -> str:
+    return " + ".join(f"({v!r}) * pow({x}, {k})" for k, v in enumerate(coef))
+
+
+_SURFACE = UNIT_ROOT[2]
+_SCORE = f"CASE WHEN t <= {_SURFACE['star']} THEN {_polynomial(_SURFACE['small'], 't')} ELSE {_polynomial(_SURFACE['large'], 't')} END"
+_LEVELS = ", ".join(f"t < {_polynomial(coef, '(1 / n)')} AS cointegrated_{round(level * 100)}pct" for level, coef in COINTEGRATION_CRITICAL.items())
+
+
+@query("cointegration", f"""WITH {LEVEL_PANEL},
+u AS (SELECT a, b, lag(s) OVER w AS x, s - lag(s) OVER w AS y, lag(s) OVER w - lag(s, 2) OVER w AS z FROM sp WINDOW w AS (PARTITION BY a, b ORDER BY ts)),
+g AS (SELECT a, b, count(*)::DOUBLE AS n, var_pop(x) AS xx, var_pop(z) AS zz, var_pop(y) AS yy, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM u WHERE z IS NOT NULL GROUP BY 1, 2),
+bt AS (SELECT *, xx * zz - xz * xz AS det, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM g),
+tt AS (SELECT a, b, n, bx / sqrt((yy - bx * xy - bz * zy) / (n - 3) * zz / det) AS t FROM bt),
+v AS (SELECT *, {_SCORE} AS v FROM tt)
+SELECT a, b, {R('t')} AS adf_t, {R(f"CASE WHEN t > {_SURFACE['high']} THEN 1.0 WHEN t < {_SURFACE['low']} THEN 0.0 WHEN v < 0 THEN {normal_tails('v')} / 2 ELSE 1 - {normal_tails('v')} / 2 END")} AS p_value, {_LEVELS} FROM v""")
 def _coint(t):
-    return P.cointegration(price_panel(t), "ts", ASSETS, 500, top=10).select("a", "b", "adf_t", "p_value", "cointegrated_1pct", "cointegrated_5pct", "cointegrated_10pct")
+    out = P.cointegration(price_panel(t), "ts", ASSETS, 500, top=10)
+    return rounded(out.select("a", "b", "adf_t", "p_value", "cointegrated_1pct", "cointegrated_5pct", "cointegrated_10pct"), 6, "adf_t", "p_value")
 
 
 @query("pair_signals", f"WITH {LEVEL_PANEL} SELECT a, b, {R('(spread - m) / sd')} AS z_score, CASE WHEN (spread - m) / sd < -1 THEN 1.0::DOUBLE WHEN (spread - m) / sd > 1 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS position FROM zs")

@@ -157,6 +157,20 @@ def _limits(t):
     return P.limit_checks(book).select("portfolio", "symbol", "weight_check", "leverage_ok", "sector_ok", "passed")
 
 
+@query("correlation_limit", f"WITH {WIDE}{W_SQL}, cv AS (" + " UNION ALL ".join(
+    f"SELECT '{ASSETS[i]}' AS a, '{ASSETS[j]}' AS b, covar_samp(a{i}, a{j}) AS cov FROM wide" for i in range(5) for j in range(5))
+    + f"""), s AS (SELECT cv.a, sum(cov * weight) AS sw FROM cv JOIN weights w ON w.asset = cv.b GROUP BY 1),
+v AS (SELECT s.a, sw, weight, sum(weight * sw) OVER () AS total FROM s JOIN weights w ON w.asset = s.a),
+k AS (SELECT v.a, weight, sw / sqrt(cov * total) AS r FROM v JOIN cv ON cv.a = v.a AND cv.b = v.a)
+SELECT a AS symbol, {R('r')} AS correlation, abs(r) <= 0.45 AS correlation_ok, weight <= 0.5 AND weight >= -0.5 AND abs(r) <= 0.45 AS passed FROM k""")
+def _correlation_limit(t):
+    """Positions whose returns are too much like those of the whole portfolio."""
+    book = weights(t).select(F.lit("p").alias("portfolio"), F.col("asset").alias("symbol"), F.lit("all").alias("sector"), "weight")
+    like = P.portfolio_correlations(book, A.covariance_matrix(wide_returns(t), ASSETS, 1))
+    out = P.limit_checks(book, max_weight=0.5, max_sector=5.0, correlations=like, max_correlation=0.45)
+    return rounded(out.select("symbol", "correlation", "correlation_ok", "passed"))
+
+
 @query("drawdown_limit", f"WITH {RETURNS}, {PERF} SELECT asset, ts, (1 - (drawdown + 1)) <= 0.5 AS within FROM dd")
 def _ddlimit(t):
     e = X.equity_curve(t.daily_returns, RETURN_SERIES)
