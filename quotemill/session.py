@@ -51,6 +51,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(there)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds any file of a table at any depth; markers and unfinished writes do not count."""
+    files, there = _located(spark, path)
+    if not files.exists(there):
+        return False
+    found = files.listFiles(there, True)
+    root = files.makeQualified(there).toString()
+    while found.hasNext():
+        below = found.next().getPath().toString()[len(root) :].split("/")
+        if not any(part.startswith(("_", ".")) for part in below):
+            return True
+    return False
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a file or a folder with all it holds; one that is not there is no error."""
     files, there = _located(spark, path)

@@ -136,7 +136,8 @@ def delete_where(spark: SparkSession, path: str, condition: Column, part: str =
         keep = materialize(df.join(touched, part, "left_semi").filter(~gone), "delete-keep")
         keep.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
         for r in hit.filter("left = 0").select("folder").toLocalIterator():  # as many as folders were emptied
-            remove_path(spark, spark._jvm.java.net.URI(r["folder"]).getPath())
+            # File paths are percent-encoded URIs; a path made from the URI keeps file system and host, and is decoded once.
+            remove_path(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(r["folder"])).toString())
     return removed
 
 

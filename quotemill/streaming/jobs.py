@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quotemill.operators.bars import tick_summary
 from quotemill.operators.ordered import attach
 from quotemill.schemas import INTERVALS
-from quotemill.session import path_exists, scratch
+from quotemill.session import has_data, path_exists, scratch
 from quotemill.sources.store import latest_per_key
 
 c = F.col
@@ -230,7 +230,7 @@ def upsert_handler(path: str, keys: Sequence[str], order: Sequence[str], part: s
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df = df.drop("batch")
-        if not path_exists(spark, f"{path}/_SUCCESS"):
+        if not has_data(spark, path):
             latest_per_key(df, keys, order).hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(path)
         else:
             upsert(spark, path, df, keys, order, part)
