@@ -38,7 +38,7 @@ BROADCAST_PAIRS = 1_000_000
 
 # Fixed value: the word pattern that byte-level models of this kind are defined with.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LONG_BLANKS = re.compile(r"\s{1000}")
+_LONG_BLANKS, _TWO_BLANKS = re.compile(r"\s{1000}"), re.compile(r"\s\s")
 
 _RECORD = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<int>"
 
@@ -76,10 +76,11 @@ class ByteModel:
         if plain and len(vocab) == 256 + len(merged) and all(i == 256 + k for k, i in enumerate(merged)):
             self.ranked = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={self.raw[i]: i for i in vocab.values()}, special_tokens={})
 
-    def encode(self, text: str) -> list[int]:
-        if self.ranked is None or _LONG_BLANKS.search(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return self.ranked.encode_ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        # A long run of blanks covers two of every 400th characters.
+        if self.ranked is None or _TWO_BLANKS.search(text[::400]) and _LONG_BLANKS.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.ranked.encode_ordinary(text), np.int64)
 
 
 class PieceModel:
@@ -87,9 +88,11 @@ class PieceModel:
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.encode = self.model.encode
         self.raw = [self._bytes(i) for i in range(self.model.get_piece_size())]
 
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
+
     def _bytes(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         if self.model.is_byte(i):
@@ -97,46 +100,59 @@ class PieceModel:
         return b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace("▁", " ").encode()
 
 
+class Strings:
+    """Byte strings by number, joined for an array of numbers."""
+
+    def __init__(self, raw: list[bytes]):
+        self.sizes = np.array([len(r) for r in raw], np.int64)
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raw), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - ends + sizes, sizes)]
+
+
 class Aligner:
     """The two models and what is derived from their vocabularies."""
 
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteModel(byte_path), PieceModel(piece_path)
-        self.sizes_a, self.sizes_b = (np.array([len(r) for r in m.raw]) for m in (self.a, self.b))
+        self.raw_a, self.raw_b = Strings(self.a.raw), Strings(self.b.raw)
         # Each id as text with what may follow it: inside its side of a group, or at the end of that side.
-        self.words = [f"{i}{after}" for i in range(len(self.a.raw)) for after in ",|"] + [f"{i}{after}" for i in range(len(self.b.raw)) for after in ",;"]
-        self.shift = 2 * len(self.a.raw)
+        words = [f"{i}{after}" for i in range(len(self.a.raw)) for after in ",|"] + [f"{i}{after}" for i in range(len(self.b.raw)) for after in ",;"]
+        self.words, self.shift = np.array(words, "S").view(np.uint8).reshape(len(words), -1), 2 * len(self.a.raw)
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both models, or none if either does not spell a space and the text."""
+        none = np.empty(0, np.int64)
         if not text:
-            return [], []
-        raw, a, b = f" {text}".encode(), self.a.encode(f" {text}"), self.b.encode(text)
-        same = b"".join(map(self.a.raw.__getitem__, a)) == raw and b"".join(map(self.b.raw.__getitem__, b)) == raw
-        return (a, b) if same else ([], [])
+            return none, none
+        raw, a, b = np.frombuffer(f" {text}".encode(), np.uint8), self.a.encode(f" {text}"), self.b.encode(text)
+        return (a, b) if np.array_equal(self.raw_a.joined(a), raw) and np.array_equal(self.raw_b.joined(b), raw) else (none, none)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Index of the last A and B token of each group, and the linked A and B ids, one per link."""
-        ids_a, ids_b = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        ends_a, ends_b = np.cumsum(self.raw_a.sizes[a]), np.cumsum(self.raw_b.sizes[b])
         index_a, index_b = dict(zip(ends_a.tolist(), range(len(a)))), dict(zip(ends_b.tolist(), range(len(b))))
         shared = sorted(index_a.keys() & index_b.keys())
-        last_a, last_b = np.array([index_a[e] for e in shared]), np.array([index_b[e] for e in shared])
+        last_a, last_b = (np.fromiter(map(index.__getitem__, shared), np.int64, len(shared)) for index in (index_a, index_b))
         alone = np.ones(len(b), bool)
         alone[last_b] = False  # ends of B that no A token shares
         cuts = np.sort(np.concatenate([ends_a, ends_b[alone]]), kind="stable")
-        return last_a, last_b, ids_a[np.searchsorted(ends_a, cuts)], ids_b[np.searchsorted(ends_b, cuts)]
+        return last_a, last_b, a[np.searchsorted(ends_a, cuts)], b[np.searchsorted(ends_b, cuts)]
 
-    def spelled(self, a: list[int], b: list[int], last_a: np.ndarray, last_b: np.ndarray) -> str:
+    def spelled(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """The groups as text: ``a1,a2|b1;a3|b2,b3``."""
         before_a, before_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         place_a = np.arange(len(a)) + np.repeat(last_b - before_b + 1, before_a)
         place_b = np.arange(len(b)) + np.repeat(last_a + 1, before_b)
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[place_a], codes[place_b] = 2 * np.array(a), self.shift + 2 * np.array(b)
+        codes[place_a], codes[place_b] = 2 * a, self.shift + 2 * b
         codes[place_a[last_a]] += 1
         codes[place_b[last_b]] += 1
-        return "".join(map(self.words.__getitem__, codes.tolist()))[:-1]
+        letters = self.words[codes].ravel()
+        return letters[letters != 0].tobytes().decode("ascii")[:-1]
 
 
 _models: dict[tuple[str, str], Aligner] = {}
@@ -157,7 +173,7 @@ def _each(byte_path: str, piece_path: str):
             figures, groups, pairs, times = [], [], [], []
             for text in batch.column("text").to_pylist():
                 a, b = models.tokens(text or "")
-                if not a:
+                if not len(a):
                     figures.append((0, 0, 0, 0))
                     groups.append("")
                     pairs.append(np.empty(0, np.int64))

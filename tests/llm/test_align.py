@@ -97,8 +97,8 @@ def test_byte_model_equals_its_library(models):
     assert models.a.ranked is not None
     for _ in range(2000):
         s = " " + "".join(chr(random.choice(letters)) for _ in range(random.randint(0, 40)))
-        assert models.a.encode(s) == models.a.whole.encode(s, add_special_tokens=False).ids
-    assert models.tokens(" " * 1_000_000)[0]  # a run of blanks of any length
+        assert models.a.encode(s).tolist() == models.a.whole.encode(s, add_special_tokens=False).ids
+    assert len(models.tokens(" " * 1_000_000)[0])  # a run of blanks of any length
 
 
 def test_empty_table(spark):
