@@ -7,8 +7,11 @@ exactly these two back (the compatibility check, remembered per pair).  If nothi
 bitfield as failed and the walk returns to the piece before.  Merging is by score, then leftmost, so a sequence
 whose neighbours are all compatible is the one that full merging gives.
 
-Pieces hold the space mark only in front, so merges never cross from a non-mark to a mark: the text is cut there and
-at characters that occur in no longer piece, and the ids of a cut are remembered in a bounded table.
+No merge crosses two characters that are neighbours in no piece, so the text is cut where the vocabulary allows it (before
+spaces, before a stop that follows a word, at line ends).  The cuts of many texts are walked side by side, a step of all of them
+at a time on arrays of piece numbers; cuts of more than ``LONG_CHUNK`` characters are walked alone.  The ids of
+short cuts are remembered in two generations of bounded size, a cut that is met again moving to the younger one, and the
+verdicts on pairs in a table of fixed size.
 
 Defined results: a null or empty text has no ids and decodes to the empty text.  Characters without a piece become
 their UTF-8 bytes' pieces.  Repeated rows are encoded each for itself; other input columns pass through unchanged.
@@ -16,6 +19,7 @@ their UTF-8 bytes' pieces.  Repeated rows are encoded each for itself; other inp
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -27,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from quotemill.llm.common import forgetting, fresh
+from quotemill.llm.common import fresh
 
 MARK = "▁"
-CHUNK_CACHE = 200_000
-PAIR_CACHE = 300_000
 LONG_CHUNK = 64
+YOUNG_CHUNKS = 200_000  # remembered cuts of the younger generation; the older one is no larger
+PAIR_SLOTS = 1 << 20  # remembered verdicts on pairs of pieces
+GROUP_CHARS = 2 << 20  # characters of text that are cut and walked together
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -64,22 +69,50 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
             at += size
 
 
-class Bounded(dict):
-    """A table filled on demand that forgets its older half when it is full."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        self.trim()
-        return value
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            for old in list(self)[: self.most // 2]:
-                del self[old]
+class Remembered:
+    """Ids of short cuts: what is looked up stays, what was not for a generation goes."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def find(self, cuts: dict[str, bytes | None]) -> list[str]:
+        """Fill in the ids that are known; returns the cuts that are not."""
+        young, old, new = self.young.get, self.old.get, []
+        for cut in cuts:
+            found = young(cut)
+            if found is None:
+                found = old(cut)
+                if found is None:
+                    new.append(cut)
+                    continue
+                self.young[cut] = found
+            cuts[cut] = found
+        return new
+
+    def keep(self, learned: dict[str, bytes]) -> None:
+        self.young.update({c: ids for c, ids in learned.items() if len(c) <= LONG_CHUNK})
+        if len(self.young) > self.most:
+            self.young, self.old = {}, dict(itertools.islice(self.young.items(), len(self.young) - self.most, None))
+
+
+class Verdicts:
+    """Yes or no for pairs of piece numbers, each in the slot of its hash; a new pair takes over the slot."""
+
+    def __init__(self, judge, pieces: int, slots: int):
+        self.judge, self.pieces = judge, pieces
+        self.keys, self.said, self.mask = np.full(slots, -1, np.int64), np.zeros(slots, bool), slots - 1
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left * self.pieces + right
+        slots = ((pairs * 0x9E3779B97F4A7C1) >> 20) & self.mask
+        out = self.said[slots]
+        new = np.flatnonzero(self.keys[slots] != pairs)
+        if len(new):
+            unknown, place = np.unique(pairs[new], return_inverse=True)
+            said = np.array([self.judge(*divmod(p, self.pieces)) for p in unknown.tolist()], bool)
+            out[new] = said[place]
+            self.keys[slots[new]], self.said[slots[new]] = pairs[new], out[new]
+        return out
 
 
 class PieceModel:
@@ -117,21 +150,56 @@ class PieceModel:
         self.is_byte = np.array([k == self.BYTE for k in kinds])
         if any("\0" in t for t in self.id):
             raise ValueError("pieces with a zero character are not supported")
+        # Pieces that merging never gives are no candidates.  The number after the last piece stands for any character without one.
+        self.candidates = {t: i for t, i in self.id.items() if len(t) == 1 or self._whole(t)}
+        self.other = len(self.text)
+        single = {t for t in self.id if len(t) == 1}
+        self.single = np.full(0x110000, self.other, np.int64)
+        self.single[[ord(c) for c in single]] = [self.id[c] for c in single]
+        if any(c not in single for t in self.id for c in t):
+            raise ValueError("longer pieces of characters that are no pieces are not supported")
         self.machine = ahocorasick.Automaton()
-        for t in self.id:  # single characters need no match, and would widen the automaton's root
+        for t, i in self.candidates.items():  # single characters need no match, and would widen the automaton's root
             if len(t) > 1:
-                self.machine.add_word(t, len(t))
+                self.machine.add_word(t, i)
         self.machine.make_automaton()
-        inner = {c for t in self.id if len(t) > 1 for c in t}
-        free = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
+        self.length = np.ones(self.other + 1, np.int64)
+        self.shorter = np.full(self.other + 1, -1, np.int64)  # the longest candidate that is a proper beginning of the piece
+        for t, i in self.candidates.items():
+            self.length[i] = len(t)
+            self.shorter[i] = next((self.candidates[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.candidates), -1)
+        self.cuts = self._cutter().findall
+        self.merges: dict[int, tuple] = {}  # at most one entry per piece
+        self.fits = Verdicts(self._fits, self.other + 1, PAIR_SLOTS)
+        self.known = Remembered(YOUNG_CHUNKS)
+
+    def _cutter(self) -> re.Pattern:
+        """A pattern whose matches cover a text and between which no piece reaches over.
+
+        Cuts are before space marks, around blanks that no longer piece holds, and where a character that may follow a
+        letter inside a piece (or follow one that may) is followed by one that may not.
+        """
         if any(MARK in t.lstrip(MARK) for t in self.id):
-            cut = f"[^{free}]+|[{free}]" if free else r"(?s).+"
-        else:
-            cut = f"{MARK}*[^{MARK}{free}]+|{MARK}+" + (f"|[{free}]" if free else "")
-        self.cuts = re.compile(cut).findall
-        self.merges = Bounded(self.merge, CHUNK_CACHE)
-        self.fits = Bounded(self._fits, PAIR_CACHE)
-        self.known = Bounded(None, CHUNK_CACHE)
+            return re.compile(r"(?s).+")
+        follows: dict[str, set[str]] = {}
+        for t in self.id:
+            for a, b in zip(t, t[1:]):
+                if a != MARK:
+                    follows.setdefault(a, set()).add(b)
+        inner = {c for t in self.id if len(t) > 1 for c in t}
+        within, todo = set(), [c for c in inner if c.isalpha()]
+        while todo:
+            c = todo.pop()
+            if c not in within and c != MARK:
+                within.add(c)
+                todo.extend(follows.get(c, ()))
+        blank = "".join(c for c in "\n\t\r" if c not in inner)
+        late = f"[{''.join(map(re.escape, sorted(within)))}]" if within else r"(?!)."
+        early = f"[^{''.join(map(re.escape, sorted(within)))}{MARK}{blank}]"
+        return re.compile(f"{MARK}+{early}*{late}*|{early}+{late}*|{late}+" + (f"|[{blank}]" if blank else ""))
+
+    def _whole(self, text: str) -> bool:
+        return len(self.merge(text)[0]) == 1
 
     def merge(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
         """Merge single characters by score, then leftmost, until no neighbouring pair is a piece.
@@ -155,16 +223,21 @@ class PieceModel:
             last.append(parts[-1])
         return parts, scores, first, last
 
-    def _fits(self, pair: tuple[str, str]) -> bool:
+    def _merges(self, piece: int) -> tuple:
+        if piece not in self.merges:
+            self.merges[piece] = self.merge(self.text[piece])
+        return self.merges[piece]
+
+    def _fits(self, before: int, after: int) -> bool:
         """Whether merging the text of two pieces gives these two.
 
         As long as no merge crosses the border, either side merges as it does alone, so the recorded merges of the
         two are played against each other: the better next one goes first, and a crossing pair that is better
         than both (or as good as the right side's, which lies further right) breaks the border.
         """
-        (whole, a, _, last), (other, b, first, _) = self.merges[pair[0]], self.merges[pair[1]]
-        if len(whole) > 1 or len(other) > 1:
-            return False
+        if before == self.other or after == self.other:
+            return True  # no piece holds such a character
+        (_, a, _, last), (_, b, first, _) = self._merges(before), self._merges(after)
         get, i, j, na, nb = self.score.get, 0, 0, len(a), len(b)
         while True:
             cross = get(last[i] + first[j])
@@ -180,74 +253,147 @@ class PieceModel:
                     return False
                 j += 1
 
-    def longest(self, text: str) -> list[int]:
-        """The length of the longest piece that starts at each position, 1 where there is none."""
-        found = [1] * len(text)
-        for end, size in self.machine.iter(text):
-            found[end + 1 - size] = size  # matches come by rising end, so the longest is written last
+    def longest(self, text: str) -> np.ndarray:
+        """The number of the longest candidate that starts at each position."""
+        found = self.single[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        matches = np.fromiter(itertools.chain.from_iterable(self.machine.iter(text)), np.int64).reshape(-1, 2)
+        # Ends rise, so of the pieces that start at one position the longest comes last, and the last one written stays.
+        found[matches[:, 0] + 1 - self.length[matches[:, 1]]] = matches[:, 1]
         return found
 
-    def walk(self, text: str, longest: list[int], at: int, end: int) -> list[str]:
-        """The pieces of ``text[at:end]``, by longest match and backtracking."""
-        failed = bytearray(end - at + 1)
-        begin, out = at, []
-        fits, known = self.fits, self.id
-        size, last = longest[at], None
-        while at < end:
-            while size:
-                piece = text[at : at + size]
-                if not failed[at + size - begin] and (size == 1 or piece in known) and (last is None or fits[last, piece]):
-                    break
-                size -= 1
-            if size:
+    def walk(self, longest: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each position of the text the piece that ends there, -1 if none does, for cuts ``begin`` to ``end``.
+
+        All cuts take a step at a time: on to the next position, on to a shorter piece, or back to the piece before.
+        """
+        length, shorter = self.length, self.shorter
+        path, failed = np.full(len(longest) + 1, -1, np.int64), np.zeros(len(longest) + 1, bool)
+        at, start, stop = begin.copy(), begin, end
+        last, piece = np.full(len(at), -1, np.int64), longest[begin]
+        while len(at):
+            none = piece < 0
+            if none.any():
+                back = np.flatnonzero(none)
+                if (last[back] < 0).any():
+                    raise AssertionError("no sequence of pieces covers the text")
+                failed[at[back]] = True
+                left = last[back]
+                piece[back] = shorter[left]
+                at[back] -= length[left]
+                last[back] = np.where(at[back] == start[back], -1, path[at[back]])
+                none = piece < 0
+            goal = at + length[piece]
+            good = ~none
+            good[good] = ~failed[goal[good]]
+            ask = np.flatnonzero(good & (last >= 0))
+            good[ask] = self.fits.of(last[ask], piece[ask])
+            path[goal[good]] = piece[good]
+            bad = ~good & ~none
+            piece[bad] = shorter[piece[bad]]
+            last[good], at[good] = piece[good], goal[good]
+            more = at < stop
+            on = good & more
+            piece[on] = longest[at[on]]
+            if not more.all():
+                at, start, stop, last, piece = at[more], start[more], stop[more], last[more], piece[more]
+        # Positions that a walk left again hold pieces too: only those on the way back from the end count.
+        kept, at, start = np.zeros(len(path), bool), end.copy(), begin
+        while len(at):
+            kept[at] = True
+            at = at - length[path[at]]
+            more = at > start
+            at, start = at[more], start[more]
+        path[~kept] = -1
+        return path
+
+    def walk_alone(self, longest: np.ndarray, begin: int, end: int) -> list[int]:
+        """The pieces of one cut, with the same steps."""
+        first, length, shorter = longest[begin:end].tolist(), self.length, self.shorter
+        failed, at, out = bytearray(end - begin + 1), 0, []
+        piece, one = first[0], np.empty(1, np.int64)
+        heard: dict[tuple[int, int], bool] = {}
+        while at < len(first):
+            while piece >= 0:
+                goal = at + int(length[piece])
+                if not failed[goal]:
+                    pair = (out[-1], piece) if out else None
+                    if pair is not None and pair not in heard:
+                        if len(heard) > PAIR_SLOTS:
+                            heard.clear()
+                        heard[pair] = bool(self.fits.of(one * 0 + pair[0], one * 0 + pair[1])[0])
+                    if pair is None or heard[pair]:
+                        break
+                piece = int(shorter[piece])
+            if piece >= 0:
                 out.append(piece)
-                last = piece
-                at += size
-                size = longest[at] if at < end else 0
+                at = goal
+                piece = first[at] if at < len(first) else -1
                 continue
-            if last is None:
+            if not out:
                 raise AssertionError("no sequence of pieces covers the text")
-            failed[at - begin] = 1
-            out.pop()
-            at -= len(last)
-            size = len(last) - 1
-            last = out[-1] if out else None
+            failed[at] = 1
+            left = out.pop()
+            at -= int(length[left])
+            piece = int(shorter[left])
         return out
 
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Packed ids of cuts not yet known, from one pass of the automaton over all of them."""
-        text = "\0".join(chunks)  # no piece holds this character, so no match crosses two cuts
-        longest, at, out = self.longest(text), 0, {}
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in self.walk(text, longest, at, at + len(chunk)):
-                i = self.id.get(piece)
-                if i is not None:
-                    ids.append(i)
-                elif self.byte:
-                    ids.extend(self.byte[b] for b in piece.encode())
-                else:
-                    ids.append(self.unknown)
-            out[chunk] = struct.pack(f"<{len(ids)}i", *ids)
-            at += len(chunk) + 1
+    def learn(self, cuts: list[str]) -> dict[str, bytes]:
+        """Packed ids of cuts, from one pass of the automaton over all of them."""
+        text = "\0".join(cuts)  # no piece holds this character, so no match crosses two cuts
+        longest = self.longest(text)
+        sizes = np.array([len(c) for c in cuts], np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        out, short = {}, sizes <= LONG_CHUNK
+        path = self.walk(longest, begin[short], begin[short] + sizes[short])
+        pieces = path[path >= 0].astype("<i4")
+        upto = np.concatenate([[0], np.cumsum(path >= 0)])
+        raw, odd = pieces.tobytes(), np.concatenate([[0], np.cumsum(pieces == self.other)])
+        where = np.flatnonzero(short)
+        first, last = upto[begin[where]], upto[begin[where] + sizes[where] + 1]
+        first += path[begin[where]] >= 0  # a position may end the cut before
+        for k, a, b, strange in zip(where.tolist(), first.tolist(), last.tolist(), (odd[last] > odd[first]).tolist()):
+            out[cuts[k]] = self._packed(cuts[k], pieces[a:b].tolist()) if strange else raw[4 * a : 4 * b]
+        for k in np.flatnonzero(~short).tolist():
+            out[cuts[k]] = self._packed(cuts[k], self.walk_alone(longest, int(begin[k]), int(begin[k] + sizes[k])))
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        text = text.replace(" ", MARK)
-        if self.dummy:
-            text = MARK + text
-        cuts, known = self.cuts(text), self.known
-        new = [c for c in dict.fromkeys(cuts) if c not in known]
+    def _packed(self, cut: str, pieces: list[int]) -> bytes:
+        """Ids as bytes; a character without a piece gives those of its bytes."""
+        ids, at = [], 0
+        for piece in pieces:
+            if piece != self.other:
+                ids.append(piece)
+            elif self.byte:
+                ids.extend(self.byte[b] for b in cut[at].encode())
+            else:
+                ids.append(self.unknown)
+            at += int(self.length[piece])
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; groups of bounded size are worked on together."""
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[np.ndarray]:
+        begin = MARK if self.dummy else ""
+        cuts = [self.cuts(begin + t.replace(" ", MARK)) if t else [] for t in texts]
+        ids: dict[str, bytes | None] = dict.fromkeys(itertools.chain.from_iterable(cuts))
+        new = self.known.find(ids)
         if new:
-            fresh_ids = self.learn(new)
-            ids = b"".join([known.get(c) or fresh_ids[c] for c in cuts])
-            known.update({c: v for c, v in fresh_ids.items() if len(c) <= LONG_CHUNK})
-            known.trim()
-        else:
-            ids = b"".join([known[c] for c in cuts])
-        return np.frombuffer(ids, "<i4")
+            learned = self.learn(new)
+            ids.update(learned)
+            self.known.keep(learned)
+        return [np.frombuffer(b"".join(map(ids.__getitem__, part)), "<i4") for part in cuts]
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(iter(self.encode_all([text])))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; a byte run that is no valid UTF-8 gives one U+FFFD per bad byte."""
@@ -304,8 +450,8 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def _each_text(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model(path)
-        for batch in forgetting(batches, m.known, m.fits, m.merges):
-            yield _lists([m.encode(t or "") for t in batch.to_pylist()])
+        for batch in batches:
+            yield _lists(list(m.encode_all([t or "" for t in batch.to_pylist()])))
 
     return run
 
@@ -313,8 +459,8 @@ def _each_text(path: str):
 def _each_round(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model(path)
-        for batch in forgetting(batches, m.known, m.fits, m.merges):
-            rows = [m.encode(t or "") for t in batch.to_pylist()]
+        for batch in batches:
+            rows = list(m.encode_all([t or "" for t in batch.to_pylist()]))
             back = pa.array([m.decode(r) for r in rows], pa.string())
             yield pa.StructArray.from_arrays([_lists(rows), back], ["ids", "decoded"])
 

@@ -44,11 +44,30 @@ def test_decoding_any_ids_equals_the_library(library):
 
 
 def test_full_tables_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(P, "CHUNK_CACHE", 5)
-    monkeypatch.setattr(P, "PAIR_CACHE", 3)
+    monkeypatch.setattr(P, "YOUNG_CHUNKS", 5)
+    monkeypatch.setattr(P, "PAIR_SLOTS", 4)
+    monkeypatch.setattr(P, "GROUP_CHARS", 40)
+    model, texts = P.PieceModel(PATH), list(strange(300, seed=9))
+    for _ in range(2):
+        assert [ids.tolist() for ids in model.encode_all(texts)] == [library.encode(t) for t in texts]
+    assert len(model.known.young) <= 5 and len(model.known.old) <= 100
+
+
+def test_long_cuts_are_walked_alone(library):
+    model = P.PieceModel(PATH)
+    for text in ["ab" * 3000, "漢字" * 2000, "x" * 63, "x" * 64, "x" * 65, "aaaa" * 500 + "\U0001F600" * 300, "the" * 200 + "\0" + "ing" * 200, ("word" * 30 + " ") * 50]:
+        assert model.encode(text).tolist() == library.encode(text), text[:20]
+
+
+def test_cuts_cross_no_piece():
     model = P.PieceModel(PATH)
-    for text in strange(150, seed=9):
-        assert model.encode(text).tolist() == library.encode(text)
+    for t in model.id:
+        if not t.startswith(P.MARK):
+            assert len(model.cuts(t)) == 1, t
+        else:
+            assert model.cuts(t)[0] == t, t
+    for text in strange(200, seed=4):
+        assert "".join(model.cuts(text.replace(" ", P.MARK))) == text.replace(" ", P.MARK)
 
 
 def test_frames(spark, library):
