@@ -1,5 +1,6 @@
 """Feature store, learning, versions, lineage, retention, user-defined functions."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -7,10 +8,12 @@ from quotemill.functions import user as U
 from quotemill.functions.scalars import time_key
 from quotemill.operators import governance as G
 from quotemill.operators import learning as L
+from quotemill.operators import regimes as H
 from quotemill.operators import rolling as X
 from quotemill.operators.feature_store import FeatureStore
 from quotemill.operators.ordered import Panel, Series
-from quotemill.plans.market import BAR_SERIES, BARS, TICK_SERIES, TICKS
+from quotemill.operators.regimes import Chain
+from quotemill.plans.market import BAR_SERIES, BARS, RETURN_SERIES, RETURNS, TICK_SERIES, TICKS
 from quotemill.plans.registry import R, query, rounded
 from quotemill.session import materialize, scratch
 
@@ -157,6 +160,34 @@ def _mixture(t):
     return L.mixture_regimes(t.daily_returns).groupBy("regime").agg(F.count(F.lit(1)).alias("days"), F.avg("ret").alias("mean_ret"))
 
 
+# A chain of three states for the daily returns; fixed here so that the path can be recomputed.
+CHAIN = Chain(np.array([0.3, 0.4, 0.3]), np.array([[0.8, 0.15, 0.05], [0.1, 0.8, 0.1], [0.05, 0.25, 0.7]]), np.array([-0.3, 0.0, 0.4]), np.array([0.2, 0.15, 0.4]))
+
+
+def _chain_sql(chain: Chain) -> dict[str, str]:
+    b = [f"(-0.5 * pow((r.ret - ({m!r})) / {s!r}, 2) - ln({s!r}::DOUBLE) - 0.5 * ln(2 * pi()))" for m, s in zip(chain.mean.tolist(), chain.sd.tolist())]
+    come = [[f"(f.d{i} + ln({float(chain.move[i, j])!r}::DOUBLE))" for i in range(3)] for j in range(3)]
+    return {
+        "first": ", ".join(f"ln({p!r}::DOUBLE) + {x} AS d{j}" for j, (p, x) in enumerate(zip(chain.start.tolist(), b))) + ", 0 AS p0, 0 AS p1, 0 AS p2",
+        "next": ", ".join(f"greatest({', '.join(c)}) + {x}" for c, x in zip(come, b)) + ", "
+        + ", ".join(f"CASE WHEN {c[0]} >= greatest({c[1]}, {c[2]}) THEN 0 WHEN {c[1]} >= {c[2]} THEN 1 ELSE 2 END" for c in come)}
+
+
+_CHAIN_SQL = _chain_sql(CHAIN)
+
+
+@query("regime_chain", f"""WITH RECURSIVE {RETURNS}, r AS MATERIALIZED (SELECT asset, ts, ret, row_number() OVER (PARTITION BY asset ORDER BY ts) AS rn FROM daily),
+f AS (SELECT asset, rn, {_CHAIN_SQL['first']} FROM r WHERE rn = 1 UNION ALL SELECT r.asset, r.rn, {_CHAIN_SQL['next']} FROM f JOIN r ON r.asset = f.asset AND r.rn = f.rn + 1),
+fm AS MATERIALIZED (SELECT * FROM f),
+b AS (SELECT asset, rn, CASE WHEN d0 >= greatest(d1, d2) THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS state FROM fm QUALIFY row_number() OVER (PARTITION BY asset ORDER BY rn DESC) = 1
+  UNION ALL SELECT b.asset, b.rn - 1, CASE b.state WHEN 0 THEN fm.p0 WHEN 1 THEN fm.p1 ELSE fm.p2 END FROM b JOIN fm ON fm.asset = b.asset AND fm.rn = b.rn WHERE b.rn > 1)
+SELECT asset, ts, CAST(state AS INT) AS state, CASE state WHEN 0 THEN 'bear' WHEN 1 THEN 'sideways' ELSE 'bull' END AS regime FROM b JOIN r USING (asset, rn)""")
+def _chain(t):
+    """The likeliest path of regimes of every asset."""
+    path = H.likeliest_path(t.daily_returns, RETURN_SERIES, "ret", CHAIN, block=64)
+    return path.select("asset", "ts", "state", F.element_at(F.array(*[F.lit(x) for x in H.REGIMES]), F.col("state") + 1).alias("regime"))
+
+
 # -- versions and lineage --------------------------------------------------------------------------------
 
 
@@ -287,9 +318,15 @@ def _array(t):
     return rounded(t.embeddings.select("vec_id", p.alias("p"), v.alias("v")).select("vec_id", U.array_vwap("p", "v").alias("vwap")))
 
 
-@query("user_fold", "SELECT event_type, max(value) AS folded FROM events GROUP BY 1")
+@query("user_fold", f"WITH m AS (SELECT event_type, max(value) AS top FROM events GROUP BY 1) SELECT event_type, {R('any_value(top) + ln(sum(exp(value - top)))')} AS folded FROM events JOIN m USING (event_type) GROUP BY 1")
 def _fold(t):
-    return U.fold(t.events.select("event_type", "value"), ["event_type"], "value", float("-inf"), lambda a, x: x if x > a else a, max)
+    """Logarithm of the summed exponentials, as pairs of the largest value and the sum scaled by it."""
+    def merge(a, b):
+        top = np.maximum(a[:, 0], b[:, 0])
+        return np.column_stack([top, a[:, 1] * np.exp(a[:, 0] - top) + b[:, 1] * np.exp(b[:, 0] - top)])
+
+    out = U.fold(t.events, ["event_type"], "value", lambda x: np.column_stack([x, np.ones_like(x)]), merge, 2, lambda s: s[:, 0] + np.log(s[:, 1]))
+    return rounded(out)
 
 
 @query("table_function", f"WITH {TICKS} SELECT tie, CAST(j AS INT) AS level, {R('price * (1 - j / 1000.0)')} AS price, volume + j AS size FROM ticks, (SELECT unnest([1, 2, 3]) AS j)")
