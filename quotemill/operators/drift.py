@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,23 +32,42 @@ SEVERITY_BANDS = ((0.001, "critical"), (0.01, "high"), (0.05, "medium"), (0.1, "
 STABILITY_BANDS = ((0.2, "significant"), (0.1, "moderate"))
 
 
-def long_form(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value, r, c): one row per feature and record; nulls are left out."""
-    def side(df: DataFrame, r: int) -> DataFrame:
+@dataclass(frozen=True)
+class ReferenceSummary:
+    """A reference read once: its distinct values with counts, and its moments, per feature.  It stands for the reference
+    wherever numeric samples are compared.
+    """
+
+    counts: DataFrame
+    moments: DataFrame
+
+
+def summarize_reference(ref: DataFrame, features: Sequence[str]) -> ReferenceSummary:
+    """Both tables are written, so that no comparison reads the reference again."""
+    counts = materialize(long_form(ref, ref.limit(0), features).groupBy("feature", "value").agg(F.sum("r").alias("n")), "reference-counts")
+    return ReferenceSummary(counts, materialize(_side_moments(ref, features), "reference-moments"))
+
+
+def long_form(ref: DataFrame | ReferenceSummary, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, r, c): one row per feature and record (or per value of a summary); nulls are left out."""
+    def side(df: DataFrame | ReferenceSummary, r: int) -> DataFrame:
+        if isinstance(df, ReferenceSummary):
+            return df.counts.filter(F.col("feature").isin(list(features))).select("feature", "value", F.col("n").alias("r"), F.lit(0).alias("c"))
         cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
         return df.select(cells.alias("x")).select("x.*", F.lit(r).alias("r"), F.lit(1 - r).alias("c")).filter("value IS NOT NULL")
 
     return side(ref, 1).unionByName(side(cur, 0))
 
 
-def merged_counts(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+def merged_counts(ref: DataFrame | ReferenceSummary, cur: DataFrame, features: Sequence[str]) -> DataFrame:
     """Distinct values with counts and running counts of both samples, plus the sample sizes N and M."""
     counts = long_form(ref, cur, features).groupBy("feature", "value").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    counts = materialize(counts, "value-counts")  # read for totals, cuts, slices and running counts
     totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("N"), F.sum("n_cur").alias("M"))
     return running_totals(counts, "value", ["n_ref", "n_cur"], ["feature"]).join(F.broadcast(totals), "feature")
 
 
-def order_statistics(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
+def order_statistics(ref: DataFrame | ReferenceSummary, cur: DataFrame, features: Sequence[str]) -> DataFrame:
     """KS, Wasserstein-1, Mann-Whitney U with tie-corrected z, energy and Anderson-Darling statistics per feature."""
     m = merged_counts(ref, cur, features)
     # An empty sample has no distribution: every comparison with it is null.
@@ -83,7 +103,7 @@ def mann_whitney(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha:
 # -- binned ----------------------------------------------------------------------------------------------
 
 
-def shared_histogram(ref: DataFrame, cur: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
+def shared_histogram(ref: DataFrame | ReferenceSummary, cur: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """Equal-width bins over the joint range; every bin of every feature is present."""
     cells = long_form(ref, cur, features)
     limits = cells.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
@@ -145,13 +165,20 @@ def goodness_of_fit(ref: DataFrame, cur: DataFrame, col: str, alpha: float = 0.0
 # -- means -----------------------------------------------------------------------------------------------
 
 
-def mean_tests(ref: DataFrame, cur: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
+def _side_moments(side: DataFrame | ReferenceSummary, features: Sequence[str]) -> DataFrame:
+    """Mean, deviation and count of each feature's values."""
+    if isinstance(side, ReferenceSummary):
+        return side.moments.filter(F.col("feature").isin(list(features)))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
+    return side.select(cells.alias("x")).filter("x.value IS NOT NULL").groupBy("x.feature").agg(
+        F.avg("x.value").alias("mean"), F.stddev_samp("x.value").alias("std"), F.count("x.value").alias("size"))
+
+
+def mean_tests(ref: DataFrame | ReferenceSummary, cur: DataFrame, features: Sequence[str], alpha: float = 0.05) -> DataFrame:
     """z-test against the reference, Welch t, mean shift in reference deviations, deviation ratio."""
-    cells = long_form(ref, cur, features)
-    rv, cv = F.when(c("r") == 1, c("value")), F.when(c("c") == 1, c("value"))
-    s = cells.groupBy("feature").agg(
-        F.avg(rv).alias("mean_ref"), F.avg(cv).alias("mean_cur"), F.stddev_samp(rv).alias("std_ref"), F.stddev_samp(cv).alias("std_cur"),
-        F.count(rv).alias("n"), F.count(cv).alias("m"))
+    a, b = _side_moments(ref, features), _side_moments(cur, features)
+    s = (a.withColumnsRenamed({"mean": "mean_ref", "std": "std_ref", "size": "n"}).join(b.withColumnsRenamed({"mean": "mean_cur", "std": "std_cur", "size": "m"}), "feature", "full")
+         .select("feature", "mean_ref", "mean_cur", "std_ref", "std_cur", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")))
     d = c("mean_cur") - c("mean_ref")
     vr, vc = F.try_divide(c("std_ref") * c("std_ref"), c("n")), F.try_divide(c("std_cur") * c("std_cur"), c("m"))
     s = s.withColumns(
@@ -376,6 +403,36 @@ def drift_report(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categor
     return out
 
 
+# The method that a kind of drift is looked for with, for one feature and for several.
+METHOD_OF = {"covariate": ("ks", "mahalanobis"), "concept": ("js", "js"), "label": ("chi2", "chi2"), "multivariate": ("mahalanobis", "mahalanobis")}
+
+
+def choose_method(kind: str, features: Sequence[str]) -> str:
+    """The method for a kind of drift; kinds that are not known are looked for in all features together."""
+    one, several = METHOD_OF.get(kind, METHOD_OF["multivariate"])
+    return one if len(features) == 1 else several
+
+
+def detect(ref: DataFrame, cur: DataFrame, features: Sequence[str], kind: str = "covariate", method: str = "auto", alpha: float = 0.05,
+           js_limit: float = 0.1, distance_limit: float = 3.0) -> DataFrame:
+    """feature, method, statistic, p_value (null where a method has none) and drift, by the given or the chosen method."""
+    method = choose_method(kind, features) if method == "auto" else method
+    none = F.lit(None).cast("double")
+    if method == "ks":
+        out = ks_test(ref, cur, features, alpha).select("feature", "statistic", "p_value", "drift")
+    elif method == "js":
+        b = binned_measures(shared_histogram(ref, cur, features))
+        out = b.select("feature", c("js_distance").alias("statistic"), none.alias("p_value"), (c("js_distance") > js_limit).alias("drift"))
+    elif method == "chi2":
+        out = chi_squared(category_measures(ref, cur, features), alpha).select("feature", c("chi2").alias("statistic"), "p_value", "drift")
+    elif method == "mahalanobis":
+        out = mean_distance(ref, cur, features).select(F.lit(",".join(features)).alias("feature"), c("distance").alias("statistic"), none.alias("p_value"),
+                                                       (c("distance") > distance_limit).alias("drift"))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return out.select("feature", F.lit(method).alias("method"), "statistic", "p_value", "drift")
+
+
 def report_summary(report: DataFrame) -> DataFrame:
     """Methods run, methods that flag drift, and their share per feature."""
     return report.groupBy("feature").agg(F.count(F.lit(1)).alias("methods"), F.count_if(c("drift")).alias("flags"),

@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.session import materialize
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -383,8 +385,9 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
     keys = list(keys)
     names = list(names or [f"p{round(p * 100):02d}" for p in probs])
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
-    ranked = running_totals(counted.agg(F.count(F.lit(1)).alias("n")), "_v", ["n"], keys)
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    counts = materialize(counted.agg(F.count(F.lit(1)).alias("n")), "value-counts")  # read for cuts, slices, sizes and ranks
+    ranked = running_totals(counts, "_v", ["n"], keys)
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
     ranked = ranked.join(sizes, keys) if keys else attach(ranked, sizes)
     aggs = []
     for p, name in zip(probs, names):

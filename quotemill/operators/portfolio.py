@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,19 +185,91 @@ def _parity(cov: np.ndarray, items: list[int], weight: float, out: np.ndarray) -
     _parity(cov, halves[1], weight * (1 - share), out)
 
 
-def tail_means(wide: DataFrame, assets: Sequence[str], draws: pd.DataFrame) -> DataFrame:
-    """Mean of the worst 5 % of each drawn portfolio's returns (``draw``, ``cvar_5``); ``draws`` has a row per draw."""
-    from quotemill.operators.risk import expected_shortfall
+TAIL_BINS, TAIL_ROWS, TAIL_VALUES, TAIL_PASSES = 256, 1024, 64, 40
+_PARTIAL = "draw bigint, below bigint, total double, lowest double, highest double, bins array<bigint>"
 
-    ids, weights, names = draws["draw"].to_numpy(), draws[list(assets)].to_numpy(), list(assets)
 
-    def returns(batches):
-        for b in batches:
-            x = b[names].to_numpy(dtype="float64") @ weights.T
-            yield pd.DataFrame({"draw": np.tile(ids, len(x)), "ret": x.ravel()})
+def _tail_pass(names: list[str], weights: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Per draw over the rows of a task: how many returns lie below ``low``, their sum, and a histogram of those up to ``high``."""
+    draws, width = len(weights), np.subtract(high, low, out=np.ones(len(weights)), where=(high > low) & np.isfinite(high))
 
-    rows = wide.select(*[c(f"`{a}`") for a in assets]).dropna().mapInPandas(returns, "draw long, ret double")
-    return expected_shortfall(materialize(rows, "tail-draws"), ["draw"], (0.05,))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, total, bins = np.zeros(draws, np.int64), np.zeros(draws), np.zeros(draws * TAIL_BINS, np.int64)
+        least, most = np.full(draws, np.inf), np.full(draws, -np.inf)
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            for at in range(0, len(x), TAIL_ROWS):
+                r = x[at : at + TAIL_ROWS] @ weights.T
+                under, inside = r < low, (r >= low) & (r <= high)
+                below, total = below + under.sum(0), total + np.where(under, r, 0.0).sum(0)
+                least, most = np.minimum(least, r.min(0)), np.maximum(most, r.max(0))
+                with np.errstate(invalid="ignore"):
+                    place = np.clip((r - low) / width * TAIL_BINS, 0, TAIL_BINS - 1)
+                place = np.where(inside, place, 0).astype(np.int64) + np.arange(draws) * TAIL_BINS
+                bins += np.bincount(place[inside], minlength=draws * TAIL_BINS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(draws)), pa.array(below), pa.array(total), pa.array(least), pa.array(most), pa.array(list(bins.reshape(draws, -1)), pa.list_(pa.int64()))],
+            ["draw", "below", "total", "lowest", "highest", "bins"])
+
+    return run
+
+
+def _tail_values(names: list[str], weights: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Per draw the distinct returns from ``low`` to ``high`` and how often a task has them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            for at in range(0, len(x), TAIL_ROWS):
+                r = x[at : at + TAIL_ROWS] @ weights.T
+                row, draw = np.nonzero((r >= low) & (r <= high))
+                yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(r[row, draw])], ["draw", "ret"])
+
+    return run
+
+
+def tail_means(wide: DataFrame, assets: Sequence[str], draws: pd.DataFrame, share: float = 0.05) -> pd.DataFrame:
+    """Mean of the worst ``share`` of each drawn portfolio's returns (``draw``, ``cvar_5``); ``draws`` has a row per draw.
+
+    Each pass over the panel narrows, for every draw, the range that holds its quantile, by histograms summed over tasks;
+    what reaches the driver is a histogram per draw.  The few returns left in the range give the exact quantile.
+    """
+    names, weights, k = list(assets), draws[list(assets)].to_numpy(float), len(draws)
+    rows = wide.select(*[c(f"`{a}`").cast("double").alias(a) for a in names]).dropna()
+
+    def look(low: np.ndarray, high: np.ndarray) -> pd.DataFrame:
+        parts = rows.mapInArrow(_tail_pass(names, weights, low, high), _PARTIAL)
+        cells = parts.select("draw", "below", "total", "lowest", "highest", F.posexplode("bins").alias("bin", "n"))
+        first = F.when(c("bin") == 0, c("below")).otherwise(0), F.when(c("bin") == 0, c("total")).otherwise(0.0)
+        per = cells.groupBy("draw", "bin").agg(F.sum("n").alias("n"), F.sum(first[0]).alias("below"), F.sum(first[1]).alias("total"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+        return per.groupBy("draw").agg(F.sum("below").alias("below"), F.sum("total").alias("total"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+                                       F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("bins")).orderBy("draw").toPandas()
+
+    got = look(np.full(k, np.inf), np.full(k, np.inf))  # counts and extremes
+    low, high, place = got["lowest"].to_numpy(float), got["highest"].to_numpy(float), share * (got["below"].to_numpy() - 1)
+    if not np.isfinite(low).all():
+        return pd.DataFrame({"draw": draws["draw"].to_numpy(), "cvar_5": np.nan})
+    for _ in range(TAIL_PASSES):
+        got = look(low, high)
+        bins = np.array(got["bins"].tolist())
+        if (bins.sum(1) <= TAIL_VALUES).all():
+            break
+        upto, edge = got["below"].to_numpy()[:, None] + np.cumsum(bins, 1), (high - low) / TAIL_BINS
+        a, b = ((upto > whole(place)[:, None]).argmax(1) for whole in (np.floor, np.ceil))
+        nearer = np.maximum(low, low + (a - 1) * edge), np.minimum(high, low + (b + 2) * edge)  # a bin more on either side, for rounding
+        if (nearer[0] <= low).all() and (nearer[1] >= high).all():
+            break  # as narrow as numbers are: few distinct returns
+        low, high = nearer
+    left = rows.mapInArrow(_tail_values(names, weights, low, high), "draw bigint, ret double").groupBy("draw", "ret").agg(F.count(F.lit(1)).alias("n")).orderBy("draw", "ret").toPandas()
+    out = np.empty(k)
+    for d, part in left.groupby("draw"):
+        value, n = part["ret"].to_numpy(), part["n"].to_numpy()
+        rank = np.cumsum(n) + got["below"][d]
+        at = lambda p: value[(rank > p).argmax()]
+        lo, hi = at(math.floor(place[d])), at(math.ceil(place[d]))
+        q = lo + (hi - lo) * (place[d] - math.floor(place[d]))
+        tail = value <= q
+        out[d] = (got["total"][d] + (value * n)[tail].sum()) / (got["below"][d] + n[tail].sum())
+    return pd.DataFrame({"draw": draws["draw"].to_numpy(), "cvar_5": out})
 
 
 def optimal_weights(spark: SparkSession, wide: DataFrame, assets: Sequence[str], method: str = "min_variance") -> DataFrame:
@@ -214,7 +287,7 @@ def optimal_weights(spark: SparkSession, wide: DataFrame, assets: Sequence[str],
         _parity(cov, _cluster_order(np.sqrt(np.clip(0.5 * (1 - corr), 0, None))), 1.0, w)
     elif method == "cvar":
         draws = random_portfolios(spark, wide, assets).select("draw", *assets).toPandas()
-        best = tail_means(wide, assets, draws).orderBy(F.desc("cvar_5"), "draw").first()
+        best = tail_means(wide, assets, draws).sort_values(["cvar_5", "draw"], ascending=[False, True]).iloc[0]
         w = draws[draws["draw"] == best["draw"]][list(assets)].to_numpy()[0]
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -230,6 +303,33 @@ def signal_returns(p: Panel, signal: str, price: str = "close", fee: float = 0.0
     return p.add(out, gross - F.abs(c(pos) - c(prev)) * (fee + slippage), [pos, prev, past, price])
 
 
+def backtest_trades(df: DataFrame, s: Series, signal: str, price: str = "close", fee: float = 0.001, slippage: float = 0.0005) -> DataFrame:
+    """One row per stretch of rows with one and the same signal other than 0: a trade.
+
+    It is entered at the price of the stretch's first row and left at that of the first row after it, or still ``open`` at the
+    last price.  Returns keys, ``trade`` (number within the key), side, times, prices, ``rows`` held, ``return_pct`` after costs on
+    either side (on entry only while open) and ``status``.
+    """
+    keys = list(s.keys)
+    d = df.withColumn("_sig", F.coalesce(F.signum(c(signal)), F.lit(0.0)))
+    p = Panel(d, s)
+    prev = p.temp("_was", F.lag("_sig").over(p.w), back=1)
+    p.add("_begins", F.when(c(prev).isNull() | (c(prev) != c("_sig")), 1).otherwise(0), [prev])
+    p.add("_after", F.lead(price).over(p.w), fwd=1)
+    p.add("_after_ts", F.lead(s.ts).over(p.w), fwd=1)
+    runs = cumulative(p.done(keep_index=True), s, {"_run": ("sum", "_begins")}, indexed=True).filter("_sig != 0")
+    per = runs.groupBy(*keys, "_run").agg(
+        F.max("_sig").alias("side"), F.min_by(s.ts, "_i").alias("entry_ts"), F.min_by(price, "_i").alias("entry_price"), F.count(F.lit(1)).alias("rows"),
+        F.max_by(F.struct(c("_after_ts").alias("ts"), c("_after").alias("price"), c(s.ts).alias("own_ts"), c(price).alias("own_price")), "_i").alias("_end"))
+    closed = c("_end.ts").isNotNull()
+    exit_price = F.when(closed, c("_end.price")).otherwise(c("_end.own_price"))
+    gain = F.try_divide(exit_price, c("entry_price")) - 1
+    costs = F.when(closed, 2 * (fee + slippage)).otherwise(fee + slippage)
+    return per.select(*keys, c("_run").cast("long").alias("trade"), c("side").cast("int").alias("side"), "entry_ts", F.when(closed, c("_end.ts")).otherwise(c("_end.own_ts")).alias("exit_ts"),
+                      "entry_price", exit_price.alias("exit_price"), "rows", ((c("side") * gain - costs) * 100).alias("return_pct"),
+                      F.when(closed, "closed").otherwise("open").alias("status"))
+
+
 def crossover_search(df: DataFrame, s: Series, grid: Sequence[tuple[int, int]], folds: int = 4, price: str = "close") -> DataFrame:
     """Score moving-average crossovers on time-ordered folds; mean Sharpe ratio over keys and folds, best first.
 

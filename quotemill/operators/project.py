@@ -25,24 +25,48 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     return df.mapInPandas(lambda batches: (fn(b) for b in batches), schema)
 
 
+def _tried(fn: Callable[[pd.DataFrame], pd.Series], b: pd.DataFrame) -> tuple[list, list]:
+    """Values and errors of a batch; where it fails, of its halves, down to the rows that fail by themselves."""
+    if not len(b):
+        return [], []
+    try:
+        out = list(fn(b))
+        if len(out) != len(b):
+            raise ValueError(f"{len(out)} values for {len(b)} rows")
+        return out, [None] * len(b)
+    except Exception as e:  # noqa: BLE001 - any failure of the user's function is data here
+        if len(b) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+        half = len(b) // 2
+        parts = [_tried(fn, part) for part in (b.iloc[:half], b.iloc[half:])]
+        return [v for values, _ in parts for v in values], [x for _, errors in parts for x in errors]
+
+
 def map_or_error(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out: str, out_type: str) -> DataFrame:
-    """Apply ``fn`` to each batch; a batch that fails is retried row by row, failing rows keep their error."""
+    """Apply ``fn`` to each batch; a batch that fails is halved until the failing rows stand alone, which keep their error.
+
+    ``fn`` gives a value per row that depends on that row only.
+    """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{out} {out_type}", "error string"])
 
     def run(batches):
         for b in batches:
-            try:
-                yield b.assign(**{out: fn(b), "error": None})
-            except Exception:  # noqa: BLE001 - any failure of the user's function is data here
-                values, errors = [], []
-                for k in range(len(b)):
-                    try:
-                        values.append(fn(b.iloc[k:k + 1]).iloc[0])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        values.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
-                yield b.assign(**{out: values, "error": errors})
+            values, errors = _tried(fn, b)
+            yield b.assign(**{out: values, "error": errors})
+
+    return df.mapInPandas(run, schema)
+
+
+def named_features(df: DataFrame, features: Mapping[str, Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
+    """Named user functions, one double column each, and ``errors``: per feature that failed on a row its message."""
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` double" for n in features] + ["errors map<string,string>"])
+
+    def run(batches):
+        for b in batches:
+            got = {name: _tried(fn, b) for name, fn in features.items()}
+            errors = [{name: e[k] for name, (_, e) in got.items() if e[k] is not None} for k in range(len(b))]
+            columns = {name: pd.array([None if v is None or v != v else float(v) for v in values], dtype="Float64") for name, (values, _) in got.items()}
+            yield b.assign(**columns, errors=errors)
 
     return df.mapInPandas(run, schema)
 

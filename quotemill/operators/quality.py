@@ -99,6 +99,81 @@ def schema_checks(schema: Mapping) -> list[Column]:
     return checks
 
 
+# How a JSON value's type shows in the schema text of a parsed value.
+_JSON_KINDS = {"string": "^STRING", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "integer": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN",
+               "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID"}
+
+
+def json_checks(schema: Mapping, text: str = "payload") -> list[Column]:
+    """Checks of a JSON text as it stands: broken text, types (strings too), nested objects, items of lists, and bounds.
+
+    ``schema`` uses type, required, properties, items, enum, minimum, maximum, pattern, minLength and maxLength.  A field is
+    named by its path.  A null text is missing; a field that holds JSON null is there, and of type null.
+    """
+    doc = F.try_parse_json(c(text))
+    return [required(text), issue(c(text).isNotNull() & doc.isNull(), text, "json", "error", f"{text} is not JSON"), *_value_issues(doc, schema, "", text)]
+
+
+def _is(value: Column, kind: str) -> Column:
+    fits = F.schema_of_variant(value).rlike(_JSON_KINDS[kind])
+    if kind == "integer":
+        number = F.try_variant_get(value, "$", "double")
+        return fits & (number == F.floor(number))
+    return fits
+
+
+def _value_faults(value: Column, spec: Mapping) -> list[tuple[str, Column]]:
+    """What can be wrong with one value itself; a value that is not there has no faults."""
+    faults, number, string = [], F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    kinds = spec.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    if kinds:
+        fits = F.lit(False)
+        for kind in kinds:
+            fits = fits | F.coalesce(_is(value, kind), F.lit(False))
+        faults.append(("type", ~fits))
+    is_text, is_number = _is(value, "string"), _is(value, "number")
+    if "enum" in spec:
+        texts, numbers = [x for x in spec["enum"] if isinstance(x, str)], [float(x) for x in spec["enum"] if not isinstance(x, str)]
+        known = (is_text & string.isin(texts) if texts else F.lit(False)) | (is_number & number.isin(numbers) if numbers else F.lit(False))
+        faults.append(("enum", ~known))
+    low, high = spec.get("minimum"), spec.get("maximum")
+    if low is not None or high is not None:
+        out = (number < low if low is not None else F.lit(False)) | (number > high if high is not None else F.lit(False))
+        faults.append(("range", is_number & out))
+    if "pattern" in spec:
+        faults.append(("pattern", is_text & ~string.rlike(spec["pattern"])))
+    if "minLength" in spec or "maxLength" in spec:
+        faults.append(("length", is_text & ~F.length(string).between(spec.get("minLength", 0), spec.get("maxLength", 2**31 - 1))))
+    return [(kind, value.isNotNull() & F.coalesce(bad, F.lit(False))) for kind, bad in faults]
+
+
+def _value_issues(value: Column, spec: Mapping, path: str, name: str) -> list[Column]:
+    where = path or name
+    out = [issue(bad, where, kind, "error", f"{where} fails {kind}") for kind, bad in _value_faults(value, spec)]
+    inside = F.coalesce(_is(value, "object"), F.lit(False))
+    for field, below in spec.get("properties", {}).items():
+        child = F.try_variant_get(value, f"$['{field}']", "variant")
+        at = f"{path}.{field}" if path else field
+        if field in spec.get("required", []):
+            out.append(issue(inside & child.isNull(), at, "missing", "error", f"{at} is required"))
+        out += _value_issues(child, below, at, name)
+    for field in spec.get("required", []):
+        if field not in spec.get("properties", {}):
+            at = f"{path}.{field}" if path else field
+            out.append(issue(inside & F.try_variant_get(value, f"$['{field}']", "variant").isNull(), at, "missing", "error", f"{at} is required"))
+    if "items" in spec:
+        def wrong(item: Column) -> Column:
+            bad = item.isNull()
+            for _, fault in _value_faults(item, spec["items"]):
+                bad = bad | fault
+            return bad
+
+        items = F.try_variant_get(value, "$", "array<variant>")
+        out.append(issue(F.coalesce(F.exists(items, wrong), F.lit(False)), where, "items", "error", f"{where} has wrong items"))
+    return out
+
+
 # The default checks of a tick.
 TICK_SCHEMA = {
     "required": ["symbol", "price", "volume", "ts"],

@@ -128,6 +128,25 @@ def _mdist(t):
     return rounded(D.mean_distance(*samples(t, "l_quantity", "l_discount"), ["l_quantity", "l_discount"]), 8)
 
 
+_CHOSEN_KS = CELLS + """, kc AS (SELECT v, sum(r) AS nr, sum(c) AS nc FROM cells WHERE feature = 'l_quantity' GROUP BY 1),
+kr AS (SELECT sum(nr) OVER (ORDER BY v) AS cr, sum(nc) OVER (ORDER BY v) AS cc, sum(nr) OVER () AS n, sum(nc) OVER () AS m FROM kc),
+ks AS (SELECT max(abs(cr / n - cc / m)) AS d, max(n)::DOUBLE AS n, max(m)::DOUBLE AS m FROM kr)"""
+
+
+@query("chosen_method", f"""WITH {_CHOSEN_KS}, {CAT}, x AS (SELECT sum(pow(nr - (nr + nc) * n / (n + m), 2) / ((nr + nc) * n / (n + m)) + pow(nc - (nr + nc) * m / (n + m), 2) / ((nr + nc) * m / (n + m))) AS chi2, count(*) - 1 AS dof FROM t),
+a AS (SELECT avg(l_quantity) AS x, avg(l_discount) AS y, var_samp(l_quantity) AS sxx, var_samp(l_discount) AS syy, covar_samp(l_quantity, l_discount) AS sxy FROM lineitem WHERE l_shipdate < DATE '{CUT}'),
+b AS (SELECT avg(l_quantity) AS x, avg(l_discount) AS y FROM lineitem WHERE l_shipdate >= DATE '{CUT}'),
+o AS (SELECT 'covariate' AS kind, 'l_quantity' AS feature, 'ks' AS method, d AS statistic, {kolmogorov('d * sqrt(n * m / (n + m))')} AS p FROM ks
+UNION ALL SELECT 'covariate', 'l_quantity,l_discount', 'mahalanobis', sqrt((pow(b.x - a.x, 2) * syy - 2 * (b.x - a.x) * (b.y - a.y) * sxy + pow(b.y - a.y, 2) * sxx) / (sxx * syy - sxy * sxy)), NULL FROM a, b
+UNION ALL SELECT 'label', 'l_returnflag', 'chi2', chi2, {chi_squared_tail('chi2', 'dof')} FROM x)
+SELECT kind, feature, method, {R('statistic', 5)} AS statistic, {R('p', 5)} AS p_value, CASE method WHEN 'mahalanobis' THEN statistic > 3 ELSE p < 0.05 END AS drift FROM o""")
+def _chosen(t):
+    """Drift of one feature, of two together and of a label, each by the method chosen for it."""
+    asked = [("covariate", ["l_quantity"]), ("covariate", ["l_quantity", "l_discount"]), ("label", ["l_returnflag"])]
+    parts = [D.detect(*samples(t, *f), f, kind).withColumn("kind", F.lit(kind)) for kind, f in asked]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 5, "statistic", "p_value")
+
+
 @query("mahalanobis_outliers", f"""WITH a AS (SELECT avg(l_quantity) AS x, avg(l_discount) AS y, var_samp(l_quantity) AS sxx, var_samp(l_discount) AS syy, covar_samp(l_quantity, l_discount) AS sxy FROM lineitem WHERE l_shipdate < DATE '{CUT}'),
 d AS (SELECT l_shipdate >= DATE '{CUT}' AS cur, sqrt((pow(l_quantity - x, 2) * syy - 2 * (l_quantity - x) * (l_discount - y) * sxy + pow(l_discount - y, 2) * sxx) / (sxx * syy - sxy * sxy)) AS d FROM lineitem, a),
 q AS (SELECT quantile_cont(d, 0.95) AS th FROM d WHERE NOT cur)

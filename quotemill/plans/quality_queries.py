@@ -48,6 +48,36 @@ def _schema(t):
     return Q.validate(t.events, Q.schema_checks(schema)).select("event_id", "valid")
 
 
+# Every tenth event keeps its text; the others carry one fault each, or a nested object.
+PAYLOADS = ["props", "'{\"k\": \"' || k || '\"}'", "'{\"k\": ' || k", "'{}'", "'{\"k\": null}'", "'{\"k\": ' || k || ', \"user\": {\"id\": \"x\"}}'",
+            "'{\"k\": ' || k || ', \"user\": {\"id\": 7, \"tags\": [\"a\", 1]}}'", "'{\"k\": 2' || lpad(k, 2, '0') || '}'",
+            "'{\"k\": ' || k || ', \"user\": {\"id\": 7, \"tags\": []}, \"side\": \"hold\"}'", "'[1, 2]'"]
+PAYLOAD_SQL = "CASE " + " ".join(f"WHEN event_id % 10 = {i} THEN {p}" for i, p in enumerate(PAYLOADS)) + " END"
+PAYLOAD_SCHEMA = {"type": "object", "required": ["k"], "properties": {
+    "k": {"type": "integer", "minimum": 0, "maximum": 99}, "side": {"type": "string", "enum": ["buy", "sell"]},
+    "user": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}}}}
+
+
+@query("json_text_validation", f"""WITH e AS (SELECT event_id, props, json_extract_string(props, '$.k') AS k FROM events),
+p AS (SELECT event_id, {PAYLOAD_SQL} AS payload FROM e), d AS (SELECT *, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload ELSE '{{}}' END AS d, json_valid(payload) AS ok,
+  CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END AS obj FROM p),
+t AS (SELECT *, json_type(d, '$.k') AS tk, json_type(d, '$.user') AS tu, json_type(d, '$.user.id') AS ti, json_type(d, '$.side') AS ts,
+  CASE WHEN json_type(d, '$.user.tags') = 'ARRAY' THEN len(list_filter(CAST(json_extract(d, '$.user.tags') AS JSON[]), lambda x: json_type(x) <> 'VARCHAR')) ELSE 0 END AS odd FROM d)
+SELECT event_id, array_to_string(list_sort(list_filter([
+  CASE WHEN NOT ok THEN 'payload:json' END, CASE WHEN ok AND NOT obj THEN 'payload:type' END, CASE WHEN obj AND NOT json_exists(d, '$.k') THEN 'k:missing' END,
+  CASE WHEN json_exists(d, '$.k') AND tk NOT IN ('UBIGINT', 'BIGINT') THEN 'k:type' END,
+  CASE WHEN tk IN ('UBIGINT', 'BIGINT') AND NOT CAST(json_extract_string(d, '$.k') AS BIGINT) BETWEEN 0 AND 99 THEN 'k:range' END,
+  CASE WHEN ts = 'VARCHAR' AND json_extract_string(d, '$.side') NOT IN ('buy', 'sell') THEN 'side:enum' END,
+  CASE WHEN tu = 'OBJECT' AND NOT json_exists(d, '$.user.id') THEN 'user.id:missing' END,
+  CASE WHEN ti NOT IN ('UBIGINT', 'BIGINT') THEN 'user.id:type' END, CASE WHEN odd > 0 THEN 'user.tags:items' END], lambda x: x IS NOT NULL)), ',') AS issues FROM t""")
+def _json_text(t):
+    """Issues of JSON texts, each fault planted on a tenth of the events."""
+    texts = t.events.select("event_id", "props", F.get_json_object("props", "$.k").alias("k")).select("event_id", F.expr(PAYLOAD_SQL).alias("payload"))
+    found = Q.validate(texts, Q.json_checks(PAYLOAD_SCHEMA))
+    names = F.transform("issues", lambda x: F.concat(x["field"], F.lit(":"), x["issue"]))
+    return found.select("event_id", F.array_join(F.array_sort(names), ",").alias("issues"))
+
+
 @query("tick_schema_validation", f"WITH {TICKS} SELECT count(*) FILTER (price >= 0 AND volume >= 0) AS valid, count(*) FILTER (NOT (price >= 0 AND volume >= 0)) AS invalid FROM ticks")
 def _tick_schema(t):
     v = Q.validate(t.ticks, Q.schema_checks(Q.TICK_SCHEMA))

@@ -261,6 +261,22 @@ def _signal_returns(t):
     return e.select("symbol", "ts", rnd("strategy_ret").alias("strategy_ret"), rnd(F.when(F.col("equity") > 0, F.log("equity"))).alias("log_equity"))
 
 
+@query("backtest_trades", f"""WITH {BARS}, s AS (SELECT symbol, ts, close, CASE WHEN round({roll('avg', 'close', 5, BW)} - {roll('avg', 'close', 20, BW)}, 9) > 0 THEN 1 WHEN round({roll('avg', 'close', 5, BW)} - {roll('avg', 'close', 20, BW)}, 9) < 0 THEN -1 ELSE 0 END AS sig FROM bars),
+b AS (SELECT *, CASE WHEN lag(sig) OVER ({BW}) IS NULL OR lag(sig) OVER ({BW}) <> sig THEN 1 ELSE 0 END AS begins, lead(close) OVER ({BW}) AS after, lead(ts) OVER ({BW}) AS after_ts FROM s),
+r AS (SELECT *, sum(begins) OVER ({BW}) AS run FROM b),
+g AS (SELECT symbol, run, any_value(sig) AS side, min(ts) AS entry_ts, arg_min(close, ts) AS entry_price, count(*) AS rows, max(ts) AS last_ts, arg_max(close, ts) AS last_price FROM r WHERE sig <> 0 GROUP BY 1, 2),
+e AS (SELECT g.*, r.after, r.after_ts FROM g JOIN r ON r.symbol = g.symbol AND r.ts = g.last_ts)
+SELECT symbol, CAST(run AS BIGINT) AS trade, side, entry_ts, coalesce(after_ts, last_ts) AS exit_ts, {R('entry_price')} AS entry_price, {R('coalesce(after, last_price)')} AS exit_price, rows,
+  {R('(side * (coalesce(after, last_price) / entry_price - 1) - CASE WHEN after_ts IS NULL THEN 0.0015 ELSE 0.003 END) * 100')} AS return_pct, CASE WHEN after_ts IS NULL THEN 'open' ELSE 'closed' END AS status FROM e""")
+def _trades(t):
+    """Round trips of a moving-average crossover, long and short."""
+    p = Panel(t.bars, BAR_SERIES)
+    a, b = p.mean("_f", "close", 5), p.mean("_s", "close", 20)
+    apart = F.round(F.col(a) - F.col(b), 9)
+    p.add("sig", F.when(apart > 0, 1).when(apart < 0, -1).otherwise(0), [a, b])
+    return rounded(P.backtest_trades(p.done(), BAR_SERIES, "sig"), 6, "entry_price", "exit_price", "return_pct")
+
+
 GRID = [(f, s) for f in (3, 5, 10) for s in (20, 40, 60)]
 FOLDS = """, z AS (SELECT *, floor((row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) * 4 / count(*) OVER (PARTITION BY symbol)) AS fold, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS past FROM bars)"""
 

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quotemill.operators import quality as Q
 from quotemill.operators.ordered import Series
@@ -12,8 +13,9 @@ from quotemill.plans.micro_queries import DELTAS, deltas
 from quotemill.plans.registry import R, kolmogorov, query, rnd, rounded
 from quotemill.schemas import EVENTS
 from quotemill.session import scratch
-from quotemill.sources import store
+from quotemill.sources import decode, log, store
 from quotemill.streaming import jobs, monitor, stateful
+from quotemill.streaming.joins import capped_join
 from quotemill.streaming.retry import RetryQueue
 from quotemill.streaming.spec import from_config
 
@@ -123,6 +125,20 @@ def _full_join(t):
     return a.table(jobs.windowed_join(left, right, ["user_id"], "2 hours", how="full_outer"), "full-join").select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("l_tie", "r_tie")])
 
 
+@query("stream_capped_join", f"""WITH {TICKS}, s AS (SELECT user_id, tie, ts, CASE symbol WHEN 'click' THEN 0 ELSE 1 END AS side FROM ticks WHERE symbol IN ('click', 'purchase')),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, side ORDER BY ts, tie) AS rn, count(*) FILTER (side = 0) OVER w AS n0, count(*) FILTER (side = 1) OVER w AS n1
+  FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, tie, side ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT a.side, a.tie, b.tie AS other FROM o a LEFT JOIN o b ON a.user_id = b.user_id AND b.side = 1 - a.side
+  AND b.rn <= CASE a.side WHEN 0 THEN a.n1 ELSE a.n0 END AND b.rn > CASE a.side WHEN 0 THEN a.n1 ELSE a.n0 END - 3 AND b.ts >= a.ts - INTERVAL 36 HOUR)
+SELECT coalesce(CASE side WHEN 0 THEN tie ELSE other END, -1) AS l_tie, coalesce(CASE side WHEN 0 THEN other ELSE tie END, -1) AS r_tie FROM m WHERE side = 1 OR other IS NOT NULL""")
+def _capped(t):
+    """Right join of clicks and purchases of a user: at most three rows of either side are held, for 36 hours."""
+    a = Arrivals(t)
+    side = lambda name: a.stream().filter(F.col("symbol") == name).select("user_id", "ts", "tie")
+    out = a.table(capped_join(side("click"), side("purchase"), ["user_id"], cap=3, expire=36 * 3600, how="right"), "capped-join", "update")
+    return out.select(*[F.coalesce(F.col(f"{x}.tie"), F.lit(-1)).alias(f"{x}_tie") for x in ("l", "r")])
+
+
 @query("stream_count_windows", f"""WITH {TICKS}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, tie) - 1 AS i FROM ticks),
 w AS (SELECT *, unnest(range(CAST(greatest(ceil((i - 99) / 50), 0) AS BIGINT), CAST(floor(i / 50) + 1 AS BIGINT))) AS window_id FROM i)
 SELECT symbol, window_id, {R('avg(price)')} AS avg_price, sum(volume) AS volume FROM w GROUP BY 1, 2 HAVING count(*) = 100""")
@@ -294,6 +310,24 @@ def _retry(t):
     return kept.groupBy("part", "attempts").agg(F.count(F.lit(1)).alias("n")).unionByName(tried)
 
 
+@query("stream_record_log", f"""WITH {TICKS} SELECT tie, 'ticks' AS topic, CAST(user_id % 4 AS INT) AS "partition", row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, tie) - 1 AS "offset", ts AS message_time, symbol, price FROM ticks""")
+def _record_log(t):
+    """Ticks go through a message log: written by one stream, read by another that starts anew after every part."""
+    path, a = scratch(t.spark, "log"), Arrivals(t)
+    out = a.stream().select(F.col("exchange").alias("key"), F.to_json(F.struct("tie", "symbol", "price")).alias("value"), F.col("ts").cast("timestamp").alias("timestamp"), "tie")
+    sink = log.log_sink(f"{path}/log", "ticks", partition=F.substring(F.col("key").cast("string"), 2, 1).cast("int"), tie="tie")
+
+    def pass_on(df, batch):
+        sink(df, batch)
+        messages = log.read_log(t.spark, f"{path}/log", "ticks").withColumn("value", F.col("value").cast("string"))
+        ticks_ = decode.decode_json(messages, StructType.fromDDL("tie long, symbol string, price double")).select("tie", decode.message_metadata().alias("m"), "symbol", "price")
+        jobs.append_sink(ticks_, f"{path}/table", f"{path}/read-checkpoint", every=None).awaitTermination()
+
+    a.run(out, pass_on, f"{path}/checkpoint")
+    table = t.spark.read.parquet(f"{path}/table").select("tie", "m.*", "symbol", "price")
+    return table.withColumn("message_time", F.col("message_time").cast("timestamp_ntz"))
+
+
 @query("stream_upsert", f"WITH {TICKS} SELECT symbol, exchange, max(ts) AS ts, arg_max(price, (ts, tie)) AS price FROM ticks GROUP BY 1, 2")
 def _upsert(t):
     path = scratch(t.spark, "stream-upsert")

@@ -305,6 +305,25 @@ def _named(t):
     return rounded(P.map_columns(t.ticks, features).select("tie", *features))
 
 
+@query("named_feature_errors", f"""WITH {TICKS} SELECT tie, {R('CASE WHEN volume <> 0 THEN price / volume END')} AS unit_price, {R('CASE WHEN price >= 10 THEN sqrt(price - 10) END')} AS root,
+  array_to_string(list_filter([CASE WHEN volume = 0 THEN 'unit_price=ZeroDivisionError: no volume' END, CASE WHEN price < 10 THEN 'root=ValueError: low price' END], lambda x: x IS NOT NULL), ';') AS errors FROM ticks""")
+def _named_errors(t):
+    """Two user functions that fail on some rows; each failure keeps its feature's name and message."""
+    def unit_price(b):
+        if (b["volume"] == 0).any():
+            raise ZeroDivisionError("no volume")
+        return b["price"] / b["volume"]
+
+    def root(b):
+        if (b["price"] < 10).any():
+            raise ValueError("low price")
+        return (b["price"] - 10) ** 0.5
+
+    out = P.named_features(t.ticks.select("tie", "price", "volume"), {"unit_price": unit_price, "root": root})
+    pairs = F.array_sort(F.transform(F.map_entries("errors"), lambda e: F.concat(F.when(e["key"] == "unit_price", "0").otherwise("1"), e["key"], F.lit("="), e["value"])))
+    return rounded(out.select("tie", "unit_price", "root", F.array_join(F.transform(pairs, lambda x: F.substring(x, 2, 1000)), ";").alias("errors")), 6, "unit_price", "root")
+
+
 @query("sql_entry", f"""WITH {TICKS} SELECT symbol, count(*) AS n, max(price) AS top FROM ticks WHERE volume >= 25 GROUP BY symbol""")
 def _sql(t):
     return P.run_sql(t.spark, "SELECT symbol, count(*) AS n, max(price) AS top FROM tick_view WHERE volume >= :floor GROUP BY symbol",

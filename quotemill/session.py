@@ -51,6 +51,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(there)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the file system that Spark means by it, for readers outside Spark."""
+    files, there = _located(spark, path)
+    whole = files.makeQualified(there).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds any file of a table at any depth; markers and unfinished writes do not count."""
     files, there = _located(spark, path)

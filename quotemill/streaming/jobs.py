@@ -187,10 +187,15 @@ def incremental_rollup(path: str, source: str, interval: str = "1h", part: str =
 
 
 def drift_per_batch(path: str, reference: DataFrame, features: Sequence[str], alpha: float = 0.05) -> Batch:
-    """Score (mean shift), KS with p-value, stability index and a flag per feature and batch, against a stored reference."""
+    """Score (mean shift), KS with p-value, stability index and a flag per feature and batch, against a stored reference.
+
+    The reference is read once, here; batches are compared with its counts and moments.
+    """
     from quotemill.functions.special import ks_p, on_rows
     from quotemill.operators import drift as D
 
+    reference = D.summarize_reference(reference, features)
+
     def write(df: DataFrame, batch: int) -> None:
         o = D.order_statistics(reference, df, features).select("feature", "ks", "n", "m")
         b = D.binned_measures(D.shared_histogram(reference, df, features)).select("feature", "psi")

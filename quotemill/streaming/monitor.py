@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quotemill.functions.special import ks_p
 from quotemill.operators.ordered import epoch_us, running_totals
+from quotemill.session import materialize
 from quotemill.streaming.stateful import use_rocksdb
 
 TASK_ROWS = 200_000
@@ -68,6 +69,7 @@ def reference_points(df: DataFrame, features: Sequence[str], points: int = 1000,
     than that nothing is lost, and otherwise the distance found is at most 1 / points too small.
     """
     counts = samples(df, features, key, ts, tie).groupBy("symbol", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "value-counts")
     sizes = counts.groupBy("symbol", "feature").agg(F.sum("n").alias("size"))
     run = running_totals(counts, "value", ["n"], ["symbol", "feature"]).join(sizes, ["symbol", "feature"])
     step = lambda upto: F.floor(upto * points / F.col("size"))
