@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import rolling as X
 from quotemill.operators.ordered import Panel, Series, cumulative, index_rows
+from quotemill.session import materialize
 
 c = F.col
 
@@ -419,9 +420,12 @@ def stc(p: Panel, fast: int = 23, slow: int = 50, n: int = 10, smooth: int = 3)
 # -- running totals --------------------------------------------------------------------------------------
 
 
-def running_totals_of_volume(df: DataFrame, s: Series) -> DataFrame:
-    """obv, accumulation/distribution, price-volume trend and negative volume index in one pass."""
-    p = Panel(df, s)
+def running_totals_of_volume(df: DataFrame, s: Series, indexed: bool = False) -> DataFrame:
+    """obv, accumulation/distribution, price-volume trend and negative volume index in one pass.
+
+    Rows that come with their positions keep them.
+    """
+    p = Panel(df, s, indexed=indexed)
     prev, pv = p.temp("_pc", F.lag("close").over(p.w), back=1), p.temp("_pvol", F.lag("volume").over(p.w), back=1)
     ret = F.try_divide(c("close"), c(prev)) - 1  # none after a price of zero
     p.add("_obv", F.coalesce(F.signum(c("close") - c(prev)) * c("volume"), F.lit(0.0)), [prev])
@@ -430,21 +434,26 @@ def running_totals_of_volume(df: DataFrame, s: Series) -> DataFrame:
     p.add("_nvi", F.coalesce(F.when(c("volume") < c(pv), F.log1p(ret)), F.lit(0.0)), [prev, pv])
     out = cumulative(p.done(keep_index=True), s, {
         "obv": ("sum", "_obv"), "ad": ("sum", "_ad"), "pvt": ("sum", "_pvt"), "_lnvi": ("sum", "_nvi")}, indexed=True)
-    return out.withColumn("nvi", 1000 * F.exp("_lnvi")).drop("_obv", "_ad", "_pvt", "_nvi", "_lnvi", "_i")
+    return out.withColumn("nvi", 1000 * F.exp("_lnvi")).drop("_obv", "_ad", "_pvt", "_nvi", "_lnvi", *([] if indexed else ["_i"]))
+
+
+def ad_lines(p: Panel, fast: int = 3, slow: int = 10) -> None:
+    """Fast minus slow EMA of the accumulation/distribution line ``ad``."""
+    a, b = p.ema("_ad_fast", "ad", span=fast), p.ema("_ad_slow", "ad", span=slow)
+    p.hide(a, b)
+    p.add("ad_oscillator", c(a) - c(b), [a, b])
 
 
 def ad_oscillator(df: DataFrame, s: Series, fast: int = 3, slow: int = 10) -> DataFrame:
-    """Fast minus slow EMA of the accumulation/distribution line."""
+    """The line and the difference of its averages."""
     flow = df.withColumn("_flow", money_flow_multiplier() * c("volume"))
     line = cumulative(index_rows(flow, s), s, {"ad": ("sum", "_flow")}, indexed=True).drop("_flow")
     p = Panel(line, s, indexed=True)
-    a, b = p.ema("_ad_fast", "ad", span=fast), p.ema("_ad_slow", "ad", span=slow)
-    p.hide(a, b)
-    p.add("ad_oscillator", c(a) - c(b), [a, b])
+    ad_lines(p, fast, slow)
     return p.done()
 
 
-def kama(df: DataFrame, s: Series, n: int = 10, fast: int = 2, slow: int = 30, stretch: int = 256) -> DataFrame:
+def kama(df: DataFrame, s: Series, n: int = 10, fast: int = 2, slow: int = 30, stretch: int = 256, indexed: bool = False) -> DataFrame:
     """Adaptive average y = y' + w(x - y'), w from the efficiency ratio, seeded at row n - 1.
 
     A recurrence with a changing decay: the log of the decay is summed inside stretches, and the value at a
@@ -452,7 +461,7 @@ def kama(df: DataFrame, s: Series, n: int = 10, fast: int = 2, slow: int = 30, s
     """
     from pyspark.sql import Window
 
-    p = Panel(df, s)
+    p = Panel(df, s, indexed=indexed)
     prev, past = _lag(p, "close"), _lag(p, "close", n)
     step = p.temp("_step", F.abs(c("close") - c(prev)), [prev])
     noise = p.total("_noise", step, n)
@@ -477,7 +486,7 @@ def kama(df: DataFrame, s: Series, n: int = 10, fast: int = 2, slow: int = 30, s
     carry = q.done(keep_index=True).select(*s.keys, c("_i").alias("_st"), "_carry")
     out = d.join(carry, [*s.keys, "_st"])
     out = out.withColumn("kama", F.when(i >= seed, c("_z") + F.exp("_cd") * c("_carry")))
-    return out.drop("_w", "_ld", "_u", "_st", "_cd", "_z", "_carry", "_i")
+    return out.drop("_w", "_ld", "_u", "_st", "_cd", "_z", "_carry", *([] if indexed else ["_i"]))
 
 
 # -- bundles ---------------------------------------------------------------------------------------------
@@ -601,32 +610,35 @@ def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def baseline_features(df: DataFrame, s: Series) -> DataFrame:
-    """The 47 named feature columns, zero-filled."""
+    """The 47 named feature columns, zero-filled; rows are put in order once."""
     from quotemill.operators.scans import parabolic_sar
 
-    p = Panel(df, s)
-    baseline_panel(p)
-    rest = running_totals_of_volume(df, s).select(*s.keys, s.ts, *s.tie, "obv")
-    sar = parabolic_sar(df, s).select(*s.keys, s.ts, *s.tie, "psar")
     on = [*s.keys, s.ts, *s.tie]
-    wide = p.done().join(rest, on).join(sar, on)
-    return zero_fill(wide.select(*on, *BASELINE_COLUMNS), BASELINE_COLUMNS)
+    d = materialize(index_rows(df, s), "indexed-bars")
+    d = running_totals_of_volume(d, s, indexed=True).join(parabolic_sar(d, s, indexed=True).select(*on, "psar"), on)
+    p = Panel(d, s, indexed=True)
+    baseline_panel(p)
+    return zero_fill(p.done().select(*on, *BASELINE_COLUMNS), BASELINE_COLUMNS)
 
 
 def all_indicators(df: DataFrame, s: Series) -> DataFrame:
-    """Every indicator in one wide table; one panel, plus the running-total and scan families joined on."""
+    """Every indicator in one wide table.
+
+    Rows are put in order once.  What is no window (running totals, the adaptive average, the two scans) is added to the
+    narrow bars first; one panel then adds everything else.
+    """
     from quotemill.operators.patterns import PATTERNS, pattern
     from quotemill.operators.scans import parabolic_sar, supertrend
 
-    p = Panel(df, s)
+    on = [*s.keys, s.ts, *s.tie]
+    bars = materialize(index_rows(df, s), "indexed-bars")
+    d = kama(running_totals_of_volume(bars, s, indexed=True), s, indexed=True)
+    d = d.join(parabolic_sar(bars, s, indexed=True).select(*on, "psar"), on)
+    d = d.join(supertrend(bars, s, indexed=True).select(*on, "supertrend", "supertrend_direction"), on)
+    p = Panel(d, s, indexed=True)
     baseline_panel(p)
     oscillator_panel(p)
+    ad_lines(p)
     for name in PATTERNS:
         pattern(p, name)
-    on = [*s.keys, s.ts, *s.tie]
-    wide = p.done()
-    wide = wide.join(running_totals_of_volume(df, s).select(*on, "obv", "ad", "pvt", "nvi"), on)
-    wide = wide.join(ad_oscillator(df, s).select(*on, "ad_oscillator"), on)
-    wide = wide.join(kama(df, s).select(*on, "kama"), on)
-    wide = wide.join(parabolic_sar(df, s).select(*on, "psar"), on)
-    return wide.join(supertrend(df, s).select(*on, "supertrend", "supertrend_direction"), on)
+    return p.done()

@@ -108,9 +108,9 @@ def _psar_step(accel: float, limit: float) -> Step:
     return step
 
 
-def parabolic_sar(df: DataFrame, s: Series, accel: float = 0.02, limit: float = 0.2) -> DataFrame:
+def parabolic_sar(df: DataFrame, s: Series, accel: float = 0.02, limit: float = 0.2, indexed: bool = False) -> DataFrame:
     """Stop-and-reverse level; starts long at the first bar's low, null on the first row."""
-    out = state_scan(df, s, ["high", "low"], _psar_step(accel, limit), ["psar"])
+    out = state_scan(df, s, ["high", "low"], _psar_step(accel, limit), ["psar"], indexed=indexed)
     return out.withColumn("psar", F.when(~F.isnan("psar"), F.col("psar")))
 
 
@@ -134,11 +134,11 @@ def _supertrend_step(cols, state):
     return {"supertrend": np.array(line), "supertrend_direction": np.array(direction)}, state or [0.0] * 4
 
 
-def supertrend(df: DataFrame, s: Series, n: int = 7, k: float = 3.0) -> DataFrame:
+def supertrend(df: DataFrame, s: Series, n: int = 7, k: float = 3.0, indexed: bool = False) -> DataFrame:
     """Ratcheting bands around the bar middle at k Wilder ATRs; the line is the band on the trend's side."""
     from quotemill.operators.indicators import atr
 
-    p = Panel(df, s)
+    p = Panel(df, s, indexed=indexed)
     a = atr(p, n, "wilder", "_atr")
     mid = (F.col("high") + F.col("low")) / 2
     p.add("_upper", mid + k * F.col(a), [a])
