@@ -4,8 +4,9 @@ A legal conversation may open with a system turn and then alternates user and as
 Dynamic programming over this automaton chooses for every turn to keep it, relabel it, merge it into the turn
 before, or put an empty turn in front of it, so that the summed cost is least; then the repaired turns are rendered.
 
-The steps of a stretch of turns compose as 4 x 4 matrices of least costs.  Turns are dealt by (conversation, turn)
-ranges into chunks of bounded size, so a conversation of any length spreads over chunks: every chunk gives one
+The steps of a stretch of turns compose as 4 x 4 matrices of least costs.  Turns are dealt by (conversation, turn, row)
+ranges into chunks, as many as ``CHUNK_ROWS`` and ``CHUNK_BYTES`` ask for, so a conversation of any length spreads over
+chunks, and so do turns that are repeated any number of times: every chunk gives one
 matrix per conversation, the few conversations that span chunks are routed through their matrices, and every
 chunk then repairs its own turns between the states that its route prescribes.
 
@@ -32,6 +33,7 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)  # a state is the role of the last turn
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FAR = float("inf")
+CHUNK_ROWS, CHUNK_BYTES = 50_000, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -227,7 +229,6 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
            costs: Costs = Costs(), form: Template = Template(), chunks: int | None = None) -> DataFrame:
     """One row per turn: conversation, turn, role, ``new_role``, ``op``, ``cost``, ``rendered``, and the order (o, h, k)."""
     spark = turns.sparkSession
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = only(turns, id=conv_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(
         F.col("id").cast("long").alias("id"), F.col("turn").cast("long").alias("turn"), "role", "text",
@@ -235,7 +236,11 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("o"),
         F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text").alias("h"),
     )
-    dealt = rows.repartitionByRange(chunks, "conv", "o", "h").withColumn("chunk", F.spark_partition_id())
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // CHUNK_ROWS), -(-size // CHUNK_BYTES))
+    # Repeated turns differ in their place in the table, so that no number of them has to share a chunk.
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(chunks, "conv", "o", "h", "place").drop("place").withColumn("chunk", F.spark_partition_id())
     dealt = materialize(dealt, "chat-turns")
     folds = dealt.select("chunk", "conv", "o", "h", "role").groupBy("chunk").applyInArrow(_fold_chunk(costs), "conv string, chunk int, m array<double>")
     folds = materialize(folds, "chat-folds")

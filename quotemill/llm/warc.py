@@ -9,7 +9,8 @@ attempts that counted, so a lost executor leaves at most an unnamed file behind.
 Reading: the wanted index rows are sorted by file and offset; neighbouring byte ranges of a file are joined into
 one read of bounded size, and every record is cut out of it, unpacked and parsed.
 
-Archives go to a folder that all executors share, reached with ``pyarrow.fs`` (plain paths and file:, s3:, gs:, hdfs:).
+Archives go to a folder that all executors share, reached with ``pyarrow.fs`` (file:, s3:, gs:, hdfs:); a plain path is
+one of Spark's default file system, for the archives as for the index.
 
 Defined results: a null payload is empty; a null URL is written as ``urn:page:<id>``.  Rows without id keep the empty
 id in the archive, can be revisits, and are the response only if none of their group has an id.  Rows that repeat the
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import only
-from quotemill.session import scratch
+from quotemill.session import qualified, scratch
 
 ROLL_BYTES = 256 << 20  # an archive file is closed when it is this long
 READ_BYTES = 8 << 20  # longest joined read
@@ -128,7 +129,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     one payload, which adaptive execution splits.
     """
     spark = pages.sparkSession
-    folder = folder or scratch(spark, "warc")
+    folder = qualified(spark, folder or scratch(spark, "warc"))
     rows = only(pages, id=id_col, url=url_col, payload=payload_col)
     rows = rows.select(F.col("id").cast("long").alias("id"), "url", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumn("key", F.sha1("payload"))
@@ -155,7 +156,7 @@ def _reader(folder: str, most: int, gap: int):
         try:
             for batch in batches:
                 wanted = list(zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))))
-                rows, at = [], 0
+                rows, at, size = [], 0, 0
                 while at < len(wanted):
                     if wanted[at][0] != name:
                         if file is not None:
@@ -180,7 +181,12 @@ def _reader(folder: str, most: int, gap: int):
                             "payload_bytes": int(r["X-Payload-Length"]),
                             "payload": None if r["WARC-Type"] == "revisit" else r["payload"],
                         })
-                yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                        size += len(r["payload"])
+                        if size >= most:  # records of any size, but few bytes at a time
+                            yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _RECORD)
         finally:
             if file is not None:
                 file.close()
@@ -196,4 +202,4 @@ def read(folder: str, selected: DataFrame, most: int = READ_BYTES, gap: int = GA
     places = selected.select("file", "offset", "length")
     parts = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = places.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
-    return near.mapInArrow(_reader(f"{folder}/archives", most, gap), _RECORD_SQL)
+    return near.mapInArrow(_reader(f"{qualified(selected.sparkSession, folder)}/archives", most, gap), _RECORD_SQL)

@@ -94,3 +94,23 @@ def test_awkward_rows(spark):
     assert fixed.count() == len(rows) and got[None].cost == 0 and got[5].cost == 0 and got[5].text.endswith("late<|end|>\n")
     assert got[6].cost == 4 and got[7].cost == 2 and all(legal(r.text) for r in got.values())
     assert C.repair(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_repeated_turns_spread_over_chunks(spark, monkeypatch):
+    """A third of all turns is one and the same row; no chunk holds more than its share of them."""
+    monkeypatch.setattr(C, "CHUNK_ROWS", 100)
+    same = [(1, None, "user", "again")] * 1000
+    rows = same + [(i, t, r, f"{i} {t}") for i in range(2, 502) for t, r in enumerate(["system", "user", "assistant", "user"])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    sizes, kept = [], C.materialize
+
+    def watched(df, label):
+        out = kept(df, label)
+        if label == "chat-turns":
+            sizes.extend(r["count"] for r in out.groupBy("chunk").count().collect())
+        return out
+
+    monkeypatch.setattr(C, "materialize", watched)
+    got = C.repair(turns).filter("conv_id = 1").groupBy("op").count().collect()
+    assert len(sizes) >= 25 and max(sizes) < 400
+    assert {r.op: r["count"] for r in got} == {"keep": 1, "merge": 999}

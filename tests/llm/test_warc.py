@@ -76,3 +76,14 @@ def test_a_damaged_record_is_noticed():
 def test_empty_table(spark):
     folder, index = W.write(spark.createDataFrame([], PAGES))
     assert index.count() == 0 and W.read(folder, index).count() == 0
+
+
+def test_large_records_come_in_small_batches(spark):
+    """Records of a megabyte each, with a budget of two: batches stay small however many records one asks for."""
+    pages = prepare(spark).range(12).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('x', id, ' '), 300000) AS html")
+    folder, index = W.write(pages.coalesce(1))
+    assert folder.startswith("file:")
+    near = index.select("file", "offset", "length").coalesce(1).sortWithinPartitions("file", "offset").toArrow().to_batches()
+    sizes = [b.column(6).nbytes for b in W._reader(f"{folder}/archives", 2 << 20, 0)(iter(near))]
+    assert len(sizes) > 5 and max(sizes) < 4 << 20
+    assert W.read(folder, index).selectExpr("sum(payload_bytes) AS n").first().n == sum(300000 * (2 + len(str(i))) for i in range(12))
