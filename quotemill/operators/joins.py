@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.operators.ordered import Series, cumulative, index_rows
-from quotemill.session import materialize
+from quotemill.session import materialize, scratch
 
 
 def _both(left: DataFrame, right: DataFrame, s: Series, right_first: bool, payload: Column) -> DataFrame:
@@ -58,24 +58,23 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
     out_schema = ", ".join(f"`{k}` {schema[k]}" for k in by) + ", _id bigint, _limit double, _hit bigint"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """Running minima seen from a position form a sorted stack; each probe is one binary search in it."""
+        """All probes of a block at once, over minima of stretches of 1, 2, 4, ... rows: a stretch without a hit is skipped."""
         if right.empty:
             return pd.DataFrame()
+        if left.empty:
+            return right[[*by, "_id", "_limit"]].assign(_hit=pd.array([None] * len(right), dtype="Int64"))
         left = left.sort_values("_i")
-        pos, val = left["_i"].tolist(), left["_v"].tolist()
-        right = right.sort_values("_from", ascending=False)
-        stack_v, stack_i, at, hits = [], [], len(pos) - 1, []
-        for start, limit in zip(right["_from"].tolist(), right["_limit"].tolist()):
-            while at >= 0 and pos[at] >= start:
-                while stack_v and stack_v[-1] >= val[at]:
-                    stack_v.pop()
-                    stack_i.pop()
-                stack_v.append(val[at])
-                stack_i.append(pos[at])
-                at -= 1
-            k = bisect_right(stack_v, limit) - 1
-            hits.append(stack_i[k] if k >= 0 else None)
-        return right[[*by, "_id", "_limit"]].assign(_hit=pd.array(hits, dtype="Int64"))
+        pos, low = left["_i"].to_numpy(), [left["_v"].fillna(np.inf).to_numpy(float)]
+        while len(low[-1]) > (step := 1 << (len(low) - 1)):
+            low.append(np.minimum(low[-1][:-step], low[-1][step:]))
+        limit, at = right["_limit"].to_numpy(float), np.searchsorted(pos, right["_from"].to_numpy())
+        for k in reversed(range(len(low))):
+            inside = at < len(low[k])
+            at = at + np.where(inside & (low[k][np.where(inside, at, 0)] > limit), 1 << k, 0)
+        found = at < len(pos)
+        hits = pd.array(np.where(found, pos[np.where(found, at, 0)], 0), dtype="Int64")
+        hits[~found] = pd.NA
+        return right[[*by, "_id", "_limit"]].assign(_hit=hits)
 
     def ask(p: DataFrame) -> DataFrame:
         """Probes of one block are dealt out in chunks of about a block; only blocks with probes are read."""
@@ -92,7 +91,7 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
     if open_.isEmpty() or minima.agg(F.max("_i")).first()[0] in (None, 0):
         return found
     later = open_.select(*keys, "_id", "_limit", (F.col("_block") + 1).alias("_from"))
-    where = _first_at_most(materialize(minima, "probe-minima"), later, keys, block)
+    where = _first_at_most(materialize(minima, "probe-minima"), later, keys, max(block, 4096))
     again = later.join(where.withColumnRenamed("_hit", "_block"), [*keys, "_id"]).withColumn("_from", F.col("_block") * block)
     return found.unionByName(ask(again).filter("_hit IS NOT NULL").select(*keys, "_id", "_hit"))
 
@@ -105,18 +104,17 @@ def first_trigger(orders: DataFrame, quotes: DataFrame, s: Series, order_id: str
     """
     keys = list(s.keys)
     sign = 1.0 if below else -1.0
-    q = materialize(index_rows(quotes.select(*keys, s.ts, *s.tie, (value * sign).cast("double").alias("_v")), s), "trigger-rows")
-    payload = F.col("_i")
-    o = orders.select(*keys, s.ts, F.col(order_id).alias("_id"), (F.col(level) * sign).cast("double").alias("_limit"),
-                      *[F.lit(None).cast(q.schema[c].dataType).alias(c) for c in s.tie])
-    both = (o.select(*keys, s.ts, *s.tie, "_id", "_limit", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_pos"))
-            .unionByName(q.select(*keys, s.ts, *s.tie, F.lit(None).cast("bigint").alias("_id"),
-                                  F.lit(None).cast("double").alias("_limit"), F.lit(1).alias("_side"), payload.alias("_pos"))))
-    order = s.with_(tie=("_side", *s.tie, "_id"))
-    placed = cumulative(index_rows(both, order), order, {"_from": ("next", "_pos")}, indexed=True)
-    probes = placed.filter("_side = 0 AND _from IS NOT NULL").select(*keys, "_id", "_from", "_limit")
-    hits = _first_at_most(q.select(*keys, "_i", "_v"), materialize(probes, "trigger-probes"), keys, s.block_rows)
-    return (hits.join(q.withColumnRenamed("_i", "_hit"), [*keys, "_hit"])
+    blank = lambda kind: F.lit(None).cast(kind)
+    q = quotes.select(*keys, s.ts, *s.tie, F.lit(1).alias("_side"), blank("bigint").alias("_id"), blank("double").alias("_limit"), (value * sign).cast("double").alias("_v"))
+    o = orders.select(*keys, s.ts, *[blank(q.schema[c].dataType).alias(c) for c in s.tie], F.lit(0).alias("_side"), F.col(order_id).alias("_id"),
+                      (F.col(level) * sign).cast("double").alias("_limit"), blank("double").alias("_v"))
+    # One order of both: an order comes before the quotes of its time, and is itself no quote that could trigger.
+    spark, path = quotes.sparkSession, scratch(quotes.sparkSession, "trigger-rows")
+    index_rows(o.unionByName(q), s.with_(tie=("_side", *s.tie, "_id"))).write.parquet(path)
+    rows, asked, seen = (spark.read.parquet(path) for _ in range(3))
+    probes = asked.filter("_side = 0 AND _limit IS NOT NULL").select(*keys, "_id", F.col("_i").alias("_from"), "_limit")
+    hits = _first_at_most(rows.select(*keys, "_i", "_v"), probes, keys, s.block_rows)
+    return (hits.join(seen.filter("_side = 1").select(*keys, s.ts, F.col("_i").alias("_hit"), "_v"), [*keys, "_hit"])
             .select(*keys, F.col("_id").alias(order_id), F.col(s.ts).alias("trigger_ts"), (F.col("_v") * sign).alias("trigger_value")))
 
 
