@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotemill.llm.common import only
+from quotemill.llm.common import only, resident
 from quotemill.session import materialize
 
 BROADCAST_PAIRS = 1_000_000
@@ -168,6 +168,7 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
 
 def _each(byte_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("align")
         models = aligner(byte_path, piece_path)
         for batch in batches:
             figures, groups, pairs, times = [], [], [], []

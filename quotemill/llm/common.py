@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,16 +69,39 @@ def strict_words(text: bytes) -> list[bytes]:
     return text.translate(_STRICT).split()
 
 
-def forgetting(batches: Iterator, *tables: dict) -> Iterator:
-    """The batches of a task; after the last one the remembering tables are emptied.
+_resident: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return freed memory of the worker to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def resident(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Say that this worker works for ``operator``: what other operators have left in it goes, by their ``forget``.
 
     Python workers live on from stage to stage, and what each stage remembers would add up.
     """
+    others = [name for name in _resident if name != operator]
+    for name in others:
+        _resident.pop(name)()
+    if forget is not None:
+        _resident[operator] = forget
+    if others:
+        give_back()
+
+
+def forgetting(batches: Iterator, *tables: dict) -> Iterator:
+    """The batches of a task; after the last one the remembering tables are emptied."""
+    resident("")
     try:
         yield from batches
     finally:
         for table in tables:
             table.clear()
+        give_back()
 
 
 def first_texts(rows: DataFrame, most: int, *cols: Column) -> DataFrame:

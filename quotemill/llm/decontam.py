@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import STRICT_WORD, fresh, only, strict_words, texts
+from quotemill.llm.common import STRICT_WORD, fresh, only, resident, strict_words, texts
 from quotemill.session import materialize
 
 WIDTH = 10
@@ -117,6 +117,7 @@ _built: dict[str, Windows] = {}
 
 def _each(shared, key: str, width: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        resident("decontam", _built.clear)
         if key not in _built:
             _built.clear()  # one automaton at a time
             _built[key] = Windows(shared.value, width)

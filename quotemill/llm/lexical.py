@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from quotemill.llm.common import only, strict_words, texts
+from quotemill.llm.common import only, resident, strict_words, texts
 from quotemill.session import materialize
 
 TOP = 50
@@ -45,6 +45,7 @@ _held: dict[str, dict[bytes, int]] = {}
 def _postings(shared, key: str):
     """Per document its number of terms, and the numbers and frequencies of the query terms it holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("lexical", _held.clear)
         if key not in _held:
             _held.clear()  # one vocabulary at a time
             _held[key] = {t: i for i, t in enumerate(shared.value)}

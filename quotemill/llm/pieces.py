@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from quotemill.llm.common import fresh
+from quotemill.llm.common import fresh, resident
 
 MARK = "▁"
 LONG_CHUNK = 64
-YOUNG_CHUNKS = 200_000  # remembered cuts of the younger generation; the older one is no larger
+YOUNG_CHUNKS = 150_000  # remembered cuts of the younger generation; the older one is no larger
 PAIR_SLOTS = 1 << 20  # remembered verdicts on pairs of pieces
-GROUP_CHARS = 2 << 20  # characters of text that are cut and walked together
+GROUP_CHARS = 1 << 20  # characters of text that are cut and walked together
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -392,6 +392,10 @@ class PieceModel:
             self.known.keep(learned)
         return [np.frombuffer(b"".join(map(ids.__getitem__, part)), "<i4") for part in cuts]
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self.known = Remembered(YOUNG_CHUNKS)
+
     def encode(self, text: str) -> np.ndarray:
         return next(iter(self.encode_all([text])))
 
@@ -450,6 +454,7 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 def _each_text(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model(path)
+        resident("pieces", m.forget)
         for batch in batches:
             yield _lists(list(m.encode_all([t or "" for t in batch.to_pylist()])))
 
@@ -459,6 +464,7 @@ def _each_text(path: str):
 def _each_round(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model(path)
+        resident("pieces", m.forget)
         for batch in batches:
             rows = list(m.encode_all([t or "" for t in batch.to_pylist()]))
             back = pa.array([m.decode(r) for r in rows], pa.string())
