@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,3 +139,54 @@ def archive(spark: SparkSession, path: str, archive_path: str, condition: Column
 
     spark.read.parquet(path).filter(condition).write.mode("overwrite").partitionBy(part).parquet(f"{archive_path}/run={run}")
     return delete_where(spark, path, condition, part)
+
+
+# Retention actions by name: each takes the session, a partitioned table's path, the condition of the rows concerned and its own
+# arguments, and returns how many rows it concerned.
+ACTIONS: dict[str, Callable[..., int]] = {}
+
+
+def register_action(name: str, run: Callable[..., int]) -> None:
+    """Make an action available to policies; a name that is taken is replaced."""
+    ACTIONS[name] = run
+
+
+def _delete(spark: SparkSession, path: str, condition: Column, part: str = "part") -> int:
+    from quotemill.sources.store import delete_where
+
+    return delete_where(spark, path, condition, part)
+
+
+def _blank(spark: SparkSession, path: str, condition: Column, columns: Sequence[str], part: str = "part") -> int:
+    """Rows stay, the named columns are emptied; only partitions that hold such rows are rewritten."""
+    df = spark.read.parquet(path)
+    hit = F.coalesce(condition, F.lit(False))
+    touched = materialize(df.groupBy(part).agg(F.count_if(hit).alias("n")).filter("n > 0"), "blank-parts")
+    rows = touched.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if rows:
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        blanked = df.join(touched.select(part), part, "left_semi").withColumns({x: F.when(~hit, c(x)).otherwise(F.lit(None).cast(kinds[x])) for x in columns})
+        materialize(blanked.select(df.columns), "blank-rows").hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return rows
+
+
+def _archive(spark: SparkSession, path: str, condition: Column, archive_path: str, run: str, part: str = "part") -> int:
+    return archive(spark, path, archive_path, condition, run, part)
+
+
+register_action("delete", _delete)
+register_action("archive", _archive)
+register_action("blank", _blank)
+
+
+def apply_policies(spark: SparkSession, path: str, policies: Sequence[tuple[str, str, dict]], now: Column, ts: str = "ts") -> list[tuple[str, str, int]]:
+    """Run (action, keep, arguments) in turn on the rows older than ``keep``; returns action, keep and the rows concerned."""
+    out = []
+    for action, keep, args in policies:
+        if action not in ACTIONS:
+            raise ValueError(f"unknown retention action {action!r}")
+        if duration_seconds(keep) is not None:
+            out.append((action, keep, ACTIONS[action](spark, path, expired(spark.read.parquet(path), ts, keep, now), **args)))
+        else:
+            out.append((action, keep, 0))
+    return out

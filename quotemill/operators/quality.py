@@ -284,6 +284,19 @@ def quality_report(judged_rows: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list(F.when(c("status") == "error", c("column")))), ",").alias("failed_columns"))
 
 
+def report_history(log: DataFrame, newest: int = 5, order: str = "batch") -> DataFrame:
+    """The reports of the ``newest`` batches of a metric log: per metric and batch the checks, failures and failing columns.
+
+    A log has a row per batch and metric, so its distinct batches are few.
+    """
+    batches = log.select(order).distinct().orderBy(F.desc(order)).limit(newest)
+    kept = log.join(F.broadcast(batches), order)
+    failed = F.when(c("status") == "error", c("column"))
+    return kept.groupBy(order, "metric").agg(
+        F.count(F.lit(1)).alias("checks"), F.count(failed).alias("failed"), F.avg("value").alias("mean_value"),
+        F.array_join(F.array_sort(F.collect_list(failed)), ",").alias("failed_columns"))
+
+
 def default_metrics(df: DataFrame) -> dict[str, list[str]]:
     """Which metrics apply to which columns, by type."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

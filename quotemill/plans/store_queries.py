@@ -286,6 +286,19 @@ def _archive(t):
     return count(path, "table").unionByName(count(old, "archive"))
 
 
+@query("retention_policies", f"""WITH {TICKS} SELECT CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'archive' ELSE 'table' END AS place, count(*) AS n, count(*) FILTER (ts >= TIMESTAMP '2024-01-21') AS priced
+FROM ticks WHERE ts >= TIMESTAMP '2024-01-06' GROUP BY 1""")
+def _policies(t):
+    """Delete after 25 days, archive after 20, blank prices after 10, in this order."""
+    path, old = scratch(t.spark, "policies"), scratch(t.spark, "policies-archive")
+    t.ticks.withColumn("part", time_key("ts", "day")).repartition("part").write.partitionBy("part").parquet(path)
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    G.apply_policies(t.spark, path, [("delete", "25d", {}), ("archive", "20d", {"archive_path": old, "run": "2024-01-31"}), ("blank", "10d", {"columns": ["price"]})], now)
+    recent = F.count_if(F.col("price").isNotNull() & (F.col("ts") >= F.lit("2024-01-11").cast("timestamp_ntz")))
+    count = lambda p, n: t.spark.read.parquet(p).groupBy(F.lit(n).alias("place")).agg(F.count(F.lit(1)).alias("n"), recent.alias("priced"))
+    return count(path, "table").unionByName(count(old, "archive"))
+
+
 @query("cached_result", f"WITH {BARS} SELECT symbol, count(*) AS bars, max(high) AS top FROM bars GROUP BY 1")
 def _cached(t):
     """A stored intermediate read by two consumers."""

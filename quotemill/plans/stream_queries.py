@@ -353,6 +353,31 @@ def _attach(t):
     return a.table(s, "alert-attach").drop("batch")
 
 
+@query("stream_alert_table", f"""WITH {TICKS} SELECT tie, symbol, 'high_price' AS rule, 'warning' AS severity FROM ticks WHERE price > 90
+UNION ALL SELECT tie, symbol, 'no_volume', 'info' FROM ticks WHERE volume = 0""")
+def _alert_table(t):
+    """Alerts attached to a stream, a row each."""
+    path, a = scratch(t.spark, "alerts"), Arrivals(t)
+    rules = {"high_price": (F.col("price") > 90, "warning"), "no_volume": (F.col("volume") == 0, "info")}
+    a.run(a.stream(), jobs.with_alerts(path, rules, ["tie", "symbol"]), f"{path}/checkpoint")
+    return t.spark.read.parquet(f"{path}/alerts").select("tie", "symbol", "rule", "severity")
+
+
+@query("stream_quality_history", f"""WITH {TICKS}, b AS (SELECT *, CAST({BATCH_OF} AS INT) AS batch FROM ticks),
+g AS (SELECT batch, count(*)::DOUBLE AS n, count(price) AS p, count(volume) AS v, count(DISTINCT tie) AS u, (epoch_us(TIMESTAMP '2024-01-25') - epoch_us(max(ts))) / 3.6e9 AS age FROM b GROUP BY 1),
+m AS (SELECT batch, 'completeness' AS metric, 'price' AS "column", p / n AS value FROM g UNION ALL SELECT batch, 'completeness', 'volume', v / n FROM g
+  UNION ALL SELECT batch, 'uniqueness', 'tie', u / n FROM g UNION ALL SELECT batch, 'timeliness', 'ts', age FROM g),
+j AS (SELECT *, CASE metric WHEN 'timeliness' THEN value > 48 WHEN 'uniqueness' THEN value < 0.95 ELSE value < 0.9 END AS bad FROM m)
+SELECT batch, metric, count(*) AS checks, count(*) FILTER (bad) AS failed, {R('avg(value)')} AS mean_value, coalesce(string_agg(CASE WHEN bad THEN "column" END, ',' ORDER BY "column"), '') AS failed_columns
+FROM j WHERE batch > 0 GROUP BY 1, 2""")
+def _quality_history(t):
+    """Reports of the newest three of four batches from the log of their metrics."""
+    path, a = scratch(t.spark, "quality-log"), Arrivals(t)
+    now = F.lit("2024-01-25").cast("timestamp_ntz")
+    a.run(a.stream(), jobs.with_metric_log(f"{path}/log", lambda d: Q.metric_rows(d, ["price", "volume"], ["tie"], "ts", now)), f"{path}/checkpoint")
+    return rounded(Q.report_history(t.spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log"), 3), 6, "mean_value")
+
+
 @query("stream_progress", "SELECT 4 AS batches, count(*) AS input_rows FROM events")
 def _progress(t):
     path = scratch(t.spark, "progress")

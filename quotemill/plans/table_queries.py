@@ -212,6 +212,27 @@ def _dbstats(t):
     return points.statistics(_points(t))
 
 
+@query("retention_statistics", f"""WITH {TICKS} SELECT 'tick' AS measurement, 864000 AS keep_seconds, count(*) AS points, count(*) FILTER (ts < TIMESTAMP '2024-01-31' - INTERVAL 10 DAY) AS expired,
+  min(ts) FILTER (ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY) AS oldest_kept FROM ticks""")
+def _retention(t):
+    policies = t.spark.createDataFrame([("tick", 864000), ("book", None)], "measurement string, keep_seconds int")
+    return points.retention_report(_points(t), policies, F.lit("2024-01-31").cast("timestamp_ntz"))
+
+
+@query("newest_book_snapshots", f"""WITH {TICKS} SELECT tie, ts, {R('price * 0.999')} AS best_bid, {R('price * 1.001')} AS best_ask, 6 * volume + 21 AS bid_size, 6 * (100 - volume) + 21 AS ask_size
+FROM ticks WHERE symbol = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-25' ORDER BY ts DESC, tie DESC LIMIT 150""")
+def _newest_books(t):
+    """The newest snapshots of a book in a range, read from a table of books by day."""
+    from quotemill.plans.micro_queries import level_books
+
+    path = scratch(t.spark, "books")
+    store.write_partitioned(level_books(t), f"{path}/books", store.layout("time"), files_per_key=2)
+    books = L.newest(store.scan_partitions(t.spark, f"{path}/books"), 150, "2024-01-05", "2024-01-25", symbol="click")
+    total = lambda side: F.aggregate(side, F.lit(0.0), lambda x, y: x + y["size"])
+    return books.select("tie", "ts", rnd(F.element_at("bids", 1)["price"]).alias("best_bid"), rnd(F.element_at("asks", 1)["price"]).alias("best_ask"),
+                        total("bids").alias("bid_size"), total("asks").alias("ask_size"))
+
+
 # -- decoding --------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,3 +59,13 @@ def statistics(points: DataFrame) -> DataFrame:
     days = F.date_diff(F.max("time"), F.min("time")).cast("long") + 1
     base = points.groupBy("measurement").agg(F.count(F.lit(1)).alias("points"), days.alias("days"))
     return base.join(series_cardinality(points), "measurement")
+
+
+def retention_report(points: DataFrame, policies: DataFrame, now: Column) -> DataFrame:
+    """Per measurement its policy, the points and those past it; ``policies`` has measurement and ``keep_seconds`` (null: for ever).
+
+    A measurement without policy keeps everything.
+    """
+    kept = points.join(policies, "measurement", "left")
+    past = F.coalesce(F.col("time") < now - F.make_dt_interval(secs=F.col("keep_seconds").cast("double")), F.lit(False))
+    return kept.groupBy("measurement", "keep_seconds").agg(F.count(F.lit(1)).alias("points"), F.count_if(past).alias("expired"), F.min(F.when(~past, F.col("time"))).alias("oldest_kept"))

@@ -254,6 +254,32 @@ def feature_handler(root: str, feature: str, version: int, entity: str, value: s
     return write
 
 
+def with_alerts(path: str, rules: dict[str, tuple[Column, str]], keys: Sequence[str]) -> Batch:
+    """Attach alerts to a stream: every row goes on with the names of the rules it meets, and each alert is a row of its own.
+
+    ``rules`` maps a name to a condition and a severity; a condition that is null is not met.
+    """
+    met = F.filter(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity")))
+                             for name, (when, severity) in rules.items()]), lambda x: x.isNotNull())
+
+    def write(df: DataFrame, batch: int) -> None:
+        marked = df.withColumn("_met", met)
+        marked.withColumn("alerts", F.transform("_met", lambda x: x["rule"])).drop("_met").write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        marked.select(*keys, F.explode("_met").alias("a")).select(*keys, "a.*").write.mode("overwrite").parquet(f"{path}/alerts/batch={batch}")
+
+    return held(write)
+
+
+def with_metric_log(path: str, metrics: Callable[[DataFrame], DataFrame]) -> Batch:
+    """Append the judged quality metrics of every batch to a table; a replayed batch replaces its own."""
+    from quotemill.operators.quality import judged
+
+    def write(df: DataFrame, batch: int) -> None:
+        judged(metrics(df)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return held(write)
+
+
 # -- metrics ---------------------------------------------------------------------------------------------
 
 METRICS = "input_rows long, batch_ms long, rows_per_second double"

@@ -194,3 +194,61 @@ def test_a_reference_is_read_once(spark):
         a, b = (d.sort_values(keys).reset_index(drop=True) for d in (a, b))
         pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
     assert math.isfinite(got[0]["ks"].max())
+
+
+# -- retention, alerts, errors, choice of method ----------------------------------------------------------
+
+
+def test_registered_retention_actions(spark):
+    from quotemill.operators import governance as G
+
+    path = scratch(spark, "actions")
+    spark.range(10).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(int(id)) AS ts", "id % 2 AS part", "'x' AS name").write.partitionBy("part").parquet(path)
+    seen = []
+    G.register_action("count", lambda spark, path, condition, label: seen.append(label) or spark.read.parquet(path).filter(condition).count())
+    now = F.lit("2024-01-11").cast("timestamp_ntz")
+    try:
+        done = G.apply_policies(spark, path, [("count", "5d", {"label": "old"}), ("blank", "7d", {"columns": ["name"]}), ("delete", "9d", {}), ("count", "INF", {"label": "never"})], now)
+        with pytest.raises(ValueError):
+            G.apply_policies(spark, path, [("unknown", "1d", {})], now)
+    finally:
+        G.ACTIONS.pop("count")
+    assert done == [("count", "5d", 5), ("blank", "7d", 3), ("delete", "9d", 1), ("count", "INF", 0)] and seen == ["old"]
+    left = {r.id: r.name for r in spark.read.parquet(path).collect()}
+    assert left == {1: None, 2: None, **{i: "x" for i in range(3, 10)}}
+
+
+def test_failing_rows_are_found_by_halving():
+    from quotemill.operators.project import _tried
+
+    calls = []
+
+    def fn(b):
+        calls.append(len(b))
+        if (b["v"] < 0).any():
+            raise ValueError("negative")
+        return b["v"] * 2
+
+    values, errors = _tried(fn, pd.DataFrame({"v": [*range(500), -1, *range(499)]}))
+    assert values.count(None) == 1 and errors[500] == "ValueError: negative" and values[499] == 998 and len(calls) < 25
+
+
+def test_choice_of_method(spark):
+    assert [D.choose_method(k, f) for k, f in [("covariate", ["a"]), ("covariate", ["a", "b"]), ("concept", ["a"]), ("label", ["a"]), ("other", ["a"])]] == ["ks", "mahalanobis", "js", "chi2", "mahalanobis"]
+    rng = np.random.default_rng(1)
+    ref, cur = (spark.createDataFrame(pd.DataFrame({"a": rng.normal(m, 1, 400), "b": rng.normal(0, 1, 400)})) for m in (0, 5))
+    for kind, features in [("covariate", ["a"]), ("covariate", ["a", "b"]), ("concept", ["a"])]:
+        assert all(r.drift for r in D.detect(ref, cur, features, kind).collect()) and not any(r.drift for r in D.detect(ref, ref, features, kind).collect())
+    with pytest.raises(ValueError):
+        D.detect(ref, cur, ["a"], method="nothing")
+
+
+def test_trades(spark):
+    from quotemill.operators.ordered import Series
+
+    prices, signals = [10.0, 11.0, 12.0, 9.0, 8.0, 8.0, 12.0, 15.0], [0, 1, 1, -1, -1, 0, 1, 1]
+    rows = [("a", at(60 * i), i, p, s) for i, (p, s) in enumerate(zip(prices, signals))]
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, tie long, close double, sig int")
+    got = PF.backtest_trades(d, Series(keys=("symbol",), ts="ts", tie=("tie",)), "sig", fee=0.01, slippage=0.0).orderBy("entry_ts").collect()
+    assert [(r.side, r.entry_price, r.exit_price, r.rows, r.status) for r in got] == [(1, 11, 9, 2, "closed"), (-1, 9, 8, 2, "closed"), (1, 12, 15, 2, "open")]
+    assert [r.return_pct for r in got] == pytest.approx([(9 / 11 - 1 - 0.02) * 100, (-(8 / 9 - 1) - 0.02) * 100, (15 / 12 - 1 - 0.01) * 100])
