@@ -198,7 +198,7 @@ def _repair_chunk(costs: Costs, form: Template):
 
     def run(chunk: pa.Table, routes: pa.Table) -> pa.Table:
         ways = {r["conv"]: r for r in routes.to_pylist()}
-        out = []
+        out, before = [], chunk.column("chunk")[0].as_py() << 32  # turns that are equal may lie in several chunks, in order
         for conv, turns in _turns(chunk).items():
             way = ways.get(conv)
             entry, leave, last = (way["entry"], way["leave"], way["last"]) if way else (START, None, True)
@@ -219,7 +219,7 @@ def _repair_chunk(costs: Costs, form: Template):
                         text, at = text + opening(at, e), e
                     text, cost = text + form.after, cost + extra
                 out.append({"id": r["id"], "turn": r["turn"], "role": r["role"], "new_role": ROLES[step.to - 1], "op": step.op, "cost": cost,
-                            "rendered": text, "o": r["o"], "h": r["h"], "k": i})
+                            "rendered": text, "o": r["o"], "h": r["h"], "k": before + i})
         return pa.Table.from_pylist(out, _OUT)
 
     return run

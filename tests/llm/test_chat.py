@@ -113,4 +113,4 @@ def test_repeated_turns_spread_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(C, "materialize", watched)
     got = C.repair(turns).filter("conv_id = 1").groupBy("op").count().collect()
     assert len(sizes) >= 25 and max(sizes) < 400
-    assert {r.op: r["count"] for r in got} == {"keep": 1, "merge": 999}
+    assert {r.op: r["count"] for r in got} == {"keep": 1, "merge": 998, "relabel": 1}  # the last one answers
