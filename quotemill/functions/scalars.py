@@ -32,6 +32,16 @@ def interval(text: str) -> Column:
     return F.make_dt_interval(secs=F.lit(float(secs)))
 
 
+def ieee_quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point arithmetic has it: over 0 infinite or, of 0, NaN; null only where a or b is null."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def ieee_log(x: Column) -> Column:
+    """ln(x) as floating-point arithmetic has it: -infinite at 0, NaN below; null only where x is null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
 def time_key(ts: str | Column, unit: str) -> Column:
     """Partition key of a timestamp: day, hour, minute, or ISO week."""
     col = F.col(ts) if isinstance(ts, str) else ts
