@@ -322,7 +322,7 @@ def _failing(t):
 @query("named_features", f"""WITH {TICKS} SELECT tie, {R('price / nullif(volume, 0)')} AS unit_price, {R('ln(price)')} AS log_price,
   {R('price * volume')} AS notional FROM ticks""")
 def _named(t):
-    features = {"unit_price": F.try_divide("price", "volume"), "log_price": F.log("price"), "notional": F.col("price") * F.col("volume")}
+    features = {"unit_price": F.try_divide("price", "volume"), "log_price": S.ieee_log(F.col("price")), "notional": F.col("price") * F.col("volume")}
     return rounded(P.map_columns(t.ticks, features).select("tie", *features))
 
 
