@@ -299,12 +299,14 @@ def _chain(t):
 def _log_price(b: pd.DataFrame) -> pd.DataFrame:
     import numpy as np
 
-    return pd.DataFrame({"tie": b["tie"], "log_price": np.floor(np.log(b["price"]) * 1e6 + 0.4871) / 1e6})
+    with np.errstate(divide="ignore", invalid="ignore"):  # 0 gives -infinity, less NaN
+        value = np.floor(np.log(b["price"].to_numpy(float)) * 1e6 + 0.4871) / 1e6
+    return pd.DataFrame({"tie": b["tie"], "log_price": pd.arrays.FloatingArray(value, b["no_price"].to_numpy(bool))})
 
 
 @query("parallel_map", f"WITH {TICKS} SELECT tie, {R('ln(price)')} AS log_price FROM ticks")
 def _pmap(t):
-    return P.map_batches(t.ticks.select("tie", "price"), _log_price, "tie long, log_price double")
+    return P.map_batches(t.ticks.select("tie", "price", F.col("price").isNull().alias("no_price")), _log_price, "tie long, log_price double")
 
 
 def _inverse(b: pd.DataFrame) -> pd.Series:
