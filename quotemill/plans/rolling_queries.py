@@ -30,10 +30,10 @@ def pick(df, *cols):
 def _changes(t):
     p = Panel(t.ticks, TICK_SERIES)
     X.change(p, "price")
-    X.pct_change(p, "price")
-    X.pct_change(p, "price", 5)
-    X.log_return(p, "price")
-    X.log_return(p, "price", out="log_return_guarded", guarded=True)
+    X.pct_change(p, "price", ieee=True)
+    X.pct_change(p, "price", 5, ieee=True)
+    X.log_return(p, "price", ieee=True)
+    X.log_return(p, "price", out="log_return_guarded", guarded=True, ieee=True)
     return rounded(p.done().select("symbol", "tie", "diff_1", "returns_1", "returns_5", "log_returns_1",
                                    "log_return_guarded"))
 
