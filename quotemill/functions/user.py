@@ -13,8 +13,18 @@ from quotemill.operators.bars import vwap_arrays
 
 
 def register_scalar(spark: SparkSession, name: str, fn: Callable[..., pd.Series], returns: str) -> None:
-    """Make an Arrow-batched function callable from SQL."""
-    spark.udf.register(name, F.pandas_udf(fn, returns))
+    """Make an Arrow-batched function callable from SQL.
+
+    A NaN that ``fn`` gives for whole arguments stays NaN; where an argument is missing it is null.
+    """
+    def told_apart(*args: pd.Series) -> pd.Series:
+        out = fn(*args)
+        if out.dtype.kind != "f" or pd.api.types.is_extension_array_dtype(out.dtype):
+            return out
+        missing = np.logical_or.reduce([a.isna().to_numpy() for a in args]) & out.isna().to_numpy()
+        return pd.Series(pd.arrays.FloatingArray(out.to_numpy(), missing))
+
+    spark.udf.register(name, F.pandas_udf(told_apart, returns))
 
 
 def array_vwap(prices: str, volumes: str) -> Column:
