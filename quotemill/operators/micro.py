@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.scalars import tick_align
+from quotemill.functions.scalars import ieee_quotient, tick_align
 from quotemill.operators.ordered import Panel, Series, cumulative, index_rows
 
 c = F.col
@@ -124,7 +124,7 @@ def rolling_book_imbalance(p: Panel, n: int, bid: str = "bid_volume", ask: str =
 def triangular(tops: DataFrame, pairs: DataFrame, at: Sequence[str], edge: float = 0.001) -> DataFrame:
     """Synthetic bid and ask of (base, quote) pairs from the tops of both books at the same time.
 
-    ``pairs`` is a short list (base, quote); tops are unique per (symbol, at).
+    ``pairs`` is a short list (base, quote); tops are unique per (symbol, at).  Over an ask of 0 the edge is infinite.
     """
     at = list(at)
     base = tops.select(*at, c("symbol").alias("base"), c("bid").alias("_bb"), c("ask").alias("_ba"))
@@ -132,4 +132,4 @@ def triangular(tops: DataFrame, pairs: DataFrame, at: Sequence[str], edge: float
     out = base.join(F.broadcast(pairs), "base").join(quote, [*at, "quote"])
     out = out.withColumns({"synthetic_bid": c("_bb") * c("_qb"), "synthetic_ask": c("_ba") * c("_qa")})
     out = out.filter(c("synthetic_bid") > (1 + edge) * c("synthetic_ask"))
-    return out.withColumn("edge", F.try_divide(c("synthetic_bid"), c("synthetic_ask")) - 1).drop("_bb", "_ba", "_qb", "_qa")
+    return out.withColumn("edge", ieee_quotient(c("synthetic_bid"), c("synthetic_ask")) - 1).drop("_bb", "_ba", "_qb", "_qa")
