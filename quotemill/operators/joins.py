@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.functions.scalars import ieee_quotient
 from quotemill.operators.ordered import Series, cumulative, index_rows
 from quotemill.session import materialize, scratch
 
@@ -186,11 +187,11 @@ def venue_match(quotes: DataFrame, s: Series, venues: Sequence[str], max_gap_ms:
 
 
 def arbitrage(matches: DataFrame, fees_bps: float = 5.0, min_profit: float = 1e-4, min_notional: float = 1000.0) -> DataFrame:
-    """Spread, profit and viability after fees for venue matches."""
+    """Spread (infinite over a price of 0), profit and viability after fees for venue matches."""
     fee = fees_bps / 10000
     out = matches.withColumns(
         {
-            "spread_bps": F.try_divide(F.col("sell_price") - F.col("buy_price"), F.col("buy_price")) * 10000,
+            "spread_bps": ieee_quotient(F.col("sell_price") - F.col("buy_price"), F.col("buy_price")) * 10000,
             "pnl": (F.col("sell_price") - F.col("buy_price")) * F.col("quantity"),
         }
     )
