@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 
 Transform = Callable[[DataFrame], DataFrame]
+FAILURES_KEPT = 100_000  # failed inputs a task remembers
 
 
 def compose(*steps: Transform) -> Transform:
@@ -42,28 +44,79 @@ def _tried(fn: Callable[[pd.DataFrame], pd.Series], b: pd.DataFrame) -> tuple[li
         return [v for values, _ in parts for v in values], [x for _, errors in parts for x in errors]
 
 
-def map_or_error(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out: str, out_type: str) -> DataFrame:
+def _row_keys(b: pd.DataFrame) -> list[tuple]:
+    """One key per row; equal keys mean the same bits of numbers and the same type and value of anything else."""
+    def column(x: pd.Series) -> list:
+        if isinstance(x.dtype, np.dtype) and x.dtype.kind in "fM":
+            return x.to_numpy().view(f"i{x.dtype.itemsize}").tolist()
+        return x.tolist() if isinstance(x.dtype, np.dtype) and x.dtype.kind in "iub" else list(zip(map(type, x), x))
+
+    return list(zip(*[column(b[n]) for n in b.columns]))
+
+
+def _asker(fn: Callable[[pd.DataFrame], pd.Series], inputs: Sequence[str] | None):
+    """``_tried`` for the batches of a task.  With ``inputs`` named, ``fn`` sees these columns only; in a batch that fails
+    rows of equal inputs are asked once, in the order of the inputs (so that failing rows lie together), and rows that
+    failed before are not asked again."""
+    failed: dict[tuple, str] = {}
+
+    def ask(b: pd.DataFrame) -> tuple[list, list]:
+        if inputs is None:
+            return _tried(fn, b)
+        part = b[list(inputs)]
+        try:
+            out = list(fn(part))
+            if len(out) == len(b):
+                return out, [None] * len(b)
+        except Exception:  # noqa: BLE001, S110 - asked again below, in parts
+            pass
+        try:
+            keys = _row_keys(part)
+            first: dict[tuple, int] = {}
+            for k, key in enumerate(keys):
+                first.setdefault(key, k)
+            new = part.iloc[[k for key, k in first.items() if key not in failed]].sort_values(list(inputs), kind="stable")
+        except TypeError:  # inputs that have no hash or no order
+            return _tried(fn, part)
+        found = dict(zip(_row_keys(new), zip(*_tried(fn, new))))
+        answers = [found[key] if key in found else (None, failed[key]) for key in keys]
+        if len(failed) > FAILURES_KEPT:
+            failed.clear()
+        failed.update({key: error for key, (_, error) in found.items() if error is not None})
+        return [v for v, _ in answers], [e for _, e in answers]
+
+    return ask
+
+
+def map_or_error(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], out: str, out_type: str, inputs: Sequence[str] | None = None) -> DataFrame:
     """Apply ``fn`` to each batch; a batch that fails is halved until the failing rows stand alone, which keep their error.
 
-    ``fn`` gives a value per row that depends on that row only.
+    ``fn`` gives a value per row that depends on that row only, and of that only on ``inputs`` where these are named:
+    many failing rows that repeat each other are then cheap.
     """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"{out} {out_type}", "error string"])
 
     def run(batches):
+        ask = _asker(fn, inputs)
         for b in batches:
-            values, errors = _tried(fn, b)
+            values, errors = ask(b)
             yield b.assign(**{out: values, "error": errors})
 
     return df.mapInPandas(run, schema)
 
 
-def named_features(df: DataFrame, features: Mapping[str, Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
-    """Named user functions, one double column each, and ``errors``: per feature that failed on a row its message."""
+def named_features(df: DataFrame, features: Mapping[str, Callable[[pd.DataFrame], pd.Series]], inputs: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Named user functions, one double column each, and ``errors``: per feature that failed on a row its message.
+
+    ``inputs`` names the columns a feature reads, as for ``map_or_error``; first the one that decides about failure.
+    """
+    inputs = inputs or {}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{n}` double" for n in features] + ["errors map<string,string>"])
 
     def run(batches):
+        askers = {name: _asker(fn, inputs.get(name)) for name, fn in features.items()}
         for b in batches:
-            got = {name: _tried(fn, b) for name, fn in features.items()}
+            got = {name: ask(b) for name, ask in askers.items()}
             errors = [{name: e[k] for name, (_, e) in got.items() if e[k] is not None} for k in range(len(b))]
             columns = {name: pd.array([None if v is None or v != v else float(v) for v in values], dtype="Float64") for name, (values, _) in got.items()}
             yield b.assign(**columns, errors=errors)

@@ -318,7 +318,7 @@ def _inverse(b: pd.DataFrame) -> pd.Series:
 @query("map_with_failing_items", f"""WITH {TICKS} SELECT tie, {R('price / nullif(volume, 0)')} AS unit,
   CASE WHEN volume = 0 THEN 'ZeroDivisionError: no volume' END AS error FROM ticks""")
 def _failing(t):
-    return rounded(P.map_or_error(t.ticks.select("tie", "price", "volume"), _inverse, "unit", "double").select("tie", "unit", "error"), 6, "unit")
+    return rounded(P.map_or_error(t.ticks.select("tie", "price", "volume"), _inverse, "unit", "double", ["volume", "price"]).select("tie", "unit", "error"), 6, "unit")
 
 
 @query("named_features", f"""WITH {TICKS} SELECT tie, {R('price / nullif(volume, 0)')} AS unit_price, {R('ln(price)')} AS log_price,
@@ -342,7 +342,8 @@ def _named_errors(t):
             raise ValueError("low price")
         return (b["price"] - 10) ** 0.5
 
-    out = P.named_features(t.ticks.select("tie", "price", "volume"), {"unit_price": unit_price, "root": root})
+    out = P.named_features(t.ticks.select("tie", "price", "volume"), {"unit_price": unit_price, "root": root},
+                           {"unit_price": ["volume", "price"], "root": ["price"]})
     pairs = F.array_sort(F.transform(F.map_entries("errors"), lambda e: F.concat(F.when(e["key"] == "unit_price", "0").otherwise("1"), e["key"], F.lit("="), e["value"])))
     return rounded(out.select("tie", "unit_price", "root", F.array_join(F.transform(pairs, lambda x: F.substring(x, 2, 1000)), ";").alias("errors")), 6, "unit_price", "root")
 
