@@ -26,18 +26,17 @@ _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 KINDS = ("inner", "left", "right", "full")
 
 
-def _met(held: pd.DataFrame, fresh: pd.DataFrame, other_fresh: pd.DataFrame, cap: int, expire_us: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """For each fresh row of one side the rows of the other that it meets: places in ``fresh`` and in held + other_fresh."""
-    order, other = fresh["place"].to_numpy(), other_fresh["place"].to_numpy()
-    before = len(held) + np.searchsorted(other, order)
+def _met(held: int, order: np.ndarray, other: np.ndarray, at: np.ndarray, theirs_at: np.ndarray, cap: int, expire_us: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each fresh row of one side (at place ``order``, time ``at``) the rows of the other that it meets: positions among
+    the fresh rows and among the ``held`` and fresh ones of the other side (fresh at place ``other``, all at ``theirs_at``)."""
+    before = held + np.searchsorted(other, order)
     first = np.maximum(before - cap, 0)
     sizes = before - first
-    mine = np.repeat(np.arange(len(fresh)), sizes)
+    mine = np.repeat(np.arange(len(order)), sizes)
     ends = np.cumsum(sizes)
     theirs = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
     if expire_us is not None and len(mine):
-        at = np.concatenate([held["at_us"].to_numpy(np.int64), other_fresh["at_us"].to_numpy(np.int64)])
-        alive = at[theirs] >= fresh["at_us"].to_numpy(np.int64)[mine] - expire_us
+        alive = theirs_at[theirs] >= at[mine] - expire_us
         mine, theirs = mine[alive], theirs[alive]
     return mine, theirs
 
@@ -54,38 +53,43 @@ class CappedJoin(StatefulProcessor):
         self.alarm = handle.getValueState("alarm", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["at_us", "tie", "side"], kind="stable").reset_index(drop=True)
-        new["place"] = np.arange(len(new))
-        fresh = [new[new["side"] == k] for k in (0, 1)]
-        held = [pd.DataFrame(list(s.get()) if s.exists() else [], columns=["at_us", "row"]) for s in self.sides]
-        texts = [np.concatenate([h["row"].to_numpy(object), f["row"].to_numpy(object)]) for h, f in zip(held, fresh)]
-        out = []
+        # Most keys have few rows of a batch: arrays, because frames would cost more than the work.
+        parts = list(rows)
+        at_us, tie, side, text = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("at_us", "tie", "side", "row"))
+        order = np.lexsort((side, tie, at_us))
+        at_us, side, text = at_us[order], side[order], text[order].astype(object)
+        place = [np.flatnonzero(side == k) for k in (0, 1)]
+        held = [list(s.get()) if s.exists() else [] for s in self.sides]
+        times = [np.concatenate([np.array([a for a, _ in h], np.int64), at_us[p]]) for h, p in zip(held, place)]
+        texts = [np.concatenate([np.array([r for _, r in h], object), text[p]]) for h, p in zip(held, place)]
+        out = ([], [])
         for k, keeps in ((0, ("left", "full")), (1, ("right", "full"))):
-            mine, theirs = _met(held[1 - k], fresh[k], fresh[1 - k], self.cap, self.expire_us)
-            pair = [fresh[k]["row"].to_numpy(object)[mine], texts[1 - k][theirs]]
-            out.append(pd.DataFrame({"l": pair[k], "r": pair[1 - k]}))
+            mine, theirs = _met(len(held[1 - k]), place[k], place[1 - k], at_us[place[k]], times[1 - k], self.cap, self.expire_us)
+            fresh = text[place[k]]
+            out[k].append(fresh[mine])
+            out[1 - k].append(texts[1 - k][theirs])
             if self.how in keeps:
-                alone = np.ones(len(fresh[k]), bool)
+                alone = np.ones(len(fresh), bool)
                 alone[mine] = False
-                single = fresh[k]["row"].to_numpy(object)[alone]
-                out.append(pd.DataFrame({"l" if k == 0 else "r": single, "r" if k == 0 else "l": None}))
-        newest = int(new["at_us"].max())
+                out[k].append(fresh[alone])
+                out[1 - k].append(np.full(int(alone.sum()), None, object))
+        newest = int(at_us[-1])
         for k, state in enumerate(self.sides):
-            kept = pd.concat([held[k], fresh[k][["at_us", "row"]]]).tail(self.cap)
+            if not len(place[k]) and (self.expire_us is None or all(a >= newest - self.expire_us for a, _ in held[k])):
+                continue  # nothing came and nothing has expired
+            kept = list(zip(times[k][-self.cap:].tolist(), texts[k][-self.cap:].tolist()))
             if self.expire_us is not None:
-                kept = kept[kept["at_us"].astype("int64") >= newest - self.expire_us]
-            state.put([(int(a), r) for a, r in kept.itertuples(index=False, name=None)]) if len(kept) else state.clear()
+                kept = [x for x in kept if x[0] >= newest - self.expire_us]
+            state.put(kept) if kept else state.clear()
         if self.expire_us is not None:
             if self.alarm.exists():
                 self.handle.deleteTimer(self.alarm.get()[0])
             wake = (newest + self.expire_us) // 1000 + 1
             self.handle.registerTimer(wake)
             self.alarm.update((wake,))
-        joined = pd.concat(out, ignore_index=True)
-        if len(joined):
-            for name, value in zip(self.keys, key):
-                joined[name] = value
-            yield joined[[*self.keys, "l", "r"]]
+        left, right = (np.concatenate(x) for x in out)
+        if len(left):
+            yield pd.DataFrame({**dict(zip(self.keys, key)), "l": left, "r": right})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (*self.sides, self.alarm):
