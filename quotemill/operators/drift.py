@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,23 +331,49 @@ def anomaly_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], contamina
         F.count_if(c("anomaly_score") > c("threshold")).alias("outliers"), F.count(F.lit(1)).alias("rows"))
 
 
+# Bins per feature of the domain classifier: as many as its trees look at.
+TREE_BINS = 32
+
+
+def binned(df: DataFrame, cols: Sequence[str], bins: int = TREE_BINS) -> DataFrame:
+    """Replace each column by the number of its bin: one per value if there are no more values than bins, else by quantiles."""
+    df = df.select(*[x for x in df.columns if x not in cols], *[c(x).cast("double").alias(x) for x in cols])
+    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    seen = df.agg(*[F.approx_count_distinct(x).alias(f"n_{x}") for x in cols], *[F.percentile_approx(x, probs, 1000).alias(f"q_{x}") for x in cols]).first()
+    cuts = {x: list(seen[f"q_{x}"] or []) for x in cols}
+    few = [x for x in cols if seen[f"n_{x}"] <= 2 * bins]  # a bounded number of values, so all of them may be looked at
+    if few:
+        values = df.agg(*[F.collect_set(x).alias(x) for x in few]).first()
+        cuts.update({x: sorted(values[x])[1:] for x in few if len(values[x]) <= bins})
+    points = [[-math.inf, *(sorted({v + 0.0 for v in cuts[x] if math.isfinite(v)}) or [0.0]), math.inf] for x in cols]
+    cut = Bucketizer(splitsArray=points, inputCols=list(cols), outputCols=[f"_bin_{x}" for x in cols])
+    return cut.transform(df).drop(*cols).withColumnsRenamed({f"_bin_{x}": x for x in cols})
+
+
 def domain_classifier(ref: DataFrame, cur: DataFrame, cols: Sequence[str], folds: int = 5, seed: int = 42) -> DataFrame:
     """Cross-validated accuracy of telling current from reference rows; both sides weigh the same, so 0.5 means
-    no difference."""
+    no difference.
+
+    The trees see a feature only by its bin, so rows are counted once per fold and combination of bins, and these cells, weighing
+    what their rows weigh, are what every fold fits and scores: their number is bounded by the bins, not by the rows.  A tree's
+    bootstrap draws cells, that is all rows of a fold that look the same to it together.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
+    cols = list(cols)
     data = ref.select(*cols, F.lit(0.0).alias("label")).unionByName(cur.select(*cols, F.lit(1.0).alias("label"))).dropna()
-    sizes = data.agg(F.count_if(c("label") == 0).alias("_a"), F.count_if(c("label") == 1).alias("_b"))
-    data = attach(data, sizes).withColumn("weight", 1.0 / F.when(c("label") == 0, c("_a")).otherwise(c("_b"))).drop("_a", "_b")
-    rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=seed, weightCol="weight")
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), rf])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=seed,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight"))
-    accuracy = float(cv.fit(data).avgMetrics[0])
+    dealt = binned(data, cols).withColumn("_fold", F.floor(F.rand(seed) * folds).cast("int"))
+    cells = materialize(dealt.groupBy("_fold", "label", *cols).agg(F.count(F.lit(1)).alias("n")), "domain-cells")
+    sizes = cells.agg(F.sum(F.when(c("label") == 0, c("n"))).alias("_a"), F.sum(F.when(c("label") == 1, c("n"))).alias("_b"))
+    cells = attach(cells, sizes).withColumn("weight", c("n") / F.when(c("label") == 0, c("_a")).otherwise(c("_b")))
+    rf = RandomForestClassifier(numTrees=10, maxDepth=4, maxBins=TREE_BINS, seed=seed, weightCol="weight")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), rf])
+    right = MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight")
+    found = [right.evaluate(pipe.fit(cells.filter(c("_fold") != k)).transform(cells.filter(c("_fold") == k))) for k in range(folds)]
+    accuracy = float(np.mean(found))
     return ref.sparkSession.createDataFrame([(accuracy, accuracy > 0.6)], "accuracy double, drift boolean")
 
 

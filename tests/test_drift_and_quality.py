@@ -93,3 +93,31 @@ def test_alert_needs_time(spark, block):
     s = Series(keys=("metric",), ts="ts", tie=(), slices=3, block_rows=block)
     got = [r["state"] for r in Q.alert_states(h, s, F.col("value") > 5, 120).orderBy("ts").collect()]
     assert got == ["ok", "pending", "pending", "triggered", "ok", "pending", "pending"]
+
+
+def test_domain_classifier_fits_cells_of_equal_rows(spark, monkeypatch):
+    """Rows count once per fold and combination of bins, however many there are; no row is lost and the verdict stays."""
+    seen = {}
+
+    def kept(df, label, inner=D.materialize):
+        seen[label] = inner(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(D, "materialize", kept)
+    rows = spark.range(40_000).select((F.col("id") % 7).alias("x"), (F.col("id") % 1000 / 10).alias("y"))
+    other = spark.range(10_000).select((F.col("id") % 7).alias("x"), (F.col("id") % 1000 / 10 + 50).alias("y"))
+    same = D.domain_classifier(rows, rows.limit(20_000), ["x", "y"]).first()
+    cells = seen["domain-cells"]
+    assert cells.agg(F.sum("n")).first()[0] == 60_000 and cells.count() <= 5 * 2 * 7 * D.TREE_BINS
+    apart = D.domain_classifier(rows, other, ["x", "y"]).first()
+    assert abs(same["accuracy"] - 0.5) < 0.03 and not same["drift"] and abs(apart["accuracy"] - 0.75) < 0.03 and apart["drift"]
+
+
+def test_bins_keep_every_value_of_a_column_with_few(spark):
+    """A value that is rarer than a quantile step keeps a bin of its own; a constant has one bin."""
+    df = spark.createDataFrame([(float(v), 1.0, float(k)) for k, v in enumerate([0] * 990 + [1] * 9 + [7])], "few double, one double, many double")
+    got = D.binned(df, ["few", "one", "many"])
+    n = {r["few"]: r["count"] for r in got.groupBy("few").count().collect()}
+    assert n == {0.0: 990, 1.0: 9, 2.0: 1} and got.select("one").distinct().count() == 1
+    sizes = [r["count"] for r in got.groupBy("many").count().collect()]
+    assert len(sizes) == D.TREE_BINS and max(sizes) <= 40
