@@ -47,35 +47,40 @@ def asof_join(left: DataFrame, right: DataFrame, s: Series, values: Sequence[str
                       F.col("_hit._rts").alias(f"{prefix}matched_{s.ts}"))
 
 
-def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """For each probe (id, _from, _limit): position of the first row at or after ``_from`` with ``_v`` <= limit.
+def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: int, lines: Sequence[str] = ("_v0",),
+                   carry: Sequence[str] = ()) -> DataFrame:
+    """For each probe (id, _line, _from, _limit): position ``_hit`` of the first row at or after ``_from`` whose value of the
+    probe's line is <= limit, and what that row carries.
 
-    Rows are (keys, _i, _v).  A probe is tried in the block it starts in; the rest ask the same question of
+    Rows are (keys, _i, lines, carry).  A probe is tried in the block it starts in; the rest ask the same question of
     the block minima, which names the one later block that holds the answer.
     """
     rows = rows.withColumn("_block", F.floor(F.col("_i") / block))
     by = [*keys, "_block"]
     schema = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out_schema = ", ".join(f"`{k}` {schema[k]}" for k in by) + ", _id bigint, _limit double, _hit bigint"
+    carried = ["_hit", *carry]
+    out_schema = ", ".join(f"`{k}` {schema[k]}" for k in by) + ", _id bigint, _line int, _limit double, _hit bigint" + "".join(f", `{k}` {schema[k]}" for k in carry)
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """All probes of a block at once, over minima of stretches of 1, 2, 4, ... rows: a stretch without a hit is skipped."""
-        if right.empty:
-            return pd.DataFrame()
-        if left.empty:
-            return right[[*by, "_id", "_limit"]].assign(_hit=pd.array([None] * len(right), dtype="Int64"))
-        left = left.sort_values("_i")
-        pos, low = left["_i"].to_numpy(), [left["_v"].fillna(np.inf).to_numpy(float)]
+    def climb(values: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """All probes of a line at once, over minima of stretches of 1, 2, 4, ... rows: a stretch without a hit is skipped."""
+        low = [values]
         while len(low[-1]) > (step := 1 << (len(low) - 1)):
             low.append(np.minimum(low[-1][:-step], low[-1][step:]))
-        limit, at = right["_limit"].to_numpy(float), np.searchsorted(pos, right["_from"].to_numpy())
         for k in reversed(range(len(low))):
             inside = at < len(low[k])
             at = at + np.where(inside & (low[k][np.where(inside, at, 0)] > limit), 1 << k, 0)
-        found = at < len(pos)
-        hits = pd.array(np.where(found, pos[np.where(found, at, 0)], 0), dtype="Int64")
-        hits[~found] = pd.NA
-        return right[[*by, "_id", "_limit"]].assign(_hit=hits)
+        return at
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if right.empty:
+            return pd.DataFrame()
+        left = left.sort_values("_i", ignore_index=True)
+        limit, line, at = right["_limit"].to_numpy(float), right["_line"].to_numpy(), np.searchsorted(left["_i"].to_numpy(), right["_from"].to_numpy())
+        for k in np.unique(line) if len(left) else ():
+            at[line == k] = climb(left[lines[k]].fillna(np.inf).to_numpy(float), at[line == k], limit[line == k])
+        hits = left.assign(_hit=left["_i"])[carried].reindex(np.where(at < len(left), at, -1)).reset_index(drop=True)
+        whole = {k: "Int64" for k in carried if schema.get(k, "bigint") == "bigint"}
+        return pd.concat([right[[*by, "_id", "_line", "_limit"]].reset_index(drop=True), hits.astype(whole)], axis=1)
 
     def ask(p: DataFrame) -> DataFrame:
         """Probes of one block are dealt out in chunks of about a block; only blocks with probes are read."""
@@ -86,15 +91,36 @@ def _first_at_most(rows: DataFrame, probes: DataFrame, keys: list[str], block: i
         return copies.drop("_chunks").groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(search, out_schema)
 
     first = materialize(ask(probes.withColumn("_block", F.floor(F.col("_from") / block))), "probe-first")
-    found = first.filter("_hit IS NOT NULL").select(*keys, "_id", "_hit")
+    found = first.filter("_hit IS NOT NULL").select(*keys, "_id", *carried)
     open_ = first.filter("_hit IS NULL")
-    minima = rows.groupBy(*keys, F.col("_block").alias("_i")).agg(F.min("_v").alias("_v"))
-    if open_.isEmpty() or minima.agg(F.max("_i")).first()[0] in (None, 0):
+    if open_.isEmpty():
         return found
-    later = open_.select(*keys, "_id", "_limit", (F.col("_block") + 1).alias("_from"))
-    where = _first_at_most(materialize(minima, "probe-minima"), later, keys, max(block, 4096))
+    minima = materialize(rows.groupBy(*keys, F.col("_block").alias("_i")).agg(*[F.min(v).alias(v) for v in lines]), "probe-minima")
+    if minima.agg(F.max("_i")).first()[0] in (None, 0):
+        return found
+    later = open_.select(*keys, "_id", "_line", "_limit", (F.col("_block") + 1).alias("_from"))
+    where = _first_at_most(minima, later, keys, max(block, 4096), lines)
     again = later.join(where.withColumnRenamed("_hit", "_block"), [*keys, "_id"]).withColumn("_from", F.col("_block") * block)
-    return found.unionByName(ask(again).filter("_hit IS NOT NULL").select(*keys, "_id", "_hit"))
+    return found.unionByName(ask(again).filter("_hit IS NOT NULL").select(*keys, "_id", *carried))
+
+
+def _in_one_order(orders: DataFrame, quotes: DataFrame, s: Series, values: dict[str, Column], order: Column) -> tuple[DataFrame, DataFrame]:
+    """Orders and quotes of each key in one order, written once: position ``_i``, the first position of the same time ``_start``,
+    the watched values (null for orders) and ``_order`` (null for quotes).
+
+    An order comes before the quotes of its time, and is itself no quote that could trigger.  Returns all rows, and the orders
+    among them as a second reading, so that the two may be joined.
+    """
+    blank = lambda kind: F.lit(None).cast(kind)
+    kind = payload_type(orders, order)
+    q = quotes.select(*s.keys, s.ts, *s.tie, F.lit(1).alias("_side"), blank(kind).alias("_order"), *[v.cast("double").alias(n) for n, v in values.items()])
+    o = orders.select(*s.keys, s.ts, *[blank(q.schema[x].dataType).alias(x) for x in s.tie], F.lit(0).alias("_side"), order.alias("_order"),
+                      *[blank("double").alias(n) for n in values])
+    both = materialize(o.unionByName(q), "trigger-both")  # read for the cuts, the sizes of slices and the order
+    ordered = index_rows(both, s.with_(tie=("_side", *s.tie, "_order.id")), start="_start")
+    spark, path = quotes.sparkSession, scratch(quotes.sparkSession, "trigger-rows")
+    ordered.drop(*s.tie).write.parquet(path)
+    return spark.read.parquet(path), spark.read.parquet(path).filter("_side = 0")
 
 
 def first_trigger(orders: DataFrame, quotes: DataFrame, s: Series, order_id: str, level: str, value: Column,
@@ -105,18 +131,12 @@ def first_trigger(orders: DataFrame, quotes: DataFrame, s: Series, order_id: str
     """
     keys = list(s.keys)
     sign = 1.0 if below else -1.0
-    blank = lambda kind: F.lit(None).cast(kind)
-    q = quotes.select(*keys, s.ts, *s.tie, F.lit(1).alias("_side"), blank("bigint").alias("_id"), blank("double").alias("_limit"), (value * sign).cast("double").alias("_v"))
-    o = orders.select(*keys, s.ts, *[blank(q.schema[c].dataType).alias(c) for c in s.tie], F.lit(0).alias("_side"), F.col(order_id).alias("_id"),
-                      (F.col(level) * sign).cast("double").alias("_limit"), blank("double").alias("_v"))
-    # One order of both: an order comes before the quotes of its time, and is itself no quote that could trigger.
-    spark, path = quotes.sparkSession, scratch(quotes.sparkSession, "trigger-rows")
-    index_rows(o.unionByName(q), s.with_(tie=("_side", *s.tie, "_id"))).write.parquet(path)
-    rows, asked, seen = (spark.read.parquet(path) for _ in range(3))
-    probes = asked.filter("_side = 0 AND _limit IS NOT NULL").select(*keys, "_id", F.col("_i").alias("_from"), "_limit")
-    hits = _first_at_most(rows.select(*keys, "_i", "_v"), probes, keys, s.block_rows)
-    return (hits.join(seen.filter("_side = 1").select(*keys, s.ts, F.col("_i").alias("_hit"), "_v"), [*keys, "_hit"])
-            .select(*keys, F.col("_id").alias(order_id), F.col(s.ts).alias("trigger_ts"), (F.col("_v") * sign).alias("trigger_value")))
+    order = F.struct(F.col(order_id).alias("id"), (F.col(level) * sign).cast("double").alias("limit"))
+    rows, sent = _in_one_order(orders, quotes, s, {"_v0": value * sign}, order)
+    probes = sent.filter("_order.limit IS NOT NULL").select(
+        *keys, F.col("_order.id").alias("_id"), F.lit(0).alias("_line"), F.col("_i").alias("_from"), F.col("_order.limit").alias("_limit"))
+    hits = _first_at_most(rows.select(*keys, "_i", "_v0", s.ts), probes, keys, s.block_rows, carry=(s.ts, "_v0"))
+    return hits.select(*keys, F.col("_id").alias(order_id), F.col(s.ts).alias("trigger_ts"), (F.col("_v0") * sign).alias("trigger_value"))
 
 
 # Which quote each order kind watches, and the sign that turns its test into "value <= level".
@@ -132,30 +152,33 @@ def order_triggers(orders: DataFrame, quotes: DataFrame, s: Series) -> DataFrame
     """Limit, stop and stop-limit orders against quotes (bid, ask): the first quote that executes each.
 
     Orders carry order_id, type, side, price and stop_price.  A buy executes on the ask, a sell on the bid; a
-    stop-limit order becomes a limit order at the time its stop triggers.  Every quote becomes one row per line
-    (ask or bid, rising or falling), so all orders are answered by two searches.
+    stop-limit order becomes a limit order at the time its stop triggers.  Orders and quotes are put in one order once; a
+    search looks at all lines (ask or bid, rising or falling) of a block together, so two searches over the same rows answer all.
     """
-    lines = {key: k for k, key in enumerate(TRIGGER_LINES)}
-    q = quotes.select(*s.keys, s.ts, *s.tie, F.explode(F.array(*[
-        F.struct(F.lit(lines[key]).alias("_line"), (F.col(col) * sign).alias("_value"))
-        for key, (col, sign) in TRIGGER_LINES.items()])).alias("_x")).select(*s.keys, s.ts, *s.tie, "_x.*")
-    q = materialize(q, "trigger-lines")
-    by = s.with_(keys=(*s.keys, "_line"))
-    orders = materialize(orders, "trigger-orders")
-
-    def watch(df: DataFrame, kind: str, level: str) -> DataFrame:
+    keys, names = list(s.keys), list(TRIGGER_LINES)
+
+    def probe(kind: str, level: str) -> Column:
+        """The line an order of this kind watches and its level there."""
         buy = F.col("side") == "buy"
-        line = F.when(buy, lines[(kind, "buy")]).otherwise(lines[(kind, "sell")])
         sign = F.when(buy, TRIGGER_LINES[(kind, "buy")][1]).otherwise(TRIGGER_LINES[(kind, "sell")][1])
-        return df.withColumns({"_line": line, "_level": F.col(level) * sign})
-
-    held = orders.filter("type = 'stop_limit'")
-    first = watch(orders.filter("type = 'limit'"), "limit", "price").unionByName(
-        watch(orders.filter("type != 'limit'"), "stop", "stop_price"))
-    hits = materialize(first_trigger(first, q, by, "order_id", "_level", F.col("_value")).drop("_line", "trigger_value"), "trigger-hits")
-    live = held.drop(s.ts).join(hits.select("order_id", F.col("trigger_ts").alias(s.ts)), "order_id")
-    armed = first_trigger(watch(live, "limit", "price"), q, by, "order_id", "_level", F.col("_value")).drop("_line", "trigger_value")
-    return hits.join(held.select("order_id"), "order_id", "left_anti").unionByName(armed)
+        return F.struct(F.when(buy, names.index((kind, "buy"))).otherwise(names.index((kind, "sell"))).alias("line"), (F.col(level) * sign).cast("double").alias("limit"))
+
+    first = F.when(F.col("type") == "limit", probe("limit", "price")).otherwise(probe("stop", "stop_price"))
+    order = F.struct(F.col("order_id").alias("id"), first.alias("first"), F.when(F.col("type") == "stop_limit", probe("limit", "price")).alias("then"))
+    rows, sent = _in_one_order(orders.filter("type IS NOT NULL"), quotes, s, {"bid": F.col("bid"), "ask": F.col("ask")}, order)
+    lines = [f"_v{k}" for k in range(len(names))]
+    watched = rows.select(*keys, "_i", s.ts, "_start", *[(F.col(col) * sign).alias(v) for v, (col, sign) in zip(lines, TRIGGER_LINES.values())])
+
+    def search(asked: DataFrame, at: str, start: str, carry: Sequence[str]) -> DataFrame:
+        probes = asked.select(*keys, F.col("_order.id").alias("_id"), F.col(f"_order.{at}.line").alias("_line"), F.col(start).alias("_from"), F.col(f"_order.{at}.limit").alias("_limit"))
+        return _first_at_most(watched.select(*keys, "_i", *lines, *carry), probes.filter("_limit IS NOT NULL"), keys, s.block_rows, lines, carry)
+
+    hits = materialize(search(sent, "first", "_i", (s.ts, "_start")), "trigger-hits")
+    held = sent.filter("_order.then IS NOT NULL").select(F.col("_order.id").alias("_id"), "_order")
+    live = hits.join(held, "_id")  # from the first quote of the time at which the stop triggered
+    armed = search(live, "then", "_start", (s.ts,))
+    out = hits.join(held.select("_id"), "_id", "left_anti").select(*keys, "_id", s.ts).unionByName(armed.select(*keys, "_id", s.ts))
+    return out.select(*keys, F.col("_id").alias("order_id"), F.col(s.ts).alias("trigger_ts"))
 
 
 def venue_match(quotes: DataFrame, s: Series, venues: Sequence[str], max_gap_ms: float) -> DataFrame:

@@ -35,3 +35,41 @@ def test_first_trigger_against_brute_force(spark, block):
             if len(m):
                 want[r.oid] = m["ts"].min().to_pydatetime()
         assert got == want
+
+
+@pytest.mark.parametrize("block", [4, 16384])
+def test_order_triggers_write_each_quote_once(spark, monkeypatch, block):
+    """All kinds of orders against brute force, with equal times, missing prices and levels; no frame that is written holds a quote per line."""
+    seen = {}
+
+    def kept(df, label, inner=J.materialize):
+        out = inner(df, label)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", kept)
+    rng = np.random.default_rng(3)
+    n, m = 240, 90
+    at = lambda k: pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 60, k), "s")
+    price = lambda k: np.where(rng.random(k) < 0.1, None, np.round(rng.uniform(0, 100, k), 1))
+    q = pd.DataFrame({"symbol": rng.choice(["a", "b"], n), "ts": at(n), "tie": np.arange(n), "bid": price(n), "ask": price(n)})
+    o = pd.DataFrame({"order_id": np.arange(m), "symbol": rng.choice(["a", "b", "c"], m), "ts": at(m), "type": rng.choice(["limit", "stop", "stop_limit"], m),
+                      "side": rng.choice(["buy", "sell"], m), "price": price(m), "stop_price": price(m)})
+    orders = spark.createDataFrame(o, "order_id long, symbol string, ts timestamp_ntz, type string, side string, price double, stop_price double")
+    got = {r["order_id"]: r["trigger_ts"] for r in J.order_triggers(orders, frame(spark, q, "bid double, ask double"), S.with_(block_rows=block)).collect()}
+
+    def first(r, kind, level, since):
+        col, sign = J.TRIGGER_LINES[(kind, r.side)]
+        if level is None or since is None:
+            return None
+        hit = q[(q["symbol"] == r.symbol) & (q["ts"] >= since) & (q[col].astype(float) * sign <= level * sign)]
+        return hit["ts"].min() if len(hit) else None
+
+    want = {}
+    for r in o.itertuples():
+        t = first(r, "limit", r.price, r.ts) if r.type == "limit" else first(r, "stop", r.stop_price, r.ts)
+        t = first(r, "limit", r.price, t) if r.type == "stop_limit" else t
+        if t is not None:
+            want[r.order_id] = t.to_pydatetime()
+    assert got == want and len({o["type"][k] for k in got}) == 3
+    assert max(v for k, v in seen.items() if k.startswith("trigger")) <= n + m
