@@ -271,32 +271,59 @@ def _average_path(n: int) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _path_lengths(tree, x: np.ndarray, rows: np.ndarray, depth: int, out: np.ndarray) -> None:
-    if not isinstance(tree, tuple):
-        out[rows] += depth + tree
-        return
-    f, cut, left, right = tree
-    go = x[rows, f] < cut
-    _path_lengths(left, x, rows[go], depth + 1, out)
-    _path_lengths(right, x, rows[~go], depth + 1, out)
+def _flat(tree) -> tuple[np.ndarray, ...]:
+    """A tree as arrays over its nodes: feature, cut, left, right and a leaf's path length; a leaf leads to itself."""
+    feature, cut, left, right, length = [], [], [], [], []
 
+    def add(node, depth: int) -> int:
+        k = len(feature)
+        leaf = not isinstance(node, tuple)
+        for values, v in ((feature, 0 if leaf else node[0]), (cut, 0.0 if leaf else node[1]), (left, k), (right, k), (length, depth + node if leaf else 0.0)):
+            values.append(v)
+        if not leaf:
+            left[k], right[k] = add(node[2], depth + 1), add(node[3], depth + 1)
+        return k
 
-def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation-forest score in (0, 1) per row of ``df``.
+    add(tree, 0)
+    return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(length, dtype="float64")
 
-    Every tree draws its own ``sample`` rows from all rows of the reference (seed, tree and the row's place in a written
-    copy decide) and grows in a task of its own; scoring
-    is a pass over Arrow batches with the trees (``trees`` x ``sample`` nodes at most) shipped to the tasks.
-    """
-    cols = list(cols)
+
+def _path_lengths(flat: tuple[np.ndarray, ...], x: np.ndarray, depth: int) -> np.ndarray:
+    """Path length of every row: all rows go down a level at a time."""
+    feature, cut, left, right, length = flat
+    rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    for _ in range(depth):
+        at = np.where(x[rows, feature[at]] < cut[at], left[at], right[at])
+    return length[at]
+
+
+@dataclass(frozen=True)
+class _Forest:
+    """Flattened isolation trees, their depth limit and the path length that a score is relative to."""
+
+    trees: list
+    depth: int
+    norm: float
+
+    def cuts(self, k: int) -> list[float]:
+        """All values at which any tree cuts feature ``k``."""
+        return sorted({float(v) for feature, cut, left, *_ in self.trees for v in cut[(feature == k) & (left != np.arange(len(left)))]})
+
+
+def _isolation_forest(ref: DataFrame, cols: Sequence[str], trees: int, sample: int, seed: int) -> _Forest:
+    """Every tree draws its own ``sample`` rows from all rows of the reference (seed, tree and the row's place in a written
+    copy decide) and grows in a task of its own."""
     rows = materialize(ref.select(*[c(x).cast("double").alias(x) for x in cols]).dropna(), "isolation")
     n = rows.count()
     take = min(sample, n)
     depth = max(1, math.ceil(math.log2(max(take, 2))))
-    share = min(1.0, (2.0 * take + 50) / max(n, 1))  # a thinned draw, cut to exactly ``take`` rows below
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, c("_row")), F.lit(1 << 30)).alias("h")))
-    chosen = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_d", F.explode(F.filter(draws, lambda d: d["h"] <= share * (1 << 30))))
+    bound = min(1.0, (2.0 * take + 50) / max(n, 1)) * (1 << 30)  # a thinned draw, cut to exactly ``take`` rows below
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, c("_row")), F.lit(1 << 30))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("h")))
+    placed = rows.withColumn("_row", F.monotonically_increasing_id())
+    # Plain expressions find the rows that any tree draws, as most are drawn by none; the list of draws is made for those alone.
+    placed = placed.filter(F.array_min(F.array(*[draw(F.lit(t)) for t in range(trees)])) <= bound)
+    chosen = placed.withColumn("_d", F.explode(F.filter(draws, lambda d: d["h"] <= bound)))
     order = Window.partitionBy("tree").orderBy("h", *cols)
     chosen = chosen.select("_d.tree", "_d.h", *cols).withColumn("_rank", F.row_number().over(order)).filter(c("_rank") <= take)
 
@@ -305,30 +332,52 @@ def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees:
         return pd.DataFrame({"tree": [int(key[0])], "nodes": [pickle.dumps(tree)]})
 
     grown = chosen.groupBy("tree").applyInPandas(grow, "tree int, nodes binary").orderBy("tree").collect()
-    forest = [pickle.loads(r["nodes"]) for r in grown]
-    norm = _average_path(take) or 1.0
+    return _Forest([_flat(pickle.loads(r["nodes"])) for r in grown], depth, _average_path(take) or 1.0)
+
+
+def _scored(df: DataFrame, cols: Sequence[str], forest: _Forest) -> DataFrame:
     shipped = df.sparkSession.sparkContext.broadcast(forest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", anomaly_score double"
 
     def score(batches):
+        f = shipped.value
         for b in batches:
             x = b[cols].to_numpy(dtype="float64")
             total = np.zeros(len(x))
-            for tree in shipped.value:
-                _path_lengths(tree, x, np.arange(len(x)), 0, total)
-            yield b.assign(anomaly_score=np.power(2.0, -total / max(len(shipped.value), 1) / norm))
+            for tree in f.trees:
+                total += _path_lengths(tree, x, f.depth)
+            yield b.assign(anomaly_score=np.power(2.0, -total / max(len(f.trees), 1) / f.norm))
 
     return df.mapInPandas(score, schema)
 
 
-def anomaly_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], contamination: float = 0.05, **kw) -> DataFrame:
-    """Share of current rows scoring above the reference's own (1 - contamination) quantile."""
+def isolation_scores(ref: DataFrame, df: DataFrame, cols: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation-forest score in (0, 1) per row of ``df``; scoring is a pass over Arrow batches with the trees (``trees`` x
+    ``sample`` nodes at most) shipped to the tasks."""
+    cols = list(cols)
+    return _scored(df, cols, _isolation_forest(ref, cols, trees, sample, seed))
+
+
+def anomaly_ratio(ref: DataFrame, cur: DataFrame, cols: Sequence[str], contamination: float = 0.05, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Share of current rows scoring above the reference's own (1 - contamination) quantile.
+
+    Rows between the same cuts of all features go down the trees alike, so rows are counted per such cell, one row of a cell is
+    scored, and the quantile and the share are those of the counts: the scores of all rows, each worked out once.
+    """
+    cols = list(cols)
+    forest = _isolation_forest(ref, cols, trees, sample, seed)
     both = ref.select(*cols, F.lit(0).alias("is_current")).unionByName(cur.select(*cols, F.lit(1).alias("is_current")))
-    scored = isolation_scores(ref, both, cols, **kw)
-    limit = quantiles(scored.filter("is_current = 0"), "anomaly_score", [1 - contamination], names=["threshold"])
-    return attach(scored.filter("is_current = 1"), limit).agg(
-        F.avg((c("anomaly_score") > c("threshold")).cast("double")).alias("ratio"),
-        F.count_if(c("anomaly_score") > c("threshold")).alias("outliers"), F.count(F.lit(1)).alias("rows"))
+    both = both.select("is_current", *[c(x).cast("double").alias(x) for x in cols])
+    points = [[-math.inf, *(forest.cuts(k) or [0.0]), math.inf] for k in range(len(cols))]
+    cut = Bucketizer(splitsArray=points, inputCols=cols, outputCols=[f"_in_{x}" for x in cols], handleInvalid="keep")
+    cells = cut.transform(both).groupBy("is_current", *[f"_in_{x}" for x in cols]).agg(F.count(F.lit(1)).alias("n"), *[F.min(x).alias(x) for x in cols])
+    scored = _scored(cells.select("is_current", "n", *cols), cols, forest).groupBy("is_current", "anomaly_score").agg(F.sum("n").alias("n"))
+    scored = materialize(scored, "anomaly-scores")
+    limit = quantiles(scored.filter("is_current = 0"), "anomaly_score", [1 - contamination], names=["threshold"], count="n")
+    above = attach(scored.filter("is_current = 1"), limit).withColumn("above", c("anomaly_score") > c("threshold"))
+    some = lambda cond: F.sum(F.when(cond, c("n")).otherwise(0))
+    return above.agg(F.try_divide(some(c("above")).cast("double"), some(c("above").isNotNull()).cast("double")).alias("ratio"),
+                     F.coalesce(some(c("above")), F.lit(0)).alias("outliers"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
 # Bins per feature of the domain classifier: as many as its trees look at.

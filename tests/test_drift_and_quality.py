@@ -121,3 +121,28 @@ def test_bins_keep_every_value_of_a_column_with_few(spark):
     assert n == {0.0: 990, 1.0: 9, 2.0: 1} and got.select("one").distinct().count() == 1
     sizes = [r["count"] for r in got.groupBy("many").count().collect()]
     assert len(sizes) == D.TREE_BINS and max(sizes) <= 40
+
+
+def test_anomaly_ratio_scores_a_cell_once(spark, monkeypatch):
+    """The share equals that of all rows' scores, with repeated, missing and undefined values; a value that repeats is scored once."""
+    rng = np.random.default_rng(4)
+    n = 3000
+    pdf = pd.DataFrame({"x": rng.integers(0, 9, n).astype(float), "y": rng.normal(0, 1, n).round(1), "cur": rng.random(n) < 0.4})
+    pdf.loc[pdf["cur"] & (rng.random(n) < 0.1), "y"] += 3
+    df = spark.createDataFrame(pdf).withColumn("x", F.expr("CASE WHEN cur AND y = 0.1 THEN NULL WHEN cur AND y = 0.2 THEN DOUBLE('NaN') ELSE x END")).repartition(1)
+    ref, cur = df.filter("NOT cur").select("x", "y"), df.filter("cur").select("x", "y")
+    base = D.isolation_scores(ref, ref, ["x", "y"], trees=10).toPandas()["anomaly_score"]
+    mine = D.isolation_scores(ref, cur, ["x", "y"], trees=10).toPandas()["anomaly_score"]
+    rows = []
+
+    def scored(d, cols, forest, inner=D._scored):
+        rows.append((d.count(), d.agg(F.sum("n")).first()[0]))
+        return inner(d, cols, forest)
+
+    monkeypatch.setattr(D, "_scored", scored)
+    got = D.anomaly_ratio(ref, cur, ["x", "y"], trees=10).first()
+    above = int((mine > np.quantile(base, 0.95)).sum())
+    assert (got["outliers"], got["rows"]) == (above, len(mine)) and got["ratio"] == above / len(mine) and above > 0
+    assert rows == [(rows[0][0], n)] and rows[0][0] <= df.distinct().count() < n / 2
+    none = D.anomaly_ratio(ref, cur.limit(0), ["x", "y"], trees=2).first()
+    assert (none["ratio"], none["outliers"], none["rows"]) == (None, 0, 0)
