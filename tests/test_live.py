@@ -67,6 +67,31 @@ def test_monitor_equals_replay(spark):
     assert len(sure) >= 2 and all(b - a >= 150 for a, b in zip(sure, sure[1:]))
 
 
+def test_monitor_thins_records_before_they_become_rows_per_feature(monkeypatch):
+    """As Arrow columns, over several chunks: the newest numbers of every key and feature, with missing, undefined and infinite values."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(monitor, "TASK_ROWS", 500)
+    rng = np.random.default_rng(2)
+    n = 2000
+    pdf = pd.DataFrame({"symbol": rng.choice(["a", "b", "c"], n, p=[0.8, 0.19, 0.01]), "at_us": rng.integers(0, 400, n), "tie": rng.permutation(n)})
+    pdf["at"] = pd.to_datetime(pdf["at_us"], unit="us", utc=True)
+    pdf["_f0"], pdf["_f1"] = rng.normal(0, 1, n), rng.choice([1.0, np.inf, 2.0], n)
+    kind = pa.schema([("symbol", pa.string()), ("at", pa.timestamp("us", "UTC")), ("at_us", pa.int64()), ("tie", pa.int64()), ("_f0", pa.float64()), ("_f1", pa.float64())])
+    odd = rng.random(n)
+    columns = {c: pdf[c].tolist() for c in kind.names}
+    columns["_f0"] = [None if o < 0.2 else float("nan") if o < 0.4 else v for o, v in zip(odd, columns["_f0"])]
+    batches = pa.table(columns, schema=kind).to_batches(max_chunksize=150)
+    out = list(monitor._thinned(20, ["price", "volume"])(iter(batches)))
+    got = pa.Table.from_batches(out).to_pandas()
+    assert pa.Table.from_batches(out).schema.names == ["symbol", "feature", "at", "at_us", "tie", "value"]
+    long = pd.concat([pdf.assign(feature="price", value=pdf["_f0"])[odd >= 0.4], pdf.assign(feature="volume", value=pdf["_f1"])])
+    want = long.sort_values(["at_us", "tie"]).groupby(["symbol", "feature"]).tail(20)
+    row = lambda d: sorted(d[["symbol", "feature", "at_us", "tie", "value"]].itertuples(index=False, name=None))
+    assert row(got) == row(want) and (got["at"] == pd.to_datetime(got["at_us"], unit="us", utc=True)).all()
+    assert list(monitor._thinned(20, ["price"])(iter([]))) == []
+
+
 def test_monitor_state_is_bounded_and_rows_are_thinned_before_the_shuffle():
     rows = pd.DataFrame({"symbol": ["a"] * 500 + ["b"] * 3, "feature": "price", "at": START, "at_us": range(503), "tie": 0, "value": 1.0})
     kept = pd.concat(monitor._newest(20)(iter([rows.iloc[:300], rows.iloc[300:]])))
