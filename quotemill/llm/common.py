@@ -93,17 +93,25 @@ def resident(operator: str, forget: Callable[[], None] | None = None) -> None:
         give_back()
 
 
-def forgetting(batches: Iterator, *tables: dict) -> Iterator:
-    """The batches of a task; after the last one the remembering tables are emptied."""
-    resident("")
+def leaving(batches: Iterator, *forget: Callable[[], None]) -> Iterator:
+    """The batches of a task; after the last one what the task remembered goes, and its memory is given back.
+
+    More workers than cores wait for tasks in turn, so what each kept between its tasks would count as often as there are workers.
+    """
     try:
         yield from batches
     finally:
-        for table in tables:
-            table.clear()
+        for drop in forget:
+            drop()
         give_back()
 
 
+def forgetting(batches: Iterator, *tables: dict) -> Iterator:
+    """The batches of a task; after the last one the remembering tables are emptied."""
+    resident("")
+    yield from leaving(batches, *[table.clear for table in tables])
+
+
 def first_texts(rows: DataFrame, most: int, *cols: Column) -> DataFrame:
     """``cols`` of the ``most`` first distinct texts in the order of their hash, or of all if there are fewer.
 

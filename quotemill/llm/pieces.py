@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from quotemill.llm.common import fresh, resident
+from quotemill.llm.common import fresh, leaving, resident
 
 MARK = "▁"
 LONG_CHUNK = 64
 YOUNG_CHUNKS = 150_000  # remembered cuts of the younger generation; the older one is no larger
 PAIR_SLOTS = 1 << 20  # remembered verdicts on pairs of pieces
-GROUP_CHARS = 1 << 20  # characters of text that are cut and walked together
+GROUP_CHARS = 1 << 18  # characters of text that are cut and walked together
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -393,8 +393,9 @@ class PieceModel:
         return [np.frombuffer(b"".join(map(ids.__getitem__, part)), "<i4") for part in cuts]
 
     def forget(self) -> None:
-        """Drop what was remembered of texts."""
+        """Drop what was remembered of texts, and the small objects that lie between and would hold its memory."""
         self.known = Remembered(YOUNG_CHUNKS)
+        self.merges = {}
 
     def encode(self, text: str) -> np.ndarray:
         return next(iter(self.encode_all([text])))
@@ -451,31 +452,42 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
 
+def _held(path: str) -> PieceModel:
+    """The model for a task; it stays in the worker until another operator's task comes."""
+    resident("pieces", _models.clear)
+    return model(path)
+
+
+def _encoded(m: PieceModel, texts: pa.Array) -> list[np.ndarray]:
+    return list(m.encode_all([t or "" for t in texts.to_pylist()]))
+
+
+def _round(m: PieceModel, texts: pa.Array) -> pa.Array:
+    rows = _encoded(m, texts)
+    return pa.StructArray.from_arrays([_lists(rows), pa.array([m.decode(r) for r in rows], pa.string())], ["ids", "decoded"])
+
+
 def _each_text(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model(path)
-        resident("pieces", m.forget)
-        for batch in batches:
-            yield _lists(list(m.encode_all([t or "" for t in batch.to_pylist()])))
+        m = _held(path)
+        for batch in leaving(batches, m.forget):
+            yield _lists(_encoded(m, batch))
 
     return run
 
 
 def _each_round(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model(path)
-        resident("pieces", m.forget)
-        for batch in batches:
-            rows = list(m.encode_all([t or "" for t in batch.to_pylist()]))
-            back = pa.array([m.decode(r) for r in rows], pa.string())
-            yield pa.StructArray.from_arrays([_lists(rows), back], ["ids", "decoded"])
+        m = _held(path)
+        for batch in leaving(batches, m.forget):
+            yield _round(m, batch)
 
     return run
 
 
 def _each_ids(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = model(path).decode
+        decode = _held(path).decode
         for batch in batches:
             ends, values = batch.offsets.to_numpy(), batch.values.to_numpy()
             yield pa.array([decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())

@@ -169,14 +169,20 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], soft: np.ndarray, roun
 
 
 def _vote_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
+    for batch in forgetting(batches):
         yield pa.array([votes(shares(plain_words(t))) for t in texts(batch)], pa.list_(pa.int8()))
 
 
-def _feature_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.struct([("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
+def _fit_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Votes and features from one function: Spark gives each of two a worker of its own, all of which then live on."""
+    kind = pa.struct([("votes", pa.list_(pa.int8())), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
     for batch in forgetting(batches, _shapes, _slots):
-        yield pa.array([dict(zip(("slots", "values"), features(plain_words(t)))) for t in texts(batch)], kind)
+        out = []
+        for t in texts(batch):
+            words = plain_words(t)
+            slots, values = features(words)
+            out.append({"votes": votes(shares(words)), "slots": slots, "values": values})
+        yield pa.array(out, kind)
 
 
 _JUDGED = pa.struct([("score", pa.float64()), ("posterior", pa.float64()), ("votes", pa.list_(pa.int8()))])
@@ -201,21 +207,21 @@ def _judge_batches(shared):
 def train(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> dict:
     """The label model and the scorer's weights, from one vote count over all texts and one bounded sample."""
     vote = F.arrow_udf(_vote_batches, "array<tinyint>").asNondeterministic()
-    make = F.arrow_udf(_feature_batches, "struct<slots:array<int>,values:array<float>>").asNondeterministic()
+    make = F.arrow_udf(_fit_batches, "struct<votes:array<tinyint>,slots:array<int>,values:array<float>>").asNondeterministic()
     rows = only(docs, text=text_col).select(F.coalesce("text", F.lit("")).alias("text"))
     counted = rows.select(F.array_join(vote("text").cast("array<string>"), ",").alias("votes")).groupBy("votes").count().collect()
     counted.sort(key=lambda r: r["votes"])
     patterns = np.array([[int(x) for x in r["votes"].split(",")] for r in counted], np.int64).reshape(-1, len(LABELLERS))
     label = estimate(patterns, np.array([r["count"] for r in counted], float))
     known = {tuple(p): float(q) for p, q in zip(patterns.tolist(), label["posterior"])}
-    got = first_texts(rows, fit_rows, vote("text").alias("votes"), make("text").alias("f")).toArrow().combine_chunks()
+    got = first_texts(rows, fit_rows, make("text").alias("f")).toArrow().combine_chunks()
     data, soft = [], np.empty(0)
     if got.num_rows:
         f = got["f"].combine_chunks()
         slots, values = f.field("slots"), f.field("values")
         ends, slots, values = slots.offsets.to_numpy(), slots.values.to_numpy(), values.values.to_numpy()
         data = [(slots[a:b], values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-        soft = np.array([known.get(tuple(v), label["prior"]) for v in got["votes"].to_pylist()])
+        soft = np.array([known.get(tuple(v), label["prior"]) for v in f.field("votes").to_pylist()])
     return {"prior": float(label["prior"]), "accuracy": label["accuracy"], "posterior": known, "weights": fit_linear(data, soft).astype(np.float32)}
 
 

@@ -2,12 +2,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from plain import DOCS, clashing, frame, rows
 
 from quotemill.llm import pieces as P
-from quotemill.llm.common import prepare
+from quotemill.llm.common import prepare, resident
 from quotemill.llm.queries import piece_digests
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -70,6 +71,20 @@ def test_cuts_cross_no_piece():
         assert "".join(model.cuts(text.replace(" ", P.MARK))) == text.replace(" ", P.MARK)
 
 
+def test_a_worker_keeps_no_text_after_a_task_and_no_model_after_the_operator(library):
+    texts = list(strange(50, seed=6))
+    for task, ids in ((P._each_round, lambda out: out.field("ids")), (P._each_text, lambda out: out)):
+        batches = task(PATH)(iter([pa.array(texts), pa.array(texts[:9])]))
+        assert ids(next(batches)).to_pylist() == [library.encode(t) for t in texts]
+        model = P._models[PATH]
+        assert model.known.young
+        assert ids(next(batches)).to_pylist() == [library.encode(t) for t in texts[:9]]
+        assert list(batches) == [] and P._models[PATH] is model
+        assert not model.known.young and not model.known.old and not model.merges
+    resident("another")
+    assert not P._models
+
+
 def test_frames(spark, library):
     docs = clashing(frame(prepare(spark)))
     coded, ids, back = P.round_trip(docs, PATH)

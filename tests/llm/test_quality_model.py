@@ -65,3 +65,17 @@ def test_copies_do_not_shrink_the_sample(spark):
     few = [r.text for r in first_texts(docs, 100, F.col("text")).collect()]
     assert few == got[:100]
     assert first_texts(docs.limit(0), 100, F.col("text")).count() == 0
+
+
+def test_a_fit_task_runs_one_python_worker(spark, monkeypatch):
+    """Two functions in one task would start two workers for each core, which live on through all later stages."""
+    plans = []
+
+    def watched(*args):
+        out = first_texts(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(Q, "first_texts", watched)
+    docs = frame(prepare(spark))
+    assert Q.train(docs)["weights"].any() and [p.count("ArrowEvalPython") for p in plans] == [1]
